@@ -5,20 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronomotif.llm import quality_rules
+from chronomotif.llm import decontaminate, quality_rules, token_counts, token_files
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).drop("broken_rule")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules,)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op4_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
