@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm import decontaminate, quality_rules, token_counts, token_files
+from chronomotif.llm import decontaminate, mixing, quality_rules, token_counts, token_files, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,10 +29,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+#: The tree of op3: a domain from the source's number, language, source; percent and unit weights.
+MIX_WEIGHTS: list[dict[str, int]] = [{"bulk": 20, "web": 50, "curated": 30}, {"en": 60, "de": 15, "fr": 15, "es": 10}, {}]
+MIX_DOMAIN_SQL = "CASE WHEN source = 'src0' THEN 'bulk' WHEN length(source) = 4 THEN 'web' ELSE 'curated' END"
+MIX_SEED = 17
+
+
+def mix_levels() -> dict:
+    return {"domain": F.expr(MIX_DOMAIN_SQL), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """80 % of all words, each source at most twice."""
+    docs = read(spark, sf_dir, "documents")
+    out = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, F.expr("(_all * 8) div 10"), max_epochs=2, seed=MIX_SEED)
+    return out.select("row.doc_id", "domain", "lang", "source", "tokens", "copies")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents")).drop("broken_rule")
 
 
+# The rules of the contract (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -40,8 +65,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op4_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.measures_sql()}
+    return {
+        "op3_source_mixing": mixing.mix_sql("documents", {"domain": MIX_DOMAIN_SQL, "lang": "lang", "source": "source"}, MIX_WEIGHTS, "(_all * 8) // 10", 2, MIX_SEED),
+        "op4_quality_rules": quality_rules.measures_sql(),
+    }
