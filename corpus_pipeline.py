@@ -1,10 +1,15 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronomotif.llm import quality_rules
+from chronomotif.llm import decontaminate, jaccard_join, mixing, quality_rules, queries, token_files
+from chronomotif.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,16 +17,44 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose 5-word shingles overlap to 0.8 or more, linked through any chain, the one with the least id stays."""
+    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    return decontaminate.drop_contaminated(docs, queries.read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of the words stay, dealt to domains, languages and sources by weight; no document twice."""
+    out = mixing.mix(docs, queries.mix_levels(), queries.MIX_WEIGHTS, F.expr("(_all * 9) div 10"), max_epochs=1, seed=queries.MIX_SEED)
+    return out.select("row.*")
 
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left; a row a document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.token_digests(docs, queries.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", tokens),
+]
+
+#: Shingle components and byte-pair ids are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``."""
-    from chronomotif.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
