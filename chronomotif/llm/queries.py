@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm import decontaminate, jaccard_join, mixing, quality_rules, token_counts, token_files, url_filter
+from chronomotif.llm import decontaminate, jaccard_join, mixing, ngram_lm, quality_rules, token_counts, token_files, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = ngram_lm.held_out("doc_id", 7, 2)
+    model = ngram_lm.train(docs.where(~held_out))
+    scored = ngram_lm.score(docs, model, extra=[held_out.alias("held_out")])
+    return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -69,7 +77,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op6_jaccard_join, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op6_jaccard_join, op7_lm_scoring, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
