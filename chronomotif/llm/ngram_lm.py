@@ -235,9 +235,9 @@ class LanguageModel:
             self._maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self._maps[key]
 
-    def _find(self, keys: str, values: str, asked: np.ndarray, width: int) -> np.ndarray:
+    def _find(self, keys: str, values: str, asked: np.ndarray, width: int, kind: type = np.int64) -> np.ndarray:
         """Values of the sorted hashes ``asked``; 0 where absent."""
-        out = np.zeros((len(asked), width), np.int64)
+        out = np.zeros((len(asked), width), kind)
         shard = (asked >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(asked), np.int64)
         ends = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
         for s in range(1 << self.bits):
@@ -257,24 +257,33 @@ class LanguageModel:
             return np.full(len(contexts), uniform)
         return np.maximum(contexts - self.token_discount[np.minimum(contexts, 3)], 0) / self.continuations + self.token_backoff * uniform
 
+    def _context(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total count, share left to the lower order) of sorted contexts."""
+        totals = self._find("context", "totals", context, 4)
+        whole = np.maximum(totals[:, 0], 1)
+        return whole, np.where(totals[:, 0] > 0, (totals[:, 1:] * self.pair_discount[1:]).sum(1) / whole, 1.0)
+
+    def pair_probability(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """p(w after v) of each pair."""
+        token, t = np.unique(w, return_inverse=True)
+        lower = self.token_probability(self._find("token", "seen", token, 2)[:, 0])
+        context, c = np.unique(v, return_inverse=True)
+        whole, backoff = self._context(context)
+        pair, of = np.unique(pair_hash(v, w, self.bits), return_inverse=True)
+        count = self._find("pair", "count", pair, 1)[:, 0][of]
+        return np.maximum(count - self.pair_discount[np.minimum(count, 3)], 0) / whole[c] + backoff[c] * lower[t]
+
     def score(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 probability, known tokens, log10 base probability) of each text."""
         v, w = pairs_of(tokens)
         token, token_of = np.unique(w, return_inverse=True)
-        seen = self._find("token", "seen", token, 2)
-        lower = self.token_probability(seen[:, 0])
-        base = np.log10((seen[:, 1] + 1) / (self.n_tokens + self.vocabulary + 1))
-        context, context_of = np.unique(v, return_inverse=True)
-        totals = self._find("context", "totals", context, 4)
-        whole = np.maximum(totals[:, 0], 1)
-        backoff = np.where(totals[:, 0] > 0, (totals[:, 1:] * self.pair_discount[1:]).sum(1) / whole, 1.0)
-        pair, first, pair_of = np.unique(pair_hash(v, w, self.bits), return_index=True, return_inverse=True)
-        count = self._find("pair", "count", pair, 1)[:, 0]
-        c, t = context_of[first], token_of[first]
-        p = np.maximum(count - self.pair_discount[np.minimum(count, 3)], 0) / whole[c] + backoff[c] * lower[t]
+        plain = self._find("token", "seen", token, 2)[:, 1]
+        base = np.log10((plain + 1) / (self.n_tokens + self.vocabulary + 1))
+        _, first, pair_of = np.unique(pair_hash(v, w, self.bits), return_index=True, return_inverse=True)
+        p = np.log10(self.pair_probability(v[first], w[first]))
         starts = np.cumsum([0] + [len(x) for x in tokens[:-1]])
-        known = (seen[:, 1] > 0).astype(np.int64)
-        return np.add.reduceat(np.log10(p)[pair_of], starts), np.add.reduceat(known[token_of], starts), np.add.reduceat(base[token_of], starts)
+        known = (plain > 0).astype(np.int64)
+        return np.add.reduceat(p[pair_of], starts), np.add.reduceat(known[token_of], starts), np.add.reduceat(base[token_of], starts)
 
 
 def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int = 5) -> LanguageModel:
