@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm import decontaminate, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, url_filter
+from chronomotif.llm import decontaminate, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, toxicity, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,8 +80,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = ngram_lm.held_out("doc_id", 5, 0)
+    scored = toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op6_jaccard_join, op7_lm_scoring, op8_quality_model, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op6_jaccard_join, op7_lm_scoring, op8_quality_model, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
