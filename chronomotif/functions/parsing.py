@@ -1 +1,121 @@
-def registered(): return []
+"""Parsers of free-text answers and tool inputs. Text is matched, never evaluated."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from chronomotif.plans import catalog
+from chronomotif.sources.events import EDGES_SQL, temporal_edges
+
+QUAD = r"""[(\[]\s*["']?u?(\d+)["']?\s*,\s*["']?u?(\d+)["']?\s*,\s*["']?t?(\d+)["']?\s*,\s*["']?([adAD])["']?\s*[)\]]"""
+PAIR = r"""[(\[]\s*["']?([A-Za-z0-9]+-?[A-Za-z]+)["']?\s*,\s*(\d+)\s*[)\]]"""
+#: Two numbers, by the first pattern that fits; the order matters.
+TWO_INTS = [
+    r"[\[(]\s*(\d+)\s*,\s*(\d+)\s*[\])]",
+    r"(?i)(?:connected|linked|link)\D{0,20}?(\d+)\D+?(?:disconnected|unlinked|dislinked|removed)\D{0,20}?(\d+)",
+    r"(?i)from\D{0,10}?(\d+)\s*(?:to|until|till)\D{0,10}?(\d+)",
+    r"(?i)at\D{0,10}?(\d+)\s*and\D{0,10}?(\d+)",
+    r"(\d+)\s*(?:,|;|and|to|-)\s*(\d+)",
+    r"(\d+)\s+(\d+)",
+]
+#: Lines of the form name: number, in the order in which they are tried.
+NAME_LINES = [PAIR, r"""["']?([A-Za-z0-9]+-?[A-Za-z]+)["']?\s*[:=]\s*(\d+)""", r"([A-Za-z0-9]+-?[A-Za-z]+)\s+(?:at|is|appears at|first at)\D{0,12}?(\d+)"]
+
+
+def yes_no(response: Column) -> Column:
+    """The first whole word yes or no, lower case; null without one."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(response)), r"\b(yes|no)\b", 1), F.lit(""))
+
+
+def after(response: Column, markers: tuple[str, ...] = ("Answer:",)) -> Column:
+    """Text behind the last of the first marker that occurs; null without one."""
+    return F.coalesce(*[F.when(response.contains(m), F.trim(F.substring_index(response, m, -1))) for m in markers])
+
+
+def after_or_all(response: Column) -> Column:
+    return F.coalesce(after(response), response)
+
+
+def quads(response: Column) -> Column:
+    """array<struct<u, v, t, op>> of all (u, v, t, op) or [u, v, t, op] in the text, in order."""
+    part = lambda k: F.regexp_extract_all(response, F.lit(QUAD), F.lit(k))
+    zipped = F.arrays_zip(part(1).alias("u"), part(2).alias("v"), part(3).alias("t"), part(4).alias("op"))
+    return F.transform(zipped, lambda q: F.struct(q["u"].try_cast("int").alias("u"), q["v"].try_cast("int").alias("v"), q["t"].try_cast("int").alias("t"), F.lower(q["op"]).alias("op")))
+
+
+def two_ints(response: Column) -> Column:
+    """array<int> of two numbers, or null."""
+    def one(p: str) -> Column:
+        a, b = (F.regexp_extract(response, p, k) for k in (1, 2))
+        return F.when(a != "", F.array(a.try_cast("int"), b.try_cast("int")))
+
+    return F.coalesce(*[one(p) for p in TWO_INTS])
+
+
+def names(response: Column, valid: list[str] = catalog.NAMES) -> Column:
+    """Sorted distinct valid names of a list; null for over 200 characters."""
+    parts = F.transform(F.split(F.lower(response), r"[,\s]+"), lambda x: F.regexp_replace(x, r"""^[\[\]()"'.]+|[\[\]()"'.]+$""", ""))
+    kept = F.array_sort(F.array_intersect(parts, F.array(*[F.lit(v) for v in valid])))
+    return F.when(F.length(response) <= 200, kept)
+
+
+def all_names(response: Column) -> Column:
+    """All distinct entries of a list, valid or not."""
+    parts = F.transform(F.split(F.lower(response), r"[,\s]+"), lambda x: F.regexp_replace(x, r"""^[\[\]()"'.]+|[\[\]()"'.]+$""", ""))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+
+
+def name_numbers(response: Column) -> Column:
+    """array<struct<name, n>>: pairs by the first pattern that finds any; the first pair of a name counts."""
+    def found(p: str) -> Column:
+        a, b = (F.regexp_extract_all(response, F.lit(p), F.lit(k)) for k in (1, 2))
+        z = F.arrays_zip(a.alias("name"), b.alias("n"))
+        rows = F.transform(z, lambda x: F.struct(F.lower(x["name"]).alias("name"), x["n"].try_cast("bigint").alias("n")))
+        return F.when(F.size(a) > 0, rows)
+
+    return F.coalesce(*[found(p) for p in NAME_LINES])
+
+
+def fenced(response: Column) -> Column:
+    """The last fenced block, or the whole text."""
+    blocks = F.regexp_extract_all(response, F.lit(r"(?s)```(?:\w+\n)?(.*?)```"), F.lit(1))
+    return F.coalesce(F.try_element_at(blocks, F.lit(-1)), response)
+
+
+def question(prompt: Column) -> Column:
+    """What follows the last Question: up to Answer:."""
+    return F.trim(F.substring_index(F.substring_index(prompt, "Question:", -1), "Answer:", 1))
+
+
+def edge_list(text: Column) -> Column:
+    """Events of a JSON or Python-like list; rows that don't fit are skipped."""
+    return quads(text)
+
+
+def tool_input(text: Column) -> Column:
+    """map<string, string> of a loosely written JSON object; keys trimmed, quotes and tuples mended."""
+    body = F.regexp_replace(F.regexp_extract(text, r"(?s)(\{.*\})", 1), r"\s+", " ")
+    mended = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "'", '"'), r"\(", "["), r"\)", "]")
+    quoted = F.regexp_replace(mended, r'(?<=[\[,\s])([ut]\d+|[ad])(?=\s*[,\]])', '"$1"')
+    return F.transform_keys(F.from_json(F.coalesce(quoted, F.lit("{}")), "map<string,string>"), lambda k, _: F.trim(k))
+
+
+def _talk(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/conversations.parquet")
+
+
+def registered() -> list[tuple[str, Callable, str | None]]:
+    said = lambda te: te.select("graph_id", "seq", F.concat(F.lit("Thought. Answer: ("), F.concat_ws(", ", "u", "v", "t", "op"), F.lit(") or ["), F.concat_ws(",", "v", "u", "t"), F.lit(",'d']")).alias("r"))
+    flat = lambda c: F.array_join(F.transform(c, lambda q: F.concat_ws("/", q["u"].cast("string"), q["v"].cast("string"), q["t"].cast("string"), q["op"])), " ")
+    te_sql = f"WITH {EDGES_SQL} SELECT graph_id, seq, "
+    return [
+        ("parse_yes_no", lambda s, d: _talk(s, d).select("conv_id", "turn", yes_no(F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, " Yes.").otherwise(" no way"))).alias("answer")),
+         r"SELECT conv_id, turn, nullif(regexp_extract(lower(trim(text || CASE WHEN turn % 2 = 0 THEN ' Yes.' ELSE ' no way' END)), '\b(yes|no)\b', 1), '') AS answer FROM conversations"),
+        ("parse_quads", lambda s, d: said(temporal_edges(s, d)).select("graph_id", "seq", flat(quads(after(F.col("r")))).alias("quads")), te_sql + "u || '/' || v || '/' || t || '/' || op || ' ' || v || '/' || u || '/' || t || '/d' AS quads FROM te"),
+        ("parse_two_ints", lambda s, d: temporal_edges(s, d).select("graph_id", "seq", F.array_join(two_ints(F.when(F.col("seq") % 3 == 0, F.format_string("[%d, %d]", "u", "t")).when(F.col("seq") % 3 == 1, F.format_string("connected at time %d and disconnected at time %d", "u", "t")).otherwise(F.format_string("from %d to %d", "u", "t"))).cast("array<string>"), " ").alias("numbers")), te_sql + "u || ' ' || t AS numbers FROM te"),
+        ("parse_name_list", lambda s, d: temporal_edges(s, d).select("graph_id", "seq", F.array_join(names(F.when(F.col("seq") % 2 == 0, "[Triangle, 'butterfly', nothing]").otherwise("4-cycle 3-star.")), " ").alias("names")), te_sql + "CASE WHEN seq % 2 = 0 THEN 'butterfly triangle' ELSE '3-star 4-cycle' END AS names FROM te"),
+        ("parse_name_num_pairs", lambda s, d: temporal_edges(s, d).select("graph_id", "seq", F.array_join(F.transform(name_numbers(F.when(F.col("seq") % 2 == 0, F.format_string('```json\n[["triangle", %d], ["4-cycle", 2]]```', "t")).otherwise(F.format_string("triangle: %d\n4-cycle: 2", "t"))), lambda p: F.concat_ws("=", p["name"], p["n"].cast("string"))), " ").alias("pairs")), te_sql + "'triangle=' || t || ' 4-cycle=2' AS pairs FROM te"),
+    ]

@@ -1 +1,86 @@
-def registered(): return []
+"""Text of questions: rendered logs and answers, prompts, folder and configuration names."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from chronomotif.plans import catalog
+from chronomotif.sources.events import EDGES_SQL, temporal_edges
+
+#: How a log is written, what a motif is, and what each task asks for.
+GRAPH_FORMAT = "Each event is (u, v, t, op): nodes u and v are connected (a) or disconnected (d) at time t."
+MOTIF_MEANING = "A temporal motif is a sequence of edge additions with strictly rising times, matched to a pattern of nodes, from first to last within a time window."
+TASKS = {
+    "sort_edge": ("Sort the events by time.", "Answer: the sorted list of events."),
+    "what_edges": ("List the edges that exist at time {0}.", "Answer: a list of events."),
+    "when_link_and_dislink": ("When are nodes {0} first connected and then disconnected?", "Answer: [connected, disconnected]."),
+    "reverse_graph": ("Reverse all events so that the graph becomes empty.", "Answer: a list of events."),
+    "judge_is_motif": ("Is this graph the motif {0}?", "Answer: Yes or No."),
+    "judge_contain_motif": ("Does this graph contain the motif {0}?", "Answer: Yes or No."),
+    "modify_motif": ("Which one event makes this graph contain the motif {0}?", "Answer: one event."),
+    "multi_motif_judge": ("Which motifs are in this graph?", "Answer: a list of names."),
+    "multi_motif_count": ("How often is each motif in this graph?", "Answer: a list of [name, count]."),
+    "when_multi_motif_exist": ("When is each motif first complete in this graph?", "Answer: a list of [name, time]."),
+}
+IMPROVEMENTS = {0: "", 24: "Think step by step.", 25: "First order the events by time.", 26: "Check every candidate.", 27: "Look at the nodes, then at the times.", 28: "Answer briefly."}
+
+
+def render_events(events: Column) -> Column:
+    """[(u, v, t, op), ...] of an array of structs."""
+    one = lambda e: F.format_string("(%d, %d, %d, %s)", e["u"], e["v"], e["t"], e["op"])
+    return F.concat(F.lit("["), F.array_join(F.transform(events, one), ", "), F.lit("]"))
+
+
+def contexts(te: DataFrame) -> DataFrame:
+    """(graph_id, context): each graph's log as text, in log order."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "u", "v", "t", "op")))
+    return te.groupBy("graph_id").agg(ordered.alias("e")).select("graph_id", render_events(F.col("e")).alias("context"))
+
+
+def motif_text(motif: str, window: int) -> str:
+    edges = ", ".join(f"(u{a}, u{b}, t{i}, a)" for i, (a, b) in enumerate(catalog.EDGES[motif]))
+    return f"{motif}: [{edges}], window {window}"
+
+
+def catalog_text(which: str = "default") -> str:
+    return "\n".join(motif_text(m, catalog.WINDOWS[which][m]) for m in catalog.NAMES)
+
+
+def examples(pairs: list[tuple[str, str]], chain: bool = False) -> str:
+    """Few-shot block of (question, answer)."""
+    if not pairs:
+        return ""
+    head = "Here is an example:" if len(pairs) == 1 else f"Here are {len(pairs)} examples:"
+    lead = "Let us think step by step. " if chain else ""
+    return "\n".join([head, *[f"Question: {q}\nAnswer: {lead}{a}" for q, a in pairs]])
+
+
+def prompts(te: DataFrame, task: str, argument: str = "", improvement: int = 0, shots: list[tuple[str, str]] = (), chain: bool = False, with_motifs: bool = False) -> DataFrame:
+    """(graph_id, prompt): the slots joined, blank lines squeezed, trimmed, one newline at the end."""
+    if improvement not in IMPROVEMENTS:
+        raise ValueError(f"no improvement text numbered {improvement}")
+    ask, form = TASKS[task]
+    lead = [GRAPH_FORMAT, MOTIF_MEANING if "motif" in task else "", catalog_text() if with_motifs else "", ask.format(argument), form, IMPROVEMENTS[improvement], examples(list(shots), chain)]
+    body = F.concat_ws("\n", *[F.lit(x) for x in lead], F.concat(F.lit("Question: "), F.col("context")), F.lit("Answer:"))
+    return contexts(te).select("graph_id", F.concat(F.trim(F.regexp_replace(body, r"\n\s*\n", "\n")), F.lit("\n")).alias("prompt"))
+
+
+def config_suffix(options: dict[str, Column]) -> Column:
+    """name_value pairs joined by underscores, in the order given."""
+    return F.concat_ws("_", *[F.concat(F.lit(k + "_"), v.cast("string")) for k, v in options.items()])
+
+
+def registered() -> list[tuple[str, Callable, str | None]]:
+    ctx = "'[' || string_agg('(' || u || ', ' || v || ', ' || t || ', ' || op || ')', ', ' ORDER BY seq) || ']'"
+    ask, form = TASKS["sort_edge"]
+    lead = "\n".join([GRAPH_FORMAT, ask, form]).replace("'", "''")
+    prompt = f"SELECT graph_id, '{lead}' || chr(10) || 'Question: ' || {ctx} || chr(10) || 'Answer:' || chr(10) AS prompt FROM te GROUP BY graph_id"
+    suffix = lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", config_suffix({"T": F.lit(5), "seed": F.col("s_suppkey"), "imp": F.lit(0)}).alias("suffix"))
+    return [
+        ("prompt_context", lambda s, d: contexts(temporal_edges(s, d)), f"WITH {EDGES_SQL} SELECT graph_id, {ctx} AS context FROM te GROUP BY graph_id"),
+        ("prompt_full", lambda s, d: prompts(temporal_edges(s, d), "sort_edge"), f"WITH {EDGES_SQL} {prompt}"),
+        ("prompt_config_suffix", suffix, "SELECT s_suppkey, 'T_5_seed_' || s_suppkey || '_imp_0' AS suffix FROM supplier"),
+    ]

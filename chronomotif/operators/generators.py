@@ -1 +1,156 @@
-def registered(): return []
+"""Seeded generators of temporal graphs, as tables: nothing is drawn on the driver, every draw is a hash of its key."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from chronomotif.functions.rng import rnd, rnd_sql, whole
+from chronomotif.operators import motifs
+from chronomotif.plans import catalog
+
+
+def param_grid(spark: SparkSession, times: list[int], nodes: list[int], ps: list[float], n_seeds: int) -> DataFrame:
+    """(graph_id, T, N, p, seed, folder): the product of all parameters with seeds 0 and up."""
+    one = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+    grid = one("T", "int", times).crossJoin(one("N", "int", nodes)).crossJoin(one("p", "double", ps))  # parameters, a few rows each
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
+    folder = F.format_string("T%d_N%d_p%.1f_seed%d", "T", "N", "p", "seed")
+    return grid.select(F.xxhash64("T", "N", "p", "seed").alias("graph_id"), "T", "N", "p", "seed", folder.alias("folder"))
+
+
+def _ordered(te: DataFrame, *order) -> DataFrame:
+    seq = F.row_number().over(W.partitionBy("graph_id").orderBy(*order)) - 1
+    return te.select("graph_id", seq.alias("seq"), "u", "v", "t", "op")
+
+
+def er_events(params: DataFrame) -> DataFrame:
+    """Random graphs: every node pair with probability p, added at a uniform time; half of those that can be are deleted later."""
+    g, u, v, t = (F.col(c) for c in ("graph_id", "u", "v", "T"))
+    pairs = params.select("*", F.explode(F.sequence(F.lit(0), F.col("N") - 2)).alias("u")).select("*", F.explode(F.sequence(u + 1, F.col("N") - 1)).alias("v"))
+    pairs = pairs.where(rnd("p", g, u, v) < F.col("p")).withColumn("ta", whole(rnd("t", g, u, v), t))
+    gone = (rnd("d", g, u, v) < 0.5) & (F.col("ta") < t - 1)
+    td = F.col("ta") + 1 + whole(rnd("e", g, u, v), t - 1 - F.col("ta"))
+    events = F.array(F.struct(F.col("ta").alias("t"), F.lit("a").alias("op")), F.when(gone, F.struct(td.cast("int").alias("t"), F.lit("d").alias("op"))))
+    rows = pairs.select("graph_id", "u", "v", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("graph_id", "u", "v", "e.t", "e.op")
+    return _ordered(rows, "t", "op", "u", "v")
+
+
+def _place(params: DataFrame, edges: list[tuple[int, int]], window: int, skip: int | None = None) -> DataFrame:
+    """One instance a graph: increasing times inside the window, nodes shifted by a draw."""
+    g = F.col("graph_id")
+    start = whole(rnd("s", g), F.greatest(F.col("T") - window + 1, F.lit(1)))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda x: F.struct(rnd("w", g, x).alias("r"), x.alias("x")))
+    times = F.array_sort(F.transform(F.slice(F.array_sort(slots), 1, len(edges)), lambda s: s["x"]))
+    shift = whole(rnd("n", g), F.col("N"))
+    node = lambda k: ((F.lit(k) + shift) % F.col("N")).cast("int")
+    rows = F.array(*[F.struct(node(a).alias("u"), node(b).alias("v"), (start + F.element_at(times, i + 1)).alias("t"), F.lit(i).alias("i")) for i, (a, b) in enumerate(edges)])
+    return params.select("*", F.explode(rows).alias("e")).select("graph_id", F.col("T").alias("horizon"), "e.u", "e.v", "e.t", "e.i")
+
+
+def _background(params: DataFrame, k: int, n_events: int, salt: str) -> DataFrame:
+    """``n_events`` adds a graph on the nodes that an instance of k nodes leaves free."""
+    g = F.col("graph_id")
+    shift = whole(rnd("n", g), F.col("N"))
+    draws = params.where(F.col("N") - k >= 2).select("*", shift.alias("_shift"), F.explode(F.sequence(F.lit(1), F.lit(max(n_events, 1)))).alias("i"))
+    a = whole(rnd(salt + "a", g, F.col("i")), F.col("N") - k)
+    b = whole(rnd(salt + "b", g, F.col("i")), F.col("N") - k - 1)
+    b = F.when(b >= a, b + 1).otherwise(b)
+    node = lambda x: ((x + k + F.col("_shift")) % F.col("N")).cast("int")
+    return draws.select("graph_id", node(a).alias("u"), node(b).alias("v"), whole(rnd(salt + "t", g, F.col("i")), F.col("T")).alias("t"), F.lit("a").alias("op"))
+
+
+def contain_positive(params: DataFrame, motif: str, n_events: int, which: str = "contain") -> DataFrame:
+    """Graphs with a planted instance, two thirds of the other events adds on other nodes, the rest deletes at the end."""
+    edges, window = catalog.EDGES[motif], catalog.WINDOWS[which][motif]
+    planted = _place(params, edges, window)
+    rest = max(n_events - len(edges), 0)
+    rows = planted.select("graph_id", "u", "v", "t", F.lit("a").alias("op")).unionByName(_background(params, catalog.n_nodes(edges), 2 * rest // 3, "bg"))
+    deletes = planted.where(F.col("i") < rest - 2 * rest // 3).select("graph_id", "u", "v", F.greatest(F.col("horizon"), F.col("t") + 1).cast("int").alias("t"), F.lit("d").alias("op"))
+    return _ordered(rows.unionByName(deletes), "t", "op", "u", "v")
+
+
+def contain_negative(params: DataFrame, motif: str, which: str = "contain") -> DataFrame:
+    """Random graphs of which those that contain the motif are left out."""
+    te = er_events(params)
+    return te.join(motifs.found(te, motif, which=which).select("graph_id").distinct(), "graph_id", "left_anti")
+
+
+def modify_task(params: DataFrame, motif: str, n_events: int) -> tuple[DataFrame, DataFrame]:
+    """(log, answers): an instance without its last edge among other events; only graphs that lack the motif and have it with the answer."""
+    edges, window = catalog.EDGES[motif], catalog.WINDOWS["default"][motif]
+    planted = _place(params, edges, window)
+    last = F.col("i") == len(edges) - 1
+    answers = planted.where(last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
+    rows = planted.where(~last).select("graph_id", "u", "v", "t", F.lit("a").alias("op")).unionByName(_background(params, catalog.n_nodes(edges), n_events - len(edges) + 1, "mo"))
+    te = _ordered(rows, "t", "u", "v", "op")
+    full = te.drop("seq").unionByName(answers)
+    has = lambda df: motifs.found(df, motif).select("graph_id").distinct()
+    good = answers.join(has(full), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti")
+    return te.join(good.select("graph_id"), "graph_id", "left_semi"), good
+
+
+def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5) -> DataFrame:
+    """Graphs of the motif's size: its topology or random pairs, then one of four ways to give times.
+
+    Ways, a third each but the last two together: in order inside the window; in order with a span beyond it; out of order; any times.
+    """
+    edges, window = catalog.EDGES[motif], catalog.WINDOWS["default"][motif]
+    k, n, g = catalog.n_nodes(edges), len(edges), F.col("graph_id")
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: F.struct(rnd("pm", g, x).alias("r"), x.alias("x")))), lambda s: s["x"])
+    node = lambda x: F.when(rnd("pq", g) < permute, F.element_at(order, x + 1)).otherwise(F.lit(x))
+    way = rnd("way", g)
+    step = lambda i: F.lit(i)
+    wide = lambda i: F.lit(i * (window + 1) if n == 1 else -(-i * (window + 1) // (n - 1)))
+    anyt = lambda i: whole(rnd("any", g, i), F.col("T") * 2)
+    rows = []
+    for i, (a, b) in enumerate(edges):
+        t = F.when(way < 0.33, step(i)).when(way < 0.66, wide(i)).when(way < 0.83, F.lit(n - i)).otherwise(anyt(i))
+        ra = whole(rnd("ra", g, i), k)
+        rb = (ra + 1 + whole(rnd("rb", g, i), k - 1)) % k
+        real = rnd("top", g) < topology
+        rows.append(F.struct(F.when(real, node(a)).otherwise(ra).cast("int").alias("u"), F.when(real, node(b)).otherwise(rb).cast("int").alias("v"), t.cast("int").alias("t"), F.lit("a").alias("op")))
+    return _ordered(params.select("graph_id", F.explode(F.array(*rows)).alias("e")).select("graph_id", "e.*"), "t", "u", "v")
+
+
+def dispatch(params: DataFrame, task: str, motif: str | None = None, n_events: int = 20) -> DataFrame:
+    """The generator of a task by its name."""
+    if task == "judge_contain_motif" and motif:
+        return contain_positive(params, motif, n_events)
+    if task == "judge_is_motif":
+        return is_motif_task(params, motif)
+    if task == "modify_motif":
+        return modify_task(params, motif, n_events)[0]
+    return er_events(params)
+
+
+def _graphs(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
+    """Parameters T=15, N=20, p=0.3 for graphs numbered like the suppliers."""
+    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("graph_id"))
+    return ids.select("graph_id", F.lit(15).alias("T"), F.lit(20).alias("N"), F.lit(0.3).alias("p"))
+
+
+def _er_sql() -> str:
+    r = lambda k: rnd_sql(f"'{k}'", "g", "u", "v")
+    return f"""WITH pr AS (SELECT s_suppkey AS g, u, v FROM supplier, (SELECT unnest(range(0, 20)) AS u), (SELECT unnest(range(0, 20)) AS v) WHERE u < v),
+k AS (SELECT g, u, v, CAST(floor({r('t')} * 15) AS INT) AS ta FROM pr WHERE {r('p')} < 0.3::DOUBLE),
+e AS (SELECT g, u, v, ta AS t, 'a' AS op FROM k UNION ALL SELECT g, u, v, ta + 1 + CAST(floor({r('e')} * (14 - ta)) AS INT), 'd' FROM k WHERE {r('d')} < 0.5::DOUBLE AND ta < 14)
+SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY t, op, u, v) - 1 AS INT) AS seq, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CAST(t AS INT) AS t, op FROM e"""
+
+
+def registered() -> list[tuple[str, Callable, str | None]]:
+    grid = lambda spark, _: param_grid(spark, [5, 10], [10, 15], [0.3], 5).drop("graph_id")
+    grid_sql = "SELECT CAST(T AS INT) AS T, CAST(N AS INT) AS N, 0.3::DOUBLE AS p, CAST(s AS INT) AS seed, 'T' || T || '_N' || N || '_p0.3_seed' || s AS folder FROM (SELECT unnest([5, 10]) AS T), (SELECT unnest([10, 15]) AS N), (SELECT unnest(range(0, 5)) AS s)"
+    return [
+        ("gen_param_grid", grid, grid_sql),
+        ("gen_er_events", lambda s, d: er_events(_graphs(s, d)), _er_sql()),
+        ("gen_contain_positive", lambda s, d: contain_positive(_graphs(s, d), "triangle", 20), None),
+        ("gen_contain_negative", lambda s, d: contain_negative(_graphs(s, d), "4-clique"), None),
+        ("gen_is_motif", lambda s, d: is_motif_task(_graphs(s, d), "4-cycle"), None),
+        ("gen_modify", lambda s, d: modify_task(_graphs(s, d), "4-cycle", 10)[0], None),
+    ]
+
+

@@ -1 +1,66 @@
-def registered(): return []
+"""Routing: a classifier on five structural features sends each graph to a cheap or an expensive answering strategy."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from chronomotif.operators import features, motifs
+from chronomotif.sources.events import EDGES_SQL, temporal_edges
+
+FEATURES = ["num_edges", "cyclomatic_complexity", "edge_locality_score", "ratio_nodes_ge_3", "ratio_nodes_eq_2"]
+THRESHOLDS = {"runner": 0.70, "tool": 0.5}
+
+
+def train(table: DataFrame, seed: int = 7):
+    """A gradient-boosted pipeline on ``table`` (features, label 1 where the cheap strategy suffices)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="label", maxIter=10, maxDepth=3, seed=seed)]).fit(table)
+
+
+def predict(model, table: DataFrame) -> DataFrame:
+    """(graph_id, predicted, probability)."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(table)
+    return out.select("graph_id", (F.col("prediction") == 1).alias("predicted"), vector_to_array("probability")[1].alias("probability"))
+
+
+def decide(predicted: Column, probability: Column, rule: str = "runner") -> Column:
+    """LLM where the class holds with a probability above the threshold, else Agent (also for nulls)."""
+    return F.when(predicted & (probability > THRESHOLDS[rule]), "LLM").otherwise("Agent")
+
+
+def training_table(te: DataFrame, errors: DataFrame, first: int | None = None) -> DataFrame:
+    """Features with flag: 0 for graphs among the errors, else 1; ``first`` keeps that many graphs by id."""
+    table = features.profile(te)
+    if first is not None:
+        table = table.orderBy("graph_id").limit(first)
+    bad = errors.select("graph_id").distinct().withColumn("_b", F.lit(0))
+    return table.join(bad, "graph_id", "left").withColumn("flag", F.coalesce("_b", F.lit(1))).drop("_b")
+
+
+def route(te: DataFrame, model, rule: str = "runner") -> DataFrame:
+    return predict(model, features.profile(te)).select("graph_id", decide(F.col("predicted"), F.col("probability"), rule).alias("strategy"))
+
+
+def registered() -> list[tuple[str, Callable, str | None]]:
+    from chronomotif.queries import PROFILE_SQL
+
+    def decision(s, d):
+        te = temporal_edges(s, d)
+        labelled = features.profile(te).join(motifs.judge(te, "4-cycle"), "graph_id").withColumn("label", (F.col("answer") == "No").cast("double"))
+        return route(te, train(labelled))
+
+    ruled = lambda s, d: features.profile(temporal_edges(s, d)).select("graph_id", decide(F.col("num_edges") < 25, F.col("ratio_nodes_ge_3")).alias("strategy"))
+    return [
+        ("route_features", lambda s, d: features.profile(temporal_edges(s, d)).select("graph_id", *FEATURES), f"WITH {EDGES_SQL}, {PROFILE_SQL} SELECT graph_id, {', '.join(FEATURES)} FROM fe"),
+        ("route_rule", ruled, f"WITH {EDGES_SQL}, {PROFILE_SQL} SELECT graph_id, CASE WHEN num_edges < 25 AND ratio_nodes_ge_3 > 0.7 THEN 'LLM' ELSE 'Agent' END AS strategy FROM fe"),
+        ("route_training_table", lambda s, d: training_table(temporal_edges(s, d), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("graph_id"))), f"WITH {EDGES_SQL}, {PROFILE_SQL} SELECT fe.*, CAST(CASE WHEN graph_id IN (SELECT s_suppkey FROM supplier) THEN 0 ELSE 1 END AS INT) AS flag FROM fe"),
+        ("route_decision", decision, None),
+    ]
