@@ -12,9 +12,10 @@ File format, a folder:
 Containers are Parquet since only Spark's writers reach every store that a cluster may use. Decoding looks lengths up in
 a 256-row table and gathers unaligned 32-bit words under a mask.
 
-The texts are encoded twice, once to count ids and once to code them: cheaper than a stored copy of all ids. Words
-between blanks are encoded once a worker while its cache lasts. Ranges come from approximate quantiles of the id column
-alone, so the shuffle carries coded bytes only.
+The texts are encoded once; the ids wait in a table in the shared folder, two bytes each, while they are counted and
+ranked, and go when the blocks are written. Words between blanks are encoded once a worker while its cache lasts, their
+pre-tokens by the tokenizer's model alone where this module's pattern and the tokenizer's are known to agree, else by the
+tokenizer. Ranges come from approximate quantiles of the id column alone, so the shuffle carries coded bytes only.
 
 Defined cases: a null text is empty and yields the end id alone; null ids come first; documents with the same id stand
 in a fixed order of their coded bytes; very long texts are coded whole, as one block if need be; an empty table gives an
@@ -24,6 +25,7 @@ empty file set. Extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, ship
+from chronomotif.llm.common import fresh_path, removed, ship
 
 BLOCK = 1 << 19
-CACHE = 300_000
+CACHE = 800_000
 _STATE: dict = {}
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -67,6 +69,19 @@ def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return words[starts] & _MASKS[lengths]
 
 
+def _byte_names() -> list[str]:
+    """Byte-level names: a printable byte is itself, the others are numbered from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return [chr(b) if b in kept else chr(256 + rest.index(b)) for b in range(256)]
+
+
+_NAMES = _byte_names()
+#: UTF-8 bytes of words in which pre-tokens are found here: ASCII and letters below U+0280.
+_KNOWN = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+_PRE_TOKEN = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ɿ]+|[0-9]|[^a-zß-öø-ɿ0-9]+")
+
+
 def _tokenizer(path: str):
     if _STATE.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,69 +91,105 @@ def _tokenizer(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _STATE.clear()
-        _STATE.update(path=path, tokenizer=tokenizer, cache={"": b""})
+        _STATE.update(path=path, tokenizer=tokenizer, model=tokenizer.model, words={"": b""}, parts={}, wide="<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4")
     return _STATE["tokenizer"]
 
 
-def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of each text with the end id. The tokenizer drops blanks between words, so words are encoded apart and remembered."""
-    tokenizer = _tokenizer(path)
-    cache = _STATE["cache"]
+def _word_ids(word: str) -> bytes:
+    raw = word.encode("utf-8", "surrogatepass")
+    if raw.translate(None, _KNOWN) or "<|" in word:
+        return np.array(_STATE["tokenizer"].encode(word, add_special_tokens=False).ids, _STATE["wide"]).tobytes()
+    parts, out = _STATE["parts"], []
+    for part in _PRE_TOKEN.findall(word.lower()):
+        ids = parts.get(part)
+        if ids is None:
+            name = part if part.isascii() else "".join([_NAMES[b] for b in part.encode()])
+            ids = parts[part] = np.array([t.id for t in _STATE["model"].tokenize(name)], _STATE["wide"]).tobytes()
+        out.append(ids)
+    return b"".join(out)
+
+
+def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
+    """Ids of each text with the end id, as little-endian bytes. The tokenizer drops blanks between words, so words are encoded apart and remembered."""
+    _tokenizer(path)
+    known = _STATE["words"]
     words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
     asked = set().union(*words)
-    missing = list(asked - cache.keys())
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        cache[""] = b""
-        missing = list(asked - {""})
-    for at in range(0, len(missing), 20_000):
-        some = missing[at : at + 20_000]
-        cache.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False)], strict=True))
-    end = np.array([end_id], "<u4").tobytes()
-    return [np.frombuffer(b"".join(map(cache.__getitem__, w)) + end, "<u4") for w in words]
-
-
-def id_counts(docs: DataFrame, path: str, text: str, end_id: int, step: int = 400) -> DataFrame:
+    missing = asked - known.keys()
+    if len(known) + len(missing) > CACHE:
+        known.clear()
+        known[""] = b""
+        missing = asked - {""}
+    if len(_STATE["parts"]) > CACHE:
+        _STATE["parts"].clear()
+    for word in missing:
+        known[word] = _word_ids(word)
+    end = np.array([end_id], _STATE["wide"]).tobytes()
+    return [b"".join(map(known.__getitem__, w)) + end for w in words]
+
+
+def _encoded(docs: DataFrame, path: str, id_col: str, text: str, end_id: int, step: int) -> DataFrame:
+    """(id, ids): each document's ids as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(encode_texts(piece.column(1).to_pylist(), path, end_id), pa.binary())], names=["id", "ids"])
+
+    return docs.select(id_col, text).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+
+
+def id_counts(encoded: DataFrame, wide: str) -> DataFrame:
     """(id, n): how often each id occurs; each task sums its own part first."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_tokenizer(path).get_vocab_size() + end_id + 1, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                total += np.bincount(np.concatenate(encode_texts(batch.column(0).slice(at, step).to_pylist(), path, end_id)), minlength=len(total))
+            ids = batch.column(0)
+            if len(ids):
+                ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+                n = np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(wide))
+                if len(n) > len(total):
+                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+                total[: len(n)] += n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    return docs.select(text).mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, shard_tokens: int = 64 << 20, step: int = 400) -> str:
     """Writes the file format into folder ``out``."""
     spark = docs.sparkSession
     ship(spark)
-    ranked = sorted(((-r["n"], r["id"]) for r in id_counts(docs, path, text, end_id, step).collect()))  # no longer than the vocabulary
+    _tokenizer(path)
+    wide = _STATE["wide"]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    waiting = f"{out}/waiting"
+    _encoded(docs, path, id_col, text, end_id, step).write.option("compression", "zstd").parquet(waiting)
+    stored = spark.read.schema(f"id {id_type}, ids binary").parquet(waiting)
+    ranked = sorted((-r["n"], r["id"]) for r in id_counts(stored, wide).collect())  # no longer than the vocabulary
     total = -sum(n for n, _ in ranked)
     spark.createDataFrame([(k, i) for k, (_, i) in enumerate(ranked)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{out}/ranks")
     rank = np.zeros(max([i for _, i in ranked], default=0) + 1, np.uint32)
     rank[[i for _, i in ranked]] = np.arange(len(ranked))
     shared = spark.sparkContext.broadcast(rank)
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_tokens))
-    id_type = docs.schema[id_col].dataType.simpleString()
     numeric = id_type in ("bigint", "int", "smallint", "tinyint")
-    cuts = np.unique(docs.stat.approxQuantile(id_col, list(np.linspace(0, 1, n_shards + 1)[1:-1]), 0.1 / n_shards)) if numeric and n_shards > 1 else np.empty(0)
+    cuts = np.unique(stored.stat.approxQuantile("id", list(np.linspace(0, 1, n_shards + 1)[1:-1]), 0.1 / n_shards)) if numeric and n_shards > 1 else np.empty(0)
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
-                ids = encode_texts(piece.column(1).to_pylist(), path, end_id)
+                ids = [np.frombuffer(x.as_buffer(), wide) for x in piece.column(1)]
                 pairs = [code(ranks[x]) for x in ids]
+                shard = np.zeros(piece.num_rows, np.int64)
                 if numeric:
-                    keys = piece.column(0).fill_null(-(1 << 62) if id_type == "bigint" else 0).to_numpy(zero_copy_only=False)
-                    shard = np.where(piece.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, keys, "right"))
-                else:
-                    shard = np.zeros(piece.num_rows, np.int64)
+                    null = piece.column(0).is_null().to_numpy(zero_copy_only=False)
+                    shard = np.where(null, 0, np.searchsorted(cuts, piece.column(0).fill_null(0).to_numpy(zero_copy_only=False), "right"))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(shard.astype(np.int32)), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
                     names=["id", "shard", "n", "control", "data"],
@@ -172,13 +223,14 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
 
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(id_type, pa.string())
     if not numeric:  # other ids are ranged by Spark itself, which samples the rows once more
-        rows = docs.select(F.col(id_col).cast("string").alias(id_col), text).mapInArrow(encoded, "id string, shard int, n bigint, control binary, data binary")
+        rows = stored.withColumn("id", F.col("id").cast("string")).mapInArrow(coded, "id string, shard int, n bigint, control binary, data binary")
         rows = rows.repartitionByRange(n_shards, "id").withColumn("shard", F.spark_partition_id())
     else:
-        rows = docs.select(id_col, text).mapInArrow(encoded, f"id {id_type}, shard int, n bigint, control binary, data binary").repartitionById(n_shards, F.col("shard"))
+        rows = stored.mapInArrow(coded, f"id {id_type}, shard int, n bigint, control binary, data binary").repartitionById(n_shards, F.col("shard"))
     kind = id_type if numeric else "string"
     schema = f"shard int, block int, start bigint, tokens bigint, ids array<{kind}>, counts array<bigint>, control binary, data binary"
     rows.sortWithinPartitions("shard", "id", "n", "data").mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{out}/blocks")
+    removed(spark, waiting)
     totals = sorted((r["shard"], r["n"]) for r in spark.read.schema(schema).parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("tokens").alias("n")).collect())
     before, rows_of = 0, []
     for s, n in totals:
