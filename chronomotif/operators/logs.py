@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PAIR = [F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")]
+
+def pair() -> list[Column]:
+    """The undirected pair of an event."""
+    return [F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")]
 
 
 def sort_edges(te: DataFrame) -> DataFrame:
@@ -16,7 +19,7 @@ def sort_edges(te: DataFrame) -> DataFrame:
 
 def edges_at(te: DataFrame, t: int | Column) -> DataFrame:
     """The events that keep an edge alive at time t: the last one of each pair, if it adds."""
-    last = te.where(F.col("t") <= t).groupBy("graph_id", *PAIR).agg(F.max(F.struct("t", "seq", "u", "v", "op")).alias("e"))
+    last = te.where(F.col("t") <= t).groupBy("graph_id", *pair()).agg(F.max(F.struct("t", "seq", "u", "v", "op")).alias("e"))
     return last.where("e.op = 'a'").select("graph_id", "e.u", "e.v", "e.t", "e.op")
 
 
@@ -28,7 +31,7 @@ def first_link_unlink(te: DataFrame) -> DataFrame:
 
 def first_link_unlink_after(te: DataFrame) -> DataFrame:
     """Per undirected pair: first add and the first delete at or after it; only pairs with both."""
-    pairs = te.select("graph_id", *PAIR, "t", "op")
+    pairs = te.select("graph_id", *pair(), "t", "op")
     first = F.min(F.when(F.col("op") == "a", F.col("t"))).over(W.partitionBy("graph_id", "lo", "hi"))
     out = pairs.withColumn("first_add", first).where("op = 'd' AND t >= first_add")
     return out.groupBy("graph_id", "lo", "hi", "first_add").agg(F.min("t").alias("first_delete"))
@@ -36,7 +39,7 @@ def first_link_unlink_after(te: DataFrame) -> DataFrame:
 
 def eligible_edges(te: DataFrame) -> DataFrame:
     """Undirected pairs that are both added and deleted at some time."""
-    both = te.groupBy("graph_id", *PAIR).agg(F.bool_or(F.col("op") == "a").alias("a"), F.bool_or(F.col("op") == "d").alias("d"))
+    both = te.groupBy("graph_id", *pair()).agg(F.bool_or(F.col("op") == "a").alias("a"), F.bool_or(F.col("op") == "d").alias("d"))
     return both.where("a AND d").select("graph_id", "lo", "hi")
 
 
@@ -54,7 +57,7 @@ def reverse_log(te: DataFrame) -> DataFrame:
 
 def replay_is_empty(te: DataFrame) -> DataFrame:
     """(graph_id, is_empty): nothing is left after replay by (t, adds first): every pair's last operation deletes."""
-    last = te.groupBy("graph_id", *PAIR).agg(F.max(F.struct("t", "op")).alias("e"))
+    last = te.groupBy("graph_id", *pair()).agg(F.max(F.struct("t", "op")).alias("e"))
     return last.groupBy("graph_id").agg(F.bool_and(F.col("e.op") == "d").alias("is_empty"))
 
 
@@ -66,7 +69,7 @@ def is_sorted(te: DataFrame, by: str = "seq") -> DataFrame:
 
 def alive_intervals(te: DataFrame) -> DataFrame:
     """(graph_id, lo, hi, t_from, t_to): each add and the pair's next event; t_to null while it lasts. The last event of a time counts."""
-    last = te.groupBy("graph_id", *PAIR, "t").agg(F.max(F.struct("seq", "op")).alias("e"))
+    last = te.groupBy("graph_id", *pair(), "t").agg(F.max(F.struct("seq", "op")).alias("e"))
     out = last.withColumn("t_to", F.lead("t").over(W.partitionBy("graph_id", "lo", "hi").orderBy("t")))
     return out.where("e.op = 'a'").select("graph_id", "lo", "hi", F.col("t").alias("t_from"), "t_to")
 
@@ -83,7 +86,7 @@ def edge_status(te: DataFrame) -> DataFrame:
     """(graph_id, seq, lo, hi, t, status, alpha): after each event, green or red, and a fading weight since the pair's first add."""
     over = W.partitionBy("graph_id", "lo", "hi").orderBy("t", "seq").rowsBetween(W.unboundedPreceding, 0)
     first = F.min(F.when(F.col("op") == "a", F.col("t"))).over(over)
-    df = te.select("graph_id", "seq", *PAIR, "t", "op").withColumn("_f", first)
+    df = te.select("graph_id", "seq", *pair(), "t", "op").withColumn("_f", first)
     alpha = F.greatest(F.lit(0.15), F.lit(1.0) - F.lit(0.1) * (F.col("t") - F.col("_f")))
     return df.select("graph_id", "seq", "lo", "hi", "t", F.when(F.col("op") == "a", "green").otherwise("red").alias("status"), F.round(alpha, 6).alias("alpha"))
 
@@ -96,5 +99,5 @@ def shuffled(te: DataFrame, seed: int = 0) -> DataFrame:
 
 def edge_timestamps(te: DataFrame) -> DataFrame:
     """(graph_id, lo, hi, times): sorted add times of each pair, duplicates kept, joined by commas."""
-    adds = te.where("op = 'a'").groupBy("graph_id", *PAIR).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    adds = te.where("op = 'a'").groupBy("graph_id", *pair()).agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return adds.select("graph_id", "lo", "hi", F.array_join(F.transform("ts", lambda x: x.cast("string")), ",").alias("times"))
