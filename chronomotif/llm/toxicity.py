@@ -159,10 +159,10 @@ def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 3, passes: int = 3, rate: float = 0.05, batch: int = 64, least: int = 10, seed: int = 0) -> Network:
+def fit(texts: list[str | None], labels: list[int], rounds: int = 3, passes: int = 3, rate: float = 0.05, batch: int = 64, least: int = 10, least_steps: int = 200, seed: int = 0) -> Network:
     """Trains on whole texts by AdaGrad; the first word dimension starts at the smoothed log odds of the word's texts.
 
-    Words of fewer than ``least`` texts keep a zero word embedding and are known by their characters alone.
+    A round makes ``least_steps`` steps or more. Words of fewer than ``least`` texts keep a zero word embedding and are known by their characters alone.
     """
     net = Network(seed)
     if not texts:
@@ -193,15 +193,18 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 3, passes: int
         net.p[key][at] -= rate * (0.2 if key in ("word", "char") else 1) * grad / np.sqrt(square[key][at])
 
     for k in range(rounds):
-        gates = net.gates(net.inputs(words))
-        logits = np.concatenate([net.forward(gates, flat[i : i + BATCH]) for i in range(0, len(flat), BATCH)])
+        if k == 0:  # no network yet: the window with the clearest word
+            logits = np.append(net.p["word"][slot, 0], -9.0)[flat].max(1)
+        else:
+            gates = net.gates(net.inputs(words))
+            logits = np.concatenate([net.forward(gates, flat[i : i + BATCH]) for i in range(0, len(flat), BATCH)])
         order = np.lexsort((-logits, owner))
         best = flat[order[np.searchsorted(owner[order], np.arange(len(rows)))]]
         spare = flat[[rng.integers(a, b) for a, b in zip(np.searchsorted(owner, np.arange(len(rows))), np.searchsorted(owner, np.arange(len(rows)), "right"), strict=True)]]
         some = y == 0
         data = np.concatenate([best, spare[some]])
         target = np.concatenate([y, y[some]])
-        for _ in range(passes):
+        for _ in range(max(passes, -(-least_steps * batch // len(data)))):
             for part in np.array_split(rng.permutation(len(data)), -(-len(data) // batch)):
                 used, places = np.unique(data[part], return_inverse=True)
                 places = places.reshape(data[part].shape)
