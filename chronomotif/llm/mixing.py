@@ -46,7 +46,11 @@ def _weight(level: Column, table: dict[str, int], default: int) -> Column:
 
 def budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, int]], budget: Column, max_epochs: int, default_weight: int = 1) -> DataFrame:
     """``leaves`` (levels, tokens) with a ``budget`` column; one row a leaf. ``budget`` may use the column ``_all`` (all tokens)."""
-    df = leaves.withColumn("_all", F.sum("tokens").over(W.partitionBy(F.lit(1)))).withColumn("_cap", (F.col("tokens") * max_epochs).cast(BIG))
+    df = leaves.withColumn("_all", F.sum("tokens").over(W.partitionBy(F.lit(1))))
+    open_ = F.lit(True)  # below a weight of 0 nothing can be used
+    for level, table in zip(levels, weights, strict=True):
+        open_ = open_ & (_weight(F.col(level), table, default_weight) > 0)
+    df = df.withColumn("_cap", F.when(open_, F.col("tokens") * max_epochs).otherwise(0).cast(BIG))
     df = df.withColumn("_b0", F.least(budget.cast(BIG), (F.col("_all") * max_epochs).cast(BIG)))
     for k, level in enumerate(levels):
         path, parent = [F.col(c) for c in levels[: k + 1]], [F.col(c) for c in levels[:k]] or [F.lit(1)]
@@ -125,14 +129,16 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
 def mix_sql(source: str, levels: dict[str, str], weights: list[dict[str, int]], budget: str, max_epochs: int, seed: int, default_weight: int = 1) -> str:
     """DuckDB SQL for (doc_id, levels, tokens, copies) of ``mix``; ``levels`` and ``budget`` are SQL here, running sums are plain."""
     keys = list(levels)
+    weight = lambda k: "CASE " + " ".join(f"WHEN {keys[k]} = '{n}' THEN {v}" for n, v in weights[k].items()) + f" ELSE {default_weight} END" if weights[k] else str(default_weight)
+    usable = " AND ".join(f"{weight(k)} > 0" for k in range(len(keys)))
     out = [
         "WITH m AS (SELECT doc_id, " + ", ".join(f"{sql} AS {k}" for k, sql in levels.items()) + rf", CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM {source})",
-        f"f AS (SELECT {', '.join(keys)}, CAST(sum(tokens) AS HUGEINT) AS t, CAST(sum(tokens) AS HUGEINT) * {max_epochs} AS cap FROM m GROUP BY ALL)",
+        f"f AS (SELECT {', '.join(keys)}, CAST(sum(tokens) AS HUGEINT) AS t, CASE WHEN {usable} THEN CAST(sum(tokens) AS HUGEINT) * {max_epochs} ELSE 0 END AS cap FROM m GROUP BY ALL)",
         f"d0 AS (SELECT f.*, least(CAST({budget} AS HUGEINT), _all * {max_epochs}) AS b FROM f, (SELECT CAST(sum(tokens) AS HUGEINT) AS _all FROM m))",
     ]
     for k, level in enumerate(keys):
         path, parent = ", ".join(keys[: k + 1]), ", ".join(keys[:k]) or "1"
-        w = "CASE " + " ".join(f"WHEN {level} = '{n}' THEN {v}" for n, v in weights[k].items()) + f" ELSE {default_weight} END" if weights[k] else str(default_weight)
+        w = weight(k)
         over = f"OVER (PARTITION BY {parent} ORDER BY CASE WHEN w > 0 THEN CAST(nc AS DOUBLE) / w ELSE CAST('inf' AS DOUBLE) END, {level} NULLS FIRST"
         on = " AND ".join(f"d{k}.{c} IS NOT DISTINCT FROM s{k}.{c}" for c in keys[: k + 1])
         out += [
