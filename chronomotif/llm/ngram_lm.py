@@ -286,10 +286,12 @@ class LanguageModel:
         return np.add.reduceat(p[pair_of], starts), np.add.reduceat(known[token_of], starts), np.add.reduceat(base[token_of], starts)
 
 
-def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int = 5) -> LanguageModel:
-    """Counts ``docs`` into 2 ** bits shards in the shared folder."""
+def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None) -> LanguageModel:
+    """Counts ``docs`` into 2 ** bits shards in the shared folder; by default about as many as ``docs`` has partitions, 16 to 4096."""
     spark = docs.sparkSession
     ship(spark)
+    if bits is None:
+        bits = min(12, max(4, (docs.rdd.getNumPartitions() - 1).bit_length()))
     path = fresh_path(spark, "lm")
     if "://" in path.replace("file://", "") or (":" in path.split("/")[0] and not path.startswith("file:")):
         raise ValueError(f"workers map the model's files: spark.checkpoint.dir must be a file system path, not {path}")
