@@ -10,9 +10,11 @@ the same set form one class, so copies are never paired. Two classes link when 1
    one of them. The classes of a shingle, sorted by size, are a tile. In small tiles all pairs within the size band are
    candidates. From large tiles each class takes its ``near`` nearest by bitmap among its neighbours in size.
 3. The bit counts of two bitmaps bound the overlap from above: |A & B| <= (|A| + |B| - popcount(A xor B)) / 2. What passes
-   is intersected exactly; only classes of candidate pairs ship their sets, found by a fixed-size bit table.
-4. Components by label passing and pointer jumping, in tables. Then the large tiles again: pairs of *different*
-   components within the size band that pass the bitmap bound are intersected as well. So no link between components is
+   is intersected exactly; only classes of candidate pairs ship their sets, found by a fixed-size bit table. First each
+   class meets the least of its candidates, so a set is shipped once, however many candidates it has.
+4. Components by label passing and pointer jumping, in tables. Candidate pairs inside one component are settled; the
+   others are intersected too. Then the large tiles again: pairs of *different* components within the size band that pass
+   the bitmap bound are intersected as well. So no link between components is
    lost, and a large group of near copies costs no pair list: once linked, its pairs are skipped.
 
 Defined cases: null or empty texts have no shingles, size 0, and are components of their own; a text with fewer than
@@ -342,8 +344,39 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, keys: DataFrame, clas
                 sets = [shingles(t, k) for t in rows.column(1).slice(at, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
 
-    found = docs.select(F.xxhash64(id_col).alias("h"), F.col(text)).mapInArrow(run, "key bigint, members binary")
-    return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return docs.select(F.xxhash64(id_col).alias("h"), F.col(text)).mapInArrow(run, "key bigint, members binary")
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact: whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _star_links(stars: DataFrame, sets: DataFrame, percent: int, part: int = 2000) -> DataFrame:
+    """Links (a, b) among ``stars`` (a hub, b member; each b once): a hub's set meets its members' sets, each shipped once.
+
+    A hub with many members is dealt into parts of about ``part`` members; its own set goes to each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, mine = None, np.empty(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, role, b, members in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if role == 0:
+                    hub, mine = a, np.frombuffer(members, np.uint64)
+                elif hub == a and _reaches(mine, np.frombuffer(members, np.uint64), percent):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    sizes = stars.groupBy("a").agg(F.expr(f"int((count(*) + {part - 1}) div {part})").alias("parts"))
+    hubs = sizes.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    members = stars.join(sizes, "a").select(F.col("b").alias("key"), "a", F.expr("int(pmod(xxhash64(b), parts))").alias("part"), F.lit(1).alias("role"))
+    rows = sets.join(hubs.union(members), "key").select("a", "part", "role", "key", "members")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,22 +384,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = sets.dropDuplicates(["key"])
     left = sets.select(F.col("key").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, hot_size: int = 200_000, near: int = 3) -> DataFrame:
-    """(id, n_shingles, n_links, component_id) of every document; n_links counts linked classes found for its class."""
+    """(id, n_shingles, component_id) of every document; the component is named by its least id."""
     spark = docs.sparkSession
     ship(spark)
     both = written(_profiles(docs, id_col, text, k), "join-profiles")
@@ -380,21 +408,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     pairs = first.where("b is not null").select("a", "b").distinct()
     pairs = written(_bounded(pairs, classes, percent).union(_near_pairs(tiles, percent, near)).distinct(), "join-pairs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return written(_links(pairs, _sets(docs, id_col, text, k, keys, classes), percent), "join-links")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return _sets(docs, id_col, text, k, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), classes)
 
-    links = verified(pairs)
-    roots = components(links)
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs that are not yet in one component."""
+        for c in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+        return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+    links = roots = None
+    for _ in range(2):  # each class first meets the least of its candidates
+        stars = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "join-stars")
+        found = written(_star_links(stars, sets_of(stars), percent), "join-links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        freed(spark)
+        pairs = written(apart(pairs.join(stars, ["a", "b"], "left_anti"), roots), "join-pairs")
+        if pairs.isEmpty():
+            break
     rooted = tiles.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = written(_cross_pairs(rooted, percent).distinct().join(pairs, ["a", "b"], "left_anti"), "join-cross")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more))
+    rest = written(_cross_pairs(rooted, percent).union(pairs).distinct(), "join-rest")
+    if not rest.isEmpty():
+        links = links.unionByName(written(_links(rest, sets_of(rest), percent), "join-links"))
         roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     of_root = roots.join(classes.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("least"))
-    placed = classes.select("key", "rep").join(roots, "key", "left").join(of_root, "root", "left").join(degree, "key", "left")
-    placed = placed.select("key", F.coalesce("least", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    full = members.where("n > 0").join(placed, "key").select("id", F.col("n").alias("n_shingles"), "n_links", "component_id")
-    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    placed = classes.select("key", "rep").join(roots, "key", "left").join(of_root, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+    full = members.where("n > 0").join(placed, "key").select("id", F.col("n").alias("n_shingles"), "component_id")
+    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)
