@@ -3,8 +3,8 @@
 A document's set: the distinct ``k``-word shingles of its text (A-Z lower-cased), as 64-bit hashes, sorted. Documents with
 the same set form one class, so copies are never paired. Two classes link when 100 * |A & B| >= percent * |A | B|.
 
-1. ``profiles``: one row a document: set size, class key (a hash of the sorted set) and a parity bitmap of about two bits a
-   shingle. Each task also reports shingles that repeat among its documents; the most frequent (``hot_size`` at most)
+1. ``profiles``: one row a document: set size, class key (a hash of the sorted set) and a parity bitmap of four to eight bits
+   a shingle. Each task also reports shingles that repeat among its documents; the most frequent (``hot_size`` at most)
    go last in the order of shingles, for every document alike. Any order gives the same result; this one keeps tiles small.
 2. Tiles: each class emits its prefix in that order, the |A| - ceil(percent |A|) + 1 first shingles; linked classes share
    one of them. The classes of a shingle, sorted by size, are a tile. In small tiles all pairs within the size band are
@@ -68,8 +68,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each slot; as many bits as the next power of two from the size, 64 to 16384."""
-    width = 1 << min(14, max(6, int(len(s) - 1).bit_length()))
+    """Parity of the shingles in each slot; as many bits as the next power of two from four times the size, 64 to 131072."""
+    width = 1 << min(17, max(6, int(4 * len(s) - 1).bit_length()))
     counts = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -425,7 +425,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         roots = components(links)
         freed(spark)
         pairs = written(apart(pairs.join(stars, ["a", "b"], "left_anti"), roots), "join-pairs")
-        if pairs.isEmpty():
+        if 4 * pairs.count() < stars.count():
             break
     rooted = tiles.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = written(_cross_pairs(rooted, percent).union(pairs).distinct(), "join-rest")
