@@ -387,7 +387,6 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = sets.dropDuplicates(["key"])
     left = sets.select(F.col("key").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -430,7 +429,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rooted = tiles.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = written(_cross_pairs(rooted, percent).union(pairs).distinct(), "join-rest")
     if not rest.isEmpty():
-        links = links.unionByName(written(_links(rest, sets_of(rest), percent), "join-links"))
+        # Here a set is shipped with each of its pairs: so many parts, one after another, that each ships half the bytes of all sets at most.
+        whole = classes.agg(F.sum("n")).first()[0]
+        shipped = rest.join(classes.select(F.col("key").alias("a"), "n"), "a").agg(F.sum("n")).first()[0]
+        parts = -(-2 * shipped // whole)
+        sets = written(sets_of(rest).dropDuplicates(["key"]), "join-sets")
+        for part in range(parts):
+            some = rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+            links = links.unionByName(written(_links(some, sets, percent), "join-links"))
+            freed(spark)
         roots = components(links)
     of_root = roots.join(classes.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("least"))
     placed = classes.select("key", "rep").join(roots, "key", "left").join(of_root, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
