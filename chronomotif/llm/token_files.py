@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,41 +92,41 @@ def _tokenizer(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _STATE.clear()
-        _STATE.update(path=path, tokenizer=tokenizer, model=tokenizer.model, words={"": b""}, parts={}, wide="<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        _STATE.update(path=path, tokenizer=tokenizer, model=tokenizer.model, words=_Words(), parts={}, wide="<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4")
     return _STATE["tokenizer"]
 
 
-def _word_ids(word: str) -> bytes:
-    raw = word.encode("utf-8", "surrogatepass")
-    if raw.translate(None, _KNOWN) or "<|" in word:
-        return np.array(_STATE["tokenizer"].encode(word, add_special_tokens=False).ids, _STATE["wide"]).tobytes()
-    parts, out = _STATE["parts"], []
-    for part in _PRE_TOKEN.findall(word.lower()):
-        ids = parts.get(part)
-        if ids is None:
-            name = part if part.isascii() else "".join([_NAMES[b] for b in part.encode()])
-            ids = parts[part] = np.array([t.id for t in _STATE["model"].tokenize(name)], _STATE["wide"]).tobytes()
-        out.append(ids)
-    return b"".join(out)
+class _Words(dict):
+    """Ids of words as bytes; a missing word is encoded when it is asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode("utf-8", "surrogatepass")
+        wide = "H" if _STATE["wide"] == "<u2" else "I"
+        if raw.translate(None, _KNOWN) or "<|" in word:
+            ids = array(wide, _STATE["tokenizer"].encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            parts, found = _STATE["parts"], []
+            for part in _PRE_TOKEN.findall(word.lower()):
+                some = parts.get(part)
+                if some is None:
+                    name = part if part.isascii() else "".join([_NAMES[b] for b in part.encode()])
+                    some = parts[part] = array(wide, [t.id for t in _STATE["model"].tokenize(name)]).tobytes()
+                found.append(some)
+            ids = b"".join(found)
+        self[word] = ids
+        return ids
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """Ids of each text with the end id, as little-endian bytes. The tokenizer drops blanks between words, so words are encoded apart and remembered."""
     _tokenizer(path)
-    known = _STATE["words"]
-    words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-    asked = set().union(*words)
-    missing = asked - known.keys()
-    if len(known) + len(missing) > CACHE:
-        known.clear()
-        known[""] = b""
-        missing = asked - {""}
+    if len(_STATE["words"]) > CACHE:
+        _STATE["words"] = _Words()
     if len(_STATE["parts"]) > CACHE:
         _STATE["parts"].clear()
-    for word in missing:
-        known[word] = _word_ids(word)
+    ids_of = _STATE["words"].__getitem__
     end = np.array([end_id], _STATE["wide"]).tobytes()
-    return [b"".join(map(known.__getitem__, w)) + end for w in words]
+    return [b"".join(map(ids_of, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) + end if t else end for t in texts]
 
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text: str, end_id: int, step: int) -> DataFrame:
