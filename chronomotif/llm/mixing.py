@@ -133,7 +133,7 @@ def mix_sql(source: str, levels: dict[str, str], weights: list[dict[str, int]],
     usable = " AND ".join(f"{weight(k)} > 0" for k in range(len(keys)))
     out = [
         "WITH m AS (SELECT doc_id, " + ", ".join(f"{sql} AS {k}" for k, sql in levels.items()) + rf", CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM {source})",
-        f"f AS (SELECT {', '.join(keys)}, CAST(sum(tokens) AS HUGEINT) AS t, CASE WHEN {usable} THEN CAST(sum(tokens) AS HUGEINT) * {max_epochs} ELSE 0 END AS cap FROM m GROUP BY ALL)",
+        f"f AS (SELECT {', '.join(keys)}, CAST(sum(tokens) AS HUGEINT) AS t, CASE WHEN {usable} THEN CAST(sum(tokens) AS HUGEINT) * {max_epochs} ELSE 0 END AS cap FROM m GROUP BY {', '.join(keys)})",
         f"d0 AS (SELECT f.*, least(CAST({budget} AS HUGEINT), _all * {max_epochs}) AS b FROM f, (SELECT CAST(sum(tokens) AS HUGEINT) AS _all FROM m))",
     ]
     for k, level in enumerate(keys):
