@@ -153,6 +153,20 @@ def test_quality_model_keeps_trusted_texts(spark):
     assert rates[1] > 0.97 and rates[0] < 0.5
 
 
+def test_quality_thresholds_cover_all_trusted_texts(spark):
+    """The bound on the training sample leaves every language its own percentiles, those of all rows outside training."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = queries.read(spark, d, "documents"), queries.read(spark, d, "labels")
+    got = quality_model.quality_scores(docs, labels, max_trusted=60).join(labels, "doc_id").toPandas()
+    learned = {i for i in quality_model.trusted_ids(labels, 60) if zlib.crc32(str(i).encode()) % 4}
+    held = got[(got.quality == 1) & ~got.doc_id.isin(learned)]
+    assert held.lang.value_counts().min() >= 25 and got.low.nunique() == (held.lang.value_counts() >= 30).sum() + (held.lang.value_counts() < 30).any()
+    for lang, rows in held.groupby("lang"):
+        if len(rows) >= 30:
+            q05, q50, _ = (-rows.score / rows.n_pieces).quantile([0.05, 0.5, 0.95])
+            assert all(abs(math.log10(x) - (q05 - 3 * (q50 - q05))) < 1e-4 for x in got[got.lang == lang].low)
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op10_toxicity(spark, d).join(queries.read(spark, d, "labels"), "doc_id").where("held_out").toPandas()
