@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
+"""An interpolated modified Kneser-Ney model of two or three tokens, counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
 
 Tokens are 64-bit hashes. Each task counts the token pairs of its documents and ships them as compact arrays, one for
 each shard (the top bits of the first token's hash). A shard's task adds them up and writes sorted NumPy arrays into the
@@ -10,8 +10,11 @@ Workers open the arrays as memory maps and look up the sorted distinct pairs of
 the model is never loaded whole, and its size may follow the corpus. The shared folder has to be a file system that
 workers can open (spark.checkpoint.dir as a path or file: URI); for other stores ``LanguageModel`` says so.
 
-Orders beyond two are left out: nearly every three-word sequence of a corpus occurs once, so such a table would be as
-large as the corpus itself.
+With ``order`` three, tasks count token triples, dealt by the middle token, so one shard has all triples of a pair and of
+a history (the two tokens before): it writes triple hash and count, the totals of histories seen more than once, and, in the
+pair and context arrays, continuation counts (after how many tokens a pair occurs). A history without an entry was seen once
+if its pair is known, never otherwise. A text begins with two begin tokens. Tasks ship tokens as numbers into a list of each
+message's distinct hashes.
 
 Defined cases: a null text is empty, one end token; very long texts are scored whole; repeated rows and ids are counted and
 scored one by one; with nothing to train on every token has the uniform probability; an empty table gives no rows; extra
@@ -146,6 +149,128 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(f"{path}.{os.getpid()}.tmp", path)
 
 
+def _narrow(c: np.ndarray) -> np.ndarray:
+    """The same counts in the narrowest unsigned type."""
+    return c.astype(np.min_scalar_type(int(c.max()) if c.size else 0))
+
+
+def _counts_of(c: np.ndarray) -> list[int]:
+    return [int((c == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _pair_arrays(folder: str, shard: int, bits: int, key: np.ndarray, v: np.ndarray, w: np.ndarray, counts: np.ndarray, plain: np.ndarray, more: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Writes the pair and context arrays of a shard's distinct pairs, by sorted key; gives the rows of the second exchange."""
+    _save(folder, f"pair-{shard}", key)
+    _save(folder, f"count-{shard}", _narrow(counts))
+    context, total, n1, n2, n3 = _summed(v, counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))
+    _save(folder, f"context-{shard}", context)
+    _save(folder, f"totals-{shard}", _narrow(np.stack([total, n1, n2, n3], 1)))
+    token, n, plain = _summed(w, np.ones(len(w), np.int64), plain)
+    ends = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(token)])
+    for s in range(1 << bits):
+        a, b = ends[s], ends[s + 1]
+        if a < b:
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([_packed(n[a:b])], pa.binary()), pa.array([_packed(plain[a:b])], pa.binary())], names=["shard", "w", "n", "c"])
+    of = np.array([*_counts_of(counts), plain.sum(), len(counts), *(more or [0] * 4)], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.binary()), pa.array([of.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "w", "n", "c"])
+
+
+def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int) -> DataFrame:
+    """(shard, d, v, m, u, w, c): triple counts of each task's documents by middle token; d the message's distinct hashes, v (m triples each), u and w places in it, counts c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            known, at = np.unique(np.concatenate([np.array([BEGIN]), *held]), return_inverse=True)
+            begin, w = at[0], at[1:]
+            first = np.cumsum([0] + [len(t) for t in held[:-1]])
+            v = np.empty_like(w)
+            v[1:], v[first] = w[:-1], begin
+            u = np.empty_like(w)
+            u[1:], u[first] = v[:-1], begin
+            wide = len(known).bit_length()
+            if 3 * wide <= 63:
+                packed, counts = _distinct(np.sort((v << (2 * wide)) | (u << wide) | w))
+                v, u, w = packed >> (2 * wide), (packed >> wide) & ((1 << wide) - 1), packed & ((1 << wide) - 1)
+            else:
+                order = np.lexsort((w, u, v))
+                v, u, w = v[order], u[order], w[order]
+                starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+                counts = np.diff(np.append(starts, len(v)))
+                v, u, w = v[starts], u[starts], w[starts]
+            shard = (known >> np.uint64(64 - bits)).astype(np.int64)[v] if bits else np.zeros(len(v), np.int64)
+            ends = np.searchsorted(shard, np.arange((1 << bits) + 1))
+            place = np.zeros(len(known), np.int64)
+            for s in range(1 << bits):
+                a, b = ends[s], ends[s + 1]
+                if a < b:
+                    middle, m = _distinct(v[a:b])
+                    here = np.zeros(len(known), bool)
+                    here[u[a:b]] = here[w[a:b]] = here[middle] = True
+                    here = np.flatnonzero(here)
+                    place[here] = np.arange(len(here))
+                    row = (known[here].tobytes(), *map(_packed, (place[middle], m, place[u[a:b]], place[w[a:b]], counts[a:b])))
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "d", "v", "m", "u", "w", "c"])
+
+        size = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                new = [tokens(t) for t in batch.column(0).slice(at, 500).to_pylist()]
+                held += new
+                size += sum(map(len, new))
+                if size > FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return docs.select(text).mapInArrow(run, "shard int, d binary, v binary, m binary, u binary, w binary, c binary")
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often they occur."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[starts], np.diff(np.append(starts, len(x)))
+
+
+def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
+    """Writes the triple, history, pair and context arrays of each shard; gives what ``_merge_pairs`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches):
+            shard, parts = columns[0][0].as_py(), []
+            for d, v, m, u, w, c in zip(*(x.to_pylist() for x in columns[1:]), strict=True):
+                d = np.frombuffer(d, np.uint64)
+                parts.append((d[_unpacked(u)], np.repeat(d[_unpacked(v)], _unpacked(m)), d[_unpacked(w)], _unpacked(c)))
+            u, v, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            key = pair_hash(pair_hash(v, u, bits), w, bits)
+            order = np.argsort(key)
+            key, u, v, w, c = key[order], u[order], v[order], w[order], c[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, u, v, w, c = key[starts], u[starts], v[starts], w[starts], np.add.reduceat(c, starts)
+            _save(folder, f"triple-{shard}", key)
+            _save(folder, f"often-{shard}", _narrow(c))
+            history = pair_hash(v, u, bits)
+            order = np.argsort(history)
+            history, sorted_c = history[order], c[order]
+            starts = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
+            totals = np.stack([np.add.reduceat(x, starts) for x in (sorted_c, *((sorted_c == k).astype(np.int64) for k in (1, 2)), (sorted_c > 2).astype(np.int64))], 1)
+            more = (totals[:, 0] > 1) | (v[order[starts]] == BEGIN)
+            _save(folder, f"history-{shard}", history[starts][more])
+            _save(folder, f"after-{shard}", _narrow(totals[more]))
+            del history, sorted_c, totals, key
+            pair = pair_hash(v, w, bits)
+            order = np.argsort(pair)
+            pair = pair[order]
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            at = order[starts]
+            yield from _pair_arrays(folder, shard, bits, pair[starts], v[at], w[at], np.diff(np.append(starts, len(pair))), np.add.reduceat(c[order], starts), _counts_of(c))
+
+    return counted.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "shard int, w binary, n binary, c binary")
+
+
 def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
     """Writes the pair and context arrays of each shard; gives (shard of w, w, n, c) for the second exchange and, with w null, counts of counts."""
 
@@ -154,22 +279,9 @@ def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
 
         def finish() -> Iterator[pa.RecordBatch]:
             v, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            pair, at = np.unique(pair_hash(v, w, bits), return_index=True)
+            key, at = np.unique(pair_hash(v, w, bits), return_index=True)
             _, counts = _summed(pair_hash(v, w, bits), c)
-            v, w = v[at], w[at]
-            _save(folder, f"pair-{shard}", pair)
-            _save(folder, f"count-{shard}", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)
-            context, total, n1, n2, n3 = _summed(v, counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))
-            _save(folder, f"context-{shard}", context)
-            _save(folder, f"totals-{shard}", np.stack([total, n1, n2, n3], 1))
-            token, n, plain = _summed(w, np.ones(len(w), np.int64), counts)
-            ends = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(token)])
-            for s in range(1 << bits):
-                a, b = ends[s], ends[s + 1]
-                if a < b:
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([_packed(n[a:b])], pa.binary()), pa.array([_packed(plain[a:b])], pa.binary())], names=["shard", "w", "n", "c"])
-            of = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [counts.sum(), len(counts)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.binary()), pa.array([of.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "w", "n", "c"])
+            yield from _pair_arrays(folder, shard, bits, key, v[at], w[at], counts, counts)
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -195,7 +307,7 @@ def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
             token, contexts, plain = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in w]), np.concatenate([_unpacked(x) for x in n]), np.concatenate([_unpacked(x) for x in c]))
             shard = columns[0][0].as_py()
             _save(folder, f"token-{shard}", token)
-            _save(folder, f"seen-{shard}", np.stack([contexts, plain], 1))
+            _save(folder, f"seen-{shard}", _narrow(np.stack([contexts, plain], 1)))
             of = np.array([(contexts == k).sum() for k in (1, 2, 3, 4)] + [contexts.sum(), len(token), (contexts > 2).sum()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([of.tobytes()], pa.binary())], names=["shard", "n"])
 
@@ -215,10 +327,11 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """The arrays of a trained model in the shared folder, opened where it is used."""
 
-    def __init__(self, folder: str, bits: int, pair_stats: np.ndarray, token_stats: np.ndarray):
-        self.folder, self.bits = folder, bits
+    def __init__(self, folder: str, bits: int, pair_stats: np.ndarray, token_stats: np.ndarray, order: int = 2):
+        self.folder, self.bits, self.order = folder, bits, order
         self.n_tokens, self.vocabulary = int(pair_stats[4]), int(token_stats[5])
         self.pair_discount, self.token_discount = discounts(pair_stats), discounts(token_stats)
+        self.triple_discount = discounts(pair_stats[6:])
         self.continuations = float(token_stats[4])
         d = self.token_discount
         more = token_stats[6]
@@ -273,6 +386,23 @@ class LanguageModel:
         count = self._find("pair", "count", pair, 1)[:, 0][of]
         return np.maximum(count - self.pair_discount[np.minimum(count, 3)], 0) / whole[c] + backoff[c] * lower[t]
 
+    def _triples(self, v: np.ndarray, w: np.ndarray, first: np.ndarray, pair_of: np.ndarray, starts: np.ndarray, pair_p: np.ndarray) -> np.ndarray:
+        """p(token after the two before it) at each place, from the distinct pairs (v, w)[first] and their lower order."""
+        key = pair_hash(v[first], w[first], self.bits)  # sorted
+        known = self._find("pair", "count", key, 1)[:, 0] > 0
+        history = np.append(pair_hash(w[first], v[first], self.bits), pair_hash(BEGIN[None], BEGIN[None], self.bits))
+        order = np.argsort(history)
+        totals = np.empty((len(history), 4), np.int64)
+        totals[order] = self._find("history", "after", history[order], 4)
+        totals[:-1][known & (totals[:-1, 0] == 0)] = (1, 1, 0, 0)
+        whole = np.maximum(totals[:, 0], 1)
+        backoff = np.where(totals[:, 0] > 0, (totals[:, 1:] * self.triple_discount[1:]).sum(1) / whole, 1.0)
+        before = np.empty_like(pair_of)
+        before[1:], before[starts] = pair_of[:-1], len(first)
+        triple, of = np.unique(pair_hash(history[before], w, self.bits), return_inverse=True)
+        count = self._find("triple", "often", triple, 1)[:, 0][of]
+        return np.maximum(count - self.triple_discount[np.minimum(count, 3)], 0) / whole[before] + backoff[before] * pair_p[pair_of]
+
     def score(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 probability, known tokens, log10 base probability) of each text."""
         v, w = pairs_of(tokens)
@@ -280,16 +410,19 @@ class LanguageModel:
         plain = self._find("token", "seen", token, 2)[:, 1]
         base = np.log10((plain + 1) / (self.n_tokens + self.vocabulary + 1))
         _, first, pair_of = np.unique(pair_hash(v, w, self.bits), return_index=True, return_inverse=True)
-        p = np.log10(self.pair_probability(v[first], w[first]))
+        p = self.pair_probability(v[first], w[first])
         starts = np.cumsum([0] + [len(x) for x in tokens[:-1]])
         known = (plain > 0).astype(np.int64)
-        return np.add.reduceat(p[pair_of], starts), np.add.reduceat(known[token_of], starts), np.add.reduceat(base[token_of], starts)
+        p = np.log10(p)[pair_of] if self.order == 2 else np.log10(self._triples(v, w, first, pair_of, starts, p))
+        return np.add.reduceat(p, starts), np.add.reduceat(known[token_of], starts), np.add.reduceat(base[token_of], starts)
 
 
-def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None) -> LanguageModel:
-    """Counts ``docs`` into 2 ** bits shards in the shared folder; by default about as many as ``docs`` has partitions, 16 to 4096."""
+def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2) -> LanguageModel:
+    """A model of ``order`` two or three. Counts ``docs`` into 2 ** bits shards in the shared folder; by default about as many as ``docs`` has partitions, 16 to 4096."""
     spark = docs.sparkSession
     ship(spark)
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3")
     if bits is None:
         bits = min(12, max(4, (docs.rdd.getNumPartitions() - 1).bit_length()))
     path = fresh_path(spark, "lm")
@@ -297,15 +430,16 @@ def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, b
         raise ValueError(f"workers map the model's files: spark.checkpoint.dir must be a file system path, not {path}")
     folder = "/" + path.removeprefix("file:").lstrip("/")
     os.makedirs(folder, exist_ok=True)
-    merged = written(_merge_pairs(_count_pairs(docs, text, tokens, bits), folder, bits), "lm-tokens")
+    count, merge = (_count_pairs, _merge_pairs) if order == 2 else (_count_triples, _merge_triples)
+    merged = written(merge(count(docs, text, tokens, bits), folder, bits), "lm-tokens")
     freed(spark)
-    pair_stats = np.zeros(6, np.int64)
+    pair_stats = np.zeros(10, np.int64)
     for r in merged.where("w is null").select("n").collect():  # one row a shard
         pair_stats += np.frombuffer(bytes(r["n"]), np.int64)
     token_stats = np.zeros(7, np.int64)
     for r in _merge_tokens(merged.where("w is not null"), folder, bits).collect():
         token_stats += np.frombuffer(bytes(r["n"]), np.int64)
-    return LanguageModel(folder, bits, pair_stats, token_stats)
+    return LanguageModel(folder, bits, pair_stats, token_stats, order)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text", tokens: Callable = word_tokens, extra: list[Column] | None = None, step: int = 1500) -> DataFrame:

@@ -65,7 +65,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = ngram_lm.held_out("doc_id", 7, 2)
-    model = ngram_lm.train(docs.where(~held_out))
+    model = ngram_lm.train(docs.where(~held_out), order=3)
     scored = ngram_lm.score(docs, model, extra=[held_out.alias("held_out")])
     return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
 

@@ -126,6 +126,41 @@ def test_language_model(spark):
     assert math.isclose(sum(p("abc", w) for w in c) + p("abc", "unseen"), 1, rel_tol=1e-9)
 
 
+def test_language_model_of_order_three(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = ngram_lm.held_out("doc_id", 7, 2)
+    model = ngram_lm.train(docs.where(~out), bits=2, order=3)
+    got = {r.doc_id: r for r in ngram_lm.score(docs, model).collect()}
+    tokens = lambda t: [*words(t), "</s>"]
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    vocabulary = {w for t in train for w in t}
+    triples = collections.Counter(x for t in train for x in zip(["<s>", "<s>", *t], ["<s>", *t], t, strict=False))
+    pairs = collections.Counter((v, w) for _, v, w in triples)
+    singles = collections.Counter(w for _, w in pairs)
+
+    def part(counts):
+        n = collections.Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if min(n[1], n[2], n[3]) else None
+        d = [0, 0.5, 0.75, 0.9] if y is None else [0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate((1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]), 1))]
+        whole, left = collections.Counter(), collections.Counter()
+        for x, c in counts.items():
+            whole[x[:-1]] += c
+            left[x[:-1]] += d[min(c, 3)]
+        return lambda x, low: (max(counts[x] - d[min(counts[x], 3)], 0) + left[x[:-1]] * low) / whole[x[:-1]] if whole[x[:-1]] else low
+
+    one, two, three = part(collections.Counter({(w,): c for w, c in singles.items()})), part(pairs), part(triples)
+    p = lambda u, v, w: three((u, v, w), two((v, w), one((w,), 1 / (len(vocabulary) + 1))))
+    for i, t in rows:
+        w = tokens(t)
+        assert math.isclose(got[i].score, sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False)), rel_tol=1e-9), i
+    u, v, _ = max(triples, key=triples.get)
+    assert math.isclose(sum(p(u, v, w) for w in vocabulary) + p(u, v, "unseen"), 1, rel_tol=1e-9)
+    assert model.n_tokens == sum(map(len, train))
+    none = docs.limit(0)
+    assert ngram_lm.score(none, ngram_lm.train(none, order=3)).count() == 0
+
+
 def test_budgets_water_fill(spark):
     leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 100), ("b", "x", 1000), (None, "x", 5), ("z", "x", 50)], "k0 string, k1 string, tokens bigint")
     out = mixing.budgets(leaves, ["k0", "k1"], [{"a": 2, "b": 1, "z": 0}, {"x": 3, "y": 1}], F.lit(300), 1)
