@@ -12,10 +12,45 @@ from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
 QUAD = r"""[(\[]\s*["']?u?(\d+)["']?\s*,\s*["']?u?(\d+)["']?\s*,\s*["']?t?(\d+)["']?\s*,\s*["']?([adAD])["']?\s*[)\]]"""
 PAIR = r"""[(\[]\s*["']?([A-Za-z0-9]+-?[A-Za-z]+)["']?\s*,\s*(\d+)\s*[)\]]"""
-#: Two numbers, by the first pattern that fits; the order matters.
+#: Two numbers, by the first pattern that fits; the order matters. First the fixed forms of answers, then looser ones.
 TWO_INTS = [
-    r"[\[(]\s*(\d+)\s*,\s*(\d+)\s*[\])]",
+    r"(?is)nodes are first connected at time \\+boxed\{(\d+)\}.*?disconnected at time \\+boxed\{(\d+)\}",
+    r"(?is)first connected at time \\+boxed\{(\d+)\}.*?first disconnected at time \\+boxed\{(\d+)\}",
+    r"(?is)###\s*final answer.*?\*\*first connected\*\*.*?\\+boxed\{(\d+)\}.*?\*\*first disconnected\*\*.*?\\+boxed\{(\d+)\}",
+    r"(?is)\*\*first connected\*\*:.*?\\+boxed\{(\d+)\}.*?-\s*\*\*first disconnected\*\*:.*?\\+boxed\{(\d+)\}",
+    r"(?is)\*\*first connected\*\*:\s*\\+boxed\{(\d+)\}.*?\*\*first disconnected\*\*:\s*\\+boxed\{(\d+)\}",
+    r"(?is)\*\*first connected\*\*.*?\\+boxed\{(\d+)\}.*?\*\*first disconnected\*\*.*?\\+boxed\{(\d+)\}",
+    r"(?is)first connected at t=(\d+).*?first disconnected at t=(\d+)",
+    r"(?is)first connected at \*\*t=(\d+)\*\*.*?first disconnected at \*\*t=(\d+)\*\*",
+    r"(?is)first connected at time:\s*(\d+).*?first disconnected at time:\s*(\d+)",
+    r"(?is)first connection:\s*(\d+).*?first disconnection:\s*(\d+)",
+    r"(?is)first connection time:\s*(\d+).*?first disconnection time:\s*(\d+)",
+    r"(?is)first connection:\s*(\d+).*?first disconnect:\s*(\d+)",
+    r"(?is)nodes first connect at time `(\d+)`.*?disconnect at time `(\d+)`",
+    r"(?is)nodes first connect at time (\d+).*?disconnect at time (\d+)",
+    r"(?is)nodes are first connected at timestamp (\d+).*?then disconnected at timestamp (\d+)",
+    r"(?is)nodes are first connected at timestamp (\d+).*?first disconnected at timestamp (\d+)",
+    r"(?is)nodes are first connected at time (\d+).*?disconnected at time (\d+)",
+    r"(?is)-\s*first connected at time (\d+).*?-\s*first disconnected at time (\d+)",
+    r"(?is)-\s*first connected at timestamp (\d+).*?-\s*first disconnected at timestamp (\d+)",
+    r"(?is)first connected:\s*(\d+).*?first disconnected:\s*(\d+)",
+    r"(?is)first connected at time `t = (\d+)`.*?first disconnected at time `t = (\d+)`",
+    r"(?is)connect time:\s*(\d+).*?disconnect time:\s*(\d+)",
+    r"(?is)first connected at (\d+),\s*first disconnected at (\d+)",
+    r"(?is)\\+boxed\{(\d+)\}.*?\\+boxed\{(\d+)\}",
+    r"(?i)\\+boxed\{(\d+)\},\s*\\+boxed\{(\d+)\}",
+    r"(?is)first connected at time \*\*(\d+)\*\*.*?first disconnected at time \*\*(\d+)\*\*",
+    r"(?i)first connected at time (\d+),\s*first disconnected at time (\d+)",
+    r"(?i)first connected at time:\s*(\d+),\s*first disconnected at time:\s*(\d+)",
+    r"(?i)first connected at time `(\d+)`, first disconnected at time `(\d+)`",
+    r"(?i)^\s*(\d+),\s*(\d+)",
+    r"(?i)\*\*answer:\*\*\s*(\d+),\s*(\d+)(?:[.\s]*$|[.\s]*\n.*?(?:therefore|thus|hence|so),?\s+(?:the\s+)?answer\s+is\s*\1,\s*\2)",
+    r"(?i)\*\*answer:\*\*\s*(\d+),\s*(\d+)[.\s]*$",
+    r"(?i)answer:\s*(\d+),\s*(\d+)",
+    r"^[\[\]\s]*(\d+)\s*,\s*(\d+)[\[\]\s]*$",
+    r"(?i)(\d+)[,\s]+(\d+)\s*$",
     r"(?i)(?:connected|linked|link)\D{0,20}?(\d+)\D+?(?:disconnected|unlinked|dislinked|removed)\D{0,20}?(\d+)",
+    r"[\[(]\s*(\d+)\s*,\s*(\d+)\s*[\])]",
     r"(?i)from\D{0,10}?(\d+)\s*(?:to|until|till)\D{0,10}?(\d+)",
     r"(?i)at\D{0,10}?(\d+)\s*and\D{0,10}?(\d+)",
     r"(\d+)\s*(?:,|;|and|to|-)\s*(\d+)",

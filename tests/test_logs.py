@@ -55,6 +55,17 @@ def test_parsers(spark):
     assert [tuple(x) for x in named('```\n[["triangle", 2]]\n```')] == [("triangle", 2)] and [tuple(x) for x in named("4-cycle: 7")] == [("4-cycle", 7)]
 
 
+def test_two_ints_of_all_forms(spark):
+    forms = [
+        r"\boxed{2}, \boxed{5}", "nodes are first connected at time \\boxed{2} in 9 and disconnected at time \\boxed{5}", "First connection: 2\nFirst disconnection: 5", "first connection time: 2, 7 steps, first disconnection time: 5",
+        "Nodes first connect at time 2 and disconnect at time 5", "connect time: 2\ndisconnect time: 5", "nodes (0, 7) are first connected at time 2 and disconnected at time 5", "**First Connected**: \\boxed{2}\n**First Disconnected**: \\boxed{5}",
+        "first connected at t=2 (0, 7), first disconnected at t=5", "- first connected at time 2 (0, 7)\n- first disconnected at time 5", "2, 5. From (0, 7)", "**Answer:** 2, 5", "[2, 5]", "first connection: 2; first disconnect: 5", "The pair (0, 7) gives the times\n2, 5",
+        "nodes first connect at time `2` and disconnect at time `5`", "nodes are first connected at timestamp 2, then disconnected at timestamp 5", "first connected at time `t = 2`, first disconnected at time `t = 5`",
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], "i int, r string").select("i", parsing.two_ints(F.col("r")).alias("n"))
+    assert {r.i: r.n for r in df.collect()} == dict.fromkeys(range(len(forms)), [2, 5])
+
+
 def test_scores(spark):
     te = frame(spark, [(0, 1, 2, "a"), (1, 2, 1, "a")])
     said = lambda s: spark.createDataFrame([(1, s)], "graph_id bigint, response string")
