@@ -64,13 +64,17 @@ def _background(params: DataFrame, k: int, n_events: int, salt: str) -> DataFram
 
 
 def contain_positive(params: DataFrame, motif: str, n_events: int, which: str = "contain") -> DataFrame:
-    """Graphs with a planted instance, two thirds of the other events adds on other nodes, the rest deletes at the end."""
+    """Graphs with a planted instance, two thirds of the other events adds on other nodes, the rest deletes of any of these from the last add on."""
     edges, window = catalog.EDGES[motif], catalog.WINDOWS[which][motif]
     planted = _place(params, edges, window)
     rest = max(n_events - len(edges), 0)
-    rows = planted.select("graph_id", "u", "v", "t", F.lit("a").alias("op")).unionByName(_background(params, catalog.n_nodes(edges), 2 * rest // 3, "bg"))
-    deletes = planted.where(F.col("i") < rest - 2 * rest // 3).select("graph_id", "u", "v", F.greatest(F.col("horizon"), F.col("t") + 1).cast("int").alias("t"), F.lit("d").alias("op"))
-    return _ordered(rows.unionByName(deletes), "t", "op", "u", "v")
+    adds = planted.select("graph_id", "u", "v", "t", F.lit("a").alias("op")).unionByName(_background(params, catalog.n_nodes(edges), 2 * rest // 3, "bg"))
+    g, of = F.col("graph_id"), W.partitionBy("graph_id")
+    drawn = adds.select("*", F.row_number().over(of.orderBy(rnd("dl", g, F.col("u"), F.col("v"), F.col("t")), "u", "v", "t")).alias("i"), F.max("t").over(of).alias("end"))
+    drawn = drawn.where(F.col("i") <= rest - 2 * rest // 3).join(params.select("graph_id", F.col("T").alias("horizon")), "graph_id")
+    td = F.col("end") + whole(rnd("dt", g, F.col("i")), F.greatest(F.col("horizon") - F.col("end"), F.lit(1)))
+    deletes = drawn.select("graph_id", "u", "v", td.cast("int").alias("t"), F.lit("d").alias("op"))
+    return _ordered(adds.unionByName(deletes), "t", "op", "u", "v")
 
 
 def contain_negative(params: DataFrame, motif: str, which: str = "contain") -> DataFrame:
@@ -79,22 +83,50 @@ def contain_negative(params: DataFrame, motif: str, which: str = "contain") -> D
     return te.join(motifs.found(te, motif, which=which).select("graph_id").distinct(), "graph_id", "left_anti")
 
 
-def modify_task(params: DataFrame, motif: str, n_events: int) -> tuple[DataFrame, DataFrame]:
+def _mixed_background(params: DataFrame, kept: DataFrame, n_events: int, p_delete: float) -> DataFrame:
+    """``n_events`` events a graph, in turn: with ``p_delete`` the delete of an edge alive, from its time on, else an add of any two nodes."""
+    g, n, end = F.col("graph_id"), F.col("N"), F.col("T")
+    alive = kept.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "t"))).alias("_alive"))
+    event = "array<struct<u:int,v:int,t:int,op:string>>"
+
+    def step(state, i):
+        live = state["live"]
+        at = whole(rnd("me", g, i), F.greatest(F.size(live), F.lit(1)))
+        old = F.get(live, at)
+        a = whole(rnd("ma", g, i), n)
+        b = (a + 1 + whole(rnd("mb", g, i), n - 1)) % n
+        new = F.struct(F.least(a, b).cast("int").alias("u"), F.greatest(a, b).cast("int").alias("v"), whole(rnd("mt", g, i), end).alias("t"))
+        gone = F.struct(old["u"].alias("u"), old["v"].alias("v"), (old["t"] + whole(rnd("md", g, i), F.greatest(end - old["t"], F.lit(1)))).cast("int").alias("t"), F.lit("d").alias("op"))
+        added = F.struct(new["u"].alias("u"), new["v"].alias("v"), new["t"].alias("t"), F.lit("a").alias("op"))
+        delete = (rnd("mo", g, i) < p_delete) & (F.size(live) > 0)
+        left = F.concat(F.slice(live, F.lit(1), at), F.slice(live, at + 2, F.size(live)))
+        return F.struct(
+            F.concat(state["events"], F.array(F.when(delete, gone).otherwise(added))).cast(event).alias("events"),
+            F.when(delete, left).otherwise(F.concat(live, F.array(new))).cast("array<struct<u:int,v:int,t:int>>").alias("live"),
+        )
+
+    start = F.struct(F.array().cast(event).alias("events"), F.coalesce(F.col("_alive"), F.array()).cast("array<struct<u:int,v:int,t:int>>").alias("live"))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(n_events)), start, step)["events"] if n_events > 0 else F.array().cast(event)
+    rows = params.where(n >= 2).join(alive, "graph_id", "left").select("graph_id", F.explode(made).alias("e"))
+    return rows.select("graph_id", "e.*")
+
+
+def modify_task(params: DataFrame, motif: str, n_events: int, p_delete: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(log, answers): an instance without its last edge among other events; only graphs that lack the motif and have it with the answer."""
     edges, window = catalog.EDGES[motif], catalog.WINDOWS["default"][motif]
     planted = _place(params, edges, window)
     last = F.col("i") == len(edges) - 1
     answers = planted.where(last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
-    rows = planted.where(~last).select("graph_id", "u", "v", "t", F.lit("a").alias("op")).unionByName(_background(params, catalog.n_nodes(edges), n_events - len(edges) + 1, "mo"))
-    te = _ordered(rows, "t", "u", "v", "op")
+    kept = planted.where(~last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
+    te = _ordered(kept.unionByName(_mixed_background(params, kept, n_events - len(edges) + 1, p_delete)), "t", "u", "v", "op")
     full = te.drop("seq").unionByName(answers)
     has = lambda df: motifs.found(df, motif).select("graph_id").distinct()
     good = answers.join(has(full), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti")
     return te.join(good.select("graph_id"), "graph_id", "left_semi"), good
 
 
-def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5) -> DataFrame:
-    """Graphs of the motif's size: its topology or random pairs, then one of four ways to give times.
+def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5, p_delete: float = 0.5) -> DataFrame:
+    """Graphs of the motif's size: its topology or random pairs, then one of four ways to give times; adds are deleted later with ``p_delete``.
 
     Ways, a third each but the last two together: in order inside the window; in order with a span beyond it; out of order; any times.
     """
@@ -113,7 +145,11 @@ def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute
         rb = (ra + 1 + whole(rnd("rb", g, i), k - 1)) % k
         real = rnd("top", g) < topology
         rows.append(F.struct(F.when(real, node(a)).otherwise(ra).cast("int").alias("u"), F.when(real, node(b)).otherwise(rb).cast("int").alias("v"), t.cast("int").alias("t"), F.lit("a").alias("op")))
-    return _ordered(params.select("graph_id", F.explode(F.array(*rows)).alias("e")).select("graph_id", "e.*"), "t", "u", "v")
+    end = F.col("end")
+    adds = params.select("graph_id", (F.col("T") * 2).alias("end"), F.posexplode(F.array(*rows)).alias("i", "e")).select("graph_id", "end", "i", "e.*")
+    td = F.col("t") + 1 + whole(rnd("td", g, F.col("i")), end - 1 - F.col("t"))
+    deletes = adds.where((rnd("del", g, F.col("i")) < p_delete) & (F.col("t") < end - 1)).select("graph_id", "u", "v", td.cast("int").alias("t"), F.lit("d").alias("op"))
+    return _ordered(adds.drop("end", "i").unionByName(deletes), "t", "u", "v", "op")
 
 
 def dispatch(params: DataFrame, task: str, motif: str | None = None, n_events: int = 20) -> DataFrame:

@@ -95,6 +95,20 @@ def test_generators(spark):
     assert sorted(generators.er_events(plain).collect()) == sorted(generators.er_events(plain.repartition(3)).collect())
 
 
+def test_generated_graphs_have_all_events(spark):
+    params = generators.param_grid(spark, [15], [20], [0.3], 40).select("graph_id", "T", "N", "p")
+    pos = generators.contain_positive(params, "triangle", 20).groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("op") == "d").alias("d"), F.max("t").alias("t")).collect()
+    assert {(r.n, r.d) for r in pos} == {(20, 6)} and max(r.t for r in pos) < 15 and len(pos) == 40
+    log = generators.modify_task(params, "4-cycle", 10)[0].toPandas()
+    assert set(log.groupby("graph_id").size()) == {10} and 0.2 < (log.op == "d").mean() < 0.5
+    for _, one in log.groupby("graph_id"):
+        adds = one[one.op == "a"].groupby(["u", "v"]).size()
+        assert all(n <= adds.get((min(e), max(e)), 0) + adds.get((max(e), min(e)), 0) for e, n in one[one.op == "d"].groupby(["u", "v"]).size().items())
+    parts = generators.is_motif_task(params, "4-cycle").toPandas()
+    deletes = (parts.op == "d").sum()
+    assert (parts.op == "a").sum() == 160 and 40 < deletes < 120 and parts.t.max() < 30
+
+
 def test_tools(spark):
     rows = [(1, "{'edge_list': [(0, 1, 0, a), (1, 2, 1, a), (2, 0, 2, a), (0, 1, 5, d)], 'motif_list': ['triangle'], 'u': 0, 'v': 1, 'time_point': 1}")]
     inputs = spark.createDataFrame(rows, "id bigint, input string")
