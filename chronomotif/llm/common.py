@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +20,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one on a single machine, else an error."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_to and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (set_to or "/tmp/checkpoints").rstrip("/")
 
 
@@ -26,12 +31,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each ends; for results that are kept elsewhere."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cuts lineage: ``df`` written as Parquet in the shared folder and read again; survives lost executors."""
+    """Cuts lineage: ``df`` written as Parquet in the shared folder and read again; survives lost executors. ``dropped`` deletes it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -40,9 +63,7 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished, unreferenced stages: its cleaner acts after a driver collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        removed(df.sparkSession, df._written_at)

@@ -8,18 +8,24 @@ the same set form one class, so copies are never paired. Two classes link when 1
    go last in the order of shingles, for every document alike. Any order gives the same result; this one keeps tiles small.
 2. Tiles: each class emits its prefix in that order, the |A| - ceil(percent |A|) + 1 first shingles; linked classes share
    one of them. The classes of a shingle, sorted by size, are a tile. In small tiles all pairs within the size band are
-   candidates. From large tiles each class takes its ``near`` nearest by bitmap among its neighbours in size.
-3. The bit counts of two bitmaps bound the overlap from above: |A & B| <= (|A| + |B| - popcount(A xor B)) / 2. What passes
-   is intersected exactly; only classes of candidate pairs ship their sets, found by a fixed-size bit table. First each
-   class meets the least of its candidates, so a set is shipped once, however many candidates it has.
-4. Components by label passing and pointer jumping, in tables. Candidate pairs inside one component are settled; the
-   others are intersected too. Then the large tiles again: pairs of *different* components within the size band that pass
-   the bitmap bound are intersected as well. So no link between components is
-   lost, and a large group of near copies costs no pair list: once linked, its pairs are skipped.
+   candidates. Large tiles are dealt into parts with common members, and each class takes its ``near`` nearest by bitmap among
+   its neighbours in size there. The most frequent shingles are dealt into parts from the start.
+3. The bit counts of two bitmaps, folded to the narrower one, bound the overlap from above:
+   |A & B| <= (|A| + |B| - popcount(A xor B)) / 2. What passes is a candidate pair.
+4. Exact intersection: the components of the candidate pairs are dealt into blocks of bounded size, and the sets of two blocks
+   with candidate pairs between them meet in one task, so a set is shipped once for each block that it has candidates in,
+   nearly always once. There a pair whose ends are already linked through others is settled without intersection. Only classes
+   in candidate pairs ship their sets, found by a fixed-size bit table.
+5. Components by label passing and pointer jumping, in tables. Then the large tiles that hold several components again: block
+   by block, pairs of *different* components within the size band that pass the bitmap bound are intersected as in 4. So no
+   link between components is lost, and a large group of near copies costs no pair list: once linked, its pairs are skipped.
+
+The operator returns components, not links. Its tables in the shared folder are deleted as soon as their successors are written.
 
 Defined cases: null or empty texts have no shingles, size 0, and are components of their own; a text with fewer than
 ``k`` words is one shingle; very long texts are shingled whole; repeated rows and ids each get a row, in one class; an
-empty table gives no rows; extra columns are not read. Set equality and shingles rest on 64-bit hashes.
+empty table gives no rows; a null id is a row like any other and names no component that has other ids; ids of any type that can be
+ordered do; extra columns are not read. Set equality and shingles rest on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,12 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from chronomotif.llm.common import freed, ship, written
+from chronomotif.llm.common import dropped, ship, written
 from chronomotif.llm.components import components
 
 SMALL = 8
 BLOCK = 1024
+PART = 2048
+ANCHORS = 64
+HOT = 50_000
+SETS, SHINGLES = 256, 4_000_000
 FILTER_BITS = 26
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xFF51AFD7ED558CCD)
@@ -117,19 +128,20 @@ def _profiles(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
         yield repeats()
 
     id_type = docs.schema[id_col].dataType
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    id_arrow = to_arrow_type(id_type)
     return docs.select(id_col, text).mapInArrow(run, f"id {id_type.simpleString()}, n bigint, key bigint, bits binary")
 
 
 def _prefixes(docs: DataFrame, text: str, k: int, percent: int, hot) -> DataFrame:
-    """(s, key, n): a row for each prefix shingle of each class, once a task."""
+    """(s, part, key, n): a row for each prefix shingle of each class, once a task; part 0, from 1 on where the shingle is dealt into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        late = hot.value
+        late, parts = hot.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out: list[np.ndarray] = []
+                part: list[np.ndarray] = []
                 keys: list[int] = []
                 sizes: list[int] = []
                 for t in batch.column(0).slice(at, 500).to_pylist():
@@ -140,21 +152,24 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, hot) -> DataFram
                     if key in seen:
                         continue
                     seen.add(key)
-                    p = prefix_length(len(s), percent)
-                    head = s
+                    dealt = np.zeros(len(s), np.int64)
                     if len(late):
-                        spot = np.searchsorted(late, s)
-                        is_late = late[np.minimum(spot, len(late) - 1)] == s
+                        spot = np.minimum(np.searchsorted(late, s), len(late) - 1)
+                        is_late = late[spot] == s
                         if is_late.any():
-                            head = np.concatenate([s[~is_late], s[is_late]])
-                    out.append(head[:p])
+                            many = parts[spot[is_late]]
+                            s = np.concatenate([s[~is_late], s[is_late]])
+                            dealt[len(s) - len(many) :] = np.where(many > 1, key % many + 1, 0)
+                    p = prefix_length(len(s), percent)
+                    out.append(s[:p])
+                    part.append(dealt[:p])
                     keys.append(key)
                     sizes.append(len(s))
                 if out:
                     counts = [len(o) for o in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], names=["s", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(part)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], names=["s", "part", "key", "n"])
 
-    return docs.select(text).mapInArrow(run, "s bigint, key bigint, n bigint")
+    return docs.select(text).mapInArrow(run, "s bigint, part bigint, key bigint, n bigint")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[pa.Array]]:
@@ -188,12 +203,14 @@ def _first_tiles(prefixes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
-            s, n, key = (c.to_numpy(zero_copy_only=False) for c in columns)
-            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1])])
-            s, n, key = s[fresh], n[fresh], key[fresh]
-            starts, lengths = _runs(s)
+            s, part, n, key = (c.to_numpy(zero_copy_only=False) for c in columns)
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])])
+            fresh = new | np.concatenate([[True], key[1:] != key[:-1]])
+            s, part, n, key, new = s[fresh], part[fresh], n[fresh], key[fresh], new[fresh]
+            lengths = np.diff(np.append(np.flatnonzero(new), len(s)))
             size = np.repeat(lengths, lengths)
-            small = (size > 1) & (size <= SMALL)
+            large = (size > SMALL) | (part > 0)
+            small = (size > 1) & ~large
             s2, n2, k2 = s[small], n[small], key[small]
             a, b = [], []
             for d in range(1, SMALL):
@@ -205,92 +222,128 @@ def _first_tiles(prefixes: DataFrame, percent: int) -> DataFrame:
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
                 m = len(pairs)
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())], names=["s", "a", "b", "n"])
-            large = size > SMALL
             if large.any():
                 m = int(large.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(s[large]), pa.array(key[large]), pa.nulls(m, pa.int64()), pa.array(n[large])], names=["s", "a", "b", "n"])
 
-    return prefixes.select("s", "n", "key").repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(run, "s bigint, a bigint, b bigint, n bigint")
+    return prefixes.select("s", "part", "n", "key").repartition("s", "part").sortWithinPartitions("s", "part", "n", "key").mapInArrow(run, "s bigint, a bigint, b bigint, n bigint")
 
 
-def _rows_of(n: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, int]:
-    """Bitmaps of a block as one matrix, folded to its narrowest."""
-    words = min(len(b) for b in bits) // 8
-    return np.stack([folded(b, words) for b in bits]), words
+def _apart(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """popcount(xor) of all bitmaps of x with all of y, folded to the narrowest of them."""
+    words = min(map(len, (*x, *y)))
+    fold = lambda rows: np.stack([np.bitwise_xor.reduce(r.reshape(-1, words), axis=0) for r in rows])
+    rows, others = fold(x), fold(y)
+    out = np.zeros((len(x), len(y)), np.int64)
+    for w in range(words):
+        out += np.bitwise_count(rows[:, w, None] ^ others[None, :, w])
+    return out
 
 
-def _blocks(n: np.ndarray, percent: int) -> Iterator[tuple[slice, slice]]:
-    """Blocks of a tile sorted by size: each with what follows it within the size band, block by block."""
-    for i in range(0, len(n), BLOCK):
-        top = n[min(i + BLOCK, len(n)) - 1]
-        for j in range(i, len(n), BLOCK):
-            if 100 * top < percent * n[j] and j > i:
-                break
-            yield slice(i, min(i + BLOCK, len(n))), slice(j, min(j + BLOCK, len(n)))
+def _pair_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """popcount(xor) of two bitmaps, the wider folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """popcount(xor) of all rows of x with all of y, word by word."""
-    out = np.zeros((len(x), len(y)), np.int64)
-    for w in range(x.shape[1]):
-        out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-    return out
+def _passing(n: np.ndarray, bits: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of places (x, y) may link by size and by their own bitmaps."""
+    apart = np.fromiter((_pair_apart(bits[i], bits[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)), np.int64, len(x))
+    return may_link(n[x], n[y], apart, percent) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+
 
+def _pair_rows(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-def _near_pairs(members: DataFrame, percent: int, near: int) -> DataFrame:
-    """(a, b): of each member of a large tile the nearest by bitmap in its block and the one before it in size order."""
+
+def _near_pairs(tiles: DataFrame, classes: DataFrame, percent: int, near: int) -> DataFrame:
+    """(a, b): of each member of a large tile the nearest by bitmap in its block and the one before it in size order.
+
+    Tiles beyond ``PART`` members are dealt into parts by hash; about ``ANCHORS`` members go to all parts and tie them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
-            s, n, key = (c.to_numpy(zero_copy_only=False) for c in columns[:3])
-            bits = columns[3].to_pylist()
+            s, part, n, key = (c.to_numpy(zero_copy_only=False) for c in columns[:4])
+            bits = [np.frombuffer(b, np.uint64) for b in columns[4].to_pylist()]
             found = []
-            for at, m in zip(*_runs(s), strict=True):
-                for i in range(at, at + m, BLOCK):
-                    lo, hi = max(at, i - 64), min(i + BLOCK, at + m)
-                    rows, _ = _rows_of(n[lo:hi], bits[lo:hi])
-                    apart = _apart(rows, rows)
+            starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])]))
+            for at, end in zip(starts, np.append(starts[1:], len(s)), strict=True):
+                for i in range(at, end, BLOCK):
+                    lo, hi = max(at, i - 64), min(i + BLOCK, end)
+                    apart = _apart(bits[lo:hi], bits[lo:hi])
                     ok = may_link(n[lo:hi, None], n[None, lo:hi], apart, percent)
                     apart = np.where(ok, apart, 1 << 40)
                     np.fill_diagonal(apart, 1 << 40)
                     kept = min(near, hi - lo - 1)
-                    nearest = np.argpartition(apart, kept - 1, axis=1)[:, :kept] if kept else np.empty((hi - lo, 0), np.int64)
-                    x = np.repeat(np.arange(hi - lo), kept)
-                    y = nearest.reshape(-1)
-                    good = apart[x, y] < 1 << 40
-                    p, q = key[lo:hi][x[good]], key[lo:hi][y[good]]
-                    found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return members.select("s", "n", "key", "bits").repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(run, "a bigint, b bigint")
-
-
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in a large tile, within the size band and the bitmap bound."""
+                    if kept:
+                        nearest = np.argpartition(apart, kept - 1, axis=1)[:, :kept]
+                        x = np.repeat(np.arange(hi - lo), kept)
+                        y = nearest.reshape(-1)
+                        good = apart[x, y] < 1 << 40
+                        found.append(lo + np.sort(np.stack([x[good], y[good]], 1), axis=1))
+            if found:
+                x, y = np.unique(np.concatenate(found), axis=0).T
+                good = _passing(n, bits, x, y, percent)
+                yield _pair_rows(key, x[good], y[good])
+
+    sizes = tiles.groupBy("s").agg(F.count("*").alias("m"))
+    own = F.pmod(F.xxhash64("key"), F.col("parts"))
+    anchor = F.pmod(F.xxhash64("key", F.lit(1)), F.col("m")) < ANCHORS
+    dealt = tiles.join(sizes, "s").withColumn("parts", F.expr(f"(m + {PART - 1}) div {PART}"))
+    dealt = dealt.withColumn("part", F.explode(F.when((F.col("parts") > 1) & anchor, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(own))))
+    rows = dealt.select("s", "part", "n", "key").join(classes.select("key", "bits"), "key").select("s", "part", "n", "key", "bits")
+    return rows.repartition("s", "part").sortWithinPartitions("s", "part", "n", "key").mapInArrow(run, "a bigint, b bigint")
+
+
+def _cross_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components in a large tile, within the size band and the bitmap bound.
+
+    Tiles of one component are left out by counts alone. Of the others, a component of more than ``BLOCK`` members makes blocks
+    of its own, the rest are dealt into blocks by hash; every two blocks meet in one task, but not two of one component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
-            s, n, key = (c.to_numpy(zero_copy_only=False) for c in columns[:3])
-            bits, root = columns[3].to_pylist(), columns[4].to_numpy(zero_copy_only=False)
-            for at, m in zip(*_runs(s), strict=True):
-                part = slice(at, at + m)
-                if len(np.unique(root[part])) == 1:
-                    continue
-                tn, tk, tr, tb = n[part], key[part], root[part], bits[part]
-                for x, y in _blocks(tn, percent):
-                    if len(np.unique(np.concatenate([tr[x], tr[y]]))) == 1:
-                        continue
-                    words = min(min(map(len, tb[x])), min(map(len, tb[y]))) // 8
-                    ok = may_link(tn[x, None], tn[None, y], _apart(np.stack([folded(b, words) for b in tb[x]]), np.stack([folded(b, words) for b in tb[y]])), percent)
-                    ok &= (tr[x, None] != tr[None, y]) & (100 * np.minimum(tn[x, None], tn[None, y]) >= percent * np.maximum(tn[x, None], tn[None, y]))
-                    if x == y:
-                        ok &= np.tri(len(tn[x]), k=-1, dtype=bool)
-                    i, j = np.nonzero(ok)
-                    p, q = tk[x][i], tk[y][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    return members.select("s", "n", "key", "bits", "root").repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(run, "a bigint, b bigint")
+            unit, side, n, key, root = (c.to_numpy(zero_copy_only=False) for c in columns[:5])
+            bits = [np.frombuffer(b, np.uint64) for b in columns[5].to_pylist()]
+            starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            for at, end in zip(starts, np.append(starts[1:], len(unit)), strict=True):
+                middle = at + int(np.searchsorted(side[at:end], 1))
+                alone = middle == end
+                for i in range(at, middle, 256):
+                    x = np.arange(i, min(i + 256, middle))
+                    for j in range(i if alone else middle, end, 256):
+                        y = np.arange(j, min(j + 256, end))
+                        if 100 * min(n[x[-1]], n[y[-1]]) < percent * max(n[x[0]], n[y[0]]) or root[x].min() == root[x].max() == root[y].min() == root[y].max():
+                            continue
+                        ok = (root[x, None] != root[None, y]) & may_link(n[x, None], n[None, y], _apart(bits[x[0] : x[-1] + 1], bits[y[0] : y[-1] + 1]), percent)
+                        if alone and i == j:
+                            ok &= np.tri(len(x), k=-1, dtype=bool)
+                        p, q = np.nonzero(ok)
+                        p, q = x[p], y[q]
+                        good = _passing(n, bits, p, q, percent)
+                        if good.any():
+                            yield _pair_rows(key, p[good], q[good])
+
+    rooted = tiles.join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    counts = rooted.groupBy("s", "root").agg(F.count("*").alias("m"))
+    sizes = counts.groupBy("s").agg(F.count("*").alias("several"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("others")).where("several > 1")
+    shares = counts.join(sizes, "s").select("s", "root", F.when(F.col("m") > BLOCK, F.col("root")).alias("own"), F.expr(f"(if(m > {BLOCK}, m, others) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    members = written(rooted.join(shares, ["s", "root"]).select("s", "key", "n", "root", "own", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("h")), "join-mixed")
+    blocks = members.select("s", F.struct(F.col("own").isNotNull().alias("is"), F.coalesce("own", F.lit(0)).alias("own"), "h").alias("x")).distinct()
+    both = blocks.join(blocks.withColumnRenamed("x", "y"), "s").where("x <= y and not (x.is and y.is and x.own = y.own)")
+    units = both.withColumn("unit", F.xxhash64("s", "x", "y"))
+    sides = units.select("s", F.col("x").alias("block"), "unit", F.lit(0).alias("side")).unionByName(units.where("x < y").select("s", F.col("y").alias("block"), "unit", F.lit(1).alias("side")))
+    rows = members.withColumn("block", F.struct(F.col("own").isNotNull().alias("is"), F.coalesce("own", F.lit(0)).alias("own"), "h")).join(sides, ["s", "block"]).join(classes.select("key", "bits"), "key")
+    found = rows.select("unit", "side", "n", "key", "root", "bits").repartition("unit").sortWithinPartitions("unit", "side", "n", "key").mapInArrow(run, "a bigint, b bigint")
+    pairs = written(found.distinct(), "join-cross")
+    dropped(members)
+    return pairs
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -298,8 +351,8 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_bits, b_bits = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            apart = np.fromiter((np.bitwise_count(folded(x, w := min(len(x), len(y)) // 8) ^ folded(y, w)).sum() for x, y in zip(a_bits, b_bits, strict=True)), np.int64, len(a_bits))
+            a_bits, b_bits = ([np.frombuffer(b, np.uint64) for b in batch.column(k).to_pylist()] for k in (4, 5))
+            apart = np.fromiter(map(_pair_apart, a_bits, b_bits), np.int64, len(a_bits))
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(may_link(na, nb, apart, percent)))
 
@@ -355,41 +408,58 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _star_links(stars: DataFrame, sets: DataFrame, percent: int, part: int = 2000) -> DataFrame:
-    """Links (a, b) among ``stars`` (a hub, b member; each b once): a hub's set meets its members' sets, each shipped once.
+def _links(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join what the pairs that reach the threshold join, a table of ``written``.
 
-    A hub with many members is dealt into parts of about ``part`` members; its own set goes to each.
+    A component of the candidate pairs is dealt into blocks by hash, about ``SETS`` classes and ``SHINGLES`` shingles each; pairs
+    meet their sets in a task for each two blocks that have any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, mine = None, np.empty(0, np.uint64)
-        for batch in batches:
-            out = []
-            for a, role, b, members in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                if role == 0:
-                    hub, mine = a, np.frombuffer(members, np.uint64)
-                elif hub == a and _reaches(mine, np.frombuffer(members, np.uint64), percent):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+        unit, asked, sets = None, [], {}
 
-    sizes = stars.groupBy("a").agg(F.expr(f"int((count(*) + {part - 1}) div {part})").alias("parts"))
-    hubs = sizes.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    members = stars.join(sizes, "a").select(F.col("b").alias("key"), "a", F.expr("int(pmod(xxhash64(b), parts))").alias("part"), F.lit(1).alias("role"))
-    rows = sets.join(hubs.union(members), "key").select("a", "part", "role", "key", "members")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a bigint, b bigint").distinct()
+        def settled() -> pa.RecordBatch:
+            above = {x: x for x in sets}
 
+            def top(x: int) -> int:
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose exact overlap reaches the threshold."""
+            for a, b in asked:
+                a_top, b_top = top(a), top(b)
+                if a_top != b_top and _reaches(sets[a], sets[b], percent):
+                    above[max(a_top, b_top)] = min(a_top, b_top)
+            joined = [(top(x), x) for x in sets if above[x] != x]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in joined], pa.int64()), pa.array([x for _, x in joined], pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("key").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+            for *of, members, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != unit:
+                    if asked:
+                        yield settled()
+                    unit, asked, sets = of, [], {}
+                if members is None:
+                    asked.append((a, b))
+                else:
+                    sets[a] = np.frombuffer(members, np.uint64)
+        if asked:
+            yield settled()
+
+    roots = components(pairs)
+    sized = roots.select("key", "root").join(classes.select("key", "n"), "key")
+    parts = sized.groupBy("root").agg(F.expr(f"greatest((count(*) + {SETS - 1}) div {SETS}, (sum(n) + {SHINGLES - 1}) div {SHINGLES})").alias("parts"))
+    placed = written(roots.select("key", "root").join(parts, "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("parts")).alias("block")), "join-blocks")
+    dropped(roots)
+    ends = pairs.join(placed.select(F.col("key").alias("a"), "root", F.col("block").alias("x")), "a").join(placed.select(F.col("key").alias("b"), F.col("block").alias("y")), "b")
+    asked = written(ends.select("root", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "join-asked")
+    needed = asked.select("root", "x", "y", F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = _sets(docs, id_col, text, k, placed.select("key"), classes)
+    rows = needed.join(sets, "key").select("root", "x", "y", "members", F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"))
+    rows = rows.unionByName(asked.withColumn("members", F.lit(None).cast("binary")))
+    found = written(rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(run, "a bigint, b bigint"), "join-links")
+    dropped(placed, asked)
+    return found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, hot_size: int = 200_000, near: int = 3) -> DataFrame:
@@ -398,49 +468,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     ship(spark)
     both = written(_profiles(docs, id_col, text, k), "join-profiles")
     hot = both.where(F.col("bits").isNull()).groupBy("key").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "key").limit(hot_size)
-    late = np.sort(np.array([r["key"] for r in hot.collect()], np.int64).view(np.uint64))  # hot_size numbers at most
-    members = both.where(F.col("bits").isNotNull())
-    classes = written(members.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join-classes")
+    frequent = sorted((r["key"] % (1 << 64), -(-r["n"] // HOT)) for r in hot.collect())  # hot_size numbers at most
+    late = np.array([x for x, _ in frequent], np.uint64), np.array([x for _, x in frequent], np.int64)
+    profiles = both.where(F.col("bits").isNotNull())
+    classes = written(profiles.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join-classes")
+    members = written(profiles.select("id", "n", "key"), "join-members")
+    dropped(both)
     first = written(_first_tiles(_prefixes(docs, text, k, percent, spark.sparkContext.broadcast(late)), percent), "join-tiles")
-    freed(spark)
-    tiles = written(first.where("b is null").select("s", F.col("a").alias("key"), "n").join(classes.select("key", "bits"), "key"), "join-members")
+    tiles = first.where("b is null").select("s", F.col("a").alias("key"), "n").distinct()
     pairs = first.where("b is not null").select("a", "b").distinct()
-    pairs = written(_bounded(pairs, classes, percent).union(_near_pairs(tiles, percent, near)).distinct(), "join-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        return _sets(docs, id_col, text, k, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), classes)
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs that are not yet in one component."""
-        for c in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-        return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-    links = roots = None
-    for _ in range(2):  # each class first meets the least of its candidates
-        stars = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "join-stars")
-        found = written(_star_links(stars, sets_of(stars), percent), "join-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        freed(spark)
-        pairs = written(apart(pairs.join(stars, ["a", "b"], "left_anti"), roots), "join-pairs")
-        if 4 * pairs.count() < stars.count():
-            break
-    rooted = tiles.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rest = written(_cross_pairs(rooted, percent).union(pairs).distinct(), "join-rest")
+    pairs = written(_bounded(pairs, classes, percent).union(_near_pairs(tiles, classes, percent, near)).distinct(), "join-pairs")
+    links = _links(pairs, docs, id_col, text, k, classes, percent)
+    roots = components(links)
+    cross = _cross_pairs(tiles, roots, classes, percent)
+    rest = written(cross.join(pairs, ["a", "b"], "left_anti"), "join-rest")
+    dropped(pairs, first, cross)
     if not rest.isEmpty():
-        # Here a set is shipped with each of its pairs: so many parts, one after another, that each ships half the bytes of all sets at most.
-        whole = classes.agg(F.sum("n")).first()[0]
-        shipped = rest.join(classes.select(F.col("key").alias("a"), "n"), "a").agg(F.sum("n")).first()[0]
-        parts = -(-2 * shipped // whole)
-        sets = written(sets_of(rest).dropDuplicates(["key"]), "join-sets")
-        for part in range(parts):
-            some = rest.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
-            links = links.unionByName(written(_links(some, sets, percent), "join-links"))
-            freed(spark)
-        roots = components(links)
+        more = _links(rest, docs, id_col, text, k, classes, percent)
+        dropped(roots)
+        roots = components(links.unionByName(more))
+        dropped(more)
+    dropped(links, rest)
     of_root = roots.join(classes.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("least"))
-    placed = classes.select("key", "rep").join(roots, "key", "left").join(of_root, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+    placed = classes.select("key", "rep").join(roots.select("key", "root"), "key", "left").join(of_root, "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
     full = members.where("n > 0").join(placed, "key").select("id", F.col("n").alias("n_shingles"), "component_id")
     empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)

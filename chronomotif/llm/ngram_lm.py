@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, freed, removed, ship, written
+from chronomotif.llm.common import fresh_path, removed, ship, written
 from chronomotif.llm.jaccard_join import whole_groups
 
 BEGIN, END = np.uint64(0x51ED270B35A1C6E5), np.uint64(0xA24BAED4963EE407)
@@ -432,7 +432,6 @@ def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, b
     os.makedirs(folder, exist_ok=True)
     count, merge = (_count_pairs, _merge_pairs) if order == 2 else (_count_triples, _merge_triples)
     merged = written(merge(count(docs, text, tokens, bits), folder, bits), "lm-tokens")
-    freed(spark)
     pair_stats = np.zeros(10, np.int64)
     for r in merged.where("w is null").select("n").collect():  # one row a shard
         pair_stats += np.frombuffer(bytes(r["n"]), np.int64)
