@@ -100,13 +100,14 @@ class _Words(dict):
     """Ids of words as bytes; a missing word is encoded when it is asked for."""
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
+        lower = word.lower()
         wide = "H" if _STATE["wide"] == "<u2" else "I"
-        if raw.translate(None, _KNOWN) or "<|" in word:
+        # some letters below U+0280 have lower-case forms above it
+        if "<|" in word or not (word.isascii() and word.isprintable()) and (word + lower).encode("utf-8", "surrogatepass").translate(None, _KNOWN):
             ids = array(wide, _STATE["tokenizer"].encode(word, add_special_tokens=False).ids).tobytes()
         else:
             parts, found = _STATE["parts"], []
-            for part in _PRE_TOKEN.findall(word.lower()):
+            for part in _PRE_TOKEN.findall(lower):
                 some = parts.get(part)
                 if some is None:
                     name = part if part.isascii() else "".join([_NAMES[b] for b in part.encode()])

@@ -55,6 +55,22 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.token_digests(none, path).count() == 0
 
 
+def test_every_code_point_is_encoded_as_by_the_tokenizer():
+    """Alone and inside words: all code points below U+0300, the rest of the plane by steps, and random mixes."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    points = [c for c in [*range(1, 0x300), *range(0x300, 0x30000, 37)] if not 0xD800 <= c < 0xE000]
+    texts = [x for c in map(chr, points) for x in (c, f"{c}x", f"a{c}b", f"1{c}'s {c}{c}")]
+    rng = random.Random(5)
+    texts += ["".join(chr(rng.choice(points[:0x2FF])) if rng.random() < 0.4 else rng.choice("abcXYZ '019.!") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    want = [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in token_files.encode_texts(texts, path, 1)] == want
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
