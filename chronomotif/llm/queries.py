@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm import decontaminate, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, toxicity, url_filter
+from chronomotif.llm import decontaminate, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, toxicity, url_filter, url_labels
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,7 +55,8 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+    labelled = spark.createDataFrame(url_labels.rows(), "url string, label int")
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES, labelled)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

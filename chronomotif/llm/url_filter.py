@@ -1,8 +1,9 @@
 """URL filters: fixed rules first, else logistic regression on hashed character n-grams of host and path.
 
-The model is trained in numpy on a small labelled URL table. Its rows are at most ``MAX_LABELLED`` (a table passed in is
-checked against that), so training is bounded and the weights have a fixed size (2 ** ``BITS`` floats), shipped with the
-task. Scoring is one pass without a shuffle; a host seen before is scored from a cache in the worker.
+The model is trained in numpy on a small labelled URL table, a DataFrame (url, label: 1 for block). Its rows are at most
+``MAX_LABELLED`` (more raise an error), so training is bounded and the weights have a fixed size (2 ** ``BITS`` floats),
+shipped with the task. The query's table is ``url_labels``; rows without a url or label are left out, and without any rows
+each URL scores 0.5 and is blocked at the default threshold. Scoring is one pass without a shuffle; a host seen before is scored from a cache in the worker.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to ``?``, ``#`` or
 the end. A rule (host, path, verdict) fits its host and all subdomains when the path starts with the rule's; the longest
@@ -29,31 +30,6 @@ from chronomotif.llm.common import ship
 BITS = 16
 MAX_LABELLED = 100_000
 
-# The labelled URL table is made from these by ``labelled_urls``.
-UNWANTED = "spam farm casino win cheap pills adult x free bets ads track poker slots viagra xxx porn loan payday jackpot betting lottery replica click-bait banner popup tracker warez torrent crack pills-online sex cams escort bingo".split()
-WANTED = "news library school museum garden science history weather travel recipes music sports council archive journal forum photo health city river mountain cooking books theatre gallery bakery wiki docs blog-post family village market nature letters".split()
-SYLLABLES = "th er re on in at nd st es en of ed to or ea ti he ha sh wh ou ing tion and ent ion ter was you ith".split()
-
-
-def labelled_urls(seed: int = 7, each: int = 1500) -> list[tuple[str, int]]:
-    """(url, 1 for block) from the word lists and a seed: unwanted hosts joined of unwanted words, wanted ones of wanted words or syllables."""
-    rng = np.random.default_rng(seed)
-    pick = lambda words: words[int(rng.integers(len(words)))]
-    rows = []
-    for k in range(2 * each):
-        bad = k % 2
-        if bad:
-            name = "-".join(pick(UNWANTED) for _ in range(2)) if rng.random() < 0.8 else pick(UNWANTED) + pick(SYLLABLES)
-        elif rng.random() < 0.7:
-            name = "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 5))))
-        else:
-            name = "-".join(pick(WANTED) for _ in range(int(rng.integers(1, 3))))
-        sub = pick(["", "", "www.", "m.", "blog."])
-        path = f"/{pick(['en', 'de', 'fr', 'es'])}/{int(rng.integers(1, 1000))}{pick(['', '', '/', '.html'])}" if rng.random() < 0.8 else "/" + pick(SYLLABLES) + pick(SYLLABLES)
-        rows.append((f"https://{sub}{name}.example.{pick(['com', 'net', 'org'])}{path}", bad))
-    return rows
-
-
 _SPLIT = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
 
@@ -107,11 +83,12 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> C
     return out
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: list[tuple[str, int]] | None = None, id_col: str = "page_id", url: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame, id_col: str = "page_id", url: str = "url", threshold: float = 0.5) -> DataFrame:
     """(id, host, path, rule, score, verdict); the score is null where a rule decides."""
     spark = pages.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(train(labelled if labelled is not None else labelled_urls()))
+    known = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("int")).limit(MAX_LABELLED + 1).collect()
+    shared = spark.sparkContext.broadcast(train(sorted((r[0], r[1]) for r in known)))
     raw = F.col(url)
     found = F.coalesce(raw, F.lit("")).contains("://")
     after = F.when(found, F.substring_index(F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"), "#", 1)).otherwise(F.lit(""))
