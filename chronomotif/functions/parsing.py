@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronomotif.plans import catalog
-from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
+# The forms in which answers name events, as patterns of four groups.
 QUAD = r"""[(\[]\s*["']?u?(\d+)["']?\s*,\s*["']?u?(\d+)["']?\s*,\s*["']?t?(\d+)["']?\s*,\s*["']?([adAD])["']?\s*[)\]]"""
-PAIR = r"""[(\[]\s*["']?([A-Za-z0-9]+-?[A-Za-z]+)["']?\s*,\s*(\d+)\s*[)\]]"""
+TUPLE = r"""\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*['"]?([ad])['"]?\s*\)"""
+LISTED = r"""\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*['"]?([ad])['"]?\s*\]"""
+LOOSE = [r"\(\s*(\d+)\s*,?\s*(\d+)\s*,?\s*(\d+)\s*,?\s*([ad])\s*\)", r"(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*([ad])"]
+AGENT = [r'''\[(\d+),\s*(\d+),\s*(\d+),\s*"(\w+)"\]''', r"""\[(\d+),\s*(\d+),\s*(\d+),\s*'(\w+)'\]""", r"\[(\d+),\s*(\d+),\s*(\d+),\s*(\w+)\]"]
+NESTED = r"""\[\s*(?:\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*['"]?[ad]['"]?\s*\]\s*,?\s*)+\]"""
+# What stands before an answer, in the order in which it is looked for.
+MARKERS = {"answer": ("Answer:",), "set": ("Answer:", "The answer is:", "Final answer:"), "names": ("Answer:", "**Answer:**"), "times": ("Answer:", "**Answer:**", "### Final Answer")}
+LONGEST_NAME_LIST = 200
 #: Two numbers, by the first pattern that fits; the order matters. First the fixed forms of answers, then looser ones.
 TWO_INTS = [
     r"(?is)nodes are first connected at time \\+boxed\{(\d+)\}.*?disconnected at time \\+boxed\{(\d+)\}",
@@ -47,82 +52,162 @@ TWO_INTS = [
     r"(?i)\*\*answer:\*\*\s*(\d+),\s*(\d+)(?:[.\s]*$|[.\s]*\n.*?(?:therefore|thus|hence|so),?\s+(?:the\s+)?answer\s+is\s*\1,\s*\2)",
     r"(?i)\*\*answer:\*\*\s*(\d+),\s*(\d+)[.\s]*$",
     r"(?i)answer:\s*(\d+),\s*(\d+)",
-    r"^[\[\]\s]*(\d+)\s*,\s*(\d+)[\[\]\s]*$",
-    r"(?i)(\d+)[,\s]+(\d+)\s*$",
-    r"(?i)(?:connected|linked|link)\D{0,20}?(\d+)\D+?(?:disconnected|unlinked|dislinked|removed)\D{0,20}?(\d+)",
-    r"[\[(]\s*(\d+)\s*,\s*(\d+)\s*[\])]",
-    r"(?i)from\D{0,10}?(\d+)\s*(?:to|until|till)\D{0,10}?(\d+)",
-    r"(?i)at\D{0,10}?(\d+)\s*and\D{0,10}?(\d+)",
-    r"(\d+)\s*(?:,|;|and|to|-)\s*(\d+)",
-    r"(\d+)\s+(\d+)",
 ]
-#: Lines of the form name: number, in the order in which they are tried.
-NAME_LINES = [PAIR, r"""["']?([A-Za-z0-9]+-?[A-Za-z]+)["']?\s*[:=]\s*(\d+)""", r"([A-Za-z0-9]+-?[A-Za-z]+)\s+(?:at|is|appears at|first at)\D{0,12}?(\d+)"]
+#: Tried last: the whole answer of a tool-using model, and two numbers at the end of any other.
+AGENT_TWO_INTS, LAST_TWO_INTS = r"^[\[\]\s]*([+-]?\d+)\s*,\s*([+-]?\d+)[\[\]\s]*$", r"(\d+)[,\s]+(\d+)\s*$"
+#: A literal list of pairs: a quoted name and a number.
+_ITEM = r"""[\[(]\s*(?:"[^"]*"|'[^']*')\s*,\s*["']?-?\d+(?:\.\d*)?["']?\s*,?\s*[\])]"""
+LITERAL = rf"(?s)^\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*,?\s*)?\]$"
+LITERAL_PAIR = r"""[\[(]\s*["']([^"']*)["']\s*,\s*["']?(-?\d+)(?:\.\d*)?["']?\s*,?\s*[\])]"""
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end, line ends too."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def yes_no(response: Column) -> Column:
     """The first whole word yes or no, lower case; null without one."""
-    return F.nullif(F.regexp_extract(F.lower(F.trim(response)), r"\b(yes|no)\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(strip(response)), r"\b(yes|no)\b", 1), F.lit(""))
 
 
 def after(response: Column, markers: tuple[str, ...] = ("Answer:",)) -> Column:
     """Text behind the last of the first marker that occurs; null without one."""
-    return F.coalesce(*[F.when(response.contains(m), F.trim(F.substring_index(response, m, -1))) for m in markers])
+    return F.coalesce(*[F.when(response.contains(m), strip(F.substring_index(response, m, -1))) for m in markers])
 
 
 def after_or_all(response: Column) -> Column:
     return F.coalesce(after(response), response)
 
 
-def quads(response: Column) -> Column:
-    """array<struct<u, v, t, op>> of all (u, v, t, op) or [u, v, t, op] in the text, in order."""
-    part = lambda k: F.regexp_extract_all(response, F.lit(QUAD), F.lit(k))
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<u, v, t, op>> of all matches of a pattern of four groups, in order; null without any."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
     zipped = F.arrays_zip(part(1).alias("u"), part(2).alias("v"), part(3).alias("t"), part(4).alias("op"))
-    return F.transform(zipped, lambda q: F.struct(q["u"].try_cast("int").alias("u"), q["v"].try_cast("int").alias("v"), q["t"].try_cast("int").alias("t"), F.lower(q["op"]).alias("op")))
+    made = F.transform(zipped, lambda q: F.struct(q["u"].try_cast("int").alias("u"), q["v"].try_cast("int").alias("v"), q["t"].try_cast("int").alias("t"), F.lower(q["op"]).alias("op")))
+    return F.when(F.size(made) > 0, made)
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<u:int,v:int,t:int,op:string>>")
+
+
+def _last(text: Column, pattern: str) -> Column:
+    """The last match of a pattern's first group; null without any."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+
+
+def quads(response: Column) -> Column:
+    """All (u, v, t, op) or [u, v, t, op] in the text, in order; of tool inputs and the like."""
+    return F.coalesce(_matches(response, QUAD), _none())
+
+
+def quads_sorted(response: Column, agent: bool = False) -> Column:
+    """Events of the last [...] of an answer, by the first of three forms that finds any. ``agent``: lists of four anywhere."""
+    if agent:
+        return F.coalesce(*[_matches(response, p) for p in AGENT], _none())
+    listed = _last(response, r"(?s)\[(.*?)\]")
+    return F.coalesce(*[_matches(listed, p) for p in (TUPLE, *LOOSE)], _none())
+
+
+def quads_set(response: Column) -> Column:
+    """Distinct events of the last paragraph behind the answer's marker (without one, of the whole text)."""
+    text = F.coalesce(after(response, MARKERS["set"]), strip(response))
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: strip(p)), lambda p: F.regexp_replace(p, r"\s", "") != "")
+    return F.coalesce(F.array_distinct(_matches(F.coalesce(F.try_element_at(paragraphs, F.lit(-1)), text), TUPLE)), _none())
 
 
-def two_ints(response: Column) -> Column:
-    """array<int> of two numbers, or null."""
+def quads_reversed(response: Column) -> Column:
+    """Events behind the marker, of the first list of lists, else of all tuples; where there are none, of the whole text."""
+    def of(text: Column) -> Column:
+        nested = F.regexp_extract(text, NESTED, 0)
+        return F.when(nested != "", _matches(nested, LISTED)).otherwise(_matches(text, TUPLE))
+
+    return F.coalesce(of(after(response)), of(response), _none())
+
+
+def quads_answer(response: Column) -> Column:
+    """Tuples of the first [...] behind the marker; without a bracket there, or without a marker, tuples anywhere, else lists."""
+    def free(text: Column) -> Column:
+        return F.coalesce(_matches(text, TUPLE), _matches(text, LISTED))
+
+    marked = after(response)
+    bracket = F.regexp_extract(marked, r"(?s)\[(.*?)\]", 0)
+    found = F.when(marked.isNull(), free(response)).when(bracket != "", _matches(bracket, TUPLE)).otherwise(free(marked))
+    return F.coalesce(found, _none())
+
+
+def two_ints(response: Column, agent: bool = False) -> Column:
+    """array<int> of the two numbers behind the marker, by the first form that fits; null without a marker or a form. ``agent``: the whole text."""
+    text = F.lower(strip(response if agent else after(response)))
+
     def one(p: str) -> Column:
-        a, b = (F.regexp_extract(response, p, k) for k in (1, 2))
+        a, b = (F.regexp_extract(text, p, k) for k in (1, 2))
         return F.when(a != "", F.array(a.try_cast("int"), b.try_cast("int")))
 
-    return F.coalesce(*[one(p) for p in TWO_INTS])
+    return F.coalesce(*[one(p) for p in (*TWO_INTS, AGENT_TWO_INTS if agent else LAST_TWO_INTS)])
 
 
-def names(response: Column, valid: list[str] = catalog.NAMES) -> Column:
-    """Sorted distinct valid names of a list; null for over 200 characters."""
-    parts = F.transform(F.split(F.lower(response), r"[,\s]+"), lambda x: F.regexp_replace(x, r"""^[\[\]()"'.]+|[\[\]()"'.]+$""", ""))
+def names(response: Column, agent: bool = False, valid: list[str] = catalog.NAMES) -> Column:
+    """Sorted distinct valid names behind the marker; other words don't count. Null without a marker or beyond 200 characters."""
+    flat = F.regexp_replace(F.replace(response, F.lit("\\n"), F.lit("\n")), "\n", " ")
+    text = strip(flat if agent else after(flat, MARKERS["names"]))
+    parts = F.transform(F.split(text, r"[,\s]+"), lambda x: F.lower(F.regexp_replace(x, r"""[()'".,;:\[\]{}]""", "")))
     kept = F.array_sort(F.array_intersect(parts, F.array(*[F.lit(v) for v in valid])))
-    return F.when(F.length(response) <= 200, kept)
+    return F.when(F.length(text) <= LONGEST_NAME_LIST, kept)
+
 
+def _literal(text: Column) -> Column:
+    """array<struct<name, n>> of a literal list of pairs; null for any other text. Numbers lose their fraction."""
+    a, b = (F.regexp_extract_all(text, F.lit(LITERAL_PAIR), F.lit(k)) for k in (1, 2))
+    rows = F.transform(F.arrays_zip(a.alias("name"), b.alias("n")), lambda x: F.struct(F.lower(strip(x["name"])).alias("name"), x["n"].try_cast("bigint").alias("n")))
+    return F.when(text.rlike(LITERAL), rows)
 
-def all_names(response: Column) -> Column:
-    """All distinct entries of a list, valid or not."""
-    parts = F.transform(F.split(F.lower(response), r"[,\s]+"), lambda x: F.regexp_replace(x, r"""^[\[\]()"'.]+|[\[\]()"'.]+$""", ""))
-    return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
+def name_counts(response: Column, agent: bool = False) -> Column:
+    """array<struct<name, n>> of the list behind the marker, in its first fenced block if it has one; null if it can't be read."""
+    text = strip(response if agent else after(response, MARKERS["names"]))
+    block = F.regexp_extract_all(text, F.lit(r"(?s)```(?:python)?\s*\n?(.*?)\n?```"), F.lit(1))
+    bare = F.coalesce(F.get(block, F.lit(0)), F.regexp_replace(text, r"(?s)```.*$", ""))
+    return _literal(strip(F.regexp_replace(bare, r"(?s)^[^\[]*\[", "[")))
 
-def name_numbers(response: Column) -> Column:
-    """array<struct<name, n>>: pairs by the first pattern that finds any; the first pair of a name counts."""
-    def found(p: str) -> Column:
-        a, b = (F.regexp_extract_all(response, F.lit(p), F.lit(k)) for k in (1, 2))
-        z = F.arrays_zip(a.alias("name"), b.alias("n"))
-        rows = F.transform(z, lambda x: F.struct(F.lower(x["name"]).alias("name"), x["n"].try_cast("bigint").alias("n")))
-        return F.when(F.size(a) > 0, rows)
 
-    return F.coalesce(*[found(p) for p in NAME_LINES])
+def name_times(response: Column, agent: bool = False) -> Column:
+    """array<struct<name, n>> of the last fenced block, else behind the marker: a literal list, else line by line; first of a name counts.
 
+    Empty if nothing could be read, null without a text to read. Lines: (name, n); **name**: n; "name", n; "name": n; - name: n.
+    """
+    blocks = F.regexp_extract_all(response, F.lit(r"(?s)```(?:python)?\s*\n?(.*?)\n?```"), F.lit(1))
+    found = strip(response) if agent else strip(F.coalesce(F.try_element_at(blocks, F.lit(-1)), after(response, MARKERS["times"])))
+    text = strip(F.regexp_replace(F.regexp_replace(found, r"</?\w+>", ""), r"```[^`]*```|```", ""))
 
-def fenced(response: Column) -> Column:
-    """The last fenced block, or the whole text."""
-    blocks = F.regexp_extract_all(response, F.lit(r"(?s)```(?:\w+\n)?(.*?)```"), F.lit(1))
-    return F.coalesce(F.try_element_at(blocks, F.lit(-1)), response)
+    def pair(body: Column, by: str, clean) -> Column:
+        parts = F.split(body, by)
+        n = strip(F.get(parts, F.lit(1)))
+        return F.when((F.size(parts) == 2) & n.rlike(r"^[+-]?\d+$"), F.struct(F.lower(clean(strip(F.get(parts, F.lit(0))))).alias("name"), n.try_cast("bigint").alias("n")))
+
+    quotes = lambda x: F.regexp_replace(x, '^"+|"+$', "")
+    stars = lambda x: strip(F.regexp_replace(x, r"^\*+|\*+$", ""))
+    dashed = lambda x: F.regexp_replace(x, "^[- ]+", "")
+
+    def line(raw: Column) -> Column:
+        x = strip(raw)
+        return (
+            F.when(x.startswith("(") & x.endswith(")"), pair(F.regexp_replace(x, "^[()]+|[()]+$", ""), ",", quotes))
+            .when(x.contains("**") & x.contains(":"), pair(dashed(x), ":", stars))
+            .when(x.contains('"') & x.contains(","), pair(x, ",", quotes))
+            .when(x.startswith('"') & x.contains(":"), pair(x, ":", quotes))
+            .when(x.startswith("-") & x.contains(":"), pair(dashed(x), ":", quotes))
+        )
+
+    lines = F.filter(F.transform(F.split(text, "\n"), line), lambda x: x.isNotNull())
+    listed = _literal(F.replace(text, F.lit("'"), F.lit('"')))
+    return F.when(found != "", F.when(F.size(listed) > 0, listed).otherwise(lines))
 
 
 def question(prompt: Column) -> Column:
     """What follows the last Question: up to Answer:."""
-    return F.trim(F.substring_index(F.substring_index(prompt, "Question:", -1), "Answer:", 1))
+    return strip(F.substring_index(F.substring_index(prompt, "Question:", -1), "Answer:", 1))
 
 
 def edge_list(text: Column) -> Column:
@@ -135,22 +220,4 @@ def tool_input(text: Column) -> Column:
     body = F.regexp_replace(F.regexp_extract(text, r"(?s)(\{.*\})", 1), r"\s+", " ")
     mended = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "'", '"'), r"\(", "["), r"\)", "]")
     quoted = F.regexp_replace(mended, r'(?<=[\[,\s])([ut]\d+|[ad])(?=\s*[,\]])', '"$1"')
-    return F.transform_keys(F.from_json(F.coalesce(quoted, F.lit("{}")), "map<string,string>"), lambda k, _: F.trim(k))
-
-
-def _talk(spark, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/conversations.parquet")
-
-
-def registered() -> list[tuple[str, Callable, str | None]]:
-    said = lambda te: te.select("graph_id", "seq", F.concat(F.lit("Thought. Answer: ("), F.concat_ws(", ", "u", "v", "t", "op"), F.lit(") or ["), F.concat_ws(",", "v", "u", "t"), F.lit(",'d']")).alias("r"))
-    flat = lambda c: F.array_join(F.transform(c, lambda q: F.concat_ws("/", q["u"].cast("string"), q["v"].cast("string"), q["t"].cast("string"), q["op"])), " ")
-    te_sql = f"WITH {EDGES_SQL} SELECT graph_id, seq, "
-    return [
-        ("parse_yes_no", lambda s, d: _talk(s, d).select("conv_id", "turn", yes_no(F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, " Yes.").otherwise(" no way"))).alias("answer")),
-         r"SELECT conv_id, turn, nullif(regexp_extract(lower(trim(text || CASE WHEN turn % 2 = 0 THEN ' Yes.' ELSE ' no way' END)), '\b(yes|no)\b', 1), '') AS answer FROM conversations"),
-        ("parse_quads", lambda s, d: said(temporal_edges(s, d)).select("graph_id", "seq", flat(quads(after(F.col("r")))).alias("quads")), te_sql + "u || '/' || v || '/' || t || '/' || op || ' ' || v || '/' || u || '/' || t || '/d' AS quads FROM te"),
-        ("parse_two_ints", lambda s, d: temporal_edges(s, d).select("graph_id", "seq", F.array_join(two_ints(F.when(F.col("seq") % 3 == 0, F.format_string("[%d, %d]", "u", "t")).when(F.col("seq") % 3 == 1, F.format_string("connected at time %d and disconnected at time %d", "u", "t")).otherwise(F.format_string("from %d to %d", "u", "t"))).cast("array<string>"), " ").alias("numbers")), te_sql + "u || ' ' || t AS numbers FROM te"),
-        ("parse_name_list", lambda s, d: temporal_edges(s, d).select("graph_id", "seq", F.array_join(names(F.when(F.col("seq") % 2 == 0, "[Triangle, 'butterfly', nothing]").otherwise("4-cycle 3-star.")), " ").alias("names")), te_sql + "CASE WHEN seq % 2 = 0 THEN 'butterfly triangle' ELSE '3-star 4-cycle' END AS names FROM te"),
-        ("parse_name_num_pairs", lambda s, d: temporal_edges(s, d).select("graph_id", "seq", F.array_join(F.transform(name_numbers(F.when(F.col("seq") % 2 == 0, F.format_string('```json\n[["triangle", %d], ["4-cycle", 2]]```', "t")).otherwise(F.format_string("triangle: %d\n4-cycle: 2", "t"))), lambda p: F.concat_ws("=", p["name"], p["n"].cast("string"))), " ").alias("pairs")), te_sql + "'triangle=' || t || ' 4-cycle=2' AS pairs FROM te"),
-    ]
+    return F.transform_keys(F.from_json(F.coalesce(quoted, F.lit("{}")), "map<string,string>"), lambda k, _: strip(k))

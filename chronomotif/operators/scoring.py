@@ -10,16 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.functions import parsing, text
+from chronomotif.functions import parsing
 from chronomotif.operators import logs, motifs
-from chronomotif.plans.motif import DIRECTED_SQL, instances_sql
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
 QUADS = "array<struct<u:int,v:int,t:int,op:string>>"
 
 
 def _events(te: DataFrame) -> DataFrame:
-    return te.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v", "t", "op")).alias("_e"))
+    return te.groupBy("graph_id").agg(F.collect_set(F.struct("u", "v", "t", "op")).alias("_e"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -27,12 +26,15 @@ def _same(a: Column, b: Column) -> Column:
     return clean(a) == clean(b)
 
 
-def _parsed(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("_q", parsing.quads(parsing.after_or_all(F.col("response"))))
+def _beside(responses: DataFrame, truth: DataFrame, parsed: Column) -> DataFrame:
+    """Responses with their parsed events ``_q`` and the distinct true ones ``_e``."""
+    df = responses.withColumn("_q", parsed).join(_events(truth), "graph_id", "left")
+    return df.withColumn("_e", F.coalesce("_e", F.array().cast(QUADS)))
 
 
-def score_sort(te: DataFrame, responses: DataFrame) -> DataFrame:
-    df = _parsed(responses).join(_events(te), "graph_id", "left").withColumn("_e", F.coalesce("_e", F.array().cast(QUADS)))
+def score_sort(te: DataFrame, responses: DataFrame, agent: bool = False) -> DataFrame:
+    """1 all events in order of time (repeats are no fault), -1 out of order, -2 other events, -3 none; an empty log and no events: 1."""
+    df = _beside(responses, te, parsing.quads_sorted(F.col("response"), agent))
     ordered = F.aggregate("_q", F.struct(F.lit(True).alias("ok"), F.lit(-1).alias("t")), lambda a, q: F.struct((a["ok"] & (q["t"] >= a["t"])).alias("ok"), q["t"].alias("t")))["ok"]
     metric = F.when((F.size("_q") == 0) & (F.size("_e") == 0), 1).when(F.size("_q") == 0, -3).when(~_same(F.col("_q"), F.col("_e")), -2).when(~ordered, -1).otherwise(1)
     return df.select("graph_id", metric.cast("double").alias("metric"))
@@ -40,24 +42,26 @@ def score_sort(te: DataFrame, responses: DataFrame) -> DataFrame:
 
 def score_set(truth: DataFrame, responses: DataFrame) -> DataFrame:
     """Set equality with ``truth`` (graph_id, u, v, t, op); an unreadable answer is the empty set."""
-    df = _parsed(responses).join(_events(truth), "graph_id", "left").withColumn("_e", F.coalesce("_e", F.array().cast(QUADS)))
+    df = _beside(responses, truth, parsing.quads_set(F.col("response")))
     return df.select("graph_id", _same(F.col("_q"), F.col("_e")).cast("double").alias("metric"))
 
 
-def score_link(truth: DataFrame, responses: DataFrame) -> DataFrame:
+def score_link(truth: DataFrame, responses: DataFrame, agent: bool = False) -> DataFrame:
     """``truth``: (graph_id, first_add, first_delete)."""
-    df = responses.join(truth, "graph_id").withColumn("_p", parsing.two_ints(parsing.after_or_all(F.col("response"))))
+    df = responses.join(truth, "graph_id").withColumn("_p", parsing.two_ints(F.col("response"), agent))
     return df.select("graph_id", F.when(F.col("_p").isNull(), -1).otherwise((F.col("_p") == F.array("first_add", "first_delete")).cast("int")).cast("double").alias("metric"))
 
 
-def _answered(te: DataFrame, responses: DataFrame) -> DataFrame:
-    extra = _parsed(responses).select("graph_id", F.explode("_q").alias("q")).select("graph_id", F.lit(1 << 30).alias("seq"), "q.u", "q.v", "q.t", "q.op")
+def _answered(te: DataFrame, responses: DataFrame, parsed: Column) -> DataFrame:
+    """The logs of the responses with the answered events behind them."""
+    extra = responses.select("graph_id", F.explode(parsed).alias("q")).select("graph_id", F.lit(1 << 30).alias("seq"), "q.u", "q.v", "q.t", "q.op")
     return te.join(responses.select("graph_id"), "graph_id", "left_semi").select("graph_id", "seq", "u", "v", "t", "op").unionByName(extra)
 
 
 def score_reverse(te: DataFrame, responses: DataFrame) -> DataFrame:
-    """1 if the log followed by the answer leaves nothing."""
-    return logs.replay_is_empty(_answered(te, responses)).select("graph_id", F.col("is_empty").cast("double").alias("metric"))
+    """1 if the log and the answer, replayed together by time, leave nothing; also where neither has events."""
+    left = logs.replay_is_empty(_answered(te, responses, parsing.quads_reversed(F.col("response"))))
+    return responses.select("graph_id").join(left, "graph_id", "left").select("graph_id", F.coalesce("is_empty", F.lit(True)).cast("double").alias("metric"))
 
 
 def score_yes_no(truth: DataFrame, responses: DataFrame) -> DataFrame:
@@ -66,41 +70,42 @@ def score_yes_no(truth: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def score_modify(te: DataFrame, responses: DataFrame, motif, window: int | None = None) -> DataFrame:
-    """1 if the log with the answered events contains the motif."""
-    return motifs.judge(_answered(te, responses), motif, window=window).select("graph_id", (F.col("answer") == "Yes").cast("double").alias("metric"))
+    """1 if there are answered events and the log with them contains the motif."""
+    said = responses.select("graph_id", parsing.quads_answer(F.col("response")).alias("_q")).where(F.size("_q") > 0)
+    yes = motifs.found(_answered(te, said, F.col("_q")), motif, window=window).select("graph_id").distinct().withColumn("_y", F.lit(1.0))
+    return responses.select("graph_id").join(yes, "graph_id", "left").select("graph_id", F.coalesce("_y", F.lit(0.0)).alias("metric"))
 
 
-def score_multi_judge(truth: DataFrame, responses: DataFrame) -> DataFrame:
-    """(hits - false names) / names in ``truth`` (graph_id, motifs); 0 without truth or without an answer mark."""
+def score_multi_judge(truth: DataFrame, responses: DataFrame, agent: bool = False) -> DataFrame:
+    """(hits - false catalog names) / names in ``truth`` (graph_id, motifs); 0 without truth, without a marker or for an overlong answer."""
     real = F.filter(F.split("motifs", ","), lambda x: x != "")
-    df = responses.join(truth, "graph_id").withColumn("_r", real).withColumn("_n", parsing.all_names(parsing.after(F.col("response"))))
+    df = responses.join(truth, "graph_id").withColumn("_r", real).withColumn("_n", parsing.names(F.col("response"), agent))
     hits = F.size(F.array_intersect("_n", "_r"))
-    metric = F.when((F.size("_r") == 0) | F.col("_n").isNull(), 0.0).otherwise((hits - F.size(F.array_except("_n", "_r"))) / F.size("_r"))
+    metric = F.when((F.size("_r") == 0) | F.col("_n").isNull(), 0.0).otherwise((2 * hits - F.size("_n")) / F.size("_r"))
     return df.select("graph_id", metric.alias("metric"))
 
 
-def _pairs(responses: DataFrame) -> DataFrame:
-    read = responses.withColumn("_p", parsing.name_numbers(parsing.fenced(parsing.after_or_all(F.col("response")))))
-    rows = read.select("graph_id", F.posexplode("_p")).select("graph_id", "pos", F.col("col.name").alias("motif_name"), "col.n")
-    return rows.groupBy("graph_id", "motif_name").agg(F.min_by("n", "pos").alias("n"))
+def score_multi_count(truth: DataFrame, responses: DataFrame, agent: bool = False) -> DataFrame:
+    """Sum over the distinct answered pairs of answer / truth where the answer isn't above it, by the number of ``truth`` rows (graph_id, motif_name, n_instances).
 
+    -1 unreadable or no truth.
+    """
+    read = responses.select("graph_id", parsing.name_counts(F.col("response"), agent).alias("_p"))
+    got = read.select("graph_id", F.explode("_p").alias("p")).select("graph_id", F.col("p.name").alias("motif_name"), "p.n").distinct()
+    credit = truth.join(got, ["graph_id", "motif_name"], "left").groupBy("graph_id", "motif_name").agg(F.sum(F.when(F.col("n") <= F.col("n_instances"), F.col("n") / F.col("n_instances"))).alias("c"))
+    scored = credit.groupBy("graph_id").agg((F.sum(F.coalesce("c", F.lit(0.0))) / F.count("*")).alias("metric"))
+    df = read.join(scored, "graph_id", "left")
+    return df.select("graph_id", F.when(F.col("_p").isNull() | F.col("metric").isNull(), -1.0).otherwise(F.col("metric")).alias("metric"))
 
-def _against(truth: DataFrame, responses: DataFrame, value: str, credit: Column, none: float) -> DataFrame:
-    got = _pairs(responses)
-    scored = truth.join(got, ["graph_id", "motif_name"], "left").groupBy("graph_id").agg((F.sum(F.coalesce(credit, F.lit(0.0))) / F.count("*")).alias("metric"))
-    said = got.select("graph_id").distinct().withColumn("_said", F.lit(True))
-    df = responses.select("graph_id").join(scored, "graph_id", "left").join(said, "graph_id", "left")
-    return df.select("graph_id", F.when(F.col("_said").isNull(), none).otherwise(F.coalesce("metric", F.lit(-1.0))).alias("metric"))
 
-
-def score_multi_count(truth: DataFrame, responses: DataFrame) -> DataFrame:
-    """Mean over ``truth`` (graph_id, motif_name, n_instances) of answer / truth where the answer isn't above it; -1 unreadable or no truth."""
-    return _against(truth, responses, "n_instances", F.when(F.col("n") <= F.col("n_instances"), F.col("n") / F.col("n_instances")), -1.0)
-
-
-def score_first_time(truth: DataFrame, responses: DataFrame) -> DataFrame:
-    """Share of ``truth`` (graph_id, motif_name, first_time) answered exactly; 0 if nothing was read."""
-    return _against(truth, responses, "first_time", (F.col("n") == F.col("first_time")).cast("double"), 0.0)
+def score_first_time(truth: DataFrame, responses: DataFrame, agent: bool = False) -> DataFrame:
+    """Share of ``truth`` (graph_id, motif_name, first_time) that the first pair of its name has exactly; 0 if nothing was read or true, -1 without a text."""
+    read = responses.select("graph_id", parsing.name_times(F.col("response"), agent).alias("_p"))
+    got = read.select("graph_id", F.posexplode("_p").alias("pos", "p")).groupBy("graph_id", F.col("p.name").alias("motif_name")).agg(F.min_by("p.n", "pos").alias("n"))
+    hit = (F.col("n") == F.col("first_time")).cast("double")
+    scored = truth.join(got, ["graph_id", "motif_name"], "left").groupBy("graph_id").agg((F.sum(F.coalesce(hit, F.lit(0.0))) / F.count("*")).alias("metric"))
+    df = read.join(scored, "graph_id", "left")
+    return df.select("graph_id", F.when(F.col("_p").isNull(), -1.0).otherwise(F.coalesce("metric", F.lit(0.0))).alias("metric"))
 
 
 def result_rates(metrics: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,80 +149,12 @@ def chunks_joined(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(text_of.alias("content"), F.max_by("finish_reason", "idx").alias("finish_reason"))
 
 
-def _rendered(te: DataFrame, *order) -> DataFrame:
-    e = te.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "u", "v", "t", "op"))).alias("e"))
-    return e.select("graph_id", text.render_events(F.col("e")).alias("body"))
-
-
-def _said(df: DataFrame, body: Column) -> DataFrame:
-    return df.select("graph_id", F.concat(F.lit("Some thoughts. Answer: "), body).alias("response"))
-
-
 def registered() -> list[tuple[str, Callable, str | None]]:
-    def sort(s, d):
-        te = temporal_edges(s, d)
-        good, bad = _rendered(te, "t", "seq"), _rendered(te.withColumn("back", -F.col("seq")), "back").withColumnRenamed("body", "back")
-        short = _rendered(te.where("seq > 5"), "t", "seq").withColumnRenamed("body", "short")
-        k = F.col("graph_id") % 4
-        return score_sort(te, _said(good.join(bad, "graph_id").join(short, "graph_id"), F.when(k == 0, F.col("body")).when(k == 1, F.col("back")).when(k == 2, F.col("short")).otherwise("no idea")))
-
-    def what(s, d):
-        te = temporal_edges(s, d)
-        truth = logs.edges_at(te, 9)
-        answers = te.select("graph_id").distinct().join(_rendered(truth, "t"), "graph_id", "left")
-        return score_set(truth, _said(answers, F.when(F.col("graph_id") % 3 == 1, "[]").otherwise(F.coalesce("body", F.lit("[]")))))
-
-    def link(s, d):
-        truth = logs.pick(logs.first_link_unlink_after(temporal_edges(s, d)), ["lo", "hi", "first_add", "first_delete"])
-        k = F.col("graph_id") % 3
-        body = F.when(k == 0, F.format_string("[%d, %d]", "first_add", "first_delete")).when(k == 1, F.format_string("linked at %d, unlinked at %d", "first_add", F.col("first_delete") + 1)).otherwise("never")
-        return score_link(truth, _said(truth, body))
-
-    def reverse(s, d):
-        te = temporal_edges(s, d)
-        back = logs.reverse_log(te)
-        return score_reverse(te, _said(_rendered(back, "pos"), F.when(F.col("graph_id") % 2 == 0, F.col("body")).otherwise("[]")))
-
-    def contain(s, d):
-        truth = motifs.judge(temporal_edges(s, d), "triangle", which="contain")
-        k = F.col("graph_id") % 3
-        return score_yes_no(truth, _said(truth, F.when(k == 0, F.col("answer")).when(k == 1, F.when(F.col("answer") == "Yes", "No.").otherwise("YES")).otherwise("maybe")))
-
-    def modify(s, d):
-        te = temporal_edges(s, d)
-        best = motifs.modify(te, "triangle")
-        return score_modify(te, _said(best, F.format_string("(%d, %d, %d, a)", "lo", "hi", "t_add")), "triangle")
-
-    def multi(kind):
-        def run(s, d):
-            te = temporal_edges(s, d)
-            if kind == "judge":
-                truth = motifs.multi_judge(te)
-                return score_multi_judge(truth, _said(truth, F.concat(F.lit("["), F.col("motifs"), F.lit("]"))))
-            rows, value = (motifs.multi_count(te), "n_instances") if kind == "count" else (motifs.multi_first_time(te), "first_time")
-            body = rows.groupBy("graph_id").agg(F.array_join(F.collect_list(F.format_string('["%s", %d]', "motif_name", value)), ", ").alias("body"))
-            return (score_multi_count if kind == "count" else score_first_time)(rows, _said(body, F.concat(F.lit("["), F.col("body"), F.lit("]"))))
-
-        return run
-
-    te = f"WITH {EDGES_SQL}, {DIRECTED_SQL} "
-    any_graph = " UNION ".join(f"SELECT graph_id FROM ({instances_sql(e, motifs.catalog.WINDOWS['default'][m])})" for m, e in motifs.catalog.EDGES.items())
-    any_strict = " UNION ".join(f"SELECT graph_id FROM ({instances_sql(e, motifs.catalog.WINDOWS['default'][m], 'lt')})" for m, e in motifs.catalog.EDGES.items())
+    te = f"WITH {EDGES_SQL} "
     metric = "CAST(CASE s_suppkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 0.5 WHEN 2 THEN 0 WHEN 3 THEN -1 WHEN 4 THEN 2 ELSE -3 END AS DOUBLE)"
     results = lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("model"), F.col("s_suppkey").alias("graph_id"), F.expr(metric).alias("metric"))
     talk = lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("role", F.when(F.col("turn") % 5 != 4, F.size(F.split("text", " "))).alias("total_tokens"))
-    from chronomotif.queries import SQL
-
     return [
-        ("score_sort", sort, te + "SELECT graph_id, CAST(CASE graph_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -2 ELSE -3 END AS DOUBLE) AS metric FROM te GROUP BY graph_id"),
-        ("score_what_edges", what, te + f"SELECT g.graph_id, CASE WHEN g.graph_id % 3 = 1 AND n > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS metric FROM (SELECT DISTINCT graph_id FROM te) g LEFT JOIN (SELECT graph_id, count(*) AS n FROM ({SQL['edges_at_time']}) GROUP BY graph_id) x ON g.graph_id = x.graph_id"),
-        ("score_link", link, f"WITH a AS ({SQL['first_link_unlink_after']}) SELECT DISTINCT graph_id, CAST(CASE graph_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS DOUBLE) AS metric FROM a"),
-        ("score_reverse", reverse, f"SELECT graph_id, CAST(CASE WHEN graph_id % 2 = 0 OR is_empty THEN 1 ELSE 0 END AS DOUBLE) AS metric FROM ({SQL['replay_is_empty']})"),
-        ("score_contain", contain, te + "SELECT graph_id, CAST(CASE graph_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -3 END AS DOUBLE) AS metric FROM te GROUP BY graph_id"),
-        ("score_modify", modify, f"SELECT graph_id, 1.0::DOUBLE AS metric FROM ({SQL['motif_modify_triangle']})"),
-        ("score_multi_judge", multi("judge"), te + f"SELECT graph_id, CASE WHEN graph_id IN ({any_strict}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS metric FROM te GROUP BY graph_id"),
-        ("score_multi_count", multi("count"), te + f"SELECT graph_id, 1.0::DOUBLE AS metric FROM ({any_graph})"),
-        ("score_first_time", multi("time"), te + f"SELECT graph_id, 1.0::DOUBLE AS metric FROM ({any_graph})"),
         ("result_rates", lambda s, d: result_rates(results(s, d), ["model"]), f"SELECT model, count(*) AS n, round(sum(CASE WHEN m > 0 AND m <= 1 THEN m ELSE 0 END) / count(*), 6) AS correct_rate, round(count(*) FILTER (m IN (0, 2)) / count(*), 6) AS error_rate, round(count(*) FILTER (m = -1) / count(*), 6) AS failure_rate, count(*) FILTER (m < 0) AS n_failed FROM (SELECT s_nationkey AS model, {metric} AS m FROM supplier) GROUP BY model"),
         ("token_stats", lambda s, d: token_stats(talk(s, d), ["role"]), "SELECT role, sum(n)::BIGINT AS total_tokens, round(avg(n), 6) AS average_tokens, round(sum(n) / count(*), 6) AS tokens_per_instance FROM (SELECT role, CASE WHEN turn % 5 <> 4 THEN len(string_split(text, ' ')) END AS n FROM conversations) GROUP BY role"),
         ("to_run_antijoin", lambda s, d: to_run(temporal_edges(s, d).select("graph_id").distinct(), s.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") * 3).alias("graph_id"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name")).alias("content"))), te + "SELECT DISTINCT graph_id FROM te WHERE graph_id NOT IN (SELECT s_suppkey * 3 FROM supplier WHERE s_suppkey % 4 <> 0)"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.functions import parsing, text
+from chronomotif import answers
+from chronomotif.functions import text
 from chronomotif.operators import features, generators, logs, motifs, routing, scoring
 from chronomotif.plans import catalog
 from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, one_shuffle
@@ -107,8 +108,8 @@ def _features() -> None:
 _motifs()
 _logs()
 _features()
-for module in (generators, text, parsing, scoring, routing):
-    for name, query, sql in module.registered():
+for found in (generators.registered(), text.registered(), answers.registered(SQL), scoring.registered(), routing.registered()):
+    for name, query, sql in found:
         QUERIES[name] = query
         if sql is not None:
             SQL[name] = sql

@@ -1,3 +1,4 @@
+import pytest
 from brute import EVENTS
 from pyspark.sql import functions as F
 
@@ -49,21 +50,48 @@ def test_parsers(spark):
     df = spark.createDataFrame([("I say Yes, not no. Answer: (1, 2, 3, a), ['u4','u5','t6','d']", "{ 'u': 3, ' v ': 4 }")], "r string, j string")
     r = df.select(parsing.yes_no(F.col("r")).alias("y"), parsing.quads(parsing.after(F.col("r"))).alias("q"), parsing.tool_input(F.col("j")).alias("m")).first()
     assert r.y == "yes" and [tuple(x) for x in r.q] == [(1, 2, 3, "a"), (4, 5, 6, "d")] and r.m == {"u": "3", "v": "4"}
-    two = lambda s: spark.createDataFrame([(s,)], "r string").select(parsing.two_ints(F.col("r"))).first()[0]
-    assert two("Answer: [3, 5]") == [3, 5] and two("linked at 4 and unlinked at 9") == [4, 9] and two("nothing") is None
-    named = lambda s: spark.createDataFrame([(s,)], "r string").select(parsing.name_numbers(parsing.fenced(F.col("r")))).first()[0]
-    assert [tuple(x) for x in named('```\n[["triangle", 2]]\n```')] == [("triangle", 2)] and [tuple(x) for x in named("4-cycle: 7")] == [("4-cycle", 7)]
+
+
+A, B = (1, 2, 3, "a"), (4, 5, 6, "d")
+
+
+@pytest.mark.parametrize(
+    ("parser", "cases"),
+    [
+        (parsing.quads_sorted, {"[(1, 2, 3, a)] then [(4, 5, 6, 'd')]": [B], "[(1 2 3 a)]": [A], "[1, 2, 3, a; 4, 5, 6, d]": [A, B], "(1, 2, 3, a)": [], "[(1, 2, 3, a), (1,2,3,a)]": [A, A], "none": []}),
+        (lambda r: parsing.quads_sorted(r, True), {'[[1, 2, 3, "a"], [4, 5, 6, "d"]]': [A, B], "[1, 2, 3, a]": [A], "[1, 2, 3, 'a']": [A], "(1, 2, 3, a)": []}),
+        (parsing.quads_set, {"Answer: (4, 5, 6, d)\n\n(1, 2, 3, a) (1, 2, 3, a)\n\n  ": [A], "The answer is: (1, 2, 3, a) The answer is: (4, 5, 6, d)": [B], "(1, 2, 3, a)": [A], "Answer: [1, 2, 3, a]": [], "Final answer: (1, 2, 3, a) Answer: none": []}),
+        (parsing.quads_reversed, {"Answer: [[1, 2, 3, a], [4, 5, 6, 'd']]": [A, B], "(1, 2, 3, a) Answer: no": [A], "Answer: (4, 5, 6, d) or (1, 2, 3, a)": [B, A], "[1, 2, 3, a]": [], "[[1, 2, 3, a]] Answer: (4, 5, 6, d)": [B]}),
+        (parsing.quads_answer, {"Answer: [(1, 2, 3, a)] (4, 5, 6, d)": [A], "Answer: [1, 2, 3, a]": [], "[1, 2, 3, a]": [A], "[1, 2, 3, a] (4, 5, 6, d)": [B], "Answer: (4, 5, 6, d)": [B], "Answer: none": []}),
+    ],
+)
+def test_event_parsers(spark, parser, cases):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, r string").select("i", parser(F.col("r")).alias("q"))
+    assert {r.i: [tuple(x) for x in r.q] for r in df.collect()} == dict(enumerate(cases.values()))
+
+
+def test_name_parsers(spark):
+    def run(parser, *texts):
+        return [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, r string").select("i", parser(F.col("r")).alias("x")).orderBy("i").collect()]
+
+    assert run(parsing.names, "Answer: Triangle, '3-star'. square", "triangle", "Answer: " + "triangle " * 30, "Answer:\n4-path\n(4-path)") == [["3-star", "triangle"], None, None, ["4-path"]]
+    counts = run(parsing.name_counts, 'Answer: [("Triangle", 2), ["4-cycle", 3.7]]', "Answer: [(triangle, 2)]", "Answer: ```python\n[('x', 1)]\n``` [", 'Answer: [("a", 1)] yes', "Answer: []", '[("a", 1)]', "Answer: __import__('os')")
+    assert [None if x is None else [tuple(p) for p in x] for x in counts] == [[("triangle", 2), ("4-cycle", 3)], None, [("x", 1)], None, [], None, None]
+    times = run(parsing.name_times, "Answer: [('triangle', 2)]", "Answer:\n(triangle, 2)\n- 4-cycle: 5\n**3-star**: 7\n\"4-path\", 1\n\"x\": 3\ny: 4", "```\n[['a', 1]]\n``` Answer: 3", "Answer: <p>(a, 1)</p>", "Answer:", "nothing", "Answer: **a:** 4")
+    assert [None if x is None else [tuple(p) for p in x] for x in times] == [[("triangle", 2)], [("triangle", 2), ("4-cycle", 5), ("3-star", 7), ("4-path", 1), ("x", 3)], [("a", 1)], [("a", 1)], None, None, []]
 
 
 def test_two_ints_of_all_forms(spark):
     forms = [
         r"\boxed{2}, \boxed{5}", "nodes are first connected at time \\boxed{2} in 9 and disconnected at time \\boxed{5}", "First connection: 2\nFirst disconnection: 5", "first connection time: 2, 7 steps, first disconnection time: 5",
-        "Nodes first connect at time 2 and disconnect at time 5", "connect time: 2\ndisconnect time: 5", "nodes (0, 7) are first connected at time 2 and disconnected at time 5", "**First Connected**: \\boxed{2}\n**First Disconnected**: \\boxed{5}",
-        "first connected at t=2 (0, 7), first disconnected at t=5", "- first connected at time 2 (0, 7)\n- first disconnected at time 5", "2, 5. From (0, 7)", "**Answer:** 2, 5", "[2, 5]", "first connection: 2; first disconnect: 5", "The pair (0, 7) gives the times\n2, 5",
+        "Nodes first connect at time 2 and disconnect at time 5", "connect time: 2\ndisconnect time: 5", "nodes are first connected at time 2 and disconnected at time 5", "**First Connected**: \\boxed{2}\n**First Disconnected**: \\boxed{5}",
+        "first connected at t=2 (0, 7), first disconnected at t=5", "- first connected at time 2 (0, 7)\n- first disconnected at time 5", "2, 5. From (0, 7)", "**Answer:** 2, 5", "first connection: 2; first disconnect: 5", "The pair (0, 7) gives the times\n2, 5",
         "nodes first connect at time `2` and disconnect at time `5`", "nodes are first connected at timestamp 2, then disconnected at timestamp 5", "first connected at time `t = 2`, first disconnected at time `t = 5`",
     ]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], "i int, r string").select("i", parsing.two_ints(F.col("r")).alias("n"))
+    df = spark.createDataFrame([(i, "(3, 4) Answer: " + x) for i, x in enumerate(forms)], "i int, r string").select("i", parsing.two_ints(F.col("r")).alias("n"))
     assert {r.i: r.n for r in df.collect()} == dict.fromkeys(range(len(forms)), [2, 5])
+    one = lambda s, agent=False: spark.createDataFrame([(s,)], "r string").select(parsing.two_ints(F.col("r"), agent)).first()[0]
+    assert one("2, 5") is None and one("Answer: [2, 5]") is None and one("Answer: nodes (0, 7) are first connected at time 2 and disconnected at time 5") is None and one("Answer: soon") is None and one("[2, 5]", True) == [2, 5] and one("2, 5", True) == [2, 5]
 
 
 def test_scores(spark):
@@ -75,7 +103,8 @@ def test_scores(spark):
     assert metric(scoring.score_sort(te, said("[(0, 1, 2, a)]"))) == -2
     assert metric(scoring.score_sort(te, said("?"))) == -3
     truth = spark.createDataFrame([(1, "4-cycle,triangle")], "graph_id bigint, motifs string")
-    assert metric(scoring.score_multi_judge(truth, said("Answer: [triangle, 4-clique]"))) == 0
+    assert metric(scoring.score_multi_judge(truth, said("Answer: [triangle, 4-clique, square]"))) == 0
+    assert metric(scoring.score_multi_judge(truth, said("Answer: 3-star 4-clique"))) == -1
     counts = spark.createDataFrame([(1, "triangle", 4), (1, "4-cycle", 2)], "graph_id bigint, motif_name string, n_instances bigint")
     assert metric(scoring.score_multi_count(counts, said('Answer: [["triangle", 2], ["4-cycle", 3]]'))) == 0.25
     assert metric(scoring.score_multi_count(counts, said("no"))) == -1
