@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif import answers
+from chronomotif import answers, tasks, tools
 from chronomotif.functions import text
 from chronomotif.operators import features, generators, logs, motifs, routing, scoring
 from chronomotif.plans import catalog
@@ -108,7 +108,7 @@ def _features() -> None:
 _motifs()
 _logs()
 _features()
-for found in (generators.registered(), text.registered(), answers.registered(SQL), scoring.registered(), routing.registered()):
+for found in (generators.registered(), text.registered(), answers.registered(SQL), tasks.registered(SQL), tools.registered(SQL), scoring.registered(), routing.registered()):
     for name, query, sql in found:
         QUERIES[name] = query
         if sql is not None:

@@ -1,11 +1,14 @@
 """The callable tools: a table of (id, input text) to (id, result JSON), by tool name.
 
 Inputs are loosely written JSON objects with edge_list, motif_list or motif_definitions, u, v, time_point. Every tool is a
-DataFrame plan over all rows at once; the last motif given counts where one is asked for.
+DataFrame plan over all rows at once; the last motif given counts where one is asked for. ``motifs_asked`` names the motifs that
+inputs may ask for, so no others are planned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +46,13 @@ def _quads(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("graph_id").agg(F.to_json(plain).alias("result")).withColumnRenamed("graph_id", "id")
 
 
-def call(name: str, inputs: DataFrame) -> DataFrame:
+def call(name: str, inputs: DataFrame, motifs_asked: tuple[str, ...] = tuple(catalog.NAMES)) -> DataFrame:
     """(id, result) of a tool for every input row; result null where nothing is found."""
     te = events(inputs)
     if name in TOOLS[:2]:
         last = asked_motifs(inputs).groupBy("id").agg(F.max_by("motif_name", "pos").alias("motif_name"))
         parts = []
-        for m in catalog.NAMES:
+        for m in motifs_asked:
             own = te.join(last.where(F.col("motif_name") == m).select(F.col("id").alias("graph_id")), "graph_id", "left_semi")
             if name == TOOLS[0]:
                 parts.append(motifs.judge(own, m).select(F.col("graph_id").alias("id"), F.to_json(F.struct("answer")).alias("result")))
@@ -61,7 +64,7 @@ def call(name: str, inputs: DataFrame) -> DataFrame:
             found = found.unionByName(part)
     elif name in TOOLS[2:5]:
         asked = asked_motifs(inputs).select(F.col("id").alias("graph_id"), "motif_name").distinct()
-        rows = motifs.multi_count(te) if name == TOOLS[3] else motifs.multi_first_time(te)
+        rows = motifs.multi_count(te, motifs_asked) if name == TOOLS[3] else motifs.multi_first_time(te, motifs_asked)
         value = rows.columns[-1]
         rows = rows.join(asked, ["graph_id", "motif_name"], "left_semi")
         if name == TOOLS[2]:
@@ -90,3 +93,42 @@ def predict_strategy(inputs: DataFrame, model) -> DataFrame:
     table = features.profile(events(inputs))
     out = routing.predict(model, table)
     return out.select(F.col("graph_id").alias("id"), routing.decide(F.col("predicted"), F.col("probability"), "tool").alias("strategy"))
+
+
+ASKED = ("triangle", "4-cycle", "3-star")
+
+
+def inputs_of(te: DataFrame) -> DataFrame:
+    """(id, input): each log as a tool's input with three motifs, two nodes and a time."""
+    from chronomotif.functions import text
+
+    tail = F.concat(F.lit(", 'motif_list': ['3-star', \"4-cycle\", 'triangle'], 'u': "), F.col("graph_id") % 12, F.lit(", 'v': 'u"), (F.col("graph_id") * 5 + 1) % 12, F.lit("', 'time_point': "), F.col("graph_id") % 20, F.lit(" }"))
+    return text.contexts(te).select(F.col("graph_id").alias("id"), F.concat(F.lit("{ 'edge_list': "), "context", tail).alias("input"))
+
+
+def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
+    """Queries by name; ``sql`` has the SQL of queries registered before."""
+    from chronomotif.sources.events import EDGES_SQL, temporal_edges
+
+    te = f"WITH {EDGES_SQL}"
+    ids = "(SELECT DISTINCT graph_id AS id FROM te)"
+    left = lambda result, source: f"{te} SELECT g.id, result FROM {ids} g LEFT JOIN (SELECT graph_id, {result} AS result FROM ({source}) GROUP BY graph_id) r ON r.graph_id = g.id"
+    quad = """'["' || u || '","' || v || '","' || t || '","' || op || '"]'"""
+    some = "motif_name IN ('triangle', '4-cycle', '3-star')"
+    pairs = lambda value: """'{' || string_agg('"' || motif_name || '":' || {}, ',' ORDER BY motif_name) || '}'""".replace("{}", value)
+    alive = "(SELECT te.*, row_number() OVER (PARTITION BY graph_id, least(u, v), greatest(u, v) ORDER BY t DESC, seq DESC) AS k FROM te WHERE t <= graph_id % 20)"
+    linked = "SELECT graph_id, min(t) FILTER (op = 'a') AS a, min(t) FILTER (op = 'd') AS d FROM te WHERE u = graph_id % 12 AND v = (graph_id * 5 + 1) % 12 GROUP BY graph_id"
+    null = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'null')"
+    queries = {
+        "Judge_Is_Contain_Motif": f"SELECT graph_id AS id, '{{\"answer\":\"' || answer || '\"}}' AS result FROM ({sql['motif_judge_triangle']})",
+        "Modify_To_Contain_Motif": left("""'{"edge":["' || any_value(lo) || '","' || any_value(hi) || '","' || any_value(t_add) || '","a"]}'""", sql["motif_modify_triangle"]),
+        "Detect_Motifs_Presence": left("""'[' || string_agg('"' || motif_name || '"', ',' ORDER BY motif_name) || ']'""", f"SELECT * FROM ({sql['multi_motif_first_time']}) WHERE {some}"),
+        "Detect_Motifs_Counts": left(pairs("n_instances"), f"SELECT * FROM ({sql['multi_motif_counts']}) WHERE {some}"),
+        "Detect_Motifs_First_Time": left(pairs("first_time"), f"SELECT * FROM ({sql['multi_motif_first_time']}) WHERE {some}"),
+        "Sort_Edges_By_Time": left(f"'[' || string_agg({quad}, ',' ORDER BY t, seq) || ']'", "SELECT * FROM te"),
+        "Detect_First_Connected_And_Disconnected_Time": left(f"'[' || any_value({null('a')}) || ',' || any_value({null('d')}) || ']'", linked),
+        "Detect_Edges_Existence_At_Time": left(f"'[' || string_agg({quad}, ',' ORDER BY t, u, v) || ']'", f"SELECT * FROM {alive} WHERE k = 1 AND op = 'a'"),
+        "Reverse_Dynamic_Graph": left("""'[' || string_agg('["' || u || '","' || v || '","' || t || '","' || CASE WHEN op = 'a' THEN 'd' ELSE 'a' END || '"]', ',' ORDER BY seq DESC) || ']'""", "SELECT * FROM te"),
+    }
+    run = lambda name: lambda s, d: call(name, inputs_of(temporal_edges(s, d)), ("triangle",) if name in TOOLS[:2] else ASKED)
+    return [(f"tool_{name.lower()}", run(name), queries[name]) for name in TOOLS]
