@@ -1,20 +1,29 @@
 """An interpolated modified Kneser-Ney model of two or three tokens, counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
 
 Tokens are 64-bit hashes. Each task counts the token pairs of its documents and ships them as compact arrays, one for
-each shard (the top bits of the first token's hash). A shard's task adds them up and writes sorted NumPy arrays into the
-shared folder: pair hash and count, context hash with its total and its numbers of followers seen once, twice and more
+each shard (the top bits of the first token's hash). A shard's task adds them up and writes sorted arrays into the shared
+folder: pair hash and count, context hash with its total and its numbers of followers seen once, twice and more
 often. A second, smaller exchange by the second token gives continuation counts (in how many contexts a token occurs) and
-plain counts. Files are written under another name and then renamed, with the same content whenever a task runs again.
+plain counts.
 
-Workers open the arrays as memory maps and look up the sorted distinct pairs of a batch, so a batch reads each place once;
+A table file holds its hashes in order, cut in two: a directory of the first bits, and the next 32 bits of each hash. With the
+shard's bits that tells apart as many bits as log2 of all entries plus about 30, in four and a half bytes an entry. Files are
+written under a name of their own and then renamed, with the same content whenever a task runs again. The model lists the
+shards that have tables; a listed file that is missing raises an error.
+
+Workers open the files as memory maps and look up the sorted distinct pairs of a batch, so a batch reads each place once;
 the model is never loaded whole, and its size may follow the corpus. The shared folder has to be a file system that
-workers can open (spark.checkpoint.dir as a path or file: URI); for other stores ``LanguageModel`` says so.
+workers can open (spark.checkpoint.dir as a path or file: URI); for other stores ``train`` says so.
 
 With ``order`` three, tasks count token triples, dealt by the middle token, so one shard has all triples of a pair and of
 a history (the two tokens before): it writes triple hash and count, the totals of histories seen more than once, and, in the
-pair and context arrays, continuation counts (after how many tokens a pair occurs). A history without an entry was seen once
+pair and context tables, continuation counts (after how many tokens a pair occurs). A history without an entry was seen once
 if its pair is known, never otherwise. A text begins with two begin tokens. Tasks ship tokens as numbers into a list of each
-message's distinct hashes.
+message's distinct hashes. Counting goes in ``rounds``, each over all documents for a share of the shards: a shuffle holds the
+triples of one round and is deleted before the next.
+
+Shards are as many as keep each at about ``SHARD_BYTES`` of input, so a task's memory does not follow the corpus; one task
+merges several, one after another, where there are more than ``TASKS``. All pairs or triples around one token are one shard.
 
 Defined cases: a null text is empty, one end token; very long texts are scored whole; repeated rows and ids are counted and
 scored one by one; with nothing to train on every token has the uniform probability; an empty table gives no rows; extra
@@ -23,7 +32,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, removed, ship, written
+from chronomotif.llm.common import dropped, fresh_path, removed, ship, shuffles_dropped, written
 from chronomotif.llm.jaccard_join import whole_groups
 
 BEGIN, END = np.uint64(0x51ED270B35A1C6E5), np.uint64(0xA24BAED4963EE407)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FLUSH = 3_000_000
+SHARD_BYTES = 16 << 20
+TASKS = 1 << 13
 _CACHE: dict = {}
 
 
@@ -106,7 +119,22 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _count_pairs(docs: DataFrame, text: str, tokens: Callable, bits: int) -> DataFrame:
+def _shards(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(shard, start, end) of the sorted hashes, by their top ``bits``."""
+    if not len(h):
+        return []
+    shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    return list(zip(shard[starts].tolist(), starts.tolist(), np.append(starts[1:], len(h)).tolist(), strict=True))
+
+
+def _dealt(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows of a shard together and in order, in as many tasks as shards, ``TASKS`` at most."""
+    some = min(bits, TASKS.bit_length() - 1)
+    return rows.repartitionById(1 << some, F.shiftright("shard", bits - some)).sortWithinPartitions("shard")
+
+
+def _count_pairs(docs: DataFrame, text: str, tokens: Callable, bits: int, part: int = 0, rounds: int = 1) -> DataFrame:
     """(shard, v, m, w, c): pair counts of each task's documents; followers m of each context v, tokens w, counts c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,14 +147,10 @@ def _count_pairs(docs: DataFrame, text: str, tokens: Callable, bits: int) -> Dat
             starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
             counts = np.diff(np.append(starts, len(v)))
             v, w = v[starts], w[starts]
-            shard = (v >> np.uint64(64 - bits)).astype(np.int64)
-            ends = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            for s in range(1 << bits):
-                a, b = ends[s], ends[s + 1]
-                if a < b:
-                    first = np.flatnonzero(np.concatenate([[True], v[a + 1 : b] != v[a : b - 1]]))
-                    row = (v[a:b][first].tobytes(), _packed(np.diff(np.append(first, b - a))), w[a:b].tobytes(), _packed(counts[a:b]))
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "v", "m", "w", "c"])
+            for s, a, b in _shards(v, bits):
+                first = np.flatnonzero(np.concatenate([[True], v[a + 1 : b] != v[a : b - 1]]))
+                row = (v[a:b][first].tobytes(), _packed(np.diff(np.append(first, b - a))), w[a:b].tobytes(), _packed(counts[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "v", "m", "w", "c"])
 
         size = 0
         for batch in batches:
@@ -142,11 +166,54 @@ def _count_pairs(docs: DataFrame, text: str, tokens: Callable, bits: int) -> Dat
     return docs.select(text).mapInArrow(run, "shard int, v binary, m binary, w binary, c binary")
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    path = f"{folder}/{name}.npy"
-    with open(f"{path}.{os.getpid()}.tmp", "wb") as f:
-        np.save(f, array)
-    os.replace(f"{path}.{os.getpid()}.tmp", path)
+def _save(folder: str, name: str, shard: int, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
+    """Writes the table file of sorted 64-bit hashes that share their top ``bits``, and their values."""
+    n = len(keys)
+    k = max(0, min(n.bit_length() - 3, 32 - bits))
+    first = (keys >> np.uint64(64 - bits - k)).astype(np.int64) & ((1 << k) - 1) if bits + k else np.zeros(n, np.int64)
+    starts = np.searchsorted(first, np.arange((1 << k) + 1)).astype(np.uint32)
+    rest = ((keys >> np.uint64(32 - bits - k)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    values = np.ascontiguousarray(values)
+    path, own = f"{folder}/{name}-{shard}", f"{folder}/{name}-{shard}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.write(np.array([n, k, values.shape[1] if values.ndim > 1 else 1, ord(values.dtype.kind), values.dtype.itemsize, 0, 0, 0], np.int64).tobytes())
+        for x in (starts, rest, values):
+            f.write(x.tobytes())
+            f.write(b"\0" * (-f.tell() % 8))
+    os.replace(own, path)
+
+
+class _Table:
+    """A table file as a memory map."""
+
+    def __init__(self, path: str, bits: int):
+        raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
+        self.n, self.k, self.width, kind, size = raw[:64].view(np.int64)[:5].tolist()
+        self.bits, at = bits, 64
+        part = lambda n, dtype: raw[at : at + n * np.dtype(dtype).itemsize].view(dtype)
+        self.starts = part((1 << self.k) + 1, np.uint32)
+        at += -(-self.starts.nbytes // 8) * 8
+        self.rest = part(self.n, np.uint32)
+        at += -(-self.rest.nbytes // 8) * 8
+        self.values = part(self.n * self.width, f"<{chr(kind)}{size}").reshape(self.n, self.width)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes of this shard are here, and the values of those."""
+        if not self.n:
+            return np.zeros(len(asked), bool), self.values[:0]
+        shift = self.bits + self.k
+        first = (asked >> np.uint64(64 - shift)).astype(np.int64) & ((1 << self.k) - 1) if shift else np.zeros(len(asked), np.int64)
+        rest = ((asked >> np.uint64(32 - shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        low, high = self.starts[first].astype(np.int64), self.starts[first + 1].astype(np.int64)
+        end = high.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = open_ & (self.rest[np.minimum(middle, self.n - 1)] < rest)
+            low = np.where(less, middle + 1, low)
+            high = np.where(open_ & ~less, middle, high)
+        hit = low < end
+        hit[hit] = self.rest[low[hit]] == rest[hit]
+        return hit, self.values[low[hit]]
 
 
 def _narrow(c: np.ndarray) -> np.ndarray:
@@ -160,23 +227,21 @@ def _counts_of(c: np.ndarray) -> list[int]:
 
 def _pair_arrays(folder: str, shard: int, bits: int, key: np.ndarray, v: np.ndarray, w: np.ndarray, counts: np.ndarray, plain: np.ndarray, more: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Writes the pair and context arrays of a shard's distinct pairs, by sorted key; gives the rows of the second exchange."""
-    _save(folder, f"pair-{shard}", key)
-    _save(folder, f"count-{shard}", _narrow(counts))
+    _save(folder, "pair", shard, bits, key, _narrow(counts))
     context, total, n1, n2, n3 = _summed(v, counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))
-    _save(folder, f"context-{shard}", context)
-    _save(folder, f"totals-{shard}", _narrow(np.stack([total, n1, n2, n3], 1)))
+    _save(folder, "context", shard, bits, context, _narrow(np.stack([total, n1, n2, n3], 1)))
     token, n, plain = _summed(w, np.ones(len(w), np.int64), plain)
-    ends = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(token)])
-    for s in range(1 << bits):
-        a, b = ends[s], ends[s + 1]
-        if a < b:
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([_packed(n[a:b])], pa.binary()), pa.array([_packed(plain[a:b])], pa.binary())], names=["shard", "w", "n", "c"])
+    for s, a, b in _shards(token, bits):
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([_packed(n[a:b])], pa.binary()), pa.array([_packed(plain[a:b])], pa.binary())], names=["shard", "w", "n", "c"])
     of = np.array([*_counts_of(counts), plain.sum(), len(counts), *(more or [0] * 4)], np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.binary()), pa.array([of.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "w", "n", "c"])
 
 
-def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int) -> DataFrame:
-    """(shard, d, v, m, u, w, c): triple counts of each task's documents by middle token; d the message's distinct hashes, v (m triples each), u and w places in it, counts c."""
+def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int, part: int = 0, rounds: int = 1) -> DataFrame:
+    """(shard, d, v, m, u, w, c): triple counts of each task's documents by middle token; d the message's distinct hashes, v (m triples each), u and w places in it, counts c.
+
+    Only shards that leave ``part`` modulo ``rounds``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -189,6 +254,12 @@ def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int) -> D
             v[1:], v[first] = w[:-1], begin
             u = np.empty_like(w)
             u[1:], u[first] = v[:-1], begin
+            if rounds > 1:
+                of = (known >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(known), np.int64)
+                mine = (of % rounds == part)[v]
+                u, v, w = u[mine], v[mine], w[mine]
+                if not len(v):
+                    return
             wide = len(known).bit_length()
             if 3 * wide <= 63:
                 packed, counts = _distinct(np.sort((v << (2 * wide)) | (u << wide) | w))
@@ -199,19 +270,13 @@ def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int) -> D
                 starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
                 counts = np.diff(np.append(starts, len(v)))
                 v, u, w = v[starts], u[starts], w[starts]
-            shard = (known >> np.uint64(64 - bits)).astype(np.int64)[v] if bits else np.zeros(len(v), np.int64)
-            ends = np.searchsorted(shard, np.arange((1 << bits) + 1))
             place = np.zeros(len(known), np.int64)
-            for s in range(1 << bits):
-                a, b = ends[s], ends[s + 1]
-                if a < b:
-                    middle, m = _distinct(v[a:b])
-                    here = np.zeros(len(known), bool)
-                    here[u[a:b]] = here[w[a:b]] = here[middle] = True
-                    here = np.flatnonzero(here)
-                    place[here] = np.arange(len(here))
-                    row = (known[here].tobytes(), *map(_packed, (place[middle], m, place[u[a:b]], place[w[a:b]], counts[a:b])))
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "d", "v", "m", "u", "w", "c"])
+            for s, a, b in _shards(known[v], bits):
+                middle, m = _distinct(v[a:b])
+                here = np.unique(np.concatenate([middle, u[a:b], w[a:b]]))
+                place[here] = np.arange(len(here))
+                row = (known[here].tobytes(), *map(_packed, (place[middle], m, place[u[a:b]], place[w[a:b]], counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "d", "v", "m", "u", "w", "c"])
 
         size = 0
         for batch in batches:
@@ -250,16 +315,14 @@ def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
             key, u, v, w, c = key[order], u[order], v[order], w[order], c[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, u, v, w, c = key[starts], u[starts], v[starts], w[starts], np.add.reduceat(c, starts)
-            _save(folder, f"triple-{shard}", key)
-            _save(folder, f"often-{shard}", _narrow(c))
+            _save(folder, "triple", shard, bits, key, _narrow(c))
             history = pair_hash(v, u, bits)
             order = np.argsort(history)
             history, sorted_c = history[order], c[order]
             starts = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
             totals = np.stack([np.add.reduceat(x, starts) for x in (sorted_c, *((sorted_c == k).astype(np.int64) for k in (1, 2)), (sorted_c > 2).astype(np.int64))], 1)
             more = (totals[:, 0] > 1) | (v[order[starts]] == BEGIN)
-            _save(folder, f"history-{shard}", history[starts][more])
-            _save(folder, f"after-{shard}", _narrow(totals[more]))
+            _save(folder, "history", shard, bits, history[starts][more], _narrow(totals[more]))
             del history, sorted_c, totals, key
             pair = pair_hash(v, w, bits)
             order = np.argsort(pair)
@@ -268,7 +331,7 @@ def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
             at = order[starts]
             yield from _pair_arrays(folder, shard, bits, pair[starts], v[at], w[at], np.diff(np.append(starts, len(pair))), np.add.reduceat(c[order], starts), _counts_of(c))
 
-    return counted.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "shard int, w binary, n binary, c binary")
+    return _dealt(counted, bits).mapInArrow(run, "shard int, w binary, n binary, c binary")
 
 
 def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -295,7 +358,7 @@ def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
         if parts:
             yield from finish()
 
-    return counted.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "shard int, w binary, n binary, c binary")
+    return _dealt(counted, bits).mapInArrow(run, "shard int, w binary, n binary, c binary")
 
 
 def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -306,12 +369,11 @@ def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
             w, n, c = (columns[k].to_pylist() for k in (1, 2, 3))
             token, contexts, plain = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in w]), np.concatenate([_unpacked(x) for x in n]), np.concatenate([_unpacked(x) for x in c]))
             shard = columns[0][0].as_py()
-            _save(folder, f"token-{shard}", token)
-            _save(folder, f"seen-{shard}", _narrow(np.stack([contexts, plain], 1)))
+            _save(folder, "token", shard, bits, token, _narrow(np.stack([contexts, plain], 1)))
             of = np.array([(contexts == k).sum() for k in (1, 2, 3, 4)] + [contexts.sum(), len(token), (contexts > 2).sum()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([of.tobytes()], pa.binary())], names=["shard", "n"])
 
-    return merged.repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, "shard int, n binary")
+    return _dealt(merged, bits).mapInArrow(run, "shard int, n binary")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -327,8 +389,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """The arrays of a trained model in the shared folder, opened where it is used."""
 
-    def __init__(self, folder: str, bits: int, pair_stats: np.ndarray, token_stats: np.ndarray, order: int = 2):
-        self.folder, self.bits, self.order = folder, bits, order
+    def __init__(self, folder: str, bits: int, pair_stats: np.ndarray, token_stats: np.ndarray, order: int, shards: dict[str, frozenset[int]]):
+        self.folder, self.bits, self.order, self.shards = folder, bits, order, shards
         self.n_tokens, self.vocabulary = int(pair_stats[4]), int(token_stats[5])
         self.pair_discount, self.token_discount = discounts(pair_stats), discounts(token_stats)
         self.triple_discount = discounts(pair_stats[6:])
@@ -341,26 +403,15 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_maps": {}}
 
-    def _open(self, name: str, shard: int):
-        key = (name, shard)
-        if key not in self._maps:
-            path = f"{self.folder}/{name}-{shard}.npy"
-            self._maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self._maps[key]
-
-    def _find(self, keys: str, values: str, asked: np.ndarray, width: int, kind: type = np.int64) -> np.ndarray:
-        """Values of the sorted hashes ``asked``; 0 where absent."""
+    def _find(self, name: str, asked: np.ndarray, width: int, kind: type = np.int64) -> np.ndarray:
+        """Values of the sorted hashes ``asked``; 0 where absent. A listed shard without its file is an error."""
         out = np.zeros((len(asked), width), kind)
-        shard = (asked >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(asked), np.int64)
-        ends = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
-        for s in range(1 << self.bits):
-            a, b = ends[s], ends[s + 1]
-            known = self._open(keys, s) if a < b else None
-            if known is None or not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
-            hit = known[at] == asked[a:b]
-            out[a:b][hit] = np.asarray(self._open(values, s)[at[hit]]).reshape(-1, width)
+        for s, a, b in _shards(asked, self.bits):
+            if s in self.shards[name]:
+                if (name, s) not in self._maps:
+                    self._maps[name, s] = _Table(f"{self.folder}/{name}-{s}", self.bits)
+                hit, values = self._maps[name, s].find(asked[a:b])
+                out[a:b][hit] = values
         return out
 
     def token_probability(self, contexts: np.ndarray) -> np.ndarray:
@@ -372,42 +423,42 @@ class LanguageModel:
 
     def _context(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(total count, share left to the lower order) of sorted contexts."""
-        totals = self._find("context", "totals", context, 4)
+        totals = self._find("context", context, 4)
         whole = np.maximum(totals[:, 0], 1)
         return whole, np.where(totals[:, 0] > 0, (totals[:, 1:] * self.pair_discount[1:]).sum(1) / whole, 1.0)
 
     def pair_probability(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """p(w after v) of each pair."""
         token, t = np.unique(w, return_inverse=True)
-        lower = self.token_probability(self._find("token", "seen", token, 2)[:, 0])
+        lower = self.token_probability(self._find("token", token, 2)[:, 0])
         context, c = np.unique(v, return_inverse=True)
         whole, backoff = self._context(context)
         pair, of = np.unique(pair_hash(v, w, self.bits), return_inverse=True)
-        count = self._find("pair", "count", pair, 1)[:, 0][of]
+        count = self._find("pair", pair, 1)[:, 0][of]
         return np.maximum(count - self.pair_discount[np.minimum(count, 3)], 0) / whole[c] + backoff[c] * lower[t]
 
     def _triples(self, v: np.ndarray, w: np.ndarray, first: np.ndarray, pair_of: np.ndarray, starts: np.ndarray, pair_p: np.ndarray) -> np.ndarray:
         """p(token after the two before it) at each place, from the distinct pairs (v, w)[first] and their lower order."""
         key = pair_hash(v[first], w[first], self.bits)  # sorted
-        known = self._find("pair", "count", key, 1)[:, 0] > 0
+        known = self._find("pair", key, 1)[:, 0] > 0
         history = np.append(pair_hash(w[first], v[first], self.bits), pair_hash(BEGIN[None], BEGIN[None], self.bits))
         order = np.argsort(history)
         totals = np.empty((len(history), 4), np.int64)
-        totals[order] = self._find("history", "after", history[order], 4)
+        totals[order] = self._find("history", history[order], 4)
         totals[:-1][known & (totals[:-1, 0] == 0)] = (1, 1, 0, 0)
         whole = np.maximum(totals[:, 0], 1)
         backoff = np.where(totals[:, 0] > 0, (totals[:, 1:] * self.triple_discount[1:]).sum(1) / whole, 1.0)
         before = np.empty_like(pair_of)
         before[1:], before[starts] = pair_of[:-1], len(first)
         triple, of = np.unique(pair_hash(history[before], w, self.bits), return_inverse=True)
-        count = self._find("triple", "often", triple, 1)[:, 0][of]
+        count = self._find("triple", triple, 1)[:, 0][of]
         return np.maximum(count - self.triple_discount[np.minimum(count, 3)], 0) / whole[before] + backoff[before] * pair_p[pair_of]
 
     def score(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 probability, known tokens, log10 base probability) of each text."""
         v, w = pairs_of(tokens)
         token, token_of = np.unique(w, return_inverse=True)
-        plain = self._find("token", "seen", token, 2)[:, 1]
+        plain = self._find("token", token, 2)[:, 1]
         base = np.log10((plain + 1) / (self.n_tokens + self.vocabulary + 1))
         _, first, pair_of = np.unique(pair_hash(v, w, self.bits), return_index=True, return_inverse=True)
         p = self.pair_probability(v[first], w[first])
@@ -417,28 +468,42 @@ class LanguageModel:
         return np.add.reduceat(p, starts), np.add.reduceat(known[token_of], starts), np.add.reduceat(base[token_of], starts)
 
 
-def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2) -> LanguageModel:
-    """A model of ``order`` two or three. Counts ``docs`` into 2 ** bits shards in the shared folder; by default about as many as ``docs`` has partitions, 16 to 4096."""
+def shard_bits(docs: DataFrame) -> int:
+    """So many bits that a shard has about ``SHARD_BYTES`` of the table that ``docs`` reads; 4 to 20. By partitions where Spark knows no size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = -(-size // SHARD_BYTES) if size < 1 << 60 else docs.rdd.getNumPartitions()
+    return min(20, max(4, (shards - 1).bit_length()))
+
+
+def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2, rounds: int = 3) -> LanguageModel:
+    """A model of ``order`` two or three. Counts ``docs`` into 2 ** bits shards in the shared folder; order three in ``rounds`` over ``docs``. ``drop_model`` deletes it."""
     spark = docs.sparkSession
     ship(spark)
     if order not in (2, 3):
         raise ValueError(f"order {order}: 2 or 3")
     if bits is None:
-        bits = min(12, max(4, (docs.rdd.getNumPartitions() - 1).bit_length()))
+        bits = shard_bits(docs)
     path = fresh_path(spark, "lm")
     if "://" in path.replace("file://", "") or (":" in path.split("/")[0] and not path.startswith("file:")):
         raise ValueError(f"workers map the model's files: spark.checkpoint.dir must be a file system path, not {path}")
     folder = "/" + path.removeprefix("file:").lstrip("/")
     os.makedirs(folder, exist_ok=True)
     count, merge = (_count_pairs, _merge_pairs) if order == 2 else (_count_triples, _merge_triples)
-    merged = written(merge(count(docs, text, tokens, bits), folder, bits), "lm-tokens")
-    pair_stats = np.zeros(10, np.int64)
-    for r in merged.where("w is null").select("n").collect():  # one row a shard
+    rounds = 1 if order == 2 else max(1, min(rounds, 1 << bits))
+    parts = [written(merge(count(docs, text, tokens, bits, part, rounds), folder, bits), "lm-tokens") for part in range(rounds)]
+    merged = functools.reduce(DataFrame.unionByName, parts)
+    pair_stats, token_stats = np.zeros(10, np.int64), np.zeros(7, np.int64)
+    of_pairs = merged.where("w is null").select("shard", "n").collect()  # one row a shard
+    for r in of_pairs:
         pair_stats += np.frombuffer(bytes(r["n"]), np.int64)
-    token_stats = np.zeros(7, np.int64)
-    for r in _merge_tokens(merged.where("w is not null"), folder, bits).collect():
+    with shuffles_dropped(spark):
+        of_tokens = _merge_tokens(merged.where("w is not null"), folder, bits).collect()
+    for r in of_tokens:
         token_stats += np.frombuffer(bytes(r["n"]), np.int64)
-    return LanguageModel(folder, bits, pair_stats, token_stats, order)
+    dropped(*parts)
+    by_pair, by_token = (frozenset(r["shard"] for r in rows) for rows in (of_pairs, of_tokens))
+    names = ("pair", "context") if order == 2 else ("pair", "context", "triple", "history")
+    return LanguageModel(folder, bits, pair_stats, token_stats, order, dict.fromkeys(names, by_pair) | {"token": by_token})
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text", tokens: Callable = word_tokens, extra: list[Column] | None = None, step: int = 1500) -> DataFrame:
