@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomotif.llm import decontaminate, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, toxicity, url_filter, url_labels
+from chronomotif.llm.common import written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,7 +68,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = ngram_lm.held_out("doc_id", 7, 2)
     model = ngram_lm.train(docs.where(~held_out), order=3)
-    scored = ngram_lm.score(docs, model, extra=[held_out.alias("held_out")])
+    scored = written(ngram_lm.score(docs, model, extra=[held_out.alias("held_out")]), "scored")  # numbers only
+    ngram_lm.drop_model(spark, model)
     return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
 
 

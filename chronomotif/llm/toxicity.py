@@ -11,7 +11,7 @@ the gate inputs of a word are worked out once a worker while its table lasts (``
 
 Defined cases: null, empty or wordless texts are one padded window, whose score is the bias alone; very long texts are
 scored whole, window by window in bounded batches; repeated rows get a score each; an empty table gives no rows; without
-labelled rows every score is 0; extra columns are not read.
+labelled rows every score is 0; ids labelled both ways teach nothing; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronomotif.llm.common import ship
-from chronomotif.llm.quality_model import chosen
+from chronomotif.llm.quality_model import agreed, chosen
 
 WINDOW, STRIDE, HIDDEN, WIDTH = 48, 32, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 13
@@ -255,8 +255,9 @@ def score_texts(net: Network, texts: list[str | None], state: dict) -> np.ndarra
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text: str, label: str, keep) -> tuple[list, list]:
     """At most ``max_labelled`` labelled texts, a quarter of label 1 where there are as many, by a hash of the id."""
     ids: dict = {}
+    known = agreed(labels.where(keep), label, id_col)
     for value, share in ((1, max_labelled // 4), (0, max_labelled - max_labelled // 4)):
-        some = labels.where((F.col(label) == value) & keep).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(share)
+        some = known.where(F.col(label) == value).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(share)
         ids |= {r[0]: value for r in some.collect()}
     found = chosen(docs.select(id_col, text), list(ids), id_col).collect()
     found.sort(key=lambda r: (str(r[0]), r[1] or ""))
