@@ -5,13 +5,14 @@ A window is ``size`` consecutive item words (a shorter item is one window). The
 characters, so a document costs one dictionary lookup and one automaton step a word; only documents with a match pay
 for mapping words back to character offsets of the original text.
 
-The benchmark is small by nature. Its size is measured before it is broadcast (``max_bytes``); beyond ``max_windows``
-windows it is dealt into blocks, and a worker scans each batch against one block's automaton at a time, so memory stays
-bounded and no item is dropped.
+The benchmark is small by nature, and its size is measured before it is broadcast. Beyond ``max_bytes`` it is dealt into
+parts by a hash of the item, scanned in one pass each; beyond ``max_windows`` windows a part is dealt into blocks, and a
+worker scans ``CHUNK`` words of text at a time against one block's automaton after another. So memory stays bounded and no
+item is dropped; both ways give the same result.
 
 Defined cases: a null text has no words; a null item id is no item, a null or wordless item text has no window;
-repeated items and windows count once; an empty benchmark hits nothing; very long texts are scanned whole; extra
-columns of ``drop_contaminated`` pass through unchanged.
+repeated items and windows count once; an empty benchmark hits nothing; very long texts are scanned whole; repeated rows
+are scanned one by one; extra columns of ``drop_contaminated`` pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from chronomotif.llm.common import ship
+from chronomotif.llm.common import ship, written
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+CHUNK = 4_000_000
 _BUILT: dict = {}
 
 
@@ -103,59 +106,107 @@ def spans_of(text: str, places: set[int]) -> list[tuple[int, int]]:
             else:
                 spans.append([m.start(), m.end()])
             before = i
-    chars = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
-    return [(chars(a), chars(b)) for a, b in spans]
-
-
-def _collected(benchmark: DataFrame, item_col: str, text: str, max_bytes: int) -> list[tuple]:
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; one broadcast may have {max_bytes}: scan it in parts")
-    return [(r[0], r[1]) for r in benchmark.select(item_col, text).distinct().collect()]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", size: int = 10, max_windows: int = 500_000, max_bytes: int = 256 << 20) -> DataFrame:
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # characters that begin before each byte
+    return [(int(chars[a]), int(chars[b])) for a, b in spans]
+
+
+def _parts(benchmark: DataFrame, item_col: str, item_text: str, size: int, max_windows: int, max_bytes: int) -> Iterator:
+    """Broadcast blocks of items, one part of the benchmark after another; a part has about ``max_bytes`` bytes at most."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct()
+    n = -(-(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // max_bytes)
+    for k in range(max(1, n)):
+        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+        blocks = item_blocks([(r[0], r[1]) for r in mine.collect()], size, max_windows)  # a part, by the size that was measured
+        shared = benchmark.sparkSession.sparkContext.broadcast(blocks)
+        yield shared, f"{k}-{shared._jbroadcast.id()}"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, blocks: list) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
+    """Batches with their texts' words; several at once where several automata are built for them."""
+    held: list[pa.RecordBatch] = []
+    lists: list[list[bytes]] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        lists += [words_of(t) for t in batch.column(column).to_pylist()]
+        size = size + sum(map(len, lists[-batch.num_rows :])) if batch.num_rows else size
+        if len(blocks) < 2 or size > CHUNK:
+            yield held, lists
+            held, lists, size = [], [], 0
+    if held:
+        yield held, lists
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", size: int = 10, max_windows: int = 500_000, max_bytes: int = 64 << 20, item_text: str = "text"
+) -> DataFrame:
     """(id, n_words, n_hit, items array, spans array of start and end) of every document."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(item_blocks(_collected(benchmark, item_col, "text", max_bytes), size, max_windows))
-    key = f"{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ship(docs.sparkSession)
+    id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    item_list = pa.list_(to_arrow_type(item_type))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast(f"array<{item_type.simpleString()}>").alias("items"))
+    schema = out.schema
+
+    def part(shared, key: str):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held, lists in _chunks(batches, 1, shared.value):
+                found = _scan(lists, shared.value, size, key)
+                at = 0
+                for batch in held:
+                    places, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                    n = pa.array([len(x) for x in lists[at : at + batch.num_rows]], pa.int64())
+                    for i in range(batch.num_rows):
+                        if at + i in found:
+                            more, names = found[at + i]
+                            places[i] = sorted({*more, *(places[i] or ())})
+                            items[i] = sorted({*names, *(items[i] or ())})
+                    at += batch.num_rows
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(places, pa.list_(pa.int32())), pa.array(items, item_list)], names=["id", "text", "n", "places", "items"])
+
+        return scan
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lists = [words_of(t) for t in texts]
-            found = _scan(lists, shared.value, size, key)
-            none: tuple = ((), ())
+            texts, places = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.fromiter(map(len, lists), np.int64, len(lists))),
-                    pa.array([len(found.get(i, none)[0]) for i in range(len(lists))], pa.int64()),
-                    pa.array([sorted(found.get(i, none)[1]) for i in range(len(lists))], pa.list_(pa.string() if item_type == "string" else pa.int64())),
-                    pa.array([[{"start": a, "end": b} for a, b in spans_of(texts[i], found[i][0])] if i in found else [] for i in range(len(lists))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    batch.column(2),
+                    pa.array([len(p or ()) for p in places], pa.int64()),
+                    pa.array([x or [] for x in batch.column(4).to_pylist()], item_list),
+                    pa.array([[{"start": a, "end": b} for a, b in spans_of(t, set(p))] if p else [] for t, p in zip(texts, places, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 names=["id", "n_words", "n_hit", "items", "spans"],
             )
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    items = "string" if item_type == "string" else "bigint"
-    out = docs.select(id_col, text).mapInArrow(scan, f"id {id_type}, n_words bigint, n_hit bigint, items array<{items}>, spans array<struct<start:bigint,end:bigint>>")
-    return out.withColumnRenamed("id", id_col)
+    def both(scan):
+        return lambda batches: spans(scan(batches))
+
+    parts = list(_parts(benchmark, item_col, item_text, size, max_windows, max_bytes))
+    for shared, key in parts[:-1]:
+        out = written(out.mapInArrow(part(shared, key), schema), "hits")
+    result = f"id {id_type.simpleString()}, n_words bigint, n_hit bigint, items array<{item_type.simpleString()}>, spans array<struct<start:bigint,end:bigint>>"
+    return out.mapInArrow(both(part(*parts[-1])), result).withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", size: int = 10, max_windows: int = 500_000, max_bytes: int = 256 << 20) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", size: int = 10, max_windows: int = 500_000, max_bytes: int = 64 << 20, item_text: str = "text"
+) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of any item; columns unchanged."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(item_blocks(_collected(benchmark, item_col, "text", max_bytes), size, max_windows))
-    key = f"{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
+    ship(docs.sparkSession)
     at = docs.columns.index(text)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _scan([words_of(t) for t in batch.column(at).to_pylist()], shared.value, size, key)
-            yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+    def part(shared, key: str):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held, lists in _chunks(batches, at, shared.value):
+                found = _scan(lists, shared.value, size, key)
+                row = 0
+                for batch in held:
+                    yield batch.filter(pa.array([i not in found for i in range(row, row + batch.num_rows)], pa.bool_()))
+                    row += batch.num_rows
+
+        return scan
 
-    return docs.mapInArrow(scan, docs.schema)
+    for shared, key in _parts(benchmark, item_col, item_text, size, max_windows, max_bytes):
+        docs = docs.mapInArrow(part(shared, key), docs.schema)
+    return docs

@@ -106,8 +106,8 @@ def test_decontamination(spark, docs, none):
     items = [(1, "the cat sat on"), (2, None), (None, "the mat"), (3, ""), (4, " ".join(f"W{i}" for i in range(20, 45))), (4, "3 dogs"), (5, "not there at all"), (1, "the cat sat on")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    for most in (500_000, 3):  # one automaton, and a block for each item
-        got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, max_windows=most).collect()}
+    for limits in ({}, {"max_windows": 3}, {"max_bytes": 40}):  # one automaton, a block for each item, several parts
+        got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, **limits).collect()}
         for i, t in enumerate(TEXTS):
             w, hit, names = words(t), set(), set()
             for k, x in items:
@@ -121,8 +121,8 @@ def test_decontamination(spark, docs, none):
             assert (got[i].n_words, got[i].n_hit, got[i].items) == (len(w), len(hit), sorted(names)), i
             inside = [x for s in got[i].spans for x in words(t[s.start : s.end])]
             assert len(inside) == len(hit) and set(inside) <= {x for k, y in items if k is not None for x in words(y)}
-    left = decontaminate.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.n_hit}
+        left = decontaminate.drop_contaminated(docs, bench, **limits)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.n_hit}
     assert decontaminate.contamination(none, bench).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
