@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chronomotif.functions.rng import rnd, rnd_sql, whole
 from chronomotif.operators import motifs
 from chronomotif.plans import catalog
+from chronomotif.plans.motif import DIRECTED_SQL, instances_sql
 
 
 def param_grid(spark: SparkSession, times: list[int], nodes: list[int], ps: list[float], n_seeds: int) -> DataFrame:
@@ -39,7 +40,7 @@ def er_events(params: DataFrame) -> DataFrame:
     return _ordered(rows, "t", "op", "u", "v")
 
 
-def _place(params: DataFrame, edges: list[tuple[int, int]], window: int, skip: int | None = None) -> DataFrame:
+def _place(params: DataFrame, edges: list[tuple[int, int]], window: int) -> DataFrame:
     """One instance a graph: increasing times inside the window, nodes shifted by a draw."""
     g = F.col("graph_id")
     start = whole(rnd("s", g), F.greatest(F.col("T") - window + 1, F.lit(1)))
@@ -51,36 +52,91 @@ def _place(params: DataFrame, edges: list[tuple[int, int]], window: int, skip: i
     return params.select("*", F.explode(rows).alias("e")).select("graph_id", F.col("T").alias("horizon"), "e.u", "e.v", "e.t", "e.i")
 
 
-def _background(params: DataFrame, k: int, n_events: int, salt: str) -> DataFrame:
-    """``n_events`` adds a graph on the nodes that an instance of k nodes leaves free."""
-    g = F.col("graph_id")
-    shift = whole(rnd("n", g), F.col("N"))
-    draws = params.where(F.col("N") - k >= 2).select("*", shift.alias("_shift"), F.explode(F.sequence(F.lit(1), F.lit(max(n_events, 1)))).alias("i"))
-    a = whole(rnd(salt + "a", g, F.col("i")), F.col("N") - k)
-    b = whole(rnd(salt + "b", g, F.col("i")), F.col("N") - k - 1)
-    b = F.when(b >= a, b + 1).otherwise(b)
-    node = lambda x: ((x + k + F.col("_shift")) % F.col("N")).cast("int")
-    return draws.select("graph_id", node(a).alias("u"), node(b).alias("v"), whole(rnd(salt + "t", g, F.col("i")), F.col("T")).alias("t"), F.lit("a").alias("op"))
+def _sampled(df: DataFrame, keys: list[str], n, *salt) -> DataFrame:
+    """Of each group of ``keys`` the first ``n`` rows by a draw: sampling without replacement. ``n`` is a number or a column."""
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(rnd(*salt), *[c for c in df.columns if c not in keys]))
+    return df.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
+
+
+def _deletes(adds: DataFrame, params: DataFrame, keys: list[str], left: Column, salt: str) -> DataFrame:
+    """``left`` of a graph's adds, sampled, with a delete each at a time from the last add on."""
+    g = [F.col(k) for k in keys]
+    ends = adds.groupBy(*keys).agg(F.max("t").alias("_end"))
+    drawn = _sampled(adds.join(params.select("graph_id", F.col("T").alias("_horizon"), "M"), "graph_id").withColumn("_n", left), keys, F.col("_n"), salt, *g, F.col("u"), F.col("v"), F.col("t"))
+    drawn = drawn.join(ends, keys)
+    t = F.col("_end") + whole(rnd(salt + "t", *g, F.col("u"), F.col("v"), F.col("t")), F.greatest(F.col("_horizon") - F.col("_end"), F.lit(1)))
+    return drawn.select(*keys, "u", "v", t.cast("int").alias("t"), F.lit("d").alias("op"))
+
+
+def _with_events(params: DataFrame, n_events: int | None) -> DataFrame:
+    return params if n_events is None else params.withColumn("M", F.lit(n_events))
 
 
-def contain_positive(params: DataFrame, motif: str, n_events: int, which: str = "contain") -> DataFrame:
-    """Graphs with a planted instance, two thirds of the other events adds on other nodes, the rest deletes of any of these from the last add on."""
+def contain_positive(params: DataFrame, motif: str, n_events: int | None = None, which: str = "contain") -> DataFrame:
+    """Logs of M events (``n_events``, or a column of ``params``) with a planted instance.
+
+    Two thirds of the other events are adds of distinct pairs of other nodes, the rest deletes of any adds from the last add on.
+    Rows with fewer nodes, events or time steps than the instance needs, or too few free pairs, give no log.
+    """
     edges, window = catalog.EDGES[motif], catalog.WINDOWS[which][motif]
-    planted = _place(params, edges, window)
-    rest = max(n_events - len(edges), 0)
-    adds = planted.select("graph_id", "u", "v", "t", F.lit("a").alias("op")).unionByName(_background(params, catalog.n_nodes(edges), 2 * rest // 3, "bg"))
-    g, of = F.col("graph_id"), W.partitionBy("graph_id")
-    drawn = adds.select("*", F.row_number().over(of.orderBy(rnd("dl", g, F.col("u"), F.col("v"), F.col("t")), "u", "v", "t")).alias("i"), F.max("t").over(of).alias("end"))
-    drawn = drawn.where(F.col("i") <= rest - 2 * rest // 3).join(params.select("graph_id", F.col("T").alias("horizon")), "graph_id")
-    td = F.col("end") + whole(rnd("dt", g, F.col("i")), F.greatest(F.col("horizon") - F.col("end"), F.lit(1)))
-    deletes = drawn.select("graph_id", "u", "v", td.cast("int").alias("t"), F.lit("d").alias("op"))
-    return _ordered(adds.unionByName(deletes), "t", "op", "u", "v")
+    k, n, g = catalog.n_nodes(edges), len(edges), F.col("graph_id")
+    params = _with_events(params, n_events).withColumn("_more", F.expr(f"2 * (M - {n}) div 3"))
+    free = F.expr(f"(N - {k}) * (N - {k} - 1) div 2")
+    params = params.where((F.col("N") >= k) & (F.col("M") >= n) & (F.col("T") >= n) & (free >= F.col("_more")))
+    nodes = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.col("N") - 1), lambda x: F.struct(rnd("n", g, x).alias("r"), x.alias("x")))), lambda s: s["x"])
+    start = whole(rnd("s", g), F.greatest(F.lit(0), F.col("T") - window - 2) + 1)
+    slots = F.transform(F.sequence(F.lit(0), F.least(F.col("T") - F.col("_start"), F.lit(window)) - 1), lambda x: F.struct(rnd("w", g, x).alias("r"), x.alias("x")))
+    times = F.array_sort(F.transform(F.slice(F.array_sort(slots), 1, n), lambda s: s["x"]))
+    placed = params.withColumn("_start", start).withColumn("_nodes", nodes).withColumn("_times", times).where(F.size("_times") == n)
+    node = lambda x: F.col("_nodes")[x]
+    rows = F.array(*[F.struct(node(a).alias("u"), node(b).alias("v"), (F.col("_start") + F.col("_times")[i]).cast("int").alias("t")) for i, (a, b) in enumerate(edges)])
+    planted = placed.select("graph_id", F.explode(rows).alias("e")).select("graph_id", "e.*")
+    rest = F.slice("_nodes", F.lit(k + 1), F.greatest(F.col("N") - k, F.lit(0)))
+    pairs = placed.select("graph_id", "T", "_more", F.explode(rest).alias("u"), rest.alias("_rest")).select("graph_id", "T", "_more", "u", F.explode("_rest").alias("v")).where("u < v")
+    more = _sampled(pairs, ["graph_id"], F.col("_more"), "bg", g, F.col("u"), F.col("v"))
+    more = more.select("graph_id", "u", "v", whole(rnd("bt", g, F.col("u"), F.col("v")), F.col("T")).alias("t"))
+    adds = planted.unionByName(more)
+    deletes = _deletes(adds, params, ["graph_id"], F.col("M") - n - F.expr(f"2 * (M - {n}) div 3"), "dl")
+    return _ordered(adds.withColumn("op", F.lit("a")).unionByName(deletes), "t", "op", "u", "v")
+
+
+def _random_logs(tries: DataFrame) -> DataFrame:
+    """(graph_id, attempt, u, v, t, op): for each attempt two thirds of M distinct pairs of N nodes, added at any time, the rest deletes of them."""
+    g, a = F.col("graph_id"), F.col("attempt")
+    most = F.expr("(2 * M + 2) div 3")
+    pairs = tries.select("graph_id", "attempt", "T", "M", "N", F.explode(F.sequence(F.lit(0), F.col("N") - 2)).alias("u")).select("*", F.explode(F.sequence(F.col("u") + 1, F.col("N") - 1)).alias("v"))
+    drawn = _sampled(pairs.select("graph_id", "attempt", "T", "M", "u", "v"), ["graph_id", "attempt"], most, "ng", g, a, F.col("u"), F.col("v"))
+    adds = drawn.select("graph_id", "attempt", "u", "v", whole(rnd("nt", g, a, F.col("u"), F.col("v")), F.col("T")).alias("t"))
+    deletes = _deletes(adds, tries.select("graph_id", "T", "M").distinct(), ["graph_id", "attempt"], F.col("M") - most, "nd")
+    return adds.withColumn("op", F.lit("a")).unionByName(deletes)
+
+
+def contain_negative(params: DataFrame, motif: str, n_events: int | None = None, which: str = "contain", at_once: int = 4, rounds: int = 50) -> DataFrame:
+    """Random logs of M events without the motif: each row's first attempt that lacks it, ``at_once`` drawn in a round until all rows have one.
+
+    Raises an error if rows are left after ``rounds``; rows of fewer than two nodes or without events give no log.
+    """
+    from functools import reduce
+
+    left = _with_events(params, n_events).where("N >= 2 AND M >= 1").select("graph_id", "T", "N", "M")
+    parts: list[DataFrame] = []
+    for k in range(rounds):
+        tries = left.select("*", F.explode(F.sequence(F.lit(k * at_once), F.lit((k + 1) * at_once - 1))).alias("attempt"))
+        logs = _random_logs(tries)
+        both = F.concat_ws(":", F.col("graph_id").cast("string"), F.col("attempt").cast("string"))
+        bad = motifs.found(logs.withColumn("graph_id", both), motif, which=which).select(F.col("graph_id").alias("_b")).distinct()
+        good = tries.withColumn("_b", both).join(bad, "_b", "left_anti").groupBy("graph_id").agg(F.min("attempt").alias("attempt")).persist()
+        parts.append(logs.join(good, ["graph_id", "attempt"], "left_semi").drop("attempt"))
+        left = left.join(good, "graph_id", "left_anti")
+        if left.isEmpty():
+            return _ordered(reduce(DataFrame.unionByName, parts), "t", "op", "u", "v")
+    raise ValueError(f"{motif}: some graphs had the motif in {rounds * at_once} attempts; they have too many events for their nodes")
 
 
-def contain_negative(params: DataFrame, motif: str, which: str = "contain") -> DataFrame:
-    """Random graphs of which those that contain the motif are left out."""
-    te = er_events(params)
-    return te.join(motifs.found(te, motif, which=which).select("graph_id").distinct(), "graph_id", "left_anti")
+def contain_task(params: DataFrame, motif: str, which: str = "contain") -> DataFrame:
+    """Logs of M events: even seeds with the motif, odd ones without."""
+    even = F.col("seed") % 2 == 0
+    return contain_positive(params.where(even), motif, which=which).unionByName(contain_negative(params.where(~even), motif, which=which))
 
 
 def _mixed_background(params: DataFrame, kept: DataFrame, n_events: int, p_delete: float) -> DataFrame:
@@ -125,45 +181,64 @@ def modify_task(params: DataFrame, motif: str, n_events: int, p_delete: float =
     return te.join(good.select("graph_id"), "graph_id", "left_semi"), good
 
 
-def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5, p_delete: float = 0.5) -> DataFrame:
-    """Graphs of the motif's size: its topology or random pairs, then one of four ways to give times; adds are deleted later with ``p_delete``.
+def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5, p_delete: float = 0.5, cases: bool = False) -> DataFrame:
+    """Logs of the motif's size over 2 * T steps, T being the window; with ``cases`` (graph_id, assignment_case) instead.
 
-    Ways, a third each but the last two together: in order inside the window; in order with a span beyond it; out of order; any times.
+    Its topology, half of the time with its nodes permuted, or as many random pairs of its nodes. Times: (1) in order inside the
+    window, (2) in order with a span beyond it, (3) those of 1 in another order, a third each; (4) any, for random pairs and
+    where the steps don't suffice. Adds are deleted later with ``p_delete``.
     """
-    edges, window = catalog.EDGES[motif], catalog.WINDOWS["default"][motif]
+    edges = catalog.EDGES[motif]
     k, n, g = catalog.n_nodes(edges), len(edges), F.col("graph_id")
-    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: F.struct(rnd("pm", g, x).alias("r"), x.alias("x")))), lambda s: s["x"])
-    node = lambda x: F.when(rnd("pq", g) < permute, F.element_at(order, x + 1)).otherwise(F.lit(x))
-    way = rnd("way", g)
-    step = lambda i: F.lit(i)
-    wide = lambda i: F.lit(i * (window + 1) if n == 1 else -(-i * (window + 1) // (n - 1)))
-    anyt = lambda i: whole(rnd("any", g, i), F.col("T") * 2)
-    rows = []
-    for i, (a, b) in enumerate(edges):
-        t = F.when(way < 0.33, step(i)).when(way < 0.66, wide(i)).when(way < 0.83, F.lit(n - i)).otherwise(anyt(i))
-        ra = whole(rnd("ra", g, i), k)
-        rb = (ra + 1 + whole(rnd("rb", g, i), k - 1)) % k
-        real = rnd("top", g) < topology
-        rows.append(F.struct(F.when(real, node(a)).otherwise(ra).cast("int").alias("u"), F.when(real, node(b)).otherwise(rb).cast("int").alias("v"), t.cast("int").alias("t"), F.lit("a").alias("op")))
-    end = F.col("end")
-    adds = params.select("graph_id", (F.col("T") * 2).alias("end"), F.posexplode(F.array(*rows)).alias("i", "e")).select("graph_id", "end", "i", "e.*")
-    td = F.col("t") + 1 + whole(rnd("td", g, F.col("i")), end - 1 - F.col("t"))
-    deletes = adds.where((rnd("del", g, F.col("i")) < p_delete) & (F.col("t") < end - 1)).select("graph_id", "u", "v", td.cast("int").alias("t"), F.lit("d").alias("op"))
+    window, end = F.col("T"), F.col("T") * 2
+    ordered = lambda salt, items: F.transform(F.array_sort(F.transform(items, lambda x: F.struct(rnd(*salt, x).alias("r"), x.alias("x")))), lambda s: s["x"])
+    some = lambda salt, last, m: F.when(last >= 1, F.array_sort(F.slice(ordered(salt, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))), 1, m))).otherwise(F.array().cast("array<int>"))
+    df = params.withColumn("_real", rnd("top", g) < topology).withColumn("_perm", F.when(rnd("pq", g) < permute, ordered(("pm", g), F.sequence(F.lit(0), F.lit(k - 1)))).otherwise(F.sequence(F.lit(0), F.lit(k - 1))))
+    df = df.withColumn("_start", whole(rnd("st", g), F.greatest(end - window - 1, F.lit(0)))).withColumn("_base", F.concat(F.array(F.lit(0)), some(("bs", g), window - 1, n - 1)))
+    df = df.withColumn("_fits", (end - window - 2 >= 0) & (F.size("_base") == n))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    shuffles = [F.transform(ordered(("sh", g, F.lit(i)), places), lambda x: F.col("_base")[x]) for i in range(5)]
+    df = df.withColumn("_other", F.coalesce(*[F.when(x != F.col("_base"), x) for x in shuffles]))
+    far = F.greatest(F.col("_start") + window + 1, F.col("_start") + F.col("_base")[n - 2] + 1)
+    df = df.withColumn("_far", F.when(F.col("_fits") & (far <= end - 1), far + whole(rnd("tm", g), end - far) - F.col("_start")))
+    df = df.withColumn("_wide", F.concat(F.array(F.lit(0)), some(("in", g), F.col("_far") - 1, n - 2), F.array(F.col("_far"))))
+    draw = rnd("way", g)
+    case = F.when(~F.col("_real") | ~F.col("_fits"), 4).when(draw < 0.33, 1).when(draw < 0.66, F.when(F.size("_wide") == n, 2).otherwise(4)).otherwise(F.when(F.col("_other").isNotNull(), 3).otherwise(4))
+    df = df.withColumn("assignment_case", case.cast("int"))
+    if cases:
+        return df.select("graph_id", "assignment_case")
+    shape = F.when(F.col("assignment_case") == 1, F.col("_base")).when(F.col("assignment_case") == 2, F.col("_wide")).when(F.col("assignment_case") == 3, F.col("_other"))
+    times = F.when(shape.isNotNull(), F.transform(shape, lambda x: (x + F.col("_start")).cast("int"))).otherwise(F.transform(places, lambda i: whole(rnd("any", g, i), end)))
+    pairs = F.array(*[F.struct(F.lit(a).alias("u"), F.lit(b).alias("v")) for a in range(k) for b in range(a + 1, k)])
+    chosen = F.slice(F.array_sort(F.transform(pairs, lambda p: F.struct(rnd("rp", g, p["u"], p["v"]).alias("r"), p["u"].alias("u"), p["v"].alias("v")))), 1, n)
+    real = F.array(*[F.struct(F.col("_perm")[a].alias("u"), F.col("_perm")[b].alias("v")) for a, b in edges])
+    links = F.when(F.col("_real"), real).otherwise(F.transform(chosen, lambda c: F.struct(c["u"].alias("u"), c["v"].alias("v"))))
+    adds = df.select("graph_id", end.alias("end"), times.alias("_t"), F.posexplode(links).alias("i", "e")).select("graph_id", "end", "i", "e.u", "e.v", F.col("_t")[F.col("i")].alias("t"), F.lit("a").alias("op"))
+    td = F.col("t") + 1 + whole(rnd("td", g, F.col("i")), F.col("end") - 1 - F.col("t"))
+    deletes = adds.where((rnd("del", g, F.col("i")) < p_delete) & (F.col("t") < F.col("end") - 1)).select("graph_id", "u", "v", td.cast("int").alias("t"), F.lit("d").alias("op"))
     return _ordered(adds.drop("end", "i").unionByName(deletes), "t", "u", "v", "op")
 
 
 def dispatch(params: DataFrame, task: str, motif: str | None = None, n_events: int = 20) -> DataFrame:
-    """The generator of a task by its name."""
+    """The generator of a task: for containment random logs where p is below 1, else p events with the motif (even seeds) or without."""
     if task == "judge_contain_motif" and motif:
-        return contain_positive(params, motif, n_events)
-    if task == "judge_is_motif":
+        planned = params.where("p >= 1").withColumn("M", F.col("p").cast("int"))
+        return er_events(params.where("p < 1")).unionByName(contain_task(planned, motif))
+    if task == "judge_is_motif" and motif:
         return is_motif_task(params, motif)
-    if task == "modify_motif":
+    if task == "modify_motif" and motif:
         return modify_task(params, motif, n_events)[0]
     return er_events(params)
 
 
-def _graphs(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
+def first_seeds(grid: DataFrame, made: DataFrame, wanted: int) -> DataFrame:
+    """Of every T, N and p the first ``wanted`` seeds that gave a log, among 5 * ``wanted`` + 10 tried (``param_grid`` with so many)."""
+    tried = grid.where(F.col("seed") < 5 * wanted + 10).join(made.select("graph_id").distinct(), "graph_id", "left_semi")
+    at = F.row_number().over(W.partitionBy("T", "N", "p").orderBy("seed"))
+    return tried.withColumn("_at", at).where(F.col("_at") <= wanted).drop("_at")
+
+
+def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters T=15, N=20, p=0.3 for graphs numbered like the suppliers."""
     ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("graph_id"))
     return ids.select("graph_id", F.lit(15).alias("T"), F.lit(20).alias("N"), F.lit(0.3).alias("p"))
@@ -177,15 +252,62 @@ e AS (SELECT g, u, v, ta AS t, 'a' AS op FROM k UNION ALL SELECT g, u, v, ta + 1
 SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY t, op, u, v) - 1 AS INT) AS seq, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CAST(t AS INT) AS t, op FROM e"""
 
 
+def _positive_sql(m: int, motif: str) -> str:
+    """T=15, N=20; ``m`` events."""
+    edges, window = catalog.EDGES[motif], catalog.WINDOWS["contain"][motif]
+    k, n = catalog.n_nodes(edges), len(edges)
+    more = 2 * (m - n) // 3
+    r = lambda salt, *key: rnd_sql(f"'{salt}'", "g", *key)
+    rows = " UNION ALL ".join(f"SELECT g, nodes[{a + 1}] AS u, nodes[{b + 1}] AS v, st + times[{i + 1}] AS t FROM pl" for i, (a, b) in enumerate(edges))
+    return f"""WITH p0 AS (SELECT s_suppkey AS g, CAST(floor({rnd_sql("'s'", 's_suppkey')} * {max(0, 15 - window - 2) + 1}) AS INT) AS st FROM supplier),
+nd AS (SELECT g, list(x ORDER BY {r('n', 'x')}, x) AS nodes FROM p0, (SELECT unnest(range(0, 20)) AS x) GROUP BY g), ts AS (SELECT g, list_sort(list(x ORDER BY {r('w', 'x')}, x)[1:{n}]) AS times FROM p0, (SELECT unnest(range(0, {window})) AS x) WHERE x < 15 - st GROUP BY g),
+pl AS (SELECT g, st, nodes, times FROM p0 JOIN nd USING (g) JOIN ts USING (g) WHERE len(times) = {n}), pa AS (SELECT a.g, a.x AS u, b.x AS v FROM (SELECT g, unnest(nodes[{k + 1}:]) AS x FROM pl) a JOIN (SELECT g, unnest(nodes[{k + 1}:]) AS x FROM pl) b ON a.g = b.g AND a.x < b.x),
+mo AS (SELECT g, u, v, CAST(floor({r('bt', 'u', 'v')} * 15) AS INT) AS t FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {r('bg', 'u', 'v')}, u, v) AS i FROM pa) WHERE i <= {more}), ad AS ({rows} UNION ALL SELECT * FROM mo),
+dl AS (SELECT g, u, v, en + CAST(floor({r('dlt', 'u', 'v', 't')} * greatest(15 - en, 1)) AS INT) AS t FROM (SELECT *, max(t) OVER (PARTITION BY g) AS en, row_number() OVER (PARTITION BY g ORDER BY {r('dl', 'u', 'v', 't')}, t, u, v) AS i FROM ad) WHERE i <= {m - n - more}),
+e AS (SELECT g, u, v, t, 'a' AS op FROM ad UNION ALL SELECT g, u, v, t, 'd' FROM dl)
+SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY t, op, u, v) - 1 AS INT) AS seq, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CAST(t AS INT) AS t, op FROM e"""
+
+
+def _negative_sql(m: int, motif: str, attempts: int = 24) -> str:
+    edges, window = catalog.EDGES[motif], catalog.WINDOWS["contain"][motif]
+    most = (2 * m + 2) // 3
+    r = lambda salt, *key: rnd_sql(f"'{salt}'", "g", "k", *key)
+    return f"""WITH pr AS (SELECT s_suppkey AS g, k, u, v FROM supplier, (SELECT unnest(range(0, {attempts})) AS k), (SELECT unnest(range(0, 20)) AS u), (SELECT unnest(range(0, 20)) AS v) WHERE u < v),
+ad AS (SELECT g, k, u, v, CAST(floor({r('nt', 'u', 'v')} * 15) AS INT) AS t FROM (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY {r('ng', 'u', 'v')}, u, v) AS i FROM pr) WHERE i <= {most}),
+te AS (SELECT g || ':' || k AS graph_id, u, v, t, 'a' AS op FROM ad), {DIRECTED_SQL}, ok AS (SELECT g, min(k) AS k FROM (SELECT DISTINCT g, k FROM ad) WHERE g || ':' || k NOT IN (SELECT graph_id FROM ({instances_sql(edges, window)})) GROUP BY g),
+a1 AS (SELECT ad.* FROM ad JOIN ok USING (g, k)), dl AS (SELECT g, u, v, en + CAST(floor({r('ndt', 'u', 'v', 't')} * greatest(15 - en, 1)) AS INT) AS t FROM (SELECT *, max(t) OVER (PARTITION BY g) AS en, row_number() OVER (PARTITION BY g ORDER BY {r('nd', 'u', 'v', 't')}, t, u, v) AS i FROM a1) WHERE i <= {m - most}),
+e AS (SELECT g, u, v, t, 'a' AS op FROM a1 UNION ALL SELECT g, u, v, t, 'd' FROM dl)
+SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY t, op, u, v) - 1 AS INT) AS seq, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CAST(t AS INT) AS t, op FROM e"""
+
+
+def _is_motif_sql(motif: str) -> str:
+    """T=15, so a window of 15 and 30 steps."""
+    edges = catalog.EDGES[motif]
+    k, n = catalog.n_nodes(edges), len(edges)
+    r = lambda salt, *key: rnd_sql(f"'{salt}'", "g", *key)
+    by = lambda salt, items, *key: f"[z.x FOR z IN list_sort([struct_pack(r := {r(salt, *key, 'x')}, x := x) FOR x IN {items}])]"
+    other = " ".join(f"WHEN {by('sh', f'range(0, {n})', str(i))} <> range(0, {n}) THEN [ba[y + 1] FOR y IN {by('sh', f'range(0, {n})', str(i))}]" for i in range(5))
+    pairs = ", ".join(f"struct_pack(r := {r('rp', str(a), str(b))}, u := {a}, v := {b})" for a in range(k) for b in range(a + 1, k))
+    real = ", ".join(f"struct_pack(u := pe[{a + 1}], v := pe[{b + 1}])" for a, b in edges)
+    return f"""WITH a AS (SELECT s_suppkey AS g FROM supplier), b AS (SELECT g, {r('top')} < 0.75 AS re, CASE WHEN {r('pq')} < 0.5 THEN {by('pm', f'range(0, {k})')} ELSE range(0, {k}) END AS pe, CAST(floor({r('st')} * 14) AS INT) AS st, list_sort(list_concat([0], {by('bs', 'range(1, 15)')}[1:{n - 1}])) AS ba FROM a),
+c AS (SELECT *, CASE {other} END AS ot, greatest(st + 16, st + ba[{n - 1}] + 1) AS fa FROM b), d AS (SELECT *, CASE WHEN fa <= 29 THEN fa + CAST(floor({r('tm')} * (30 - fa)) AS INT) - st END AS far FROM c),
+f AS (SELECT *, list_concat([0], list_sort({by('in', 'range(1, greatest(coalesce(far, 1), 1))')}[1:{n - 2}]), [far]) AS wi FROM d),
+h AS (SELECT *, CASE WHEN NOT re THEN 4 WHEN {r('way')} < 0.33 THEN 1 WHEN {r('way')} < 0.66 THEN CASE WHEN far IS NOT NULL AND len(wi) = {n} THEN 2 ELSE 4 END WHEN ot IS NOT NULL THEN 3 ELSE 4 END AS ca FROM f),
+l AS (SELECT g, CASE ca WHEN 1 THEN [x + st FOR x IN ba] WHEN 2 THEN [x + st FOR x IN wi] WHEN 3 THEN [x + st FOR x IN ot] ELSE [CAST(floor({r('any', 'x')} * 30) AS INT) FOR x IN range(0, {n})] END AS ts, CASE WHEN re THEN [{real}] ELSE [struct_pack(u := z.u, v := z.v) FOR z IN list_sort([{pairs}])[1:{n}]] END AS li FROM h),
+ad AS (SELECT g, i - 1 AS i, li[i].u AS u, li[i].v AS v, ts[i] AS t FROM l, (SELECT unnest(range(1, {n + 1})) AS i)),
+e AS (SELECT g, u, v, t, 'a' AS op FROM ad UNION ALL SELECT g, u, v, t + 1 + CAST(floor({r('td', 'i')} * (29 - t)) AS INT), 'd' FROM ad WHERE {r('del', 'i')} < 0.5 AND t < 29)
+SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY t, u, v, op) - 1 AS INT) AS seq, CAST(u AS INT) AS u, CAST(v AS INT) AS v, CAST(t AS INT) AS t, op FROM e"""
+
+
 def registered() -> list[tuple[str, Callable, str | None]]:
     grid = lambda spark, _: param_grid(spark, [5, 10], [10, 15], [0.3], 5).drop("graph_id")
     grid_sql = "SELECT CAST(T AS INT) AS T, CAST(N AS INT) AS N, 0.3::DOUBLE AS p, CAST(s AS INT) AS seed, 'T' || T || '_N' || N || '_p0.3_seed' || s AS folder FROM (SELECT unnest([5, 10]) AS T), (SELECT unnest([10, 15]) AS N), (SELECT unnest(range(0, 5)) AS s)"
     return [
         ("gen_param_grid", grid, grid_sql),
         ("gen_er_events", lambda s, d: er_events(_graphs(s, d)), _er_sql()),
-        ("gen_contain_positive", lambda s, d: contain_positive(_graphs(s, d), "triangle", 20), None),
-        ("gen_contain_negative", lambda s, d: contain_negative(_graphs(s, d), "4-clique"), None),
-        ("gen_is_motif", lambda s, d: is_motif_task(_graphs(s, d), "4-cycle"), None),
+        ("gen_contain_positive", lambda s, d: contain_positive(_graphs(s, d), "triangle", 20), _positive_sql(20, "triangle")),
+        ("gen_contain_negative", lambda s, d: contain_negative(_graphs(s, d), "4-path", 20), _negative_sql(20, "4-path")),
+        ("gen_is_motif", lambda s, d: is_motif_task(_graphs(s, d), "4-cycle"), _is_motif_sql("4-cycle")),
         ("gen_modify", lambda s, d: modify_task(_graphs(s, d), "4-cycle", 10)[0], None),
     ]
 

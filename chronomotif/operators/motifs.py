@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronomotif.plans import catalog
-from chronomotif.plans.motif import Prepared, absent, instances, prepare, within  # noqa: F401
+from chronomotif.plans.motif import Prepared, absent, instances, prepare, pruned, within
 
 NO_INSTANCE = 0x3F3F3F3F
 
 
-def found(te: DataFrame, motif: str | list, window: int | None = None, window_op: str = "le", mode: str = "induced", identity: bool = False, which: str = "default", p: Prepared | None = None) -> DataFrame:
-    """Instances of a catalog motif (by name) or of ordered edges."""
+def found(te: DataFrame, motif: str | list, window: int | None = None, window_op: str = "le", mode: str = "induced", identity: bool = False, which: str = "default", p: Prepared | None = None, prune: bool = False) -> DataFrame:
+    """Instances of a catalog motif (by name) or of ordered edges. ``prune``: graphs too small for it are left out first."""
     edges = catalog.EDGES[motif] if isinstance(motif, str) else motif
     w = window if window is not None else catalog.WINDOWS[which][motif]
-    return instances(p or prepare(te), edges, w, window_op, mode, identity)
+    p = p or prepare(te)
+    return instances(pruned(p, edges) if prune else p, edges, w, window_op, mode, identity)
 
 
 def graphs(te: DataFrame) -> DataFrame:

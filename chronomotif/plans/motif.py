@@ -1,8 +1,12 @@
 """The motif planner: an ordered edge pattern becomes a chain of equi-joins on (graph, node) with band conditions on time.
 
 ``prepare`` deals the log by graph once; with ``one_shuffle`` every join and anti-join of the chain reuses that partitioning,
-since it holds the graph in every key. Each step checks order and window at once, and each absent edge is an anti-join as
-soon as both its nodes are bound, so partial matches die early.
+since it holds the graph in every key. Its columns can't be null, so nothing is pushed below that exchange for one leg of the
+chain alone, and all legs read the same one. Each step checks order and window at once, and each absent edge is an anti-join as
+soon as both its nodes are bound, so partial matches die early. A chain is one SQL text, analysed once.
+
+A graph is one task's work then. For logs with graphs beyond a task, ``prepare(te, large_graphs=True)`` deals nothing: joins
+shuffle by (graph, node), where Spark splits skewed nodes.
 """
 
 from __future__ import annotations
@@ -29,12 +33,19 @@ def one_shuffle(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
 
 
-def prepare(te: DataFrame) -> Prepared:
-    """Add events only, undirected, distinct; deletions never undo a connection, self-loops are no edges."""
-    adds = te.where((F.col("op") == "a") & (F.col("u") != F.col("v")))
-    adds = adds.select("graph_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "t").repartition("graph_id").distinct()
+def prepare(te: DataFrame, large_graphs: bool = False) -> Prepared:
+    """Add events only, undirected, distinct; deletions never undo a connection, self-loops are no edges. Rows with nulls go."""
+    adds = te.where((F.col("op") == "a") & (F.col("u") != F.col("v")) & F.col("graph_id").isNotNull() & F.col("t").isNotNull())
+    adds = adds.select(_sure(te, "graph_id", F.col("graph_id")), _sure(te, "u", F.least("u", "v"), "lo"), _sure(te, "u", F.greatest("u", "v"), "hi"), _sure(te, "t", F.col("t")))
+    if not large_graphs:
+        adds = adds.repartition("graph_id")
     ways = F.explode(F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("d")), F.struct(F.col("hi").alias("s"), F.col("lo").alias("d"))))
-    return Prepared(adds.select("graph_id", "t", ways.alias("w")).select("graph_id", "w.s", "w.d", "t"), adds.select("graph_id", "lo", "hi").distinct())
+    return Prepared(adds.distinct().select("graph_id", "t", ways.alias("w")).select("graph_id", "w.s", "w.d", "t"), adds.select("graph_id", "lo", "hi").distinct())
+
+
+def _sure(te: DataFrame, like: str, value: Column, name: str | None = None) -> Column:
+    """A column that can't be null, as the filter before it made sure; its type is that of ``like``."""
+    return F.coalesce(value, F.lit(0).cast(te.schema[like].dataType)).alias(name or like)
 
 
 def within(first: Column, last: Column, window: int, op: str) -> Column:
@@ -50,56 +61,73 @@ def absent(df: DataFrame, static: DataFrame, a: str, b: str) -> DataFrame:
     return df.join(edge, on, "left_anti")
 
 
+def chain(edges: list[tuple[int, int]], window: int, window_op: str = "le", mode: str = "induced", identity: bool = False, gap: int | None = None) -> tuple[str, int, int]:
+    """(SQL over {directed} and {static}, nodes, events) of the join chain of ``instances``."""
+    kept = [e for i, e in enumerate(edges) if i != gap]
+    k = catalog.n_nodes(edges)
+    missing = catalog.non_edges(kept, k) if mode == "induced" else []
+    node: dict[int, str] = {}
+    joins: list[str] = []
+
+    def anti() -> None:
+        for a, b in [x for x in missing if x[0] in node and x[1] in node]:
+            missing.remove((a, b))
+            x = f"x{a}{b}"
+            joins.append(f"LEFT ANTI JOIN {{static}} {x} ON {x}.graph_id = e0.graph_id AND {x}.lo = least({node[a]}, {node[b]}) AND {x}.hi = greatest({node[a]}, {node[b]})")
+
+    for i, (a, b) in enumerate(kept):
+        on = [f"e{i}.graph_id = e0.graph_id", f"e{i}.t > e{i - 1}.t"]
+        if window > 0:
+            on.append(f"e{i}.t - e0.t {'<=' if window_op == 'le' else '<'} {window}")
+        new = {}
+        for x, column in ((a, f"e{i}.s"), (b, f"e{i}.d")):
+            if x in node:
+                on.append(f"{node[x]} = {column}")
+            else:
+                on += [f"{other} <> {column}" for other in node.values()]
+                new[x] = column
+        joins.append(f"{{directed}} e{i}" if i == 0 else f"JOIN {{directed}} e{i} ON " + " AND ".join(on))
+        node |= new
+        anti()
+    for x in range(k):
+        if x not in node:  # a node whose only edge was left out
+            on = [f"y{x}.graph_id = e0.graph_id", *[f"{other} <> y{x}.s" for other in node.values()]]
+            joins.append(f"JOIN (SELECT DISTINCT graph_id, s FROM {{directed}}) y{x} ON " + " AND ".join(on))
+            node[x] = f"y{x}.s"
+            anti()
+    where = ["e0.t > -1", *([f"{c} < {k}" for c in node.values()] if identity else [])]
+    columns = ["e0.graph_id", *[f"{node[x]} AS n{x}" for x in range(k)], *[f"e{i}.t AS t{i}" for i in range(len(kept))]]
+    return f"SELECT {', '.join(columns)} FROM {' '.join(joins)} WHERE {' AND '.join(where)}", k, len(kept)
+
+
 def instances(p: Prepared, edges: list[tuple[int, int]], window: int, window_op: str = "le", mode: str = "induced", identity: bool = False, gap: int | None = None) -> DataFrame:
     """(graph_id, n0.., t0..): one row an instance. ``mode``: induced or monomorphism. ``identity``: nodes are 0..k-1.
 
     ``gap`` names an edge that is left out: it isn't matched, but its nodes are (missing-edge fragments); its pair must be absent.
     """
-    kept = [e for i, e in enumerate(edges) if i != gap]
-    missing = catalog.non_edges(kept, catalog.n_nodes(edges)) if mode == "induced" else []
-    bound: list[int] = []
-    df: DataFrame | None = None
-    for i, (a, b) in enumerate(kept):
-        if df is None:
-            df = p.directed.select("graph_id", F.col("s").alias(f"n{a}"), F.col("d").alias(f"n{b}"), F.col("t").alias("t0")).where("t0 > -1")
-            bound = [a, b]
-        else:
-            e = p.directed.select(F.col("graph_id").alias("_g"), F.col("s").alias("_s"), F.col("d").alias("_d"), F.col("t").alias("_t"))
-            on = (F.col("graph_id") == F.col("_g")) & (F.col("_t") > F.col(f"t{i - 1}")) & within(F.col("t0"), F.col("_t"), window, window_op)
-            new = []
-            for node, column in ((a, "_s"), (b, "_d")):
-                if node in bound:
-                    on = on & (F.col(f"n{node}") == F.col(column))
-                else:
-                    new.append((node, column))
-                    for other in bound:
-                        on = on & (F.col(f"n{other}") != F.col(column))
-            df = df.join(e, on).select(*df.columns, *[F.col(c).alias(f"n{n}") for n, c in new], F.col("_t").alias(f"t{i}"))
-            bound += [n for n, _ in new]
-        df, missing = _anti(df, p, missing, bound)
-    for node in range(catalog.n_nodes(edges)):
-        if node not in bound:  # a node whose only edge was left out
-            nodes = p.directed.select(F.col("graph_id").alias("_g"), F.col("s").alias("_s")).distinct()
-            on = F.col("graph_id") == F.col("_g")
-            for other in bound:
-                on = on & (F.col(f"n{other}") != F.col("_s"))
-            df = df.join(nodes, on).select(*df.columns, F.col("_s").alias(f"n{node}"))
-            bound.append(node)
-            df, missing = _anti(df, p, missing, bound)
-    if identity:
-        for node in range(len(bound)):
-            df = df.where(F.col(f"n{node}") < len(bound))
+    query, _, n_events = chain(edges, window, window_op, mode, identity, gap)
+    tables = {"directed": p.directed} | ({"static": p.static} if "{static}" in query else {})
+    df = p.directed.sparkSession.sql(query, **tables)
     if gap is None and loose_pair(edges):
-        times = [F.col(f"t{i}") for i in range(len(edges))]
+        times = [F.col(f"t{i}") for i in range(n_events)]
         ends = [F.struct(F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")) for a, b in edges]
         df = df.withColumn("_events", F.array_sort(F.array(*[F.struct(t.alias("t"), e.alias("e")) for t, e in zip(times, ends, strict=True)]))).dropDuplicates(["graph_id", "_events"]).drop("_events")
-    return df.select("graph_id", *[f"n{i}" for i in range(len(bound))], *[f"t{i}" for i in range(len(kept))])
+    return df
+
 
+def large_enough(p: Prepared, edges: list[tuple[int, int]]) -> DataFrame:
+    """(graph_id) of graphs with as many nodes and connected pairs as the pattern has; the others can't hold it."""
+    pairs = len({(min(e), max(e)) for e in edges})
+    nodes = F.count_distinct(F.col("n"))
+    ends = p.static.select("graph_id", F.explode(F.array("lo", "hi")).alias("n"))
+    sizes = ends.groupBy("graph_id").agg(nodes.alias("_n"), (F.count("*") / 2).alias("_e"))
+    return sizes.where((F.col("_n") >= catalog.n_nodes(edges)) & (F.col("_e") >= pairs)).select("graph_id")
 
-def _anti(df: DataFrame, p: Prepared, missing: list[tuple[int, int]], bound: list[int]) -> tuple[DataFrame, list]:
-    for a, b in [x for x in missing if x[0] in bound and x[1] in bound]:
-        df = absent(df, p.static, f"n{a}", f"n{b}")
-    return df, [x for x in missing if not (x[0] in bound and x[1] in bound)]
+
+def pruned(p: Prepared, edges: list[tuple[int, int]]) -> Prepared:
+    """Only the graphs that are ``large_enough``."""
+    some = large_enough(p, edges)
+    return Prepared(p.directed.join(some, "graph_id", "left_semi"), p.static.join(some, "graph_id", "left_semi"))
 
 
 def loose_pair(edges: list[tuple[int, int]]) -> bool:
@@ -134,4 +162,41 @@ def instances_sql(edges: list[tuple[int, int]], window: int, window_op: str = "l
     return f"SELECT {columns} FROM {', '.join(f'directed e{i}' for i in range(len(edges)))} WHERE {' AND '.join(conditions)}"
 
 
+def completions_sql(edges: list[tuple[int, int]], window: int, reach: int = 10, longest: int = 1000) -> str:
+    """DuckDB SQL for all single edges that complete an induced instance: (graph_id, missing, lo, hi, t_add), times below ``longest``."""
+    parts = []
+    for gap, (a, b) in enumerate(edges):
+        kept = [e for i, e in enumerate(edges) if i != gap]
+        where: dict[int, str] = {}
+        conditions, tables = ["e0.t > -1"], []
+        for i, (x, y) in enumerate(kept):
+            tables.append(f"directed e{i}")
+            if i:
+                conditions += [f"e{i}.graph_id = e0.graph_id", f"e{i}.t > e{i - 1}.t"]
+                if window > 0:
+                    conditions.append(f"e{i}.t - e0.t <= {window}")
+            for node, column in ((x, f"e{i}.s"), (y, f"e{i}.d")):
+                if node in where:
+                    conditions.append(f"{column} = {where[node]}")
+                else:
+                    conditions += [f"{column} <> {other}" for other in where.values()]
+                    where[node] = column
+        for node in range(catalog.n_nodes(edges)):
+            if node not in where:
+                tables.append(f"(SELECT DISTINCT graph_id, s FROM directed) z{node}")
+                conditions += [f"z{node}.graph_id = e0.graph_id", *[f"z{node}.s <> {other}" for other in where.values()]]
+                where[node] = f"z{node}.s"
+        conditions += [f"NOT EXISTS (SELECT 1 FROM directed x WHERE x.graph_id = e0.graph_id AND x.s = {where[x]} AND x.d = {where[y]})" for x, y in catalog.non_edges(kept, catalog.n_nodes(edges))]
+        last = f"e{len(kept) - 1}.t"
+        if gap == 0:
+            times = [f"y.t >= greatest(e0.t - {reach}, 0)", "y.t < e0.t", f"{last} - y.t <= {window}"]
+        elif gap == len(kept):
+            times = [f"y.t = {last} + 1", f"y.t - e0.t <= {window}"]
+        else:
+            times = [f"y.t > e{gap - 1}.t", f"y.t < least(e{gap}.t, e{gap - 1}.t + {reach})", f"{last} - e0.t <= {window}"]
+        inner = ", ".join(["e0.graph_id", f"least({where[a]}, {where[b]}) AS lo", f"greatest({where[a]}, {where[b]}) AS hi", "y.t AS t_add"])
+        parts.append(f"SELECT DISTINCT graph_id, {gap} AS missing, lo, hi, CAST(t_add AS INT) AS t_add FROM (SELECT {inner} FROM {', '.join(tables)}, (SELECT unnest(range(0, {longest})) AS t) y WHERE {' AND '.join(conditions + times)})")
+    return " UNION ALL ".join(parts)
+
+
 DIRECTED_SQL = """directed AS (SELECT DISTINCT graph_id, u AS s, v AS d, t FROM te WHERE op = 'a' UNION SELECT DISTINCT graph_id, v AS s, u AS d, t FROM te WHERE op = 'a')"""

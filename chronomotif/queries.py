@@ -11,7 +11,7 @@ from chronomotif import answers, tasks, tools
 from chronomotif.functions import text
 from chronomotif.operators import features, generators, logs, motifs, routing, scoring
 from chronomotif.plans import catalog
-from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, one_shuffle
+from chronomotif.plans.motif import DIRECTED_SQL, completions_sql, instances_sql, one_shuffle
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,8 @@ def add(name: str, over_te: Callable[[DataFrame], DataFrame], sql: str | None =
 
 def _motifs() -> None:
     graphs = "(SELECT DISTINCT graph_id FROM te)"
+    few = "SELECT graph_id, count(*) AS n_instances FROM ({}) WHERE graph_id IN (SELECT graph_id FROM (SELECT graph_id, unnest([lo, hi]) AS n FROM (SELECT DISTINCT graph_id, least(u, v) AS lo, greatest(u, v) AS hi FROM te WHERE op = 'a')) GROUP BY graph_id HAVING count(DISTINCT n) >= 6 AND count(*) >= 12) GROUP BY graph_id"
+    add("motif_count_pruned_bitriangle", lambda te: motifs.count(te, "bitriangle", mode="monomorphism", prune=True), few.format(instances_sql(catalog.EDGES["bitriangle"], 15, mode="monomorphism")), True)
     for m in catalog.NAMES:
         key, edges, w = m.replace("-", "_"), catalog.EDGES[m], catalog.WINDOWS["default"][m]
         last = f"t{len(edges) - 1}"
@@ -53,15 +55,10 @@ def _motifs() -> None:
     firsts = " UNION ALL ".join(f"SELECT graph_id, '{m}' AS motif_name, min(t{len(catalog.EDGES[m]) - 1}) AS first_time FROM ({instances_sql(catalog.EDGES[m], catalog.WINDOWS['default'][m])}) GROUP BY graph_id" for m in catalog.NAMES)
     add("multi_motif_first_time", motifs.multi_first_time, firsts, True)
     add("motif_first_time_compat_triangle", lambda te: motifs.first_time(te, "triangle", compat=True), f"SELECT g.graph_id, CAST(CASE WHEN NOT g.a THEN 0 ELSE coalesce(i.ft, {motifs.NO_INSTANCE}) END AS INT) AS first_time FROM (SELECT graph_id, bool_or(op = 'a') AS a FROM te GROUP BY graph_id) g LEFT JOIN (SELECT graph_id, min(t2) AS ft FROM ({instances_sql(catalog.EDGES['triangle'], 3)}) GROUP BY graph_id) i ON g.graph_id = i.graph_id", True)
-    gone = "NOT EXISTS (SELECT 1 FROM directed x WHERE x.graph_id = p.graph_id AND x.s = {a} AND x.d = {b})"
-    parts = [
-        f"SELECT p.graph_id, 0 AS missing, y.t AS t_add, least(p.n1, p.n0) AS lo, greatest(p.n1, p.n0) AS hi FROM (SELECT e.graph_id, e.s AS n1, e.d AS n2, f.d AS n0, e.t AS t0, f.t AS t1 FROM directed e JOIN directed f ON e.graph_id = f.graph_id AND f.s = e.d AND f.d <> e.s AND f.t > e.t AND f.t - e.t <= 3) p, (SELECT unnest(range(0, 100)) AS t) y WHERE y.t >= greatest(p.t0 - 10, 0) AND y.t < p.t0 AND p.t1 - y.t <= 3 AND " + gone.format(a="p.n0", b="p.n1"),
-        f"SELECT p.graph_id, 1, y.t, least(p.n1, p.n2), greatest(p.n1, p.n2) FROM (SELECT e.graph_id, e.s AS n0, e.d AS n1, f.s AS n2, e.t AS t0, f.t AS t1 FROM directed e JOIN directed f ON e.graph_id = f.graph_id AND f.d = e.s AND f.s <> e.d AND f.t > e.t AND f.t - e.t <= 3) p, (SELECT unnest(range(0, 100)) AS t) y WHERE y.t > p.t0 AND y.t < least(p.t1, p.t0 + 10) AND " + gone.format(a="p.n1", b="p.n2"),
-        f"SELECT p.graph_id, 2, p.t1 + 1, least(p.n0, p.n2), greatest(p.n0, p.n2) FROM (SELECT e.graph_id, e.s AS n0, e.d AS n1, f.d AS n2, e.t AS t0, f.t AS t1 FROM directed e JOIN directed f ON e.graph_id = f.graph_id AND f.s = e.d AND f.d <> e.s AND f.t > e.t AND f.t - e.t <= 3) p WHERE p.t1 + 1 - p.t0 <= 3 AND " + gone.format(a="p.n0", b="p.n2"),
-    ]
-    union = " UNION ".join(parts)
-    add("motif_completions_triangle", lambda te: motifs.completions(te, "triangle"), f"SELECT graph_id, missing, lo, hi, CAST(t_add AS INT) AS t_add FROM ({union})", True)
-    add("motif_modify_triangle", lambda te: motifs.modify(te, "triangle"), f"SELECT graph_id, missing, CAST(t_add AS INT) AS t_add, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY missing, t_add, lo, hi) AS r FROM ({union})) WHERE r = 1", True)
+    for m in catalog.NAMES:
+        key, every = m.replace("-", "_"), completions_sql(catalog.EDGES[m], catalog.WINDOWS["default"][m], longest=40)
+        add(f"motif_completions_{key}", lambda te, m=m: motifs.completions(te, m), every, True)
+        add(f"motif_modify_{key}", lambda te, m=m: motifs.modify(te, m), f"SELECT graph_id, missing, t_add, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY missing, t_add, lo, hi) AS r FROM ({every})) WHERE r = 1", True)
 
 
 def _logs() -> None:

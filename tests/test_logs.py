@@ -115,7 +115,12 @@ def test_generators(spark):
     plain = params.select("graph_id", "T", "N", "p")
     te = generators.contain_positive(plain, "4-cycle", 20)
     assert motifs.judge(te, "4-cycle", which="contain").where("answer = 'No'").count() == 0
-    assert motifs.judge(generators.contain_negative(plain, "triangle"), "triangle", which="contain").where("answer = 'Yes'").count() == 0
+    without = generators.contain_negative(plain, "triangle", 18).persist()
+    assert motifs.judge(without, "triangle", which="contain").where("answer = 'Yes'").count() == 0
+    assert {(r.n, r.a) for r in without.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("op") == "a").alias("a")).collect()} == {(18, 12)}
+    assert without.select("graph_id").distinct().count() == plain.count()
+    with pytest.raises(ValueError, match="attempts"):
+        generators.contain_negative(plain.withColumn("N", F.lit(3)).withColumn("T", F.lit(4)), "triangle", 4, rounds=1, at_once=1).count()
     log, answers = generators.modify_task(plain, "triangle", 8)
     assert 0 < answers.count() == log.select("graph_id").distinct().count()
     assert scoring.score_modify(log, answers.select("graph_id", F.format_string("Answer: (%d, %d, %d, a)", "u", "v", "t").alias("response")), "triangle").where("metric = 1").count() == answers.count()
@@ -124,6 +129,28 @@ def test_generators(spark):
     assert sorted(generators.er_events(plain).collect()) == sorted(generators.er_events(plain.repartition(3)).collect())
 
 
+def test_generator_dispatch(spark):
+    grid = generators.param_grid(spark, [15], [14], [12.0], 30)
+    log = generators.dispatch(grid, "judge_contain_motif", "4-path")
+    yes = {r.graph_id: r.answer for r in motifs.judge(log, "4-path", which="contain").collect()}
+    assert {(r.seed % 2, yes[r.graph_id]) for r in grid.collect()} == {(0, "Yes"), (1, "No")}
+    few = grid.withColumn("p", F.lit(0.3))
+    assert generators.dispatch(few, "judge_contain_motif", "4-path").exceptAll(generators.er_events(few)).isEmpty()
+    cases = {r.assignment_case for r in generators.is_motif_task(grid, "4-cycle", cases=True).collect()}
+    assert cases == {1, 2, 3, 4}
+    log = generators.is_motif_task(grid, "4-cycle").where("op = 'a'").join(generators.is_motif_task(grid, "4-cycle", cases=True), "graph_id").toPandas()
+    spans = log.groupby(["graph_id", "assignment_case"]).t.agg(lambda t: t.max() - t.min()).reset_index()
+    assert spans[spans.assignment_case.isin([1, 3])].t.max() < 15 < spans[spans.assignment_case == 2].t.min()
+    judged = {r.graph_id: r.answer for r in motifs.judge(log_of(spark, log), "4-cycle", window=15).collect()}
+    assert all(judged[g] == "Yes" for g in log[log.assignment_case == 1].graph_id) and all(judged[g] == "No" for g in log[log.assignment_case == 2].graph_id)
+    kept = generators.first_seeds(generators.param_grid(spark, [5, 6], [3], [0.3], 30), generators.er_events(generators.param_grid(spark, [5, 6], [3], [0.3], 30)), 4)
+    assert {(r.T, r["count"]) for r in kept.groupBy("T").count().collect()} == {(5, 4), (6, 4)} and max(r.seed for r in kept.collect()) > 3
+
+
+def log_of(spark, frame):
+    return spark.createDataFrame(frame[["graph_id", "seq", "u", "v", "t", "op"]])
+
+
 def test_generated_graphs_have_all_events(spark):
     params = generators.param_grid(spark, [15], [20], [0.3], 40).select("graph_id", "T", "N", "p")
     pos = generators.contain_positive(params, "triangle", 20).groupBy("graph_id").agg(F.count("*").alias("n"), F.count_if(F.col("op") == "d").alias("d"), F.max("t").alias("t")).collect()
