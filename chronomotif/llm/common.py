@@ -6,7 +6,7 @@ import contextlib
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +19,27 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+def tidy(run: Callable, *forget: Callable) -> Callable:
+    """``run`` over Arrow batches, after which ``forget`` empties the module's caches and unused memory goes back to the system.
+
+    Python workers live on for tasks of other operators, so what a task leaves behind would add up.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow
+
+        for empty in forget:
+            empty()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one on a single machine, else an error."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -46,9 +67,17 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cuts lineage: ``df`` written as Parquet in the shared folder and read again; survives lost executors. ``dropped`` deletes it."""
+ROWS_A_FILE = 500_000
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Cuts lineage: ``df`` written as Parquet in the shared folder and read again; survives lost executors. ``dropped`` deletes it.
+
+    ``rows``: a known bound of the number of rows, so that small tables make few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = fresh_path(spark, name)
     with shuffles_dropped(spark):
         df.write.option("compression", compression).parquet(path)

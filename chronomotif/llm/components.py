@@ -16,14 +16,16 @@ from chronomotif.llm.common import dropped, written
 
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every node of ``links`` (a, b); root is the least key of the component. A table of ``written``."""
-    edges = written(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), "links-both")
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.lit(None).cast("bigint").alias("old"), F.least("a", "m").alias("root")), "labels")
+    rows = 2 * links.count()
+    edges = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    edges = written(edges, "links-both", rows=rows)
+    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.lit(None).cast("bigint").alias("old"), F.least("a", "m").alias("root")), "labels", rows=rows)
     while True:
         now = labels.select("key", "root")
         heard = edges.join(now.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("heard"))
         lower = now.join(heard, "key").select("key", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
         jump = now.select(F.col("key").alias("root"), F.col("root").alias("further"))
-        new = written(lower.join(jump, "root").select("key", "old", F.least("root", "further").alias("root")), "labels")
+        new = written(lower.join(jump, "root").select("key", "old", F.least("root", "further").alias("root")), "labels", rows=rows)
         done = new.where("root <> old").isEmpty()
         dropped(labels)
         labels = new

@@ -8,8 +8,9 @@ the same set form one class, so copies are never paired. Two classes link when 1
    go last in the order of shingles, for every document alike. Any order gives the same result; this one keeps tiles small.
 2. Tiles: each class emits its prefix in that order, the |A| - ceil(percent |A|) + 1 first shingles; linked classes share
    one of them. The classes of a shingle, sorted by size, are a tile. In small tiles all pairs within the size band are
-   candidates. Large tiles are dealt into parts with common members, and each class takes its ``near`` nearest by bitmap among
-   its neighbours in size there. The most frequent shingles are dealt into parts from the start.
+   candidates. Of its large tiles each class first looks at the ``NEAR_TILES`` with the least shingles, the same ones for near
+   copies: dealt into parts with common members, it takes its ``near`` nearest by bitmap among its neighbours in size there.
+   Step 5 settles what that leaves. The most frequent shingles are dealt into parts from the start.
 3. The bit counts of two bitmaps, folded to the narrower one, bound the overlap from above:
    |A & B| <= (|A| + |B| - popcount(A xor B)) / 2. What passes is a candidate pair.
 4. Exact intersection: the components of the candidate pairs are dealt into blocks of bounded size, and the sets of two blocks
@@ -38,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronomotif.llm.common import dropped, ship, written
+from chronomotif.llm.common import dropped, ship, tidy, written
 from chronomotif.llm.components import components
 
 SMALL = 8
 BLOCK = 1024
 PART = 2048
 ANCHORS = 64
+NEAR_TILES = 4
 HOT = 50_000
 SETS, SHINGLES = 256, 4_000_000
 FILTER_BITS = 26
@@ -129,7 +131,7 @@ def _profiles(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
 
     id_type = docs.schema[id_col].dataType
     id_arrow = to_arrow_type(id_type)
-    return docs.select(id_col, text).mapInArrow(run, f"id {id_type.simpleString()}, n bigint, key bigint, bits binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {id_type.simpleString()}, n bigint, key bigint, bits binary")
 
 
 def _prefixes(docs: DataFrame, text: str, k: int, percent: int, hot) -> DataFrame:
@@ -169,7 +171,7 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, hot) -> DataFram
                     counts = [len(o) for o in out]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(part)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], names=["s", "part", "key", "n"])
 
-    return docs.select(text).mapInArrow(run, "s bigint, part bigint, key bigint, n bigint")
+    return docs.select(text).mapInArrow(tidy(run), "s bigint, part bigint, key bigint, n bigint")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[pa.Array]]:
@@ -226,7 +228,7 @@ def _first_tiles(prefixes: DataFrame, percent: int) -> DataFrame:
                 m = int(large.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(s[large]), pa.array(key[large]), pa.nulls(m, pa.int64()), pa.array(n[large])], names=["s", "a", "b", "n"])
 
-    return prefixes.select("s", "part", "n", "key").repartition("s", "part").sortWithinPartitions("s", "part", "n", "key").mapInArrow(run, "s bigint, a bigint, b bigint, n bigint")
+    return prefixes.select("s", "part", "n", "key").repartition("s", "part").sortWithinPartitions("s", "part", "n", "key").mapInArrow(tidy(run), "s bigint, a bigint, b bigint, n bigint")
 
 
 def _apart(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -291,17 +293,19 @@ def _near_pairs(tiles: DataFrame, classes: DataFrame, percent: int, near: int) -
                 good = _passing(n, bits, x, y, percent)
                 yield _pair_rows(key, x[good], y[good])
 
-    sizes = tiles.groupBy("s").agg(F.count("*").alias("m"))
+    few = tiles.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("s")), 1, NEAR_TILES).alias("s"), F.first("n").alias("n"))
+    tiles = few.select(F.explode("s").alias("s"), "key", "n")
+    sizes = tiles.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     own = F.pmod(F.xxhash64("key"), F.col("parts"))
     anchor = F.pmod(F.xxhash64("key", F.lit(1)), F.col("m")) < ANCHORS
     dealt = tiles.join(sizes, "s").withColumn("parts", F.expr(f"(m + {PART - 1}) div {PART}"))
     dealt = dealt.withColumn("part", F.explode(F.when((F.col("parts") > 1) & anchor, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(own))))
     rows = dealt.select("s", "part", "n", "key").join(classes.select("key", "bits"), "key").select("s", "part", "n", "key", "bits")
-    return rows.repartition("s", "part").sortWithinPartitions("s", "part", "n", "key").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("s", "part").sortWithinPartitions("s", "part", "n", "key").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _cross_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in a large tile, within the size band and the bitmap bound.
+def _cross_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, known: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components in a large tile, within the size band and the bitmap bound, without those ``known``.
 
     Tiles of one component are left out by counts alone. Of the others, a component of more than ``BLOCK`` members makes blocks
     of its own, the rest are dealt into blocks by hash; every two blocks meet in one task, but not two of one component.
@@ -334,15 +338,15 @@ def _cross_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent
     counts = rooted.groupBy("s", "root").agg(F.count("*").alias("m"))
     sizes = counts.groupBy("s").agg(F.count("*").alias("several"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("others")).where("several > 1")
     shares = counts.join(sizes, "s").select("s", "root", F.when(F.col("m") > BLOCK, F.col("root")).alias("own"), F.expr(f"(if(m > {BLOCK}, m, others) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    members = written(rooted.join(shares, ["s", "root"]).select("s", "key", "n", "root", "own", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("h")), "join-mixed")
+    members = rooted.join(shares, ["s", "root"]).select("s", "key", "n", "root", "own", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("h")).persist()
     blocks = members.select("s", F.struct(F.col("own").isNotNull().alias("is"), F.coalesce("own", F.lit(0)).alias("own"), "h").alias("x")).distinct()
     both = blocks.join(blocks.withColumnRenamed("x", "y"), "s").where("x <= y and not (x.is and y.is and x.own = y.own)")
     units = both.withColumn("unit", F.xxhash64("s", "x", "y"))
     sides = units.select("s", F.col("x").alias("block"), "unit", F.lit(0).alias("side")).unionByName(units.where("x < y").select("s", F.col("y").alias("block"), "unit", F.lit(1).alias("side")))
     rows = members.withColumn("block", F.struct(F.col("own").isNotNull().alias("is"), F.coalesce("own", F.lit(0)).alias("own"), "h")).join(sides, ["s", "block"]).join(classes.select("key", "bits"), "key")
-    found = rows.select("unit", "side", "n", "key", "root", "bits").repartition("unit").sortWithinPartitions("unit", "side", "n", "key").mapInArrow(run, "a bigint, b bigint")
-    pairs = written(found.distinct(), "join-cross")
-    dropped(members)
+    found = rows.select("unit", "side", "n", "key", "root", "bits").repartition("unit").sortWithinPartitions("unit", "side", "n", "key").mapInArrow(tidy(run), "a bigint, b bigint")
+    pairs = written(found.distinct().join(known, ["a", "b"], "left_anti"), "join-cross")
+    members.unpersist()
     return pairs
 
 
@@ -358,7 +362,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
     right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "abits", "bbits").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "abits", "bbits").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _bit_table(ids: DataFrame) -> np.ndarray:
@@ -377,7 +381,7 @@ def _bit_table(ids: DataFrame) -> np.ndarray:
     parts = ids.select(F.shiftrightunsigned(h, 54).alias("part"), F.shiftrightunsigned(h, 54 - part_bits).bitwiseAND((1 << part_bits) - 1).alias("slot")).distinct()
     table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     width = 1 << (part_bits - 3)
-    for r in parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part bigint, bits binary").collect():
+    for r in parts.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(run), "part bigint, bits binary").collect():
         table[r["part"] * width : (r["part"] + 1) * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return table
 
@@ -397,7 +401,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, keys: DataFrame, clas
                 sets = [shingles(t, k) for t in rows.column(1).slice(at, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "members"])
 
-    return docs.select(F.xxhash64(id_col).alias("h"), F.col(text)).mapInArrow(run, "key bigint, members binary")
+    return docs.select(F.xxhash64(id_col).alias("h"), F.col(text)).mapInArrow(tidy(run), "key bigint, members binary")
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -449,16 +453,17 @@ def _links(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, cl
     roots = components(pairs)
     sized = roots.select("key", "root").join(classes.select("key", "n"), "key")
     parts = sized.groupBy("root").agg(F.expr(f"greatest((count(*) + {SETS - 1}) div {SETS}, (sum(n) + {SHINGLES - 1}) div {SHINGLES})").alias("parts"))
-    placed = written(roots.select("key", "root").join(parts, "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("parts")).alias("block")), "join-blocks")
-    dropped(roots)
+    placed = roots.select("key", "root").join(parts, "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("parts")).alias("block")).persist()
     ends = pairs.join(placed.select(F.col("key").alias("a"), "root", F.col("block").alias("x")), "a").join(placed.select(F.col("key").alias("b"), F.col("block").alias("y")), "b")
-    asked = written(ends.select("root", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "join-asked")
+    asked = ends.select("root", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b").persist()
     needed = asked.select("root", "x", "y", F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = _sets(docs, id_col, text, k, placed.select("key"), classes)
     rows = needed.join(sets, "key").select("root", "x", "y", "members", F.col("key").alias("a"), F.lit(None).cast("bigint").alias("b"))
     rows = rows.unionByName(asked.withColumn("members", F.lit(None).cast("binary")))
-    found = written(rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(run, "a bigint, b bigint"), "join-links")
-    dropped(placed, asked)
+    found = written(rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint"), "join-links")
+    placed.unpersist()
+    asked.unpersist()
+    dropped(roots)
     return found
 
 
@@ -472,17 +477,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     late = np.array([x for x, _ in frequent], np.uint64), np.array([x for _, x in frequent], np.int64)
     profiles = both.where(F.col("bits").isNotNull())
     classes = written(profiles.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join-classes")
-    members = written(profiles.select("id", "n", "key"), "join-members")
-    dropped(both)
+    members = profiles.select("id", "n", "key")
     first = written(_first_tiles(_prefixes(docs, text, k, percent, spark.sparkContext.broadcast(late)), percent), "join-tiles")
     tiles = first.where("b is null").select("s", F.col("a").alias("key"), "n").distinct()
     pairs = first.where("b is not null").select("a", "b").distinct()
     pairs = written(_bounded(pairs, classes, percent).union(_near_pairs(tiles, classes, percent, near)).distinct(), "join-pairs")
     links = _links(pairs, docs, id_col, text, k, classes, percent)
     roots = components(links)
-    cross = _cross_pairs(tiles, roots, classes, percent)
-    rest = written(cross.join(pairs, ["a", "b"], "left_anti"), "join-rest")
-    dropped(pairs, first, cross)
+    rest = _cross_pairs(tiles, roots, classes, percent, pairs)
+    dropped(pairs, first)
     if not rest.isEmpty():
         more = _links(rest, docs, id_col, text, k, classes, percent)
         dropped(roots)

@@ -5,7 +5,10 @@ down: at each node it is shared among the children in proportion to their weight
 (its leaves' tokens times ``max_epochs``); what a child can't supply goes to its siblings, in proportion again, and only
 what all siblings together can't supply is left to the parent's siblings. As a node's capacity is the sum of its
 leaves', the shares top-down are exactly that. Sharing with capacities is water filling: children sorted by
-capacity / weight, the saturated ones are a prefix, found with running sums over the siblings. Sums are exact decimals.
+capacity / weight, the saturated ones are a prefix, found with running sums. Sums are exact decimals. Children of equal
+capacity / weight are added up first, and running sums go in two steps, over the ratios inside a power of 2 ** (1 / 64) and
+over those powers, so a parent of very many children (hosts, say) is no single task. Shares are rounded down: at a node with
+m unsaturated children, up to m - 1 tokens of its budget stay undealt.
 
 A leaf's budget buys whole epochs (every document once) and then a prefix of one more epoch, in which the leaf's documents
 stand in an order seeded by ``seed`` and the epoch's number. Documents are taken while their running token sum
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import written
+from chronomotif.llm.common import dropped, written
 
 BIG = "decimal(38,0)"
 
@@ -44,35 +47,64 @@ def _weight(level: Column, table: dict[str, int], default: int) -> Column:
     return out.cast(BIG)
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    """Whether columns agree, nulls too."""
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def _renamed(names: list[str], to: str) -> tuple[list[Column], list[str]]:
+    new = [f"{to}{i}" for i in range(len(names))]
+    return [F.col(c).alias(n) for c, n in zip(names, new, strict=True)], new
+
+
+def _shares(nodes: DataFrame, path: list[str]) -> DataFrame:
+    """(path as _k0.., _share): the budget ``_nb`` of each parent dealt to its children by weight ``_w``, none above its capacity ``_nc``. ``path`` ends with the children's level."""
+    parent = path[:-1]
+    nodes = nodes.withColumn("_r", F.when(F.col("_w") > 0, F.col("_nc").cast("double") / F.col("_w").cast("double")).otherwise(F.lit(float("inf"))))
+    power = F.when(F.col("_r") == 0, -100_000).when(F.col("_r") == float("inf"), 100_000).otherwise(F.floor(F.log2("_r") * 64)).cast("int")
+    groups = nodes.groupBy(*parent, "_r").agg(F.sum("_nc").cast(BIG).alias("_gc"), F.sum("_w").cast(BIG).alias("_gw"), F.first("_nb").alias("_nb")).withColumn("_q", power)
+    inside = W.partitionBy(*parent, "_q").orderBy("_r")
+    groups = groups.withColumn("_c", F.coalesce(F.sum("_gc").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast(BIG))
+    groups = groups.withColumn("_v", F.sum("_gw").over(inside.rowsBetween(0, W.unboundedFollowing)).cast(BIG))
+    powers = groups.groupBy(*parent, "_q").agg(F.sum("_gc").cast(BIG).alias("_pc"), F.sum("_gw").cast(BIG).alias("_pw"))
+    over = W.partitionBy(*parent).orderBy("_q")  # some thousands of powers at most
+    shown, names = _renamed(parent, "_p")
+    powers = powers.select(
+        *shown, F.col("_q").alias("_pq"), F.coalesce(F.sum("_pc").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast(BIG).alias("_before"),
+        F.coalesce(F.sum("_pw").over(over.rowsBetween(1, W.unboundedFollowing)), F.lit(0)).cast(BIG).alias("_after"),
+    )
+    full = F.col("_gc") * (F.col("_v") + F.col("_after")) <= (F.col("_nb") - F.col("_before") - F.col("_c")) * F.col("_gw")
+    judged = groups.join(powers, _same([*parent, "_q"], [*names, "_pq"])).select(*parent, "_r", "_gc", "_gw", full.alias("_full"))
+    totals = judged.groupBy(*parent).agg(F.coalesce(F.sum(F.when(F.col("_full"), F.col("_gc"))), F.lit(0)).cast(BIG).alias("_cf"), F.coalesce(F.sum(F.when(~F.col("_full"), F.col("_gw"))), F.lit(0)).cast(BIG).alias("_wf"))
+    totals = totals.select(*_renamed(parent, "_t")[0], "_cf", "_wf")
+    judged = judged.select(*_renamed(parent, "_j")[0], F.col("_r").alias("_jr"), "_full")
+    out = nodes.join(judged, _same([*parent, "_r"], [*_renamed(parent, "_j")[1], "_jr"])).join(totals, _same(parent, _renamed(parent, "_t")[1]))
+    share = F.when(F.col("_full"), F.col("_nc")).when(F.col("_wf") > 0, F.expr("((_nb - _cf) * _w) div _wf")).otherwise(F.lit(0))
+    return out.select(*_renamed(path, "_k")[0], F.greatest(share, F.lit(0)).cast(BIG).alias("_share"))
+
+
 def budgets(leaves: DataFrame, levels: list[str], weights: list[dict[str, int]], budget: Column, max_epochs: int, default_weight: int = 1) -> DataFrame:
     """``leaves`` (levels, tokens) with a ``budget`` column; one row a leaf. ``budget`` may use the column ``_all`` (all tokens)."""
-    df = leaves.withColumn("_all", F.sum("tokens").over(W.partitionBy(F.lit(1))))
     open_ = F.lit(True)  # below a weight of 0 nothing can be used
     for level, table in zip(levels, weights, strict=True):
         open_ = open_ & (_weight(F.col(level), table, default_weight) > 0)
-    df = df.withColumn("_cap", F.when(open_, F.col("tokens") * max_epochs).otherwise(0).cast(BIG))
+    df = leaves.withColumn("_cap", F.when(open_, F.col("tokens") * max_epochs).otherwise(0).cast(BIG))
+    df = written(df, "mix-leaves")
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("all")).first()
+    df, last = df.withColumn("_root", F.lit(0)).withColumn("_all", F.lit(size["all"]).cast("long")), df
     df = df.withColumn("_b0", F.least(budget.cast(BIG), (F.col("_all") * max_epochs).cast(BIG)))
     for k, level in enumerate(levels):
-        path, parent = [F.col(c) for c in levels[: k + 1]], [F.col(c) for c in levels[:k]] or [F.lit(1)]
+        path = ["_root", *levels[: k + 1]]
         w = _weight(F.col(level), weights[k], default_weight)
         nodes = df.groupBy(*path).agg(F.sum("_cap").cast(BIG).alias("_nc"), F.first("_b0").alias("_nb")).withColumn("_w", w)
         nodes = nodes.withColumn("_nc", F.when(F.col("_w") > 0, F.col("_nc")).otherwise(F.lit(0).cast(BIG)))
-        # saturated siblings first: ascending capacity / weight
-        ratio = F.when(F.col("_w") > 0, F.col("_nc").cast("double") / F.col("_w").cast("double")).otherwise(F.lit(float("inf")))
-        over = W.partitionBy(*parent).orderBy(ratio, F.col(level).asc_nulls_first())
-        nodes = nodes.withColumn("_cb", F.coalesce(F.sum("_nc").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast(BIG))
-        nodes = nodes.withColumn("_wr", F.sum("_w").over(over.rowsBetween(0, W.unboundedFollowing)).cast(BIG))
-        fits = F.col("_nc") * F.col("_wr") <= (F.col("_nb") - F.col("_cb")) * F.col("_w")
-        nodes = nodes.withColumn("_full", F.min(F.when(fits, F.lit(1)).otherwise(F.lit(0))).over(over.rowsBetween(W.unboundedPreceding, 0)))
-        nodes = nodes.withColumn("_cf", F.coalesce(F.sum(F.when(F.col("_full") == 1, F.col("_nc"))).over(W.partitionBy(*parent)), F.lit(0)).cast(BIG))
-        nodes = nodes.withColumn("_wf", F.coalesce(F.sum(F.when(F.col("_full") == 0, F.col("_w"))).over(W.partitionBy(*parent)), F.lit(0)).cast(BIG))
-        share = F.when(F.col("_full") == 1, F.col("_nc")).when(F.col("_wf") > 0, F.expr("((_nb - _cf) * _w) div _wf")).otherwise(F.lit(0))
-        nodes = nodes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(levels[: k + 1])], F.greatest(share, F.lit(0)).cast(BIG).alias("_share"))
-        on = None
-        for i, c in enumerate(levels[: k + 1]):
-            term = F.col(c).eqNullSafe(F.col(f"_k{i}"))
-            on = term if on is None else on & term
-        df = df.join(nodes, on).withColumn("_b0", F.col("_share")).drop("_share", *[f"_k{i}" for i in range(k + 1)])
+        names = _renamed(path, "_k")[1]
+        df = written(df.join(_shares(nodes, path), _same(path, names)).withColumn("_b0", F.col("_share")).drop("_share", *names), "mix-level", rows=size["n"])
+        dropped(last)
+        last = df
     return df.select(*levels, "tokens", F.col("_b0").cast("long").alias("budget"))
 
 
@@ -89,7 +121,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     plan = budgets(narrow.groupBy(*keys).agg(F.sum("_n").alias("tokens")), keys, weights, budget, max_epochs, default_weight)
     plan = plan.withColumn("_whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0).cast("long")))
     plan = plan.withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
-    plan = written(plan.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)], "_whole", "_rest"), "mix-plan")
+    plan = plan.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)], "_whole", "_rest")
 
     def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         on = F.lit(True)
@@ -117,7 +149,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
     on = F.lit(True)
     for i in range(len(keys)):
         on = on & F.col(f"_p{i}").eqNullSafe(F.col(f"_k{i}"))
-    leaves = written(plan.join(cuts, on, "left").select(*[f"_p{i}" for i in range(len(keys))], "_whole", "_cut"), "mix-cuts")
+    leaves = written(plan.join(cuts, on, "left").select(*[f"_p{i}" for i in range(len(keys))], "_whole", "_cut"), "mix-cuts", rows=plan.count())
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *shown, size.alias("_n"), F.col(id_col).alias("_id"))
     rows = join(rows, leaves)
