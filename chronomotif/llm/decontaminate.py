@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronomotif.llm.common import ship, written
+from chronomotif.llm.common import ship, tidy, written
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -34,6 +34,11 @@ CHUNK = 4_000_000
 _BUILT: dict = {}
 
 
+def forget() -> None:
+    """Empties the worker's automata."""
+    _BUILT.clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
 
@@ -184,9 +189,9 @@ def contamination(
 
     parts = list(_parts(benchmark, item_col, item_text, size, max_windows, max_bytes))
     for shared, key in parts[:-1]:
-        out = written(out.mapInArrow(part(shared, key), schema), "hits")
+        out = written(out.mapInArrow(tidy(part(shared, key), forget), schema), "hits")
     result = f"id {id_type.simpleString()}, n_words bigint, n_hit bigint, items array<{item_type.simpleString()}>, spans array<struct<start:bigint,end:bigint>>"
-    return out.mapInArrow(both(part(*parts[-1])), result).withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(both(part(*parts[-1])), forget), result).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(
@@ -208,5 +213,5 @@ def drop_contaminated(
         return scan
 
     for shared, key in _parts(benchmark, item_col, item_text, size, max_windows, max_bytes):
-        docs = docs.mapInArrow(part(shared, key), docs.schema)
+        docs = docs.mapInArrow(tidy(part(shared, key), forget), docs.schema)
     return docs

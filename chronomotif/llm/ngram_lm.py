@@ -42,17 +42,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import dropped, fresh_path, removed, ship, shuffles_dropped, written
+from chronomotif.llm.common import dropped, fresh_path, removed, ship, shuffles_dropped, tidy, written
 from chronomotif.llm.jaccard_join import whole_groups
 
 BEGIN, END = np.uint64(0x51ED270B35A1C6E5), np.uint64(0xA24BAED4963EE407)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FLUSH = 3_000_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 TASKS = 1 << 13
 _CACHE: dict = {}
 
 
+def forget() -> None:
+    """Empties the cache of pieces."""
+    _CACHE.clear()
+
+
 def word_tokens(text: str | None) -> np.ndarray:
     """Hashes of the A-Z-lower-cased words and of the end."""
     import xxhash
@@ -163,7 +168,7 @@ def _count_pairs(docs: DataFrame, text: str, tokens: Callable, bits: int, part:
         if held:
             yield from flush()
 
-    return docs.select(text).mapInArrow(run, "shard int, v binary, m binary, w binary, c binary")
+    return docs.select(text).mapInArrow(tidy(run, forget), "shard int, v binary, m binary, w binary, c binary")
 
 
 def _save(folder: str, name: str, shard: int, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
@@ -290,7 +295,7 @@ def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int, part
         if held:
             yield from flush()
 
-    return docs.select(text).mapInArrow(run, "shard int, d binary, v binary, m binary, u binary, w binary, c binary")
+    return docs.select(text).mapInArrow(tidy(run, forget), "shard int, d binary, v binary, m binary, u binary, w binary, c binary")
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +336,7 @@ def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
             at = order[starts]
             yield from _pair_arrays(folder, shard, bits, pair[starts], v[at], w[at], np.diff(np.append(starts, len(pair))), np.add.reduceat(c[order], starts), _counts_of(c))
 
-    return _dealt(counted, bits).mapInArrow(run, "shard int, w binary, n binary, c binary")
+    return _dealt(counted, bits).mapInArrow(tidy(run, forget), "shard int, w binary, n binary, c binary")
 
 
 def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -358,7 +363,7 @@ def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
         if parts:
             yield from finish()
 
-    return _dealt(counted, bits).mapInArrow(run, "shard int, w binary, n binary, c binary")
+    return _dealt(counted, bits).mapInArrow(tidy(run, forget), "shard int, w binary, n binary, c binary")
 
 
 def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -373,7 +378,7 @@ def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
             of = np.array([(contexts == k).sum() for k in (1, 2, 3, 4)] + [contexts.sum(), len(token), (contexts > 2).sum()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([of.tobytes()], pa.binary())], names=["shard", "n"])
 
-    return _dealt(merged, bits).mapInArrow(run, "shard int, n binary")
+    return _dealt(merged, bits).mapInArrow(tidy(run, forget), "shard int, n binary")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -475,7 +480,7 @@ def shard_bits(docs: DataFrame) -> int:
     return min(20, max(4, (shards - 1).bit_length()))
 
 
-def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2, rounds: int = 3) -> LanguageModel:
+def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2, rounds: int = 2) -> LanguageModel:
     """A model of ``order`` two or three. Counts ``docs`` into 2 ** bits shards in the shared folder; order three in ``rounds`` over ``docs``. ``drop_model`` deletes it."""
     spark = docs.sparkSession
     ship(spark)
@@ -526,7 +531,7 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: s
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields if f.name in names)
     id_type = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {id_type}, {kinds}n_tokens bigint, n_known bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidy(run, forget), f"id {id_type}, {kinds}n_tokens bigint, n_known bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, removed, ship
+from chronomotif.llm.common import fresh_path, removed, ship, tidy
 
 BLOCK = 1 << 19
 CACHE = 800_000
@@ -118,6 +118,12 @@ class _Words(dict):
         return ids
 
 
+def forget() -> None:
+    """Empties the caches of words and their parts; the tokenizer stays."""
+    if _STATE:
+        _STATE.update(words=_Words(), parts={})
+
+
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     """Ids of each text with the end id, as little-endian bytes. The tokenizer drops blanks between words, so words are encoded apart and remembered."""
     _tokenizer(path)
@@ -139,7 +145,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text: str, end_id: int, st
                 piece = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(encode_texts(piece.column(1).to_pylist(), path, end_id), pa.binary())], names=["id", "ids"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run, forget), f"id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def id_counts(encoded: DataFrame, wide: str) -> DataFrame:
@@ -158,7 +164,7 @@ def id_counts(encoded: DataFrame, wide: str) -> DataFrame:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(tidy(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, shard_tokens: int = 64 << 20, step: int = 400) -> str:
@@ -225,13 +231,13 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
 
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(id_type, pa.string())
     if not numeric:  # other ids are ranged by Spark itself, which samples the rows once more
-        rows = stored.withColumn("id", F.col("id").cast("string")).mapInArrow(coded, "id string, shard int, n bigint, control binary, data binary")
+        rows = stored.withColumn("id", F.col("id").cast("string")).mapInArrow(tidy(coded), "id string, shard int, n bigint, control binary, data binary")
         rows = rows.repartitionByRange(n_shards, "id").withColumn("shard", F.spark_partition_id())
     else:
-        rows = stored.mapInArrow(coded, f"id {id_type}, shard int, n bigint, control binary, data binary").repartitionById(n_shards, F.col("shard"))
+        rows = stored.mapInArrow(tidy(coded), f"id {id_type}, shard int, n bigint, control binary, data binary").repartitionById(n_shards, F.col("shard"))
     kind = id_type if numeric else "string"
     schema = f"shard int, block int, start bigint, tokens bigint, ids array<{kind}>, counts array<bigint>, control binary, data binary"
-    rows.sortWithinPartitions("shard", "id", "n", "data").mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{out}/blocks")
+    rows.sortWithinPartitions("shard", "id", "n", "data").mapInArrow(tidy(blocks), schema).write.option("compression", "zstd").parquet(f"{out}/blocks")
     removed(spark, waiting)
     totals = sorted((r["shard"], r["n"]) for r in spark.read.schema(schema).parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("tokens").alias("n")).collect())
     before, rows_of = 0, []
@@ -267,7 +273,7 @@ def read_tokens(spark: SparkSession, out: str, digest: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays([names.values, pa.array(shard_start[shard.as_py()] + start.as_py() + ends - n), pa.array(n), last], names=["id", "start", "n_tokens", "x"])
 
     last = "ids_crc32 bigint" if digest else "ids array<bigint>"
-    return blocks.select("shard", "start", "ids", "counts", "control", "data").mapInArrow(docs, f"id {kind}, start bigint, n_tokens bigint, {last}")
+    return blocks.select("shard", "start", "ids", "counts", "control", "data").mapInArrow(tidy(docs), f"id {kind}, start bigint, n_tokens bigint, {last}")
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:

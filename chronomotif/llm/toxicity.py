@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import ship
+from chronomotif.llm.common import ship, tidy
 from chronomotif.llm.quality_model import agreed, chosen
 
 WINDOW, STRIDE, HIDDEN, WIDTH = 48, 32, 8, 8
@@ -35,6 +35,11 @@ _WORD = re.compile(r"[^\W_]+")
 _STATE: dict = {}
 
 
+def forget() -> None:
+    """Empties the worker's table of words."""
+    _STATE.clear()
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
@@ -282,4 +287,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text).mapInArrow(tidy(run, forget), f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
