@@ -36,6 +36,9 @@ def test_token_counts(spark, docs, none):
     want = {i: (len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 1024) for i, x in enumerate(TEXTS)}
     assert got == want
     assert token_counts.token_counts(none, path).count() == 0
+    tier = token_counts.frequent_tier(docs, path)
+    assert tier.find([" mat", "no such", " cat", "ß"]) == {" mat": len(t.encode(" mat").ids), " cat": len(t.encode(" cat").ids)} and len(tier.hashes) > 20
+    assert token_counts.Tier({}).find(["x"]) == {} and token_counts.count_texts(TEXTS, path, tier) == token_counts.count_texts(TEXTS, path)
 
 
 def test_token_files(spark, docs, none, tmp_path):
