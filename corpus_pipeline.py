@@ -1,6 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``, and rows pass unchanged, extra
+columns too. Null or empty texts fail the quality rules and so end there; an empty table gives no rows in any stage; very long
+texts are read whole. Each stage's operator states what it does with ties and repeated rows; ``near_copies`` adds its own.
 """
 
 from __future__ import annotations
@@ -18,10 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose 5-word shingles overlap to 0.8 or more, linked through any chain, the one with the least id stays."""
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents whose 5-word shingles overlap to 0.8 or more, linked through any chain, one row stays: that of the least id.
+
+    Null ids come first. Among rows of one id the least hash of the whole row decides, so each group leaves one row, also where
+    ids or rows repeat, and texts that share an id but not a group are judged apart.
+    """
+    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h")))
+    groups = written(jaccard_join.jaccard_components(keyed, id_col="_row", k=5, percent=80), "groups")
+    gone = groups.where(F.col("_row") != F.col("component_id")).select("_row")
+    kept = keyed.join(gone, "_row", "left_anti")
+    repeated = groups.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select("_row")
+    if not repeated.isEmpty():  # equal in every column
+        kept = kept.join(repeated, "_row", "left_anti").unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
