@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ def degrees(te: DataFrame) -> DataFrame:
     return ends.groupBy("graph_id", "node").agg(F.count("*").alias("degree"))
 
 
-def components(te: DataFrame) -> DataFrame:
-    """(graph_id, n_components): a fold over each graph's edges that merges labels; for graphs that fit a row."""
+def components(te: DataFrame, large_graphs: bool = False) -> DataFrame:
+    """(graph_id, n_components): a fold over each graph's edges that merges labels, for graphs that fit a row; else ``large_graphs``."""
+    if large_graphs:
+        return component_labels(te).groupBy("graph_id").agg(F.count_distinct("root").alias("n_components"))
     edges = static_edges(te).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("e"))
     nodes = F.array_distinct(F.concat(F.transform("e", lambda x: x["lo"]), F.transform("e", lambda x: x["hi"])))
     merge = lambda m, x: F.transform_values(m, lambda k, v: F.when(v == m[x["hi"]], m[x["lo"]]).otherwise(v))
@@ -26,6 +30,34 @@ def components(te: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.size(F.array_distinct(F.map_values(labels))).cast("long").alias("n_components"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; a local one only on a single machine."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint()
+
+
+def component_labels(te: DataFrame) -> DataFrame:
+    """(graph_id, node, root): the least node of each node's component, by passing labels along edges and jumping to the label's label.
+
+    Each pass is a checkpoint, so neither lineage nor any row grows with the graph.
+    """
+    edges = static_edges(te)
+    edges = _cut(edges.select("graph_id", F.explode(F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi")))).alias("e")).select("graph_id", F.col("e.lo").alias("node"), F.col("e.hi").alias("other")))
+    labels = _cut(edges.groupBy("graph_id", "node").agg(F.least("node", F.min("other")).alias("root")))
+    while True:
+        heard = edges.join(labels.withColumnRenamed("node", "other"), ["graph_id", "other"]).groupBy("graph_id", "node").agg(F.min("root").alias("heard"))
+        lower = labels.join(heard, ["graph_id", "node"]).select("graph_id", "node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
+        jump = labels.select("graph_id", F.col("node").alias("root"), F.col("root").alias("further"))
+        new = _cut(lower.join(jump, ["graph_id", "root"]).select("graph_id", "node", "old", F.least("root", "further").alias("root")))
+        labels = new.select("graph_id", "node", "root")
+        if new.where("root <> old").isEmpty():
+            return labels
+
+
 def core_nodes(te: DataFrame) -> DataFrame:
     """Nodes with three neighbours or more."""
     return degrees(te).where("degree >= 3").select("graph_id", "node")

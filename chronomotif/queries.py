@@ -94,6 +94,7 @@ def _features() -> None:
     add("static_edges", features.static_edges, f"+ {STATIC_SQL} SELECT * FROM st")
     add("node_degree", features.degrees, f"+ {DEGREE_SQL} SELECT * FROM dg")
     add("graph_components", features.components, f"+ {DEGREE_SQL}, {COMPONENT_SQL} SELECT * FROM co")
+    add("component_labels", features.component_labels, f"+ {DEGREE_SQL}, {COMPONENT_SQL} SELECT graph_id, node, root FROM r")
     add("edge_locality", lambda te: features.locality(te).select("graph_id", F.round("edge_locality_score", 6).alias("edge_locality_score")), f"+ {DEGREE_SQL}, {NODE_SQL}, {LOCAL_SQL} SELECT graph_id, round(edge_locality_score, 6) AS edge_locality_score FROM lo_")
     add("temporal_clash", features.clashes, f"+ {DEGREE_SQL}, {NODE_SQL}, {LOCAL_SQL} SELECT * FROM cl")
     add("graph_features", features.profile, f"+ {PROFILE_SQL} SELECT * FROM fe")

@@ -1,8 +1,8 @@
 """Motifs over a stream of events: state of each graph's recent adds, completed instances out.
 
 An extension: the event log as a Structured Streaming source. ``applyInPandasWithState`` keeps, for each graph, the adds of
-the last ``window`` time steps (they alone can still be part of an instance) and the pairs ever connected, and emits the
-monomorphism matches that each new event completes. Over a whole log in time order the count equals the batch operator's.
+the last ``window`` time steps (they alone can still be part of an instance; without a window all adds, so state grows with the
+log then) and emits the monomorphism matches that each new event completes. Matching is plain Python over that short list. Over a whole log in time order the count equals the batch operator's.
 """
 
 from __future__ import annotations

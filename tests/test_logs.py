@@ -124,7 +124,7 @@ def test_generators(spark):
     log, answers = generators.modify_task(plain, "triangle", 8)
     assert 0 < answers.count() == log.select("graph_id").distinct().count()
     assert scoring.score_modify(log, answers.select("graph_id", F.format_string("Answer: (%d, %d, %d, a)", "u", "v", "t").alias("response")), "triangle").where("metric = 1").count() == answers.count()
-    both = {r[0] for r in motifs.judge(generators.is_motif_task(plain, "triangle"), "triangle", window_op="lt", identity=True).select("answer").collect()}
+    both = {r[0] for r in motifs.judge(generators.is_motif_task(plain, "triangle"), "triangle", window=15, window_op="lt", identity=True).select("answer").collect()}
     assert both == {"Yes", "No"}
     assert sorted(generators.er_events(plain).collect()) == sorted(generators.er_events(plain.repartition(3)).collect())
 
