@@ -47,7 +47,7 @@ from chronomotif.llm.jaccard_join import whole_groups
 
 BEGIN, END = np.uint64(0x51ED270B35A1C6E5), np.uint64(0xA24BAED4963EE407)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 SHARD_BYTES = 8 << 20
 TASKS = 1 << 13
 _CACHE: dict = {}
@@ -511,7 +511,7 @@ def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, b
     return LanguageModel(folder, bits, pair_stats, token_stats, order, dict.fromkeys(names, by_pair) | {"token": by_token})
 
 
-def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text", tokens: Callable = word_tokens, extra: list[Column] | None = None, step: int = 1500) -> DataFrame:
+def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text", tokens: Callable = word_tokens, extra: list[Column] | None = None, step: int = 1000) -> DataFrame:
     """(id, extra columns, n_tokens, n_known, base_score, score, perplexity) of every document."""
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col), F.col(text).alias("_text"), *(extra or []))
