@@ -6,9 +6,12 @@ import pytest
 from chronomotif import queries
 
 SF = "/root/testdata/sf0.001"
-FAMILIES = ("motif_count_", "motif_judge_", "motif_first_time_", "motif_instances_", "motif_completions_", "motif_modify_", "contain_judge_", "is_motif_identity_")
-#: One motif of each family, and every other query that has SQL.
-SOME = [n for n in queries.SQL if not n.startswith(FAMILIES) or n.endswith(("4_cycle", "compat_triangle", "pruned_bitriangle"))]
+#: Some of each kind.
+SOME = """motif_count_triangle motif_judge_4_path motif_instances_4_cycle motif_completions_4_path motif_modify_triangle motif_count_pruned_bitriangle is_motif_own_windows
+multi_motif_judge first_link_unlink_after edge_snapshots picked_edge graph_features component_labels dataset_stats gen_er_events gen_contain_positive gen_contain_negative gen_is_motif
+prompt_full prompt_with_examples prompt_config_suffix parse_quads_sorted parse_quads_set parse_two_ints parse_names parse_name_counts parse_name_times score_sort score_what_edges score_link
+score_reverse score_contain score_modify score_multi_judge score_multi_count score_first_time qa_sort_edge qa_what_edges qa_multi_motif_count eval_results eval_result_lists run_status
+run_averages result_rates tool_detect_motifs_counts tool_modify_to_contain_motif tool_detect_edges_existence_at_time route_rule""".split()
 
 
 @pytest.mark.parametrize("name", SOME)
