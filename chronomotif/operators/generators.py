@@ -40,13 +40,13 @@ def er_events(params: DataFrame) -> DataFrame:
     return _ordered(rows, "t", "op", "u", "v")
 
 
-def _place(params: DataFrame, edges: list[tuple[int, int]], window: int) -> DataFrame:
-    """One instance a graph: increasing times inside the window, nodes shifted by a draw."""
+def _place(params: DataFrame, edges: list[tuple[int, int]], window: int, p_remap: float = 1.0) -> DataFrame:
+    """One instance a graph: increasing times inside the window, nodes shifted by a draw with ``p_remap``."""
     g = F.col("graph_id")
     start = whole(rnd("s", g), F.greatest(F.col("T") - window + 1, F.lit(1)))
     slots = F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda x: F.struct(rnd("w", g, x).alias("r"), x.alias("x")))
     times = F.array_sort(F.transform(F.slice(F.array_sort(slots), 1, len(edges)), lambda s: s["x"]))
-    shift = whole(rnd("n", g), F.col("N"))
+    shift = F.when(rnd("rm", g) < p_remap, whole(rnd("n", g), F.col("N"))).otherwise(0)
     node = lambda k: ((F.lit(k) + shift) % F.col("N")).cast("int")
     rows = F.array(*[F.struct(node(a).alias("u"), node(b).alias("v"), (start + F.element_at(times, i + 1)).alias("t"), F.lit(i).alias("i")) for i, (a, b) in enumerate(edges)])
     return params.select("*", F.explode(rows).alias("e")).select("graph_id", F.col("T").alias("horizon"), "e.u", "e.v", "e.t", "e.i")
@@ -167,18 +167,30 @@ def _mixed_background(params: DataFrame, kept: DataFrame, n_events: int, p_delet
     return rows.select("graph_id", "e.*")
 
 
-def modify_task(params: DataFrame, motif: str, n_events: int, p_delete: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(log, answers): an instance without its last edge among other events; only graphs that lack the motif and have it with the answer."""
-    edges, window = catalog.EDGES[motif], catalog.WINDOWS["default"][motif]
-    planted = _place(params, edges, window)
+def _modify_once(params: DataFrame, motif: str, n_events: int, window: int, p_delete: float, p_remap: float) -> tuple[DataFrame, DataFrame]:
+    edges = catalog.EDGES[motif]
+    planted = _place(params, edges, window, p_remap)
     last = F.col("i") == len(edges) - 1
     answers = planted.where(last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
     kept = planted.where(~last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
-    te = _ordered(kept.unionByName(_mixed_background(params, kept, n_events - len(edges) + 1, p_delete)), "t", "u", "v", "op")
-    full = te.drop("seq").unionByName(answers)
-    has = lambda df: motifs.found(df, motif).select("graph_id").distinct()
-    good = answers.join(has(full), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti")
-    return te.join(good.select("graph_id"), "graph_id", "left_semi"), good
+    te = kept.unionByName(_mixed_background(params, kept, n_events - len(edges) + 1, p_delete))
+    has = lambda df: motifs.found(df, motif, window=window).select("graph_id").distinct()
+    return te, answers.join(has(te.unionByName(answers)), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti")
+
+
+def modify_task(params: DataFrame, motif: str, n_events: int, p_delete: float = 0.5, window: int | None = None, p_remap: float = 0.5, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(log, answers): an instance without its last edge among other events. A log lacks the motif and has it with the answer.
+
+    The first of ``attempts`` that is so counts; rows for which none is give no log. Nodes are moved with ``p_remap``, else 0 and up.
+    """
+    w = catalog.WINDOWS["default"][motif] if window is None else window
+    tries = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    tries = tries.withColumnRenamed("graph_id", "_g").withColumn("graph_id", F.concat_ws(":", F.col("_g").cast("string"), F.col("attempt").cast("string")))
+    te, good = _modify_once(tries, motif, n_events, w, p_delete, p_remap)
+    of = tries.select("graph_id", "_g", "attempt").join(good.select("graph_id"), "graph_id", "left_semi")
+    first = of.groupBy("_g").agg(F.min("attempt").alias("attempt")).join(of, ["_g", "attempt"]).select("graph_id", "_g")
+    own = lambda df: df.join(first, "graph_id").drop("graph_id").withColumnRenamed("_g", "graph_id").select("graph_id", "u", "v", "t", "op")
+    return _ordered(own(te), "t", "u", "v", "op"), own(good)
 
 
 def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5, p_delete: float = 0.5, cases: bool = False) -> DataFrame:

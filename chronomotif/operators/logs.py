@@ -91,6 +91,19 @@ def edge_status(te: DataFrame) -> DataFrame:
     return df.select("graph_id", "seq", "lo", "hi", "t", F.when(F.col("op") == "a", "green").otherwise("red").alias("status"), F.round(alpha, 6).alias("alpha"))
 
 
+def frames(te: DataFrame) -> DataFrame:
+    """(graph_id, t, lo, hi, status, alpha): at each time of a log every pair seen so far. Green while it lasts; red after a delete, fading since its first add; else grey."""
+    last = te.groupBy("graph_id", *pair(), "t").agg(F.max(F.struct("seq", "op")).alias("e"), F.min(F.when(F.col("op") == "a", F.col("t"))).alias("_a"))
+    over = W.partitionBy("graph_id", "lo", "hi").orderBy("t")
+    spans = last.select("graph_id", "lo", "hi", F.col("t").alias("_from"), F.lead("t").over(over).alias("_to"), F.col("e.op").alias("op"), F.min("_a").over(over.rowsBetween(W.unboundedPreceding, 0)).alias("_first"))
+    at = te.select("graph_id", "t").distinct()
+    shown = at.join(spans, "graph_id").where("t >= _from AND (_to IS NULL OR t < _to)")  # one row a time and pair: the size of the result
+    fading = F.greatest(F.lit(0.15), F.lit(1.0) - F.lit(0.1) * (F.col("t") - F.coalesce("_first", "t")))
+    status = F.when(F.col("op") == "a", "green").when(F.col("op") == "d", "red").otherwise("gray")
+    alpha = F.when(F.col("op") == "a", 1.0).when(F.col("op") == "d", fading).otherwise(0.2)
+    return shown.select("graph_id", "t", "lo", "hi", status.alias("status"), F.round(alpha, 6).alias("alpha"))
+
+
 def shuffled(te: DataFrame, seed: int = 0) -> DataFrame:
     """The log in a seeded order (``pos``)."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "graph_id", "seq"))

@@ -74,6 +74,7 @@ def _logs() -> None:
     add("is_sorted", logs.is_sorted, "SELECT graph_id, bool_and(coalesce(t >= p, true)) AS is_sorted FROM (SELECT *, lag(t) OVER (PARTITION BY graph_id ORDER BY seq) AS p FROM te) GROUP BY graph_id")
     add("edge_snapshots", logs.snapshots, f"+ x AS (SELECT DISTINCT graph_id, t FROM te), s AS (SELECT x.graph_id, x.t, e.op, row_number() OVER (PARTITION BY x.graph_id, x.t, least(u, v), greatest(u, v) ORDER BY e.t DESC, e.seq DESC) AS r FROM x JOIN te e ON e.graph_id = x.graph_id AND e.t <= x.t) SELECT graph_id, t, count(*) FILTER (r = 1 AND op = 'a') AS n_alive FROM s GROUP BY graph_id, t")
     add("edge_status_timeline", logs.edge_status, f"SELECT graph_id, seq, lo, hi, t, CASE WHEN op = 'a' THEN 'green' ELSE 'red' END AS status, round(greatest(0.15::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * (t - f)), 6) AS alpha FROM (SELECT *, {pair}, min(CASE WHEN op = 'a' THEN t END) OVER (PARTITION BY graph_id, least(u, v), greatest(u, v) ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS f FROM te)")
+    add("edge_frames", logs.frames, f"+ x AS (SELECT DISTINCT graph_id, t FROM te), p AS (SELECT *, {pair} FROM te), s AS (SELECT x.graph_id, x.t, p.lo, p.hi, arg_max(p.op, p.seq + 1000 * p.t) AS op, min(p.t) FILTER (p.op = 'a') AS f FROM x JOIN p ON p.graph_id = x.graph_id AND p.t <= x.t GROUP BY x.graph_id, x.t, p.lo, p.hi) SELECT graph_id, t, lo, hi, CASE op WHEN 'a' THEN 'green' ELSE 'red' END AS status, round(CASE op WHEN 'a' THEN 1.0::DOUBLE ELSE greatest(0.15::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * (t - coalesce(f, t))) END, 6) AS alpha FROM s")
     add("shuffled_log", logs.shuffled, "SELECT *, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY md5('0:' || graph_id || ':' || seq)) AS INT) AS pos FROM te")
     add("edge_timestamps", logs.edge_timestamps, f"SELECT graph_id, {pair}, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) AS times FROM te WHERE op = 'a' GROUP BY graph_id, lo, hi")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,41 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return df.select("folder", "content", "total_tokens", "prompt_tokens", "completion_tokens", "time")
 
 
+def read_instances(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, place): the instances that list files name, in their order; unreadable files give none."""
+    rows = spark.read.schema("instance_list array<string>, _corrupt_record string").option("multiLine", True).json(path).where("_corrupt_record IS NULL")
+    return rows.select(F.posexplode("instance_list").alias("place", "folder")).select("folder", "place")
+
+
+def write_instances(instances: DataFrame, path: str) -> None:
+    """One JSON object with the list of the instances' folders, in the order of their place."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "folder"))), lambda x: x["folder"])
+    instances.agg(listed.alias("instance_list")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of files, with the lists of folders in error and in failure."""
+    schema = "task string, model string, correct_rate double, error_rate double, failure_rate double, average_tokens double, total_tokens bigint, metrics array<double>, error_folders array<string>, failure_folders array<string>, _corrupt_record string"
+    return spark.read.schema(schema).option("multiLine", True).json(path).where("_corrupt_record IS NULL AND coalesce(task, model, string(correct_rate)) IS NOT NULL").drop("_corrupt_record")
+
+
+def flagged(instances: DataFrame, results: DataFrame, first: int = 30) -> DataFrame:
+    """(folder, flag) of the ``first`` instances by place: 0 for those that a result lists as errors or failures, else 1."""
+    bad = results.select(F.explode(F.concat(F.coalesce("error_folders", F.array().cast("array<string>")), F.coalesce("failure_folders", F.array().cast("array<string>")))).alias("folder")).distinct()
+    some = instances.where(F.col("place") < first)
+    return some.join(bad.withColumn("_b", F.lit(0)), "folder", "left").select("folder", F.coalesce("_b", F.lit(1)).alias("flag"))
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """The arguments of a run as one JSON object."""
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
 def events_of(graphs: DataFrame, key: str = "folder", column: str = "edge_index") -> DataFrame:
     """Temporal edges of nested logs: entries that aren't four values with whole numbers are skipped."""
     rows = graphs.select(F.xxhash64(key).alias("graph_id"), F.col(key), F.posexplode(column).alias("seq", "e")).where(F.size("e") == 4)

@@ -197,3 +197,21 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = {r[0]: r[1] for r in spark.sql("select graph_id, count(*) from motifs group by 1").collect()}
     assert got == {r[0]: r[1] for r in motifs.count(te, "triangle", mode="monomorphism").collect()} and got
+
+
+def test_lists_results_and_logs(spark, tmp_path):
+    rows = spark.createDataFrame([(f"T5_N3_p0.3_seed{i}", i) for i in range(40)], "folder string, place int")
+    json_files.write_instances(rows.repartition(4), str(tmp_path / "list"))
+    back = json_files.read_instances(spark, str(tmp_path / "list"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "results.json").write_text('{"task": "sort_edge", "correct_rate": 0.5,\n "error_folders": ["T5_N3_p0.3_seed2"], "failure_folders": ["T5_N3_p0.3_seed4", "T5_N3_p0.3_seed39"]}')
+    (tmp_path / "broken.json").write_text("{nothing")
+    results = json_files.read_results(spark, str(tmp_path / "*.json"))
+    assert results.count() == 1
+    flags = {r.folder: r.flag for r in json_files.flagged(back, results).collect()}
+    assert len(flags) == 30 and {f for f, x in flags.items() if not x} == {"T5_N3_p0.3_seed2", "T5_N3_p0.3_seed4"}
+    for _ in range(2):
+        json_files.append_log(rows.limit(3), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 6
+    json_files.write_settings(spark, {"T": [5], "model": "x"}, str(tmp_path / "args"))
+    assert spark.read.json(str(tmp_path / "args")).first().model == "x"
