@@ -19,20 +19,28 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+_CACHES: list[Callable] = []
+
+
 def tidy(run: Callable, *forget: Callable) -> Callable:
-    """``run`` over Arrow batches, after which ``forget`` empties the module's caches and unused memory goes back to the system.
+    """``run`` over Arrow batches. Before it, caches that another operator's task left in this worker are emptied, after it unused memory goes back.
 
-    Python workers live on for tasks of other operators, so what a task leaves behind would add up.
+    Python workers live on for tasks of other operators, so what each leaves behind would add up. ``forget`` empties the own
+    caches, which tasks of the same operator share.
     """
 
     def tidied(batches: Iterator) -> Iterator:
-        yield from run(batches)
         import ctypes
 
         import pyarrow
 
-        for empty in forget:
-            empty()
+        from chronomotif.llm import common
+
+        for empty in common._CACHES:
+            if empty not in forget:
+                empty()
+        common._CACHES[:] = forget
+        yield from run(batches)
         pyarrow.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries
             ctypes.CDLL("libc.so.6").malloc_trim(0)

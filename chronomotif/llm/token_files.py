@@ -15,7 +15,8 @@ a 256-row table and gathers unaligned 32-bit words under a mask.
 The texts are encoded once; the ids wait in a table in the shared folder, two bytes each, while they are counted and
 ranked, and go when the blocks are written. Words between blanks are encoded once a worker while its cache lasts, their
 pre-tokens by the tokenizer's model alone where this module's pattern and the tokenizer's are known to agree, else by the
-tokenizer. Ranges come from approximate quantiles of the id column alone, so the shuffle carries coded bytes only.
+tokenizer. Ranges come from approximate quantiles of the id column alone, ``RANGES`` at most, each cut evenly where more shards
+are wanted, so the shuffle carries coded bytes only.
 
 Defined cases: a null text is empty and yields the end id alone; null ids come first; documents with the same id stand
 in a fixed order of their coded bytes; very long texts are coded whole, as one block if need be; an empty table gives an
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from chronomotif.llm.common import fresh_path, removed, ship, tidy
 
 BLOCK = 1 << 19
-CACHE = 800_000
+RANGES = 1024
+CACHE = 700_000
 _STATE: dict = {}
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -92,36 +94,37 @@ def _tokenizer(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _STATE.clear()
-        _STATE.update(path=path, tokenizer=tokenizer, model=tokenizer.model, words=_Words(), parts={}, wide="<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        _STATE.update(path=path, tokenizer=tokenizer, model=tokenizer.model, words=_Words(), wide="<u2" if (few := tokenizer.get_vocab_size() < 1 << 16) else "<u4", kind="H" if few else "I")
     return _STATE["tokenizer"]
 
 
 class _Words(dict):
-    """Ids of words as bytes; a missing word is encoded when it is asked for."""
+    """Ids of words and of their parts as bytes; a missing one is encoded when it is asked for."""
 
     def __missing__(self, word: str) -> bytes:
         lower = word.lower()
-        wide = "H" if _STATE["wide"] == "<u2" else "I"
+        if word.isascii() and word.isalpha():
+            ids = self._model(word) if lower == word else self[lower]
         # some letters below U+0280 have lower-case forms above it
-        if "<|" in word or not (word.isascii() and word.isprintable()) and (word + lower).encode("utf-8", "surrogatepass").translate(None, _KNOWN):
-            ids = array(wide, _STATE["tokenizer"].encode(word, add_special_tokens=False).ids).tobytes()
+        elif "<|" in word or not (word.isascii() and word.isprintable()) and (word + lower).encode("utf-8", "surrogatepass").translate(None, _KNOWN):
+            ids = array(_STATE["kind"], _STATE["tokenizer"].encode(word, add_special_tokens=False).ids).tobytes()
         else:
-            parts, found = _STATE["parts"], []
-            for part in _PRE_TOKEN.findall(lower):
-                some = parts.get(part)
-                if some is None:
-                    name = part if part.isascii() else "".join([_NAMES[b] for b in part.encode()])
-                    some = parts[part] = array(wide, [t.id for t in _STATE["model"].tokenize(name)]).tobytes()
-                found.append(some)
-            ids = b"".join(found)
+            parts = _PRE_TOKEN.findall(lower)
+            ids = self._model(lower) if len(parts) == 1 else b"".join([self[p] for p in parts])
         self[word] = ids
         return ids
 
+    @staticmethod
+    def _model(part: str) -> bytes:
+        """Ids of a lower-case pre-token by the model alone."""
+        name = part if part.isascii() else "".join([_NAMES[b] for b in part.encode()])
+        return array(_STATE["kind"], [t.id for t in _STATE["model"].tokenize(name)]).tobytes()
+
 
 def forget() -> None:
-    """Empties the caches of words and their parts; the tokenizer stays."""
+    """Empties the cache of words; the tokenizer stays."""
     if _STATE:
-        _STATE.update(words=_Words(), parts={})
+        _STATE.update(words=_Words())
 
 
 def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
@@ -129,8 +132,6 @@ def encode_texts(texts: list[str | None], path: str, end_id: int) -> list[bytes]
     _tokenizer(path)
     if len(_STATE["words"]) > CACHE:
         _STATE["words"] = _Words()
-    if len(_STATE["parts"]) > CACHE:
-        _STATE["parts"].clear()
     ids_of = _STATE["words"].__getitem__
     end = np.array([end_id], _STATE["wide"]).tobytes()
     return [b"".join(map(ids_of, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) + end if t else end for t in texts]
@@ -185,7 +186,13 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(rank)
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_tokens))
     numeric = id_type in ("bigint", "int", "smallint", "tinyint")
-    cuts = np.unique(stored.stat.approxQuantile("id", list(np.linspace(0, 1, n_shards + 1)[1:-1]), 0.1 / n_shards)) if numeric and n_shards > 1 else np.empty(0)
+    cuts = np.empty(0)
+    if numeric and n_shards > 1:
+        ranges = min(n_shards, RANGES)
+        edges = np.array(stored.stat.approxQuantile("id", list(np.linspace(0, 1, ranges + 1)), 0.1 / ranges))  # none for an empty table
+        steps = np.linspace(0, 1, -(-n_shards // ranges) + 1)[1:]
+        cuts = np.unique((edges[:-1, None] + np.diff(edges)[:, None] * steps).ravel())[:-1]
+        n_shards = len(cuts) + 1
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value

@@ -41,7 +41,7 @@ def test_token_counts(spark, docs, none):
     assert token_counts.Tier({}).find(["x"]) == {} and token_counts.count_texts(TEXTS, path, tier) == token_counts.count_texts(TEXTS, path)
 
 
-def test_token_files(spark, docs, none, tmp_path):
+def test_token_files(spark, docs, none, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("word_bpe_49k.json")
@@ -56,6 +56,11 @@ def test_token_files(spark, docs, none, tmp_path):
     crc = {r.doc_id: r.ids_crc32 for r in token_files.token_digests(docs, path).collect()}
     assert crc == {i: zlib.crc32(np.array(ids, "<u4").tobytes()) for i, (_, ids) in got.items()}
     assert token_files.token_digests(none, path).count() == 0
+    monkeypatch.setattr(token_files, "RANGES", 2)  # ranges cut further
+    for shards in (4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+        assert {r.doc_id: (r.start, r.ids_crc32) for r in token_files.token_digests(docs, path).collect()} == {i: (start, crc[i]) for i, (start, _) in got.items()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_every_code_point_is_encoded_as_by_the_tokenizer():
