@@ -100,3 +100,21 @@ def test_user_motifs(spark, graphs):
 def test_no_events(spark):
     te = spark.createDataFrame([], EVENTS)
     assert motifs.count(te, "bitriangle").count() == 0 and motifs.judge(te, "triangle").count() == 0 and motifs.modify(te, "4-path").count() == 0
+
+
+def test_large_graphs_and_pruning(spark):
+    """Without a partitioning by graph, and without graphs that are too small, the counts are the same; rows with nulls go."""
+    from chronomotif.operators import features
+    from chronomotif.plans.motif import large_enough, prepare
+    from chronomotif.sources.events import temporal_edges
+
+    te = temporal_edges(spark, "/root/testdata/sf0.001")
+    odd = te.unionByName(spark.createDataFrame([(None, 0, 1, 2, 3, "a"), (1, 0, 1, 2, None, "a"), (1, 0, None, 2, 3, "a")], te.schema))
+    for motif in ("triangle", "4-cycle"):
+        want = sorted(map(tuple, motifs.count(te, motif).collect()))
+        assert sorted(map(tuple, motifs.count(te, motif, p=prepare(te, large_graphs=True)).collect())) == want
+        assert sorted(map(tuple, motifs.count(te, motif, prune=True).collect())) == want
+        assert sorted(map(tuple, motifs.count(odd, motif).collect())) == want
+    small = spark.createDataFrame([(1, 0, 0, 1, 0, "a"), (1, 1, 1, 2, 1, "a"), (2, 0, 0, 1, 0, "a"), (2, 1, 1, 2, 1, "a"), (2, 2, 2, 0, 2, "a")], te.schema)
+    assert [r.graph_id for r in large_enough(prepare(small), [(0, 1), (1, 2), (2, 0)]).collect()] == [2]
+    assert sorted(map(tuple, features.components(te, large_graphs=True).collect())) == sorted(map(tuple, features.components(te).collect()))
