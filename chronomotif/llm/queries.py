@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm import decontaminate, filter_audit, fingerprints, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, toxicity, url_filter, url_labels
+from chronomotif.llm import decontaminate, filter_audit, fingerprints, jaccard_join, mixing, ngram_lm, quality_model, quality_rules, token_counts, token_files, toxicity, url_filter, url_labels, whitening
 from chronomotif.llm.common import written
 
 
@@ -93,12 +93,16 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op6_jaccard_join, op7_lm_scoring, op8_quality_model, op9_decontamination, op10_toxicity, op11_fingerprints, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_source_mixing, op4_quality_rules, op5_url_filter, op6_jaccard_join, op7_lm_scoring, op8_quality_model, op9_decontamination, op10_toxicity, op11_fingerprints, op12_embedding_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
