@@ -56,7 +56,7 @@ def document_flags(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     split = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), body.alias("_t"), words.alias("_w"))
     own = [F.when(fails, F.lit(bit(letter))).otherwise(F.lit(0)) for letter, fails in conditions(F.col("_t"), F.col("_w")).items()]
     facts = written(split.select("id", "part", sum(own[1:], own[0]).alias("own"), F.unhex(F.sha2("_t", 256)).alias("digest")), "flags")
-    firsts = facts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("digest", "first")
+    firsts = written(facts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("digest", "first"), "first-ids")  # so the join below can be split
     copy = F.when(F.col("id") > F.col("first"), F.lit(bit(COPY))).otherwise(F.lit(0))
     return facts.join(firsts, "digest", "left").select("id", "part", (F.col("own") + copy).alias("mask"))
 
