@@ -1,22 +1,50 @@
-"""What the corpus operators share: the shared folder, tables written there, worker imports."""
+"""What the corpus operators share: the shared folder, tables written there, what workers are sent."""
 
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import os
 import re
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Python workers find this package where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    """Python workers on any machine can import this package: Spark sends it as an archive, once a context."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    sources = [(f"{root.name}/{p.relative_to(root).as_posix()}", p.read_bytes()) for p in sorted(root.rglob("*.py"))]
+    name = f"{root.name}-{hashlib.sha256(repr(sources).encode()).hexdigest()[:12]}.zip"
+    if name in sc._python_includes:
+        return
+    path = os.path.join(tempfile.mkdtemp(), name)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for inner, content in sources:
+            archive.writestr(inner, content)
+    sc.addPyFile(path)
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Workers find a file of the driver's machine by ``here(path)``: Spark sends it, once a context."""
+    sc = spark.sparkContext
+    if not any(f.rsplit("/", 1)[-1] == os.path.basename(path) for f in sc.listFiles):
+        sc.addFile(path)
+
+
+def here(path: str) -> str:
+    """Where this process has a file of ``ship_file``: on the driver the file itself, in a worker the copy that Spark sent."""
+    if SparkFiles._is_running_on_worker:
+        sent = SparkFiles.get(os.path.basename(path))
+        if os.path.exists(sent):
+            return sent
+    return path
 
 
 _CACHES: list[Callable] = []

@@ -6,9 +6,10 @@ characters, so a document costs one dictionary lookup and one automaton step a w
 for mapping words back to character offsets of the original text.
 
 The benchmark is small by nature, and its size is measured before it is broadcast. Beyond ``max_bytes`` it is dealt into
-parts by a hash of the item, scanned in one pass each; beyond ``max_windows`` windows a part is dealt into blocks, and a
-worker scans ``CHUNK`` words of text at a time against one block's automaton after another. So memory stays bounded and no
-item is dropped; both ways give the same result.
+parts by a hash of the item: each is read, broadcast, scanned in a pass of its own whose rows are written to the shared folder,
+and taken back before the next, so the driver and the workers hold one part. Beyond ``max_windows`` windows a part is dealt
+into blocks, and a worker scans ``CHUNK`` words of text at a time against one block's automaton after another. So memory stays
+bounded and no item is dropped; all ways give the same result.
 
 Defined cases: a null text has no words; a null item id is no item, a null or wordless item text has no window;
 repeated items and windows count once; an empty benchmark hits nothing; very long texts are scanned whole; repeated rows
@@ -18,7 +19,7 @@ are scanned one by one; extra columns of ``drop_contaminated`` pass through unch
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from chronomotif.llm.common import ship, tidy, written
+from chronomotif.llm.common import dropped, ship, tidy, written
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -39,8 +40,11 @@ def forget() -> None:
     _BUILT.clear()
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_CLEAN).split() if text else []
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """Normalised words of a text or of its UTF-8."""
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).translate(_CLEAN).split()
 
 
 def item_blocks(items: list[tuple], size: int, max_windows: int) -> list[list[tuple]]:
@@ -115,15 +119,33 @@ def spans_of(text: str, places: set[int]) -> list[tuple[int, int]]:
     return [(int(chars[a]), int(chars[b])) for a, b in spans]
 
 
-def _parts(benchmark: DataFrame, item_col: str, item_text: str, size: int, max_windows: int, max_bytes: int) -> Iterator:
-    """Broadcast blocks of items, one part of the benchmark after another; a part has about ``max_bytes`` bytes at most."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct()
-    n = -(-(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // max_bytes)
-    for k in range(max(1, n)):
+class Part:
+    """One of ``n`` parts of the benchmark, broadcast as blocks of items while it is used."""
+
+    def __init__(self, items: DataFrame, k: int, n: int, size: int, max_windows: int):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
         blocks = item_blocks([(r[0], r[1]) for r in mine.collect()], size, max_windows)  # a part, by the size that was measured
-        shared = benchmark.sparkSession.sparkContext.broadcast(blocks)
-        yield shared, f"{k}-{shared._jbroadcast.id()}"
+        self.shared = items.sparkSession.sparkContext.broadcast(blocks)
+        self.key = f"{k}-{self.shared._jbroadcast.id()}"
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text: str, max_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct (item, text), and the number of parts of about ``max_bytes`` bytes at most."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct()
+    return items, max(1, -(-(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // max_bytes))
+
+
+def _passes(rows: DataFrame, items: DataFrame, n: int, size: int, max_windows: int, scan: Callable, name: str) -> tuple[DataFrame, Part]:
+    """``rows`` after a pass ``scan(part)`` over each part but the last, and the last part. Each pass ends before the next part is read."""
+    before = None
+    for k in range(n - 1):
+        part = Part(items, k, n, size, max_windows)
+        rows = written(rows.mapInArrow(tidy(scan(part), forget), rows.schema), name)
+        part.shared.destroy()
+        if before is not None:
+            dropped(before)
+        before = rows
+    return rows, Part(items, n - 1, n, size, max_windows)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, blocks: list) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
@@ -133,7 +155,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, blocks: list) -> Ite
     size = 0
     for batch in batches:
         held.append(batch)
-        lists += [words_of(t) for t in batch.column(column).to_pylist()]
+        lists += [words_of(t) for t in batch.column(column).cast(pa.binary()).to_pylist()]
         size = size + sum(map(len, lists[-batch.num_rows :])) if batch.num_rows else size
         if len(blocks) < 2 or size > CHUNK:
             yield held, lists
@@ -150,9 +172,10 @@ def contamination(
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     item_list = pa.list_(to_arrow_type(item_type))
     out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast(f"array<{item_type.simpleString()}>").alias("items"))
-    schema = out.schema
 
-    def part(shared, key: str):
+    def scanned(part: Part) -> Callable:
+        shared, key = part.shared, part.key
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for held, lists in _chunks(batches, 1, shared.value):
                 found = _scan(lists, shared.value, size, key)
@@ -172,14 +195,14 @@ def contamination(
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            texts, places = batch.column(1), batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array([len(p or ()) for p in places], pa.int64()),
                     pa.array([x or [] for x in batch.column(4).to_pylist()], item_list),
-                    pa.array([[{"start": a, "end": b} for a, b in spans_of(t, set(p))] if p else [] for t, p in zip(texts, places, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([[{"start": a, "end": b} for a, b in spans_of(texts[i].as_py(), set(p))] if p else [] for i, p in enumerate(places)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 names=["id", "n_words", "n_hit", "items", "spans"],
             )
@@ -187,11 +210,10 @@ def contamination(
     def both(scan):
         return lambda batches: spans(scan(batches))
 
-    parts = list(_parts(benchmark, item_col, item_text, size, max_windows, max_bytes))
-    for shared, key in parts[:-1]:
-        out = written(out.mapInArrow(tidy(part(shared, key), forget), schema), "hits")
+    items, n = _items(benchmark, item_col, item_text, max_bytes)
+    out, last = _passes(out, items, n, size, max_windows, scanned, "hits")
     result = f"id {id_type.simpleString()}, n_words bigint, n_hit bigint, items array<{item_type.simpleString()}>, spans array<struct<start:bigint,end:bigint>>"
-    return out.mapInArrow(tidy(both(part(*parts[-1])), forget), result).withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(both(scanned(last)), forget), result).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(
@@ -201,7 +223,9 @@ def drop_contaminated(
     ship(docs.sparkSession)
     at = docs.columns.index(text)
 
-    def part(shared, key: str):
+    def scanned(part: Part) -> Callable:
+        shared, key = part.shared, part.key
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for held, lists in _chunks(batches, at, shared.value):
                 found = _scan(lists, shared.value, size, key)
@@ -212,6 +236,6 @@ def drop_contaminated(
 
         return scan
 
-    for shared, key in _parts(benchmark, item_col, item_text, size, max_windows, max_bytes):
-        docs = docs.mapInArrow(tidy(part(shared, key), forget), docs.schema)
-    return docs
+    items, n = _items(benchmark, item_col, item_text, max_bytes)
+    docs, last = _passes(docs, items, n, size, max_windows, scanned, "clean")
+    return docs.mapInArrow(tidy(scanned(last), forget), docs.schema)

@@ -12,7 +12,7 @@ written under a name of their own and then renamed, with the same content whenev
 shards that have tables; a listed file that is missing raises an error.
 
 Workers open the files as memory maps and look up the sorted distinct pairs of a batch, so a batch reads each place once;
-the model is never loaded whole, and its size may follow the corpus. The shared folder has to be a file system that
+the model is never loaded whole, and its size may follow the corpus; ``MAPS`` files are open in a worker at most. The shared folder has to be a file system that
 workers can open (spark.checkpoint.dir as a path or file: URI); for other stores ``train`` says so.
 
 With ``order`` three, tasks count token triples, dealt by the middle token, so one shard has all triples of a pair and of
@@ -50,6 +50,8 @@ _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FLUSH = 2_000_000
 SHARD_BYTES = 8 << 20
 TASKS = 1 << 13
+#: Table files that a worker has open at most.
+MAPS = 96
 _CACHE: dict = {}
 
 
@@ -408,17 +410,24 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_maps": {}}
 
-    def _find(self, name: str, asked: np.ndarray, width: int, kind: type = np.int64) -> np.ndarray:
-        """Values of the sorted hashes ``asked``; 0 where absent. A listed shard without its file is an error."""
+    def _find(self, name: str, asked: np.ndarray, width: int, kind: type = np.int64, bits: int | None = None) -> np.ndarray:
+        """Values of the sorted hashes ``asked``; 0 where absent. A listed shard without its file is an error. ``bits``: those of the table's shards."""
+        bits = self.bits if bits is None else bits
         out = np.zeros((len(asked), width), kind)
-        for s, a, b in _shards(asked, self.bits):
+        for s, a, b in _shards(asked, bits):
             if s in self.shards[name]:
-                if (name, s) not in self._maps:
-                    self._maps[name, s] = _Table(f"{self.folder}/{name}-{s}", self.bits)
-                hit, values = self._maps[name, s].find(asked[a:b])
+                hit, values = self._table(name, s, bits).find(asked[a:b])
                 out[a:b][hit] = values
         return out
 
+    def _table(self, name: str, shard: int, bits: int) -> _Table:
+        """An open table; ``MAPS`` stay open at most, those that were used last."""
+        table = self._maps.pop((name, shard), None) or _Table(f"{self.folder}/{name}-{shard}", bits)
+        self._maps[name, shard] = table
+        if len(self._maps) > MAPS:
+            del self._maps[next(iter(self._maps))]  # nothing else holds its arrays: the map and its descriptor go
+        return table
+
     def token_probability(self, contexts: np.ndarray) -> np.ndarray:
         """The lower order, from continuation counts, mixed with the uniform distribution over V + 1 tokens."""
         uniform = 1.0 / (self.vocabulary + 1)

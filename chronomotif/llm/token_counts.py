@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import ship, tidy
+from chronomotif.llm.common import here, ship, ship_file, tidy
 
 CACHE = 300_000
 SEED_TASKS = 32
@@ -44,7 +44,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(here(path))
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
@@ -157,6 +157,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     """(id, n_bytes, n_tokens, over_limit) of every document."""
     spark = docs.sparkSession
     ship(spark)
+    ship_file(spark, path)
     shared = spark.sparkContext.broadcast(frequent_tier(docs, path, text, seed_rows, tier_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

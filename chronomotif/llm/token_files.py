@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomotif.llm.common import fresh_path, removed, ship, tidy
+from chronomotif.llm.common import fresh_path, here, removed, ship, ship_file, tidy
 
 BLOCK = 1 << 19
 RANGES = 1024
@@ -90,7 +90,7 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(here(path))
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _STATE.clear()
@@ -172,6 +172,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", t
     """Writes the file format into folder ``out``."""
     spark = docs.sparkSession
     ship(spark)
+    ship_file(spark, path)
     _tokenizer(path)
     wide = _STATE["wide"]
     id_type = docs.schema[id_col].dataType.simpleString()
