@@ -16,14 +16,16 @@ the model is never loaded whole, and its size may follow the corpus; ``MAPS`` fi
 workers can open (spark.checkpoint.dir as a path or file: URI); for other stores ``train`` says so.
 
 With ``order`` three, tasks count token triples, dealt by the middle token, so one shard has all triples of a pair and of
-a history (the two tokens before): it writes triple hash and count, the totals of histories seen more than once, and, in the
-pair and context tables, continuation counts (after how many tokens a pair occurs). A history without an entry was seen once
+a history (the two tokens before). Triples around a hot token, one that would fill a shard alone, are dealt by history over all
+shards instead, and another exchange adds up the pairs of hot tokens. A shard writes triple hash and count, the totals of
+histories seen more than once, and, in the pair and context tables, continuation counts (after how many tokens a pair occurs). A history without an entry was seen once
 if its pair is known, never otherwise. A text begins with two begin tokens. Tasks ship tokens as numbers into a list of each
 message's distinct hashes. Counting goes in ``rounds``, each over all documents for a share of the shards: a shuffle holds the
 triples of one round and is deleted before the next.
 
 Shards are as many as keep each at about ``SHARD_BYTES`` of input, so a task's memory does not follow the corpus; one task
-merges several, one after another, where there are more than ``TASKS``. All pairs or triples around one token are one shard.
+merges several, one after another, where there are more than ``TASKS``. The pairs of one token are one shard, at most as many as
+there are tokens; so are the triples of one history.
 
 Defined cases: a null text is empty, one end token; very long texts are scored whole; repeated rows and ids are counted and
 scored one by one; with nothing to train on every token has the uniform probability; an empty table gives no rows; extra
@@ -45,11 +47,14 @@ from pyspark.sql import functions as F
 from chronomotif.llm.common import dropped, fresh_path, removed, ship, shuffles_dropped, tidy, written
 from chronomotif.llm.jaccard_join import whole_groups
 
+NONE = np.empty(0, np.uint64)
 BEGIN, END = np.uint64(0x51ED270B35A1C6E5), np.uint64(0xA24BAED4963EE407)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FLUSH = 2_000_000
 SHARD_BYTES = 8 << 20
 TASKS = 1 << 13
+#: Texts of the sample that finds hot tokens, and hot tokens at most.
+SAMPLED, MOST_HOT = 20_000, 1 << 16
 #: Table files that a worker has open at most.
 MAPS = 96
 _CACHE: dict = {}
@@ -99,6 +104,22 @@ def pair_hash(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     return (v >> low << low) | (h >> np.uint64(bits))
 
 
+def is_hot(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which tokens are among the sorted ``hot`` ones."""
+    return hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v if len(hot) else np.zeros(len(v), bool)
+
+
+def place_hash(v: np.ndarray, u: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """``pair_hash``, but pairs of a hot v are spread over all shards."""
+    h = pair_hash(v, u, bits)
+    spread = is_hot(v, hot)
+    if bits and spread.any():
+        low = np.uint64(64 - bits)
+        own = h[spread]
+        h[spread] = (own * _Q >> low << low) | (own & ((np.uint64(1) << low) - np.uint64(1)))
+    return h
+
+
 def pairs_of(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(before, token) over all texts; each begins anew."""
     w = np.concatenate(tokens)
@@ -128,11 +149,15 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _shards(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(shard, start, end) of the sorted hashes, by their top ``bits``."""
-    if not len(h):
+    return _slices((h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64))
+
+
+def _slices(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, start, end) of runs of equal shards."""
+    if not len(shard):
         return []
-    shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
     starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-    return list(zip(shard[starts].tolist(), starts.tolist(), np.append(starts[1:], len(h)).tolist(), strict=True))
+    return list(zip(shard[starts].tolist(), starts.tolist(), np.append(starts[1:], len(shard)).tolist(), strict=True))
 
 
 def _dealt(rows: DataFrame, bits: int) -> DataFrame:
@@ -237,33 +262,55 @@ def _pair_arrays(folder: str, shard: int, bits: int, key: np.ndarray, v: np.ndar
     _save(folder, "pair", shard, bits, key, _narrow(counts))
     context, total, n1, n2, n3 = _summed(v, counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64))
     _save(folder, "context", shard, bits, context, _narrow(np.stack([total, n1, n2, n3], 1)))
+    yield from _token_rows(shard, bits, w, counts, plain, more)
+
+
+MERGED = "shard int, v binary, w binary, n binary, c binary"
+
+
+def _rows(shard: int, *values: bytes | None) -> pa.RecordBatch:
+    """One row of ``MERGED``."""
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], names=["shard", "v", "w", "n", "c"])
+
+
+def _token_rows(shard: int, bits: int, w: np.ndarray, counts: np.ndarray, plain: np.ndarray, more: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """For the exchange by token: in how many of a shard's distinct pairs each token is, and its count; and counts of counts."""
+    sums = plain.sum()
     token, n, plain = _summed(w, np.ones(len(w), np.int64), plain)
     for s, a, b in _shards(token, bits):
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([token[a:b].tobytes()], pa.binary()), pa.array([_packed(n[a:b])], pa.binary()), pa.array([_packed(plain[a:b])], pa.binary())], names=["shard", "w", "n", "c"])
-    of = np.array([*_counts_of(counts), plain.sum(), len(counts), *(more or [0] * 4)], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.binary()), pa.array([of.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "w", "n", "c"])
+        yield _rows(s, None, token[a:b].tobytes(), _packed(n[a:b]), _packed(plain[a:b]))
+    yield _rows(shard, None, None, np.array([*_counts_of(counts), sums, len(counts), *(more or [0] * 4)], np.int64).tobytes(), None)
 
 
-def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int, part: int = 0, rounds: int = 1) -> DataFrame:
-    """(shard, d, v, m, u, w, c): triple counts of each task's documents by middle token; d the message's distinct hashes, v (m triples each), u and w places in it, counts c.
+def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int, part: int = 0, rounds: int = 1, hot: np.ndarray = NONE) -> DataFrame:
+    """(shard, d, v, m, u, w, c): triple counts of each task's documents by place; d the message's distinct hashes, v (m triples each), u and w places in it, counts c.
 
     Only shards that leave ``part`` modulo ``rounds``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        spread = np.empty(0, bool)
+
+        def shards(known: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+            of = (known >> np.uint64(64 - bits)).astype(np.int64)[v] if bits else np.zeros(len(v), np.int64)
+            if bits and spread.any():
+                some = spread[v]
+                of[some] = (place_hash(known[v[some]], known[u[some]], bits, hot) >> np.uint64(64 - bits)).astype(np.int64)
+            return of
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal spread
             known, at = np.unique(np.concatenate([np.array([BEGIN]), *held]), return_inverse=True)
             begin, w = at[0], at[1:]
+            spread = is_hot(known, hot)
             first = np.cumsum([0] + [len(t) for t in held[:-1]])
             v = np.empty_like(w)
             v[1:], v[first] = w[:-1], begin
             u = np.empty_like(w)
             u[1:], u[first] = v[:-1], begin
             if rounds > 1:
-                of = (known >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(known), np.int64)
-                mine = (of % rounds == part)[v]
+                mine = shards(known, v, u) % rounds == part
                 u, v, w = u[mine], v[mine], w[mine]
                 if not len(v):
                     return
@@ -278,7 +325,11 @@ def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int, part
                 counts = np.diff(np.append(starts, len(v)))
                 v, u, w = v[starts], u[starts], w[starts]
             place = np.zeros(len(known), np.int64)
-            for s, a, b in _shards(known[v], bits):
+            shard = shards(known, v, u)
+            if spread.any():
+                order = np.argsort(shard, kind="stable")
+                shard, v, u, w, counts = shard[order], v[order], u[order], w[order], counts[order]
+            for s, a, b in _slices(shard):
                 middle, m = _distinct(v[a:b])
                 here = np.unique(np.concatenate([middle, u[a:b], w[a:b]]))
                 place[here] = np.arange(len(here))
@@ -306,8 +357,8 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[starts], np.diff(np.append(starts, len(x)))
 
 
-def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
-    """Writes the triple, history, pair and context arrays of each shard; gives what ``_merge_pairs`` gives."""
+def _merge_triples(counted: DataFrame, folder: str, bits: int, hot: np.ndarray = NONE) -> DataFrame:
+    """Writes the triple, history, pair and context arrays of each shard; gives what ``_merge_pairs`` gives and, with v, the pairs of hot tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
@@ -317,13 +368,13 @@ def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
                 parts.append((d[_unpacked(u)], np.repeat(d[_unpacked(v)], _unpacked(m)), d[_unpacked(w)], _unpacked(c)))
             u, v, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
-            key = pair_hash(pair_hash(v, u, bits), w, bits)
+            key = pair_hash(place_hash(v, u, bits, hot), w, bits)
             order = np.argsort(key)
             key, u, v, w, c = key[order], u[order], v[order], w[order], c[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, u, v, w, c = key[starts], u[starts], v[starts], w[starts], np.add.reduceat(c, starts)
             _save(folder, "triple", shard, bits, key, _narrow(c))
-            history = pair_hash(v, u, bits)
+            history = place_hash(v, u, bits, hot)
             order = np.argsort(history)
             history, sorted_c = history[order], c[order]
             starts = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
@@ -331,18 +382,55 @@ def _merge_triples(counted: DataFrame, folder: str, bits: int) -> DataFrame:
             more = (totals[:, 0] > 1) | (v[order[starts]] == BEGIN)
             _save(folder, "history", shard, bits, history[starts][more], _narrow(totals[more]))
             del history, sorted_c, totals, key
+            triples = _counts_of(c)
+            spread = is_hot(v, hot)
+            if spread.any():
+                for shard_of, *columns in _partial_pairs(v[spread], w[spread], c[spread], bits, hot):
+                    yield _rows(shard_of, *columns)
+                v, w, c = v[~spread], w[~spread], c[~spread]
             pair = pair_hash(v, w, bits)
             order = np.argsort(pair)
             pair = pair[order]
-            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
             at = order[starts]
-            yield from _pair_arrays(folder, shard, bits, pair[starts], v[at], w[at], np.diff(np.append(starts, len(pair))), np.add.reduceat(c[order], starts), _counts_of(c))
+            plain = np.add.reduceat(c[order], starts) if len(starts) else c
+            yield from _pair_arrays(folder, shard, bits, pair[starts], v[at], w[at], np.diff(np.append(starts, len(pair))), plain, triples)
+
+    return _dealt(counted, bits).mapInArrow(tidy(run, forget), MERGED)
 
-    return _dealt(counted, bits).mapInArrow(tidy(run, forget), "shard int, w binary, n binary, c binary")
+
+def _partial_pairs(v: np.ndarray, w: np.ndarray, c: np.ndarray, bits: int, hot: np.ndarray) -> Iterator[tuple]:
+    """(shard, v, w, n, c): pairs of hot tokens with the numbers of tokens before them, and counts, of one shard's triples."""
+    key = place_hash(v, w, bits, hot)
+    order = np.argsort(key)
+    key, v, w, c = key[order], v[order], w[order], c[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n, total = np.diff(np.append(starts, len(key))), np.add.reduceat(c, starts)
+    for s, a, b in _shards(key[starts], bits):
+        yield s, v[starts][a:b].tobytes(), w[starts][a:b].tobytes(), _packed(n[a:b]), _packed(total[a:b])
+
+
+def _merge_hot_pairs(partial: DataFrame, folder: str, bits: int, hot: np.ndarray) -> DataFrame:
+    """Writes the pair arrays of hot tokens; gives what ``_merge_pairs`` gives and, with v, each hot token's total and followers seen once, twice and more often in a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_groups(batches):
+            shard = columns[0][0].as_py()
+            v, w = (np.concatenate([np.frombuffer(x, np.uint64) for x in columns[k].to_pylist()]) for k in (1, 2))
+            n, c = (np.concatenate([_unpacked(x) for x in columns[k].to_pylist()]) for k in (3, 4))
+            key, n, c = _summed(place_hash(v, w, bits, hot), n, c)
+            _, first = np.unique(place_hash(v, w, bits, hot), return_index=True)
+            v, w = v[first], w[first]
+            _save(folder, "hot", shard, bits, key, _narrow(n))
+            context, total, n1, n2, n3 = _summed(v, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
+            yield _rows(shard, context.tobytes(), None, np.stack([total, n1, n2, n3], 1).tobytes(), None)
+            yield from _token_rows(shard, bits, w, n, c)
+
+    return _dealt(partial, bits).mapInArrow(tidy(run, forget), MERGED)
 
 
 def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
-    """Writes the pair and context arrays of each shard; gives (shard of w, w, n, c) for the second exchange and, with w null, counts of counts."""
+    """Writes the pair and context arrays of each shard; gives (shard of w, null, w, n, c) for the second exchange and, without v and w, counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts = None, []
@@ -365,7 +453,7 @@ def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
         if parts:
             yield from finish()
 
-    return _dealt(counted, bits).mapInArrow(tidy(run, forget), "shard int, w binary, n binary, c binary")
+    return _dealt(counted, bits).mapInArrow(tidy(run, forget), MERGED)
 
 
 def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -373,7 +461,7 @@ def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in whole_groups(batches):
-            w, n, c = (columns[k].to_pylist() for k in (1, 2, 3))
+            w, n, c = (columns[k].to_pylist() for k in (2, 3, 4))
             token, contexts, plain = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in w]), np.concatenate([_unpacked(x) for x in n]), np.concatenate([_unpacked(x) for x in c]))
             shard = columns[0][0].as_py()
             _save(folder, "token", shard, bits, token, _narrow(np.stack([contexts, plain], 1)))
@@ -396,8 +484,9 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """The arrays of a trained model in the shared folder, opened where it is used."""
 
-    def __init__(self, folder: str, bits: int, pair_stats: np.ndarray, token_stats: np.ndarray, order: int, shards: dict[str, frozenset[int]]):
+    def __init__(self, folder: str, bits: int, pair_stats: np.ndarray, token_stats: np.ndarray, order: int, shards: dict[str, frozenset[int]], hot: np.ndarray = NONE, hot_totals: np.ndarray | None = None):
         self.folder, self.bits, self.order, self.shards = folder, bits, order, shards
+        self.hot, self.hot_totals = hot, np.zeros((len(hot), 4), np.int64) if hot_totals is None else hot_totals
         self.n_tokens, self.vocabulary = int(pair_stats[4]), int(token_stats[5])
         self.pair_discount, self.token_discount = discounts(pair_stats), discounts(token_stats)
         self.triple_discount = discounts(pair_stats[6:])
@@ -438,24 +527,34 @@ class LanguageModel:
     def _context(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(total count, share left to the lower order) of sorted contexts."""
         totals = self._find("context", context, 4)
+        spread = is_hot(context, self.hot)
+        totals[spread] = self.hot_totals[np.searchsorted(self.hot, context[spread])]
         whole = np.maximum(totals[:, 0], 1)
         return whole, np.where(totals[:, 0] > 0, (totals[:, 1:] * self.pair_discount[1:]).sum(1) / whole, 1.0)
 
+    def _pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of pairs (in order three: after how many tokens they occur)."""
+        out = np.zeros(len(v), np.int64)
+        spread = is_hot(v, self.hot)
+        for name, some in (("pair", ~spread), ("hot", spread)):
+            if some.any():
+                key, of = np.unique(place_hash(v[some], w[some], self.bits, self.hot), return_inverse=True)
+                out[some] = self._find(name, key, 1)[:, 0][of]
+        return out
+
     def pair_probability(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """p(w after v) of each pair."""
         token, t = np.unique(w, return_inverse=True)
         lower = self.token_probability(self._find("token", token, 2)[:, 0])
         context, c = np.unique(v, return_inverse=True)
         whole, backoff = self._context(context)
-        pair, of = np.unique(pair_hash(v, w, self.bits), return_inverse=True)
-        count = self._find("pair", pair, 1)[:, 0][of]
+        count = self._pair_counts(v, w)
         return np.maximum(count - self.pair_discount[np.minimum(count, 3)], 0) / whole[c] + backoff[c] * lower[t]
 
     def _triples(self, v: np.ndarray, w: np.ndarray, first: np.ndarray, pair_of: np.ndarray, starts: np.ndarray, pair_p: np.ndarray) -> np.ndarray:
         """p(token after the two before it) at each place, from the distinct pairs (v, w)[first] and their lower order."""
-        key = pair_hash(v[first], w[first], self.bits)  # sorted
-        known = self._find("pair", key, 1)[:, 0] > 0
-        history = np.append(pair_hash(w[first], v[first], self.bits), pair_hash(BEGIN[None], BEGIN[None], self.bits))
+        known = self._pair_counts(v[first], w[first]) > 0
+        history = np.append(place_hash(w[first], v[first], self.bits, self.hot), pair_hash(BEGIN[None], BEGIN[None], self.bits))
         order = np.argsort(history)
         totals = np.empty((len(history), 4), np.int64)
         totals[order] = self._find("history", history[order], 4)
@@ -489,6 +588,44 @@ def shard_bits(docs: DataFrame) -> int:
     return min(20, max(4, (shards - 1).bit_length()))
 
 
+def _hot_totals(rows: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """Totals and followers seen once, twice and more often of each hot token, added up over shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(hot), 4), np.int64)
+        for batch in batches:
+            for v, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[np.searchsorted(hot, np.frombuffer(v, np.uint64))] += np.frombuffer(n, np.int64).reshape(-1, 4)
+        some = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(4))], names=["at", "n0", "n1", "n2", "n3"])
+
+    out = np.zeros((len(hot), 4), np.int64)
+    sums = rows.select("v", "n").mapInArrow(tidy(run, forget), "at bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    for r in sums.collect():  # a row a hot token
+        out[r["at"]] = [r[f"n{k}"] for k in range(4)]
+    return out
+
+
+def hot_tokens(docs: DataFrame, text: str, tokens: Callable, bits: int) -> np.ndarray:
+    """Tokens that alone would fill a shard of order three, ``MOST_HOT`` at most, sorted. From a sample of about ``SAMPLED`` texts: it decides only where triples lie."""
+    some = docs.select(text)
+    n = some.count()
+    if n > SAMPLED:
+        some = some.sample(SAMPLED / n, 7)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                token, n = np.unique(np.concatenate([tokens(t) for t in batch.column(0).to_pylist()]), return_counts=True)
+                often = n * (1 << bits + 3) > n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(token[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], n.sum()))], names=["token", "n"])
+
+    counts = some.mapInArrow(tidy(count, forget), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n")).limit(MOST_HOT + 1).collect()
+    total = next((r["n"] for r in top if r["token"] == 0), 0)  # all tokens
+    return np.sort(np.array([r["token"] for r in top if r["token"] and r["n"] * (1 << bits) > total and r["token"] != END.view(np.int64)], np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2, rounds: int = 2) -> LanguageModel:
     """A model of ``order`` two or three. Counts ``docs`` into 2 ** bits shards in the shared folder; order three in ``rounds`` over ``docs``. ``drop_model`` deletes it."""
     spark = docs.sparkSession
@@ -504,8 +641,16 @@ def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, b
     os.makedirs(folder, exist_ok=True)
     count, merge = (_count_pairs, _merge_pairs) if order == 2 else (_count_triples, _merge_triples)
     rounds = 1 if order == 2 else max(1, min(rounds, 1 << bits))
-    parts = [written(merge(count(docs, text, tokens, bits, part, rounds), folder, bits), "lm-tokens") for part in range(rounds)]
+    hot = hot_tokens(docs, text, tokens, bits) if order == 3 else NONE
+    own = {"hot": hot} if order == 3 else {}
+    parts = [written(merge(count(docs, text, tokens, bits, part, rounds, **own), folder, bits, **own), "lm-tokens") for part in range(rounds)]
     merged = functools.reduce(DataFrame.unionByName, parts)
+    hot_totals, of_hot = np.zeros((len(hot), 4), np.int64), []
+    if len(hot):
+        parts.append(written(_merge_hot_pairs(merged.where("v is not null"), folder, bits, hot), "lm-hot"))
+        merged = merged.where("v is null").unionByName(parts[-1].where("v is null"))
+        of_hot = [r["shard"] for r in parts[-1].where("v is not null").select("shard").distinct().collect()]  # a row a shard
+        hot_totals = _hot_totals(parts[-1].where("v is not null"), hot)
     pair_stats, token_stats = np.zeros(10, np.int64), np.zeros(7, np.int64)
     of_pairs = merged.where("w is null").select("shard", "n").collect()  # one row a shard
     for r in of_pairs:
@@ -517,7 +662,7 @@ def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, b
     dropped(*parts)
     by_pair, by_token = (frozenset(r["shard"] for r in rows) for rows in (of_pairs, of_tokens))
     names = ("pair", "context") if order == 2 else ("pair", "context", "triple", "history")
-    return LanguageModel(folder, bits, pair_stats, token_stats, order, dict.fromkeys(names, by_pair) | {"token": by_token})
+    return LanguageModel(folder, bits, pair_stats, token_stats, order, dict.fromkeys(names, by_pair) | {"token": by_token, "hot": frozenset(of_hot)}, hot, hot_totals)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: str = "text", tokens: Callable = word_tokens, extra: list[Column] | None = None, step: int = 1000) -> DataFrame:
