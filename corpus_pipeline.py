@@ -25,14 +25,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids come first. Among rows of one id the least hash of the whole row decides, so each group leaves one row, also where
     ids or rows repeat, and texts that share an id but not a group are judged apart.
     """
-    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h")))
-    groups = written(jaccard_join.jaccard_components(keyed, id_col="_row", k=5, percent=80), "groups")
-    gone = groups.where(F.col("_row") != F.col("component_id")).select("_row")
-    kept = keyed.join(gone, "_row", "left_anti")
-    repeated = groups.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select("_row")
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h")).alias("key"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    groups = written(jaccard_join.jaccard_components(keyed.select("key", "text"), id_col="key", k=5, percent=80), "groups")
+    gone = groups.where(F.col("key") != F.col("component_id")).select("key")
+    kept = keyed.select("key", "row").join(gone, "key", "left_anti")
+    repeated = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     if not repeated.isEmpty():  # equal in every column
-        kept = kept.join(repeated, "_row", "left_anti").unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(repeated, "key", "left_anti").unionByName(kept.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
