@@ -101,6 +101,37 @@ def link_answers(truth: DataFrame) -> DataFrame:
     return _said("link", truth.select("graph_id", F.col("first_add").alias("x"), F.col("first_delete").alias("y")))
 
 
+def _what_run(te: DataFrame) -> tuple[DataFrame, DataFrame]:
+    truth = logs.edges_at(te, 9)
+    said = what_answers(te, truth)
+    return said, scoring.score_set(truth, said)
+
+
+def _sort_run(te: DataFrame) -> tuple[DataFrame, DataFrame]:
+    said = sort_answers(te)
+    return said, scoring.score_sort(te, said)
+
+
+def _link_run(te: DataFrame) -> tuple[DataFrame, DataFrame]:
+    truth = link_truth(te)
+    said = link_answers(truth)
+    return said, scoring.score_link(truth, said)
+
+
+def _reverse_run(te: DataFrame) -> tuple[DataFrame, DataFrame]:
+    said = reverse_answers(te)
+    return said, scoring.score_reverse(te, said)
+
+
+#: Tasks and the names of their scored queries; each gives (responses, their metrics) of a log.
+RUNS = {"sort_edge": ("score_sort", _sort_run), "what_edges": ("score_what_edges", _what_run), "when_link_and_dislink": ("score_link", _link_run), "reverse_graph": ("score_reverse", _reverse_run)}
+
+
+def responses_sql(scored: str) -> str:
+    """The responses (graph_id, response) that a scored query's SQL reads."""
+    return scored[: scored.rindex("\nSELECT")] + "\nSELECT graph_id, response FROM r"
+
+
 def reverse_answers(te: DataFrame) -> DataFrame:
     back = logs.reverse_log(te)
     return _said("reverse", _pieces(te, rendered(back, "s", "pos"), rendered(back.where("seq < 20"), "h", "pos")))
@@ -224,14 +255,6 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
     def on_log(run: Callable[[DataFrame], DataFrame]) -> Callable:
         return lambda s, d: run(temporal_edges(s, d))
 
-    def what(te: DataFrame) -> DataFrame:
-        truth = logs.edges_at(te, 9)
-        return scoring.score_set(truth, what_answers(te, truth))
-
-    def link(te: DataFrame) -> DataFrame:
-        truth = link_truth(te)
-        return scoring.score_link(truth, link_answers(truth))
-
     def contain(te: DataFrame) -> DataFrame:
         truth = motifs.judge(te, "triangle")
         return scoring.score_yes_no(truth, _said("contain", truth.withColumnRenamed("answer", "a")))
@@ -274,10 +297,10 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
         ("parse_name_counts", read(lambda te: _said("count", _pairs(motifs.multi_count(te), "n_instances", 1)), parsing.name_counts, lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: F.concat_ws("=", p["name"], p["n"].cast("string"))))), " ")),
          instead(_count_sql(sql["multi_motif_counts"]), "array_to_string(list_sort(said), ' ') AS parsed FROM l")),
         ("parse_name_times", read(lambda te: _said("time", _pairs(motifs.multi_first_time(te), "first_time", 1)), parsing.name_times, pairs), instead(_time_sql(sql["multi_motif_first_time"]), "CASE WHEN x <> '' THEN array_to_string(said, ' ') END AS parsed FROM l")),
-        ("score_sort", on_log(lambda te: scoring.score_sort(te, sort_answers(te))), _sort_sql(te)),
-        ("score_what_edges", on_log(what), _what_sql(te, sql["edges_at_time"])),
-        ("score_link", on_log(link), _link_sql(sql["first_link_unlink_after"])),
-        ("score_reverse", on_log(lambda te: scoring.score_reverse(te, reverse_answers(te))), _reverse_sql(te)),
+        ("score_sort", on_log(lambda te: RUNS["sort_edge"][1](te)[1]), _sort_sql(te)),
+        ("score_what_edges", on_log(lambda te: RUNS["what_edges"][1](te)[1]), _what_sql(te, sql["edges_at_time"])),
+        ("score_link", on_log(lambda te: RUNS["when_link_and_dislink"][1](te)[1]), _link_sql(sql["first_link_unlink_after"])),
+        ("score_reverse", on_log(lambda te: RUNS["reverse_graph"][1](te)[1]), _reverse_sql(te)),
         ("score_contain", on_log(contain), _contain_sql(sql["motif_judge_triangle"])),
         ("score_modify", on_log(lambda te: scoring.score_modify(te, modify_answers(te, "triangle"), "triangle")), _modify_sql(both, sql["motif_modify_triangle"], "triangle")),
         ("score_multi_judge", on_log(judge), _judge_sql(sql["multi_motif_judge"])),

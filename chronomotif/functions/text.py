@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronomotif.functions import parsing
 from chronomotif.plans import catalog
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
@@ -134,6 +135,8 @@ def registered() -> list[tuple[str, Callable, str | None]]:
     folders = lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", folder_name(F.lit(5), F.col("s_nationkey"), F.lit("0.3"), F.col("s_suppkey")).alias("by_p"), folder_name(F.lit(5), F.col("s_nationkey"), F.lit(20), F.col("s_suppkey"), True).alias("by_m"))
     return [
         ("prompt_context", lambda s, d: contexts(temporal_edges(s, d)), f"WITH {EDGES_SQL} SELECT graph_id, {ctx} AS context FROM te GROUP BY graph_id"),
+        ("prompt_question", lambda s, d: prompts(temporal_edges(s, d), "judge_contain_motif", "triangle", improvement=26, shots=shots, chain=True, role=True).select("graph_id", parsing.question(F.col("prompt")).alias("question")),
+         f"WITH {EDGES_SQL} SELECT graph_id, 'Given an undirected dynamic graph with the edges ' || {ctx} || '. Does the graph contain the temporal motif triangle?' || chr(10) || {quoted(STEPS)} AS question FROM te GROUP BY graph_id"),
         ("prompt_full", lambda s, d: prompts(temporal_edges(s, d), "sort_edge"), f"WITH {EDGES_SQL} {plain}"),
         ("prompt_with_examples", lambda s, d: prompts(temporal_edges(s, d), "judge_contain_motif", "triangle", improvement=26, shots=shots, chain=True, graph_format=2, role=True, with_motifs=True), f"WITH {EDGES_SQL} {rich}"),
         ("prompt_config_suffix", suffix, "SELECT s_suppkey, '_cot' || s_suppkey % 2 || '_role0_k' || s_nationkey || '_dyg0_edge0_imp0_short0_temperature0.0_maxtokens0_motifnametriangle_motif0_change0_use_agent0_api1_balance0' AS suffix FROM supplier"),

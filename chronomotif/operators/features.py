@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronomotif.plans.motif import is_small
+from chronomotif.sources.tables import cut, uncut
+
 
 def static_edges(te: DataFrame) -> DataFrame:
     return te.where("op = 'a' AND u <> v").select("graph_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct()
@@ -19,43 +20,61 @@ def degrees(te: DataFrame) -> DataFrame:
     return ends.groupBy("graph_id", "node").agg(F.count("*").alias("degree"))
 
 
-def components(te: DataFrame, large_graphs: bool = False) -> DataFrame:
-    """(graph_id, n_components): a fold over each graph's edges that merges labels, for graphs that fit a row; else ``large_graphs``."""
+#: Connected pairs of a graph whose components are found by a fold in one row.
+FOLD_EDGES = 1000
+
+
+def components(te: DataFrame, large_graphs: bool = False, fold_edges: int | None = None) -> DataFrame:
+    """(graph_id, n_components) of graphs of any size.
+
+    A fold over a graph's edges merges labels in one row where it has at most ``fold_edges`` connected pairs; larger ones, and
+    all with ``large_graphs``, pass labels along edges.
+    """
     if large_graphs:
-        return component_labels(te).groupBy("graph_id").agg(F.count_distinct("root").alias("n_components"))
-    edges = static_edges(te).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("e"))
+        return _components_by_labels(static_edges(te))
+    if fold_edges is None:
+        if is_small(te):
+            return _components_by_fold(static_edges(te))
+        fold_edges = FOLD_EDGES
+    edges = cut(static_edges(te), "static-edges")
+    large = edges.groupBy("graph_id").agg(F.count("*").alias("_n")).where(F.col("_n") > fold_edges).select("graph_id")
+    folded = _components_by_fold(edges.join(large, "graph_id", "left_anti"))
+    return folded if large.isEmpty() else folded.unionByName(_components_by_labels(edges.join(large, "graph_id", "left_semi")))
+
+
+def _components_by_labels(edges: DataFrame) -> DataFrame:
+    return _labels(edges).groupBy("graph_id").agg(F.count_distinct("root").alias("n_components"))
+
+
+def _components_by_fold(edges: DataFrame) -> DataFrame:
+    edges = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("e"))
     nodes = F.array_distinct(F.concat(F.transform("e", lambda x: x["lo"]), F.transform("e", lambda x: x["hi"])))
     merge = lambda m, x: F.transform_values(m, lambda k, v: F.when(v == m[x["hi"]], m[x["lo"]]).otherwise(v))
     labels = F.aggregate("e", F.map_from_arrays(nodes, nodes), merge)
     return edges.select("graph_id", F.size(F.array_distinct(F.map_values(labels))).cast("long").alias("n_components"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a local one only on a single machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def component_labels(te: DataFrame) -> DataFrame:
-    """(graph_id, node, root): the least node of each node's component, by passing labels along edges and jumping to the label's label.
+    """(graph_id, node, root): the least node of each node's component, by passing labels along edges and jumping to the label's label."""
+    return _labels(static_edges(te))
 
-    Each pass is a checkpoint, so neither lineage nor any row grows with the graph.
-    """
-    edges = static_edges(te)
-    edges = _cut(edges.select("graph_id", F.explode(F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi")))).alias("e")).select("graph_id", F.col("e.lo").alias("node"), F.col("e.hi").alias("other")))
-    labels = _cut(edges.groupBy("graph_id", "node").agg(F.least("node", F.min("other")).alias("root")))
+
+def _labels(pairs: DataFrame) -> DataFrame:
+    """Labels of ``static_edges``. Each pass is a table of its own and the one before it deleted, so neither lineage nor disk nor any row grows with the passes."""
+    ways = F.explode(F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi"))))
+    edges = cut(pairs.select("graph_id", ways.alias("e")).select("graph_id", F.col("e.lo").alias("node"), F.col("e.hi").alias("other")), "edges")
+    table = cut(edges.groupBy("graph_id", "node").agg(F.least("node", F.min("other")).alias("root")).withColumn("old", F.lit(None).cast(edges.schema["node"].dataType)), "labels")
     while True:
+        labels = table.select("graph_id", "node", "root")
         heard = edges.join(labels.withColumnRenamed("node", "other"), ["graph_id", "other"]).groupBy("graph_id", "node").agg(F.min("root").alias("heard"))
         lower = labels.join(heard, ["graph_id", "node"]).select("graph_id", "node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
         jump = labels.select("graph_id", F.col("node").alias("root"), F.col("root").alias("further"))
-        new = _cut(lower.join(jump, ["graph_id", "root"]).select("graph_id", "node", "old", F.least("root", "further").alias("root")))
-        labels = new.select("graph_id", "node", "root")
+        new = cut(lower.join(jump, ["graph_id", "root"]).select("graph_id", "node", "old", F.least("root", "further").alias("root")), "labels")
+        uncut(table)
+        table = new
         if new.where("root <> old").isEmpty():
-            return labels
+            uncut(edges)
+            return new.select("graph_id", "node", "root")
 
 
 def core_nodes(te: DataFrame) -> DataFrame:
@@ -81,14 +100,14 @@ def clashes(te: DataFrame) -> DataFrame:
     return same.groupBy("graph_id").agg(F.sum(F.expr("c * (c - 1) div 2")).alias("temporal_clash_count"))
 
 
-def profile(te: DataFrame) -> DataFrame:
-    """The ten features of every graph; without add events all 0 but cyclomatic_complexity, which is 1."""
+def profile(te: DataFrame, fold_edges: int | None = None) -> DataFrame:
+    """The ten features of every graph, of any size (``components``); without add events all 0 but cyclomatic_complexity, which is 1."""
     deg = degrees(te).groupBy("graph_id").agg(
         F.count("*").alias("num_nodes"), (F.sum("degree") / 2).cast("long").alias("num_edges"),
         F.count_if(F.col("degree") >= 3).alias("num_nodes_ge_3"), F.count_if(F.col("degree") == 2).alias("num_nodes_eq_2"),
     )
     df = te.select("graph_id").distinct()
-    for part in (deg, components(te), locality(te), clashes(te)):
+    for part in (deg, components(te, fold_edges=fold_edges), locality(te), clashes(te)):
         df = df.join(part, "graph_id", "left")
     n, e = F.col("num_nodes"), F.col("num_edges")
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -1,12 +1,16 @@
 """The motif planner: an ordered edge pattern becomes a chain of equi-joins on (graph, node) with band conditions on time.
 
-``prepare`` deals the log by graph once; with ``one_shuffle`` every join and anti-join of the chain reuses that partitioning,
-since it holds the graph in every key. Its columns can't be null, so nothing is pushed below that exchange for one leg of the
-chain alone, and all legs read the same one. Each step checks order and window at once, and each absent edge is an anti-join as
-soon as both its nodes are bound, so partial matches die early. A chain is one SQL text, analysed once.
+``prepare`` deals the log by graph once; in a session of ``one_shuffle`` every join and anti-join of the chain reuses that
+partitioning, since it holds the graph in every key. Its columns can't be null, so nothing is pushed below that exchange for one
+leg of the chain alone, and all legs read the same one. Each step checks order and window at once, and each absent edge is an
+anti-join as soon as both its nodes are bound, so partial matches die early. A chain is one SQL text, analysed once.
 
-A graph is one task's work then. For logs with graphs beyond a task, ``prepare(te, large_graphs=True)`` deals nothing: joins
-shuffle by (graph, node), where Spark splits skewed nodes.
+A graph is one task's work then. ``routed`` measures the log and plans graphs beyond ``UNIT_EVENTS`` apart:
+
+* in time bins as wide as the window, where no bin is too large: every event is in its own bin and in the one before, an
+  instance belongs to the bin of its first event, and (graph, bin) takes the graph's place in every key, so a long log with a
+  hub is as many tasks as it has bins. Connected pairs that an absent edge may meet go to the bins of the end that has fewer.
+* else, or without a window, by (graph, node) join by join, where Spark splits skewed nodes.
 """
 
 from __future__ import annotations
@@ -17,32 +21,100 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomotif.plans import catalog
+from chronomotif.sources.tables import cut, uncut
+
+
+#: Events of a graph, or of a bin, that one task matches.
+UNIT_EVENTS = 100_000
+#: A log of so few bytes has no graph beyond a task; it isn't measured.
+SMALL_BYTES = 16 << 20
 
 
 @dataclass
 class Prepared:
-    """``directed``: distinct add events (graph_id, s, d, t), both ways. ``static``: distinct node pairs (graph_id, lo, hi)."""
+    """``directed``: distinct add events (graph_id, s, d, t), both ways. ``static``: distinct node pairs (graph_id, lo, hi).
+
+    ``binned``: both have a column bin too, events a column own, true in the bin of their time.
+    """
 
     directed: DataFrame
     static: DataFrame
+    binned: bool = False
 
 
-def one_shuffle(spark: SparkSession) -> None:
-    """Joins on (graph, node) may use a partitioning by graph alone."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
+def one_shuffle(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which joins on (graph, node) may use a partitioning by graph alone; ``spark`` is left as it is."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
+    return own
+
+
+def adds_of(te: DataFrame) -> DataFrame:
+    """(graph_id, lo, hi, t) of add events; self-loops are no edges, rows with nulls go."""
+    adds = te.where((F.col("op") == "a") & (F.col("u") != F.col("v")) & F.col("graph_id").isNotNull() & F.col("t").isNotNull())
+    return adds.select(_sure(te, "graph_id", F.col("graph_id")), _sure(te, "u", F.least("u", "v"), "lo"), _sure(te, "u", F.greatest("u", "v"), "hi"), _sure(te, "t", F.col("t")))
 
 
 def prepare(te: DataFrame, large_graphs: bool = False) -> Prepared:
     """Add events only, undirected, distinct; deletions never undo a connection, self-loops are no edges. Rows with nulls go."""
-    adds = te.where((F.col("op") == "a") & (F.col("u") != F.col("v")) & F.col("graph_id").isNotNull() & F.col("t").isNotNull())
-    adds = adds.select(_sure(te, "graph_id", F.col("graph_id")), _sure(te, "u", F.least("u", "v"), "lo"), _sure(te, "u", F.greatest("u", "v"), "hi"), _sure(te, "t", F.col("t")))
+    adds = adds_of(te)
     if not large_graphs:
         adds = adds.repartition("graph_id")
     ways = F.explode(F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("d")), F.struct(F.col("hi").alias("s"), F.col("lo").alias("d"))))
     return Prepared(adds.distinct().select("graph_id", "t", ways.alias("w")).select("graph_id", "w.s", "w.d", "t"), adds.select("graph_id", "lo", "hi").distinct())
 
 
+def in_bins(te: DataFrame, width: int) -> Prepared:
+    """The log in time bins, for windows up to ``width``. Times below 0 begin no instance and are left out."""
+    place = lambda b, own: F.struct(b.alias("bin"), F.lit(own).alias("own"))
+    at = F.floor(F.col("t") / width).cast("bigint")
+    adds = adds_of(te).where("t >= 0").distinct()
+    dealt = adds.select("graph_id", "lo", "hi", "t", F.explode(F.array(place(at, True), place(at - 1, False))).alias("b")).where("b.bin >= 0")
+    dealt = dealt.select("graph_id", F.coalesce("b.bin", F.lit(0)).alias("bin"), "lo", "hi", "t", F.coalesce("b.own", F.lit(False)).alias("own")).repartition("graph_id", "bin")
+    ways = F.explode(F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("d")), F.struct(F.col("hi").alias("s"), F.col("lo").alias("d"))))
+    directed = dealt.select("graph_id", "bin", "own", "t", ways.alias("w")).select("graph_id", "bin", "own", "w.s", "w.d", "t")
+    nodes = directed.select("graph_id", "bin", F.col("s").alias("node")).distinct()
+    often = nodes.groupBy("graph_id", "node").agg(F.count("*").alias("bins"))
+    pairs = adds_of(te).select("graph_id", "lo", "hi").distinct()
+    for end in ("lo", "hi"):  # pairs with an end in no bin can't meet an instance
+        pairs = pairs.join(often.select("graph_id", F.col("node").alias(end), F.col("bins").alias(f"{end}_bins")), ["graph_id", end])
+    rarer = pairs.select("graph_id", "lo", "hi", F.when(F.col("lo_bins") <= F.col("hi_bins"), F.col("lo")).otherwise(F.col("hi")).alias("node"))
+    met = rarer.join(nodes, ["graph_id", "node"]).withColumn("other", F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
+    static = met.join(nodes.withColumnRenamed("node", "other"), ["graph_id", "bin", "other"], "left_semi")
+    return Prepared(directed, static.select("graph_id", "bin", "lo", "hi").repartition("graph_id", "bin"), True)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the whole of it is a task's work by Spark's own estimate of its bytes, which is huge where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
+def routed(te: DataFrame, window: int | None = None, unit_events: int | None = None) -> list[Prepared]:
+    """The log in parts that have every instance of motifs of at most this ``window`` between them, once; None or 0: no window.
+
+    One part where no graph has more than ``unit_events`` add events; larger graphs make one or two more.
+    """
+    if unit_events is None:
+        if is_small(te):
+            return [prepare(te)]
+        unit_events = UNIT_EVENTS
+    adds = adds_of(te)
+    large = cut(adds.groupBy("graph_id").agg(F.count("*").alias("_n")).where(F.col("_n") > unit_events).select("graph_id"), "large-graphs")
+    if large.isEmpty():
+        uncut(large)
+        return [prepare(te)]
+    parts = [prepare(te.join(large, "graph_id", "left_anti"))]
+    wide = large
+    if window and window > 0:
+        bins = adds.join(large, "graph_id", "left_semi").groupBy("graph_id", F.floor(F.col("t") / window).alias("_b")).agg(F.count("*").alias("_n"))
+        wide = cut(bins.groupBy("graph_id").agg(F.max("_n").alias("_n")).where(F.col("_n") > unit_events).select("graph_id"), "wide-graphs")
+        parts.append(in_bins(te.join(large, "graph_id", "left_semi").join(wide, "graph_id", "left_anti"), window))
+    if wide is large or not wide.isEmpty():
+        parts.append(prepare(te.join(wide, "graph_id", "left_semi"), large_graphs=True))
+    return parts
+
+
 def _sure(te: DataFrame, like: str, value: Column, name: str | None = None) -> Column:
     """A column that can't be null, as the filter before it made sure; its type is that of ``like``."""
     return F.coalesce(value, F.lit(0).cast(te.schema[like].dataType)).alias(name or like)
@@ -61,22 +133,23 @@ def absent(df: DataFrame, static: DataFrame, a: str, b: str) -> DataFrame:
     return df.join(edge, on, "left_anti")
 
 
-def chain(edges: list[tuple[int, int]], window: int, window_op: str = "le", mode: str = "induced", identity: bool = False, gap: int | None = None) -> tuple[str, int, int]:
+def chain(edges: list[tuple[int, int]], window: int, window_op: str = "le", mode: str = "induced", identity: bool = False, gap: int | None = None, binned: bool = False) -> tuple[str, int, int]:
     """(SQL over {directed} and {static}, nodes, events) of the join chain of ``instances``."""
     kept = [e for i, e in enumerate(edges) if i != gap]
     k = catalog.n_nodes(edges)
     missing = catalog.non_edges(kept, k) if mode == "induced" else []
     node: dict[int, str] = {}
     joins: list[str] = []
+    same = lambda x: f"{x}.graph_id = e0.graph_id" + (f" AND {x}.bin = e0.bin" if binned else "")
 
     def anti() -> None:
         for a, b in [x for x in missing if x[0] in node and x[1] in node]:
             missing.remove((a, b))
             x = f"x{a}{b}"
-            joins.append(f"LEFT ANTI JOIN {{static}} {x} ON {x}.graph_id = e0.graph_id AND {x}.lo = least({node[a]}, {node[b]}) AND {x}.hi = greatest({node[a]}, {node[b]})")
+            joins.append(f"LEFT ANTI JOIN {{static}} {x} ON {same(x)} AND {x}.lo = least({node[a]}, {node[b]}) AND {x}.hi = greatest({node[a]}, {node[b]})")
 
     for i, (a, b) in enumerate(kept):
-        on = [f"e{i}.graph_id = e0.graph_id", f"e{i}.t > e{i - 1}.t"]
+        on = [same(f"e{i}"), f"e{i}.t > e{i - 1}.t"]
         if window > 0:
             on.append(f"e{i}.t - e0.t {'<=' if window_op == 'le' else '<'} {window}")
         new = {}
@@ -95,7 +168,7 @@ def chain(edges: list[tuple[int, int]], window: int, window_op: str = "le", mode
             joins.append(f"JOIN (SELECT DISTINCT graph_id, s FROM {{directed}}) y{x} ON " + " AND ".join(on))
             node[x] = f"y{x}.s"
             anti()
-    where = ["e0.t > -1", *([f"{c} < {k}" for c in node.values()] if identity else [])]
+    where = ["e0.t > -1", *(["e0.own"] if binned else []), *([f"{c} < {k}" for c in node.values()] if identity else [])]
     columns = ["e0.graph_id", *[f"{node[x]} AS n{x}" for x in range(k)], *[f"e{i}.t AS t{i}" for i in range(len(kept))]]
     return f"SELECT {', '.join(columns)} FROM {' '.join(joins)} WHERE {' AND '.join(where)}", k, len(kept)
 
@@ -105,7 +178,9 @@ def instances(p: Prepared, edges: list[tuple[int, int]], window: int, window_op:
 
     ``gap`` names an edge that is left out: it isn't matched, but its nodes are (missing-edge fragments); its pair must be absent.
     """
-    query, _, n_events = chain(edges, window, window_op, mode, identity, gap)
+    if p.binned and gap is not None:
+        raise ValueError("a node of a missing edge may be in no bin")
+    query, _, n_events = chain(edges, window, window_op, mode, identity, gap, p.binned)
     tables = {"directed": p.directed} | ({"static": p.static} if "{static}" in query else {})
     df = p.directed.sparkSession.sql(query, **tables)
     if gap is None and loose_pair(edges):
@@ -127,7 +202,7 @@ def large_enough(p: Prepared, edges: list[tuple[int, int]]) -> DataFrame:
 def pruned(p: Prepared, edges: list[tuple[int, int]]) -> Prepared:
     """Only the graphs that are ``large_enough``."""
     some = large_enough(p, edges)
-    return Prepared(p.directed.join(some, "graph_id", "left_semi"), p.static.join(some, "graph_id", "left_semi"))
+    return Prepared(p.directed.join(some, "graph_id", "left_semi"), p.static.join(some, "graph_id", "left_semi"), p.binned)
 
 
 def loose_pair(edges: list[tuple[int, int]]) -> bool:

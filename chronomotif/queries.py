@@ -21,8 +21,7 @@ SQL: dict[str, str] = {}
 
 
 def te_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one_shuffle(spark)
-    return temporal_edges(spark, sf_dir)
+    return temporal_edges(one_shuffle(spark), sf_dir)
 
 
 def add(name: str, over_te: Callable[[DataFrame], DataFrame], sql: str | None = None, directed: bool = False) -> None:
@@ -44,6 +43,8 @@ def _motifs() -> None:
         yes = "SELECT g.graph_id, CASE WHEN i.graph_id IS NULL THEN 'No' ELSE 'Yes' END AS answer FROM {g} g LEFT JOIN (SELECT DISTINCT graph_id FROM ({i})) i ON g.graph_id = i.graph_id"
         add(f"motif_judge_{key}", lambda te, m=m: motifs.judge(te, m), yes.format(g=graphs, i=inst), True)
         add(f"contain_judge_{key}", lambda te, m=m: motifs.judge(te, m, which="contain"), yes.format(g=graphs, i=instances_sql(edges, catalog.WINDOWS["contain"][m])), True)
+        add(f"motif_count_summed_{key}", lambda te, m=m: motifs.count(te, m, plan="summed"), f"SELECT graph_id, count(*) AS n_instances FROM ({inst}) GROUP BY graph_id", True)
+        add(f"motif_judge_first_{key}", lambda te, m=m: motifs.judge(te, m, plan="first"), yes.format(g=graphs, i=inst), True)
         add(f"motif_first_time_{key}", lambda te, m=m: motifs.first_time(te, m), f"SELECT graph_id, min({last}) AS first_time FROM ({inst}) GROUP BY graph_id", True)
         add(f"motif_instances_{key}", lambda te, m=m: motifs.found(te, m), inst, True)
         same = instances_sql(edges, w, "lt", identity=True)
@@ -107,8 +108,8 @@ def _features() -> None:
 _motifs()
 _logs()
 _features()
-for found in (generators.registered(), text.registered(), answers.registered(SQL), tasks.registered(SQL), tools.registered(SQL), scoring.registered(), routing.registered()):
-    for name, query, sql in found:
+for found in (generators.registered, text.registered, lambda: answers.registered(SQL), lambda: tasks.registered(SQL), lambda: tools.registered(SQL), scoring.registered, routing.registered):
+    for name, query, sql in found():  # later ones build on the SQL of earlier ones
         QUERIES[name] = query
         if sql is not None:
             SQL[name] = sql

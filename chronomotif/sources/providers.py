@@ -27,12 +27,12 @@ def answers(prompts: DataFrame, provider: Callable[[list[str]], list[str]]) -> D
     return prompts.select("graph_id", "prompt").mapInPandas(run, SCHEMA)
 
 
-def from_table(prompts: DataFrame, table: DataFrame) -> DataFrame:
-    """Answers looked up in a table (graph_id, content)."""
+def from_table(prompts: DataFrame, table: DataFrame, words_a_second: float | None = None) -> DataFrame:
+    """Answers looked up in a table (graph_id, content), at once or at a rate of words read and said."""
     words = lambda c: F.size(F.split(F.trim(c), r"\s+")).cast("bigint")
     df = prompts.join(table.select("graph_id", "content"), "graph_id")
     asked, used = words(F.col("prompt")), words(F.col("content"))
-    return df.select("graph_id", "content", asked.alias("prompt_tokens"), used.alias("completion_tokens"), (asked + used).alias("total_tokens"), F.lit(0.0).alias("time"))
+    return df.select("graph_id", "content", asked.alias("prompt_tokens"), used.alias("completion_tokens"), (asked + used).alias("total_tokens"), ((asked + used) / F.lit(words_a_second) if words_a_second else F.lit(0.0)).alias("time"))
 
 
 def constant(text: str) -> Callable[[list[str]], list[str]]:

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronomotif import answers
+from chronomotif.functions import text
 from chronomotif.operators import logs, motifs, scoring
 from chronomotif.plans import catalog
 from chronomotif.plans.motif import DIRECTED_SQL, instances_sql
+from chronomotif.sources import providers
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
 
@@ -82,7 +86,7 @@ def _pair(value: str) -> Column:
 
 
 def _names(te: DataFrame, **_) -> DataFrame:
-    rows = motifs._all(te, tuple(catalog.NAMES), lambda m, p: motifs.found(te, m, window_op="lt", p=p).select("graph_id").distinct())
+    rows = motifs.multi_first_time(te, window_op="lt")
     return _listed(rows, te, F.concat(F.lit('"'), "motif_name", F.lit('"')))
 
 
@@ -215,31 +219,36 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
     strict = " UNION ALL ".join(f"SELECT DISTINCT graph_id, '{m}' AS motif_name FROM ({instances_sql(catalog.EDGES[m], catalog.WINDOWS['default'][m], 'lt')})" for m in catalog.NAMES)
     pair = lambda value: f"""'["' || motif_name || '",' || {value} || ']'"""
 
-    metric = "CAST(CASE graph_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 0.5 WHEN 2 THEN 0 WHEN 3 THEN -1 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN -2 ELSE -3 END AS DOUBLE)"
-    said = "CASE WHEN graph_id % 11 <> 10 THEN 'Answer' END"
-    tokens, times = "CASE WHEN graph_id % 4 <> 3 THEN graph_id % 100 + 10 END", "CAST(graph_id % 7 AS DOUBLE) / 2"
+    def provided(log: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
+        """Answers of a task's run over the whole log, read from the table of responses, and the metrics that its scorer gives them."""
+        said, metrics = answers.RUNS[task][1](log)
+        prompts = text.contexts(log).withColumnRenamed("context", "prompt")
+        return providers.from_table(prompts, said.withColumnRenamed("response", "content"), words_a_second=100.0), metrics
 
     def tables(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Instances, of which some lack a graph; answers, of which some are unreadable or missing."""
+        """The log; its graphs and twenty names without a graph; answers to the link task, which not every graph has."""
         log = temporal_edges(s, d)
-        ids = motifs.graphs(log).unionByName(s.range(0, 20).select((-F.col("id") - 1).alias("graph_id")))
-        answers = motifs.graphs(log).where("graph_id % 13 <> 12").selectExpr("graph_id", f"{said} AS content", f"{tokens} AS total_tokens", f"{times} AS time", "graph_id % 3 AS prompt_tokens", "graph_id % 5 AS completion_tokens")
-        return log, ids, answers
+        return log, motifs.graphs(log).unionByName(s.range(0, 20).select((-F.col("id") - 1).alias("graph_id"))), provided(log, "when_link_and_dislink")[0]
 
     def result(s, d, lists: bool = False) -> DataFrame:
-        log, ids, answers = tables(s, d)
-        metrics = motifs.graphs(log).select("graph_id", F.expr(metric).alias("metric"))
-        joined = evaluated(ids, TASKS["sort_edge"].rows(log), answers.where("content IS NOT NULL"), graph_sizes(log), metrics)
-        return results(joined.withColumn("model", F.expr("'m' || (graph_id div 9) % 3")), ["task", "model"], lists)
+        log, ids, _ = tables(s, d)
+        sizes, parts = graph_sizes(log), []
+        for task in answers.RUNS:
+            got, metrics = provided(log, task)
+            parts.append(evaluated(ids, TASKS[task].rows(log), got, sizes, metrics))
+        return results(reduce(DataFrame.unionByName, parts), ["task"], lists)
 
     def lists(s, d) -> DataFrame:
-        text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",").alias(c)
-        return result(s, d, True).select("model", text("total_tokens_list"), text("prompt_tokens_list"), text("error_graphs"), text("failure_graphs"))
+        joined = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",").alias(c)
+        return result(s, d, True).select("task", joined("total_tokens_list"), joined("prompt_tokens_list"), joined("error_graphs"), joined("failure_graphs"))
 
-    ans = f"an AS (SELECT graph_id, {said} AS content, {tokens} AS total_tokens, {times} AS time FROM (SELECT DISTINCT graph_id FROM te) WHERE graph_id % 13 <> 12)"
+    tokens = "len(regexp_split_to_array(trim(response), '\\s+'))"
+    said = lambda task: f"SELECT graph_id, '{task}' AS task, n * 4 AS prompt_tokens, {tokens} AS completion_tokens, n * 4 + {tokens} AS total_tokens FROM ({answers.responses_sql(sql[answers.RUNS[task][0]])}) JOIN (SELECT graph_id, count(*) AS n FROM te GROUP BY graph_id) USING (graph_id)"
+    ans = f"an AS (SELECT *, total_tokens / 100.0 AS time FROM ({said('when_link_and_dislink')}))"
+    runs = " UNION ALL ".join(f"SELECT graph_id, task, prompt_tokens, total_tokens, metric FROM ({said(task)}) JOIN ({sql[name]}) USING (graph_id)" for task, (name, _) in answers.RUNS.items())
     sizes = "sz AS (SELECT graph_id, count(*) AS num_edges, count(DISTINCT t) AS num_time, (SELECT count(DISTINCT n) FROM (SELECT unnest([u, v]) AS n FROM te x WHERE x.graph_id = te.graph_id)) AS num_nodes FROM te GROUP BY graph_id)"
     ids = "id_ AS (SELECT DISTINCT graph_id FROM te UNION ALL SELECT -i - 1 FROM (SELECT unnest(range(0, 20)) AS i))"
-    joined = f"{te}, {ans}, {sizes}, ev AS (SELECT graph_id, 'sort_edge' AS task, 'm' || graph_id // 9 % 3 AS model, {metric} AS m, total_tokens, num_nodes, num_edges, num_time FROM an JOIN sz USING (graph_id) WHERE content IS NOT NULL)"
+    joined = f"{te}, {sizes}, ev AS (SELECT graph_id, task, metric AS m, prompt_tokens, total_tokens, num_nodes, num_edges, num_time FROM ({runs}) JOIN sz USING (graph_id))"
     of = lambda c, name: f"round(avg({c}), 6) AS average_{name}, round(stddev_pop({c}), 6) AS deviation_{name}"
     share = lambda c: f"round(count(*) FILTER ({c}) / count(*), 6)"
     two = lambda c: f"round(avg({c}), 2) AS average_{c}, round(stddev_pop({c}), 2) AS deviation_{c}"
@@ -258,8 +267,10 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
         ("qa_when_multi_motif_exist", asked("when_multi_motif_exist"), rows("when_multi_motif_exist", listed(pair("first_time"), sql["multi_motif_first_time"]))),
         ("is_motif_own_windows", lambda s, d: judged_within(temporal_edges(s, d), "triangle", windows(temporal_edges(s, d)), identity=False),
          f"{both} SELECT g.graph_id, CASE WHEN y.graph_id IS NULL THEN 'No' ELSE 'Yes' END AS answer FROM (SELECT DISTINCT graph_id FROM te) g LEFT JOIN (SELECT DISTINCT graph_id FROM ({instances_sql(catalog.EDGES['triangle'], 0)}) WHERE graph_id % 6 - 1 <= 0 OR t2 - t0 < graph_id % 6 - 1) y ON y.graph_id = g.graph_id"),
-        ("eval_results", result, f"{joined} SELECT task, model, count(*) AS n, round(sum(CASE WHEN m > 0 AND m <= 1 THEN m ELSE 0 END) / count(*), 6) AS correct_rate, {share('m IN (0, 2)')} AS error_rate, {share('m = -1')} AS failure_rate, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, round(coalesce(avg(total_tokens), 0), 6) AS average_tokens, {of('num_time', 'num_times')}, {of('num_edges', 'num_edges')}, {of('num_nodes', 'num_nodes')}, {share('m = 2')} AS complete_unsorted, {share('m = 3')} AS incomplete_sorted, {share('m = 4')} AS incomplete_unsorted FROM ev GROUP BY task, model"),
-        ("eval_result_lists", lists, f"{joined} SELECT model, {null('total_tokens')} AS total_tokens_list, {null('graph_id % 3')} AS prompt_tokens_list, coalesce(string_agg(CAST(graph_id AS VARCHAR), ',' ORDER BY graph_id) FILTER (m IN (0, 2)), '') AS error_graphs, coalesce(string_agg(CAST(graph_id AS VARCHAR), ',' ORDER BY graph_id) FILTER (m < 0), '') AS failure_graphs FROM ev GROUP BY model"),
-        ("run_status", lambda s, d: (lambda log, ids, answers: status(ids, graph_sizes(log), answers))(*tables(s, d)), f"{te}, {ans}, {sizes}, {ids} SELECT count(*) FILTER (content IS NOT NULL AND num_edges IS NOT NULL) AS finished, count(*) FILTER (content IS NULL OR num_edges IS NULL) AS to_run, {two('num_edges')}, {two('num_nodes')}, {two('num_time')} FROM id_ LEFT JOIN an USING (graph_id) LEFT JOIN sz USING (graph_id)"),
+        ("is_motif_own_windows_identity", lambda s, d: judged_within(temporal_edges(s, d), "triangle", windows(temporal_edges(s, d))),
+         f"{both} SELECT g.graph_id, CASE WHEN y.graph_id IS NULL THEN 'No' ELSE 'Yes' END AS answer FROM (SELECT DISTINCT graph_id FROM te) g LEFT JOIN (SELECT DISTINCT graph_id FROM ({instances_sql(catalog.EDGES['triangle'], 0, identity=True)}) WHERE graph_id % 6 - 1 <= 0 OR t2 - t0 < graph_id % 6 - 1) y ON y.graph_id = g.graph_id"),
+        ("eval_results", result, f"{joined} SELECT task, count(*) AS n, round(sum(CASE WHEN m > 0 AND m <= 1 THEN m ELSE 0 END) / count(*), 6) AS correct_rate, {share('m IN (0, 2)')} AS error_rate, {share('m = -1')} AS failure_rate, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, round(coalesce(avg(total_tokens), 0), 6) AS average_tokens, {of('num_time', 'num_times')}, {of('num_edges', 'num_edges')}, {of('num_nodes', 'num_nodes')}, {share('m = 2')} AS complete_unsorted, {share('m = 3')} AS incomplete_sorted, {share('m = 4')} AS incomplete_unsorted FROM ev GROUP BY task"),
+        ("eval_result_lists", lists, f"{joined} SELECT task, {null('total_tokens')} AS total_tokens_list, {null('prompt_tokens')} AS prompt_tokens_list, coalesce(string_agg(CAST(graph_id AS VARCHAR), ',' ORDER BY graph_id) FILTER (m IN (0, 2)), '') AS error_graphs, coalesce(string_agg(CAST(graph_id AS VARCHAR), ',' ORDER BY graph_id) FILTER (m < 0), '') AS failure_graphs FROM ev GROUP BY task"),
+        ("run_status", lambda s, d: (lambda log, ids, answers: status(ids, graph_sizes(log), answers))(*tables(s, d)), f"{te}, {ans}, {sizes}, {ids} SELECT count(*) FILTER (total_tokens IS NOT NULL AND num_edges IS NOT NULL) AS finished, count(*) FILTER (total_tokens IS NULL OR num_edges IS NULL) AS to_run, {two('num_edges')}, {two('num_nodes')}, {two('num_time')} FROM id_ LEFT JOIN an USING (graph_id) LEFT JOIN sz USING (graph_id)"),
         ("run_averages", lambda s, d: (lambda log, ids, answers: run_averages(ids, answers))(*tables(s, d)), f"{te}, {ans}, {ids} SELECT round(sum(time) / count(*), 6) AS average_times, round(sum(total_tokens) / count(*), 6) AS average_tokens FROM id_ LEFT JOIN an USING (graph_id)"),
     ]

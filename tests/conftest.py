@@ -18,5 +18,4 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     from chronomotif.plans.motif import one_shuffle
 
-    one_shuffle(session)
-    return session
+    return one_shuffle(session)

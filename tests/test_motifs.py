@@ -118,3 +118,120 @@ def test_large_graphs_and_pruning(spark):
     small = spark.createDataFrame([(1, 0, 0, 1, 0, "a"), (1, 1, 1, 2, 1, "a"), (2, 0, 0, 1, 0, "a"), (2, 1, 1, 2, 1, "a"), (2, 2, 2, 0, 2, "a")], te.schema)
     assert [r.graph_id for r in large_enough(prepare(small), [(0, 1), (1, 2), (2, 0)]).collect()] == [2]
     assert sorted(map(tuple, features.components(te, large_graphs=True).collect())) == sorted(map(tuple, features.components(te).collect()))
+
+
+def hub_log(spark, n, per, nodes, graph_id=1, seed=1):
+    """``n`` events, ``per`` a time step, half of them at node 0, spread over the others by a hash."""
+    draw = lambda k, m: F.pmod(F.xxhash64("id", F.lit(seed * 10 + k)), F.lit(m)).cast("int")
+    return spark.range(n).select(F.lit(graph_id).cast("bigint").alias("graph_id"), F.col("id").cast("int").alias("seq"), F.when(draw(1, 2) == 0, 0).otherwise(draw(2, nodes)).alias("u"), (draw(3, nodes - 1) + 1).alias("v"), F.floor(F.col("id") / per).cast("int").alias("t"), F.lit("a").alias("op"))
+
+
+@pytest.mark.parametrize("mode", ["induced", "monomorphism"])
+def test_summed_and_first_plans_match_brute_force(spark, graphs, mode):
+    te, op = frame(spark, graphs), "le" if mode == "induced" else "lt"
+    want = {m: {g: found for g, e in graphs.items() if (found := instances(e, catalog.EDGES[m], catalog.WINDOWS["default"][m], op == "lt", mode == "induced"))} for m in catalog.NAMES}
+    rows = motifs.multi_count(te, mode=mode, window_op=op).collect()
+    assert {(r.graph_id, r.motif_name): r.n_instances for r in rows} == {(g, m): len(x) for m in want for g, x in want[m].items()}
+    times = motifs.multi_first_time(te, mode=mode, window_op=op).collect()
+    assert {(r.graph_id, r.motif_name): r.first_time for r in times} == {(g, m): min(max(t for _, _, t in i) for i in x) for m in want for g, x in want[m].items()}
+
+
+@pytest.mark.parametrize(("motif", "options"), [("3-star", {"window": 5}), ("4-clique", {"mode": "monomorphism", "window_op": "lt"}), ("triangle", {"window": 0})])
+def test_one_motif_in_every_plan(spark, graphs, motif, options):
+    te = frame(spark, graphs)
+    want = sorted(map(tuple, motifs.count(te, motif, **options).collect()))
+    first = sorted(map(tuple, motifs.first_time(te, motif, **options).collect()))
+    some = {"unit_events": 15, **options}  # graphs that fit, time bins, and bins that are too large
+    assert sorted(map(tuple, motifs.count(te, motif, plan="summed", **some).collect())) == want
+    assert sorted(map(tuple, motifs.count(te, motif, **some).collect())) == want
+    assert sorted(map(tuple, motifs.first_time(te, motif, plan="first", **some).collect())) == first
+
+
+def test_patterns_of_ones_own_share_a_plan(spark, graphs):
+    te = frame(spark, graphs)
+    own = {"wedge": ([(0, 1), (1, 2)], 4), "back": ([(0, 1), (1, 2), (1, 0)], 6), "apart": ([(0, 1), (2, 3)], 3), "square": (catalog.EDGES["4-cycle"], 0)}
+    got = {(r.graph_id, r.motif_name): r.n_instances for r in motifs.multi_count(te, own).collect()}
+    assert got == {(g, m): n for m, (edges, w) in own.items() for g, e in graphs.items() if (n := len(instances(e, edges, w)))}
+    with pytest.raises(ValueError, match="connected"):
+        motifs.count(te, [(0, 1), (2, 3)], plan="summed", window=3)
+
+
+def test_nine_motifs_are_one_chain(spark, graphs):
+    """Five joins by edge, twelve by absent edge, none for a single motif."""
+    plan = motifs.multi_count(frame(spark, graphs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Left") + plan.count("Join Inner") <= 17
+
+
+def test_summed_plan_has_fewer_rows(spark):
+    """A pair that is connected again and again: instances are many more than open ends."""
+    rows = [(1, 4 * t + k, k, (k + 1) % 4, t, "a") for t in range(120) for k in range(4)]
+    te = spark.createDataFrame(rows, EVENTS)
+    n = motifs.count(te, "4-cycle", window=60, mode="monomorphism").first().n_instances
+    summed = motifs.count(te, "4-cycle", window=60, mode="monomorphism", plan="summed")
+    assert summed.first().n_instances == n and n > 1_000_000
+    judged = motifs.first_time(te, "4-cycle", window=60, mode="monomorphism", plan="first")
+
+    def passed(df):
+        """Rows out of each join of the plan that ran."""
+        df.collect()
+        plan, found = df._jdf.queryExecution().executedPlan(), []
+        todo = [plan.executedPlan()]
+        while todo:
+            at = todo.pop()
+            if "Join" in at.nodeName() and at.metrics().contains("numOutputRows"):
+                found.append(at.metrics().apply("numOutputRows").value())
+            if "QueryStage" in at.nodeName():
+                todo.append(at.plan())
+            todo += [at.children().apply(i) for i in range(at.children().size())]
+        return sum(found)
+
+    assert passed(summed) < n // 3 and passed(judged) < passed(summed)
+
+
+def test_a_hub_over_a_long_log(spark):
+    """A hub with 100 000 events: time bins, whose largest task has few of them, and the same counts as shorter logs put together."""
+    from chronomotif.plans.motif import in_bins
+
+    te = hub_log(spark, 100_000, 3, 300)
+    p = in_bins(te, 3)
+    assert p.directed.groupBy("graph_id", "bin").count().agg(F.max("count")).first()[0] < 60
+    got = motifs.count(te, "triangle", unit_events=10_000).first().n_instances
+    assert got == motifs.count(te, "triangle", plan="summed", unit_events=10_000).first().n_instances
+    mono = lambda df, **options: sum(r.n_instances for r in motifs.count(df, "triangle", mode="monomorphism", **options).collect())
+    width = 2_000  # instances inside pieces, and inside the pieces' seams, once
+    pieces = te.withColumn("graph_id", F.floor(F.col("t") / width).cast("bigint"))
+    seams = te.where(f"t % {width} < 3 or t % {width} >= {width - 3}").withColumn("graph_id", F.floor((F.col("t") + 3) / width).cast("bigint"))
+    twice = seams.withColumn("graph_id", F.col("graph_id") * 2 + F.when(F.col("t") % width < 3, 1).otherwise(0))
+    assert mono(te, unit_events=10_000) == mono(pieces) + mono(seams) - mono(twice)
+
+
+def test_one_large_graph_among_small_ones(spark):
+    """Measured routing: the same rows as every graph gets alone, in all forms, and components by either way."""
+    from chronomotif.operators import features
+    from chronomotif.plans.motif import routed
+    from chronomotif.sources.events import temporal_edges
+
+    small = temporal_edges(spark, "/root/testdata/sf0.001")
+    te = small.unionByName(hub_log(spark, 3_000, 4, 80, graph_id=10_000)).unionByName(hub_log(spark, 900, 450, 60, graph_id=10_001, seed=2)).unionByName(hub_log(spark, 700, 4, 700, graph_id=10_002, seed=3))
+    assert [p.binned for p in routed(te, 6, 300)] == [False, True, False] and len(routed(te, 6)) == len(routed(small, 6, 300)) == 1
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for motif in ("triangle", "4-tailedtriangle"):
+        assert rows(motifs.count(te, motif, unit_events=300)) == rows(motifs.count(te, motif))
+        assert rows(motifs.judge(te, motif, plan="first", unit_events=300)) == rows(motifs.judge(te, motif))
+    some = te.where("graph_id > 20")
+    assert rows(motifs.multi_count(some, ("triangle", "4-cycle", "4-path"), unit_events=300)) == rows(motifs.multi_count(some, ("triangle", "4-cycle", "4-path")))
+    one = te.where("graph_id IN (1, 2, 3, 10001)")
+    assert rows(motifs.modify(one, "triangle", unit_events=300)) == rows(motifs.modify(one, "triangle"))
+    assert rows(features.profile(te, fold_edges=100)) == rows(features.profile(te))
+    assert {r.graph_id for r in features.components(te, fold_edges=100).where("graph_id >= 10000").collect()} == {10_000, 10_001, 10_002}
+
+
+def test_sessions_keep_their_settings(spark):
+    from chronomotif import queries
+    from chronomotif.plans.motif import one_shuffle
+
+    plain = spark.newSession()
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = plain.conf.get(key)
+    queries.QUERIES["motif_count_triangle"](plain, "/root/testdata/sf0.001").count()
+    assert plain.conf.get(key) == before == "true" and one_shuffle(plain).conf.get(key) == "false"
