@@ -186,19 +186,6 @@ def test_json_and_providers(spark, tmp_path):
     assert providers.answers(asked, providers.constant("Answer: yes")).first().content == "Answer: yes"
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from chronomotif.sources.events import temporal_edges
-    from chronomotif.streaming.motif_stream import motif_stream
-
-    te = temporal_edges(spark, "/root/testdata/sf0.001")
-    te.coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema(te.schema).parquet(str(tmp_path / "in"))
-    query = motif_stream(events, "triangle").writeStream.format("memory").queryName("motifs").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {r[0]: r[1] for r in spark.sql("select graph_id, count(*) from motifs group by 1").collect()}
-    assert got == {r[0]: r[1] for r in motifs.count(te, "triangle", mode="monomorphism").collect()} and got
-
-
 def test_lists_results_and_logs(spark, tmp_path):
     rows = spark.createDataFrame([(f"T5_N3_p0.3_seed{i}", i) for i in range(40)], "folder string, place int")
     json_files.write_instances(rows.repartition(4), str(tmp_path / "list"))
