@@ -74,6 +74,30 @@ def alive_intervals(te: DataFrame) -> DataFrame:
     return out.where("e.op = 'a'").select("graph_id", "lo", "hi", F.col("t").alias("t_from"), "t_to")
 
 
+def alive_index(te: DataFrame, levels: int = 31) -> DataFrame:
+    """(graph_id, level, block, u, v, t, op): when each connection is alive, for many questions of state; store it to ask again.
+
+    The time from an add to the next event of its pair is cut into blocks of 2 ** level times, each at a multiple of its length
+    and at most two a level, so a long life is few rows. All times are below 2 ** ``levels``. A pair that is never undone stays
+    alive.
+    """
+    later = F.lead("t").over(W.partitionBy("graph_id", *pair()).orderBy("t", "seq"))
+    lives = te.withColumn("_until", later).where("op = 'a'").select("graph_id", "u", "v", "t", "op", F.greatest("t", F.lit(0)).cast("bigint").alias("a"), F.coalesce(F.col("_until").cast("bigint"), F.lit(1 << levels)).alias("b"))
+    at = lives.where("a < b").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    at = at.withColumn("lo", F.expr("shiftright(a + shiftleft(1L, level) - 1, level)")).withColumn("hi", F.expr("shiftright(b, level)")).where("lo < hi")
+    first, last = F.when(F.expr("lo % 2 = 1"), F.col("lo")), F.when(F.expr("hi % 2 = 1 AND hi - 1 >= lo + lo % 2"), F.col("hi") - 1)
+    return at.select("graph_id", "level", F.explode(F.array_compact(F.array(first, last))).alias("block"), "u", "v", "t", "op")
+
+
+def alive_at(index: DataFrame, questions: DataFrame, levels: int = 31) -> DataFrame:
+    """The connections alive at each question's time: all columns of ``questions`` (graph_id, at, ..) with u, v, t, op.
+
+    One join: a question asks for the block of each level that holds its time, and a life has one of them at most.
+    """
+    asked = questions.where("at >= 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")).withColumn("block", F.expr("shiftright(cast(at AS bigint), level)"))
+    return asked.join(index, ["graph_id", "level", "block"]).select(*[F.col(c) for c in questions.columns], "u", "v", "t", "op")
+
+
 def snapshots(te: DataFrame) -> DataFrame:
     """(graph_id, t, n_alive): alive pairs after each time of the log; interval ends are summed, no pair-by-time join."""
     spans = alive_intervals(te)

@@ -64,9 +64,12 @@ def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Adds rows to a log of JSON lines."""
-    rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str, key: str | None = None) -> None:
+    """Adds rows to a log of JSON lines; those of a ``key`` replace what was written under it before, so a repeated run adds nothing twice."""
+    if key is None:
+        rows.write.mode("append").json(path)
+    else:
+        rows.write.mode("overwrite").json(f"{path}/run={key}")
 
 
 def events_of(graphs: DataFrame, key: str = "folder", column: str = "edge_index") -> DataFrame:

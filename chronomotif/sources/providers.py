@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 SCHEMA = "graph_id bigint, content string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, time double"
 
 
-def answers(prompts: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Answers to (graph_id, prompt); tokens are counted as words where the provider doesn't say."""
+def answers(prompts: DataFrame, provider: Callable[[list[str]], list[str]], keys: tuple[str, ...] = (), tokens: Callable[[str], int] = lambda text: len(text.split())) -> DataFrame:
+    """Answers to (keys, graph_id, prompt), null where the provider has none. ``tokens`` counts those of a text: words, or a tokenizer's."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -20,11 +20,12 @@ def answers(prompts: DataFrame, provider: Callable[[list[str]], list[str]]) -> D
         for frame in frames:
             began = time.time()
             said = provider(frame["prompt"].tolist())
-            asked = frame["prompt"].str.split().str.len().astype("int64")
-            used = pd.Series([len(x.split()) for x in said], dtype="int64")
-            yield pd.DataFrame({"graph_id": frame["graph_id"], "content": said, "prompt_tokens": asked, "completion_tokens": used.values, "total_tokens": asked.values + used.values, "time": (time.time() - began) / max(len(frame), 1)})
+            asked = pd.Series([tokens(x or "") for x in frame["prompt"]], dtype="int64")
+            used = pd.Series([tokens(x or "") for x in said], dtype="int64")
+            yield pd.DataFrame({k: frame[k].values for k in keys} | {"graph_id": frame["graph_id"].values, "content": said, "prompt_tokens": asked.values, "completion_tokens": used.values, "total_tokens": asked.values + used.values, "time": (time.time() - began) / max(len(frame), 1)})
 
-    return prompts.select("graph_id", "prompt").mapInPandas(run, SCHEMA)
+    kinds = "".join(f"{k} {prompts.schema[k].dataType.simpleString()}, " for k in keys)
+    return prompts.select(*keys, "graph_id", "prompt").mapInPandas(run, kinds + SCHEMA)
 
 
 def from_table(prompts: DataFrame, table: DataFrame, words_a_second: float | None = None) -> DataFrame:
