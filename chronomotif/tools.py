@@ -88,10 +88,9 @@ def call(name: str, inputs: DataFrame, motifs_asked: tuple[str, ...] = tuple(cat
     return inputs.select("id").join(found, "id", "left")
 
 
-def predict_strategy(inputs: DataFrame, model) -> DataFrame:
-    """The router as a tool: (id, strategy)."""
-    table = features.profile(events(inputs))
-    out = routing.predict(model, table)
+def predict_strategy(inputs: DataFrame, nodes: list[tuple]) -> DataFrame:
+    """The router as a tool, with a stored classifier's nodes: (id, strategy)."""
+    out = routing.predict(nodes, features.profile(events(inputs)))
     return out.select(F.col("graph_id").alias("id"), routing.decide(F.col("predicted"), F.col("probability"), "tool").alias("strategy"))
 
 

@@ -202,3 +202,28 @@ def test_lists_results_and_logs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 6
     json_files.write_settings(spark, {"T": [5], "model": "x"}, str(tmp_path / "args"))
     assert spark.read.json(str(tmp_path / "args")).first().model == "x"
+
+
+def test_router_on_held_out_graphs(spark, tmp_path):
+    """Trained on scored answers of other graphs; the stored trees decide like Spark's own model does."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from chronomotif.operators import routing
+    from chronomotif.sources.events import temporal_edges
+    from chronomotif.sources.tables import cut
+
+    table = cut(routing.labelled(temporal_edges(spark, "/root/testdata/sf0.1").where("graph_id < 1500")), "router-test")
+    own, held = table.where("NOT held_out"), table.where("held_out")
+    assert own.count() > 900 and held.count() > 200 and own.join(held, "graph_id").count() == 0
+    nodes = routing.train(own)
+    routing.store(nodes, spark, str(tmp_path / "trees"))
+    assert routing.load(spark, str(tmp_path / "trees")) == sorted(nodes)
+    got = routing.predict(nodes, held).join(held.select("graph_id", "label"), "graph_id").toPandas()
+    yes, no = got[got.label == 1].probability, got[got.label == 0].probability
+    assert sum((x > no).mean() + 0.5 * (x == no).mean() for x in yes) / len(yes) > 0.53  # ranks unseen graphs better than chance
+    vectors = VectorAssembler(inputCols=routing.FEATURES, outputCol="_x")
+    model = GBTClassifier(featuresCol="_x", labelCol="label", maxIter=5, maxDepth=3, seed=7).fit(vectors.transform(own))
+    want = {r.graph_id: r.probability[1] for r in model.transform(vectors.transform(held)).collect()}
+    assert all(abs(r.probability - want[r.graph_id]) < 1e-9 and r.predicted == (r.probability > 0.5) for r in got.itertuples())
+    assert routing.predict([], held.limit(3)).where("predicted").count() == 0
