@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,16 +12,21 @@ from pyspark.sql import functions as F
 from chronomotif.functions.rng import rnd, rnd_sql, whole
 from chronomotif.operators import motifs
 from chronomotif.plans import catalog
-from chronomotif.plans.motif import DIRECTED_SQL, instances_sql
+from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, prepare
+from chronomotif.sources.tables import cut, uncut
 
 
 def param_grid(spark: SparkSession, times: list[int], nodes: list[int], ps: list[float], n_seeds: int) -> DataFrame:
     """(graph_id, T, N, p, seed, folder): the product of all parameters with seeds 0 and up."""
     one = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
     grid = one("T", "int", times).crossJoin(one("N", "int", nodes)).crossJoin(one("p", "double", ps))  # parameters, a few rows each
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed"))
+    return _named(grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed")))
+
+
+def _named(seeds: DataFrame) -> DataFrame:
+    """Parameter rows of (T, N, p, seed)."""
     folder = F.format_string("T%d_N%d_p%.1f_seed%d", "T", "N", "p", "seed")
-    return grid.select(F.xxhash64("T", "N", "p", "seed").alias("graph_id"), "T", "N", "p", "seed", folder.alias("folder"))
+    return seeds.select(F.xxhash64("T", "N", "p", "seed").alias("graph_id"), "T", "N", "p", "seed", folder.alias("folder"))
 
 
 def _ordered(te: DataFrame, *order) -> DataFrame:
@@ -114,20 +120,21 @@ def _random_logs(tries: DataFrame) -> DataFrame:
 def contain_negative(params: DataFrame, motif: str, n_events: int | None = None, which: str = "contain", at_once: int = 4, rounds: int = 50) -> DataFrame:
     """Random logs of M events without the motif: each row's first attempt that lacks it, ``at_once`` drawn in a round until all rows have one.
 
-    Raises an error if rows are left after ``rounds``; rows of fewer than two nodes or without events give no log.
+    Each round reads the rows that are left from a table of its own and writes the logs it accepts, so no plan holds earlier
+    rounds. Raises an error if rows are left after ``rounds``; rows of fewer than two nodes or without events give no log.
     """
-    from functools import reduce
-
-    left = _with_events(params, n_events).where("N >= 2 AND M >= 1").select("graph_id", "T", "N", "M")
+    left = cut(_with_events(params, n_events).where("N >= 2 AND M >= 1").select("graph_id", "T", "N", "M"), "left")
     parts: list[DataFrame] = []
     for k in range(rounds):
         tries = left.select("*", F.explode(F.sequence(F.lit(k * at_once), F.lit((k + 1) * at_once - 1))).alias("attempt"))
         logs = _random_logs(tries)
         both = F.concat_ws(":", F.col("graph_id").cast("string"), F.col("attempt").cast("string"))
-        bad = motifs.found(logs.withColumn("graph_id", both), motif, which=which).select(F.col("graph_id").alias("_b")).distinct()
-        good = tries.withColumn("_b", both).join(bad, "_b", "left_anti").groupBy("graph_id").agg(F.min("attempt").alias("attempt")).persist()
-        parts.append(logs.join(good, ["graph_id", "attempt"], "left_semi").drop("attempt"))
-        left = left.join(good, "graph_id", "left_anti")
+        bad = motifs.found(logs.withColumn("graph_id", both), motif, which=which, p=prepare(logs.withColumn("graph_id", both))).select(F.col("graph_id").alias("_b")).distinct()
+        good = tries.withColumn("_b", both).join(bad, "_b", "left_anti").groupBy("graph_id").agg(F.min("attempt").alias("attempt"))
+        good = cut(good, "good")
+        parts.append(cut(logs.join(good, ["graph_id", "attempt"], "left_semi").drop("attempt"), "accepted"))
+        before, left = left, cut(left.join(good, "graph_id", "left_anti"), "left")
+        uncut(before, good)
         if left.isEmpty():
             return _ordered(reduce(DataFrame.unionByName, parts), "t", "op", "u", "v")
     raise ValueError(f"{motif}: some graphs had the motif in {rounds * at_once} attempts; they have too many events for their nodes")
@@ -174,7 +181,7 @@ def _modify_once(params: DataFrame, motif: str, n_events: int, window: int, p_de
     answers = planted.where(last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
     kept = planted.where(~last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
     te = kept.unionByName(_mixed_background(params, kept, n_events - len(edges) + 1, p_delete))
-    has = lambda df: motifs.found(df, motif, window=window).select("graph_id").distinct()
+    has = lambda df: motifs.found(df, motif, window=window, p=prepare(df)).select("graph_id").distinct()
     return te, answers.join(has(te.unionByName(answers)), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti")
 
 
@@ -250,6 +257,26 @@ def first_seeds(grid: DataFrame, made: DataFrame, wanted: int) -> DataFrame:
     return tried.withColumn("_at", at).where(F.col("_at") <= wanted).drop("_at")
 
 
+def seeded(cells: DataFrame, generator: Callable[[DataFrame], DataFrame], wanted: int) -> tuple[DataFrame, DataFrame]:
+    """(logs, frontier): of every cell (T, N, p) the logs of the first ``wanted`` seeds that give one, among 5 * ``wanted`` + 10.
+
+    The same as ``first_seeds`` of all seeds, in rounds: the frontier has a row a cell, the next seed and how many were accepted.
+    A round tries as many seeds of a cell as it still lacks, so none is generated that isn't looked at, and leaves tables.
+    """
+    most, lacking = 5 * wanted + 10, F.lit(wanted) - F.col("have")
+    frontier = cut(cells.select("T", "N", "p").distinct().select("T", "N", "p", F.lit(0).alias("next"), F.lit(0).cast("bigint").alias("have")), "frontier")
+    parts: list[DataFrame] = []
+    while not (open_ := frontier.where((F.col("have") < wanted) & (F.col("next") < most))).isEmpty():
+        upto = F.least(F.lit(most), F.col("next") + lacking)
+        params = _named(open_.withColumn("seed", F.explode(F.sequence(F.col("next"), upto.cast("int") - 1))))
+        parts.append(cut(generator(params), "seeded"))
+        made = params.join(parts[-1].select("graph_id").distinct(), "graph_id", "left_semi").groupBy("T", "N", "p").agg(F.count("*").alias("found"))
+        tried = F.when((F.col("have") < wanted) & (F.col("next") < most), upto.cast("int")).otherwise(F.col("next"))
+        before, frontier = frontier, cut(frontier.join(made, ["T", "N", "p"], "left").select("T", "N", "p", tried.alias("next"), (F.col("have") + F.coalesce("found", F.lit(0))).alias("have")), "frontier")
+        uncut(before)
+    return reduce(DataFrame.unionByName, parts) if parts else generator(_named(cells.withColumn("seed", F.lit(0)).limit(0))), frontier
+
+
 def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters T=15, N=20, p=0.3 for graphs numbered like the suppliers."""
     ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("graph_id"))

@@ -227,3 +227,24 @@ def test_router_on_held_out_graphs(spark, tmp_path):
     want = {r.graph_id: r.probability[1] for r in model.transform(vectors.transform(held)).collect()}
     assert all(abs(r.probability - want[r.graph_id]) < 1e-9 and r.predicted == (r.probability > 0.5) for r in got.itertuples())
     assert routing.predict([], held.limit(3)).where("predicted").count() == 0
+
+
+def test_seeds_until_enough(spark):
+    """In rounds that try what a cell lacks: the rows that all seeds would have given, with fewer of them generated."""
+    cells = spark.createDataFrame([(9, 6, 0.3)], "T int, N int, p double")
+    asked = []
+
+    def make(params):
+        asked.append(params.count())
+        return generators.is_motif_task(params, "triangle").where(F.col("graph_id") % 3 != 0)  # a generator that fails for a third of the seeds
+
+    got, frontier = generators.seeded(cells, make, 4)
+    grid = generators.param_grid(spark, [9], [6], [0.3], 30)
+    logs = generators.is_motif_task(grid, "triangle").where(F.col("graph_id") % 3 != 0)
+    first = generators.first_seeds(grid, logs, 4)
+    want = logs.join(first, "graph_id", "left_semi")
+    rows = lambda df: sorted(map(tuple, df.select("graph_id", "seq", "u", "v", "t", "op").collect()))
+    assert rows(got) == rows(want) and got.count()
+    assert {(r.N, r.have) for r in frontier.collect()} == {(6, 4)}
+    assert sum(asked) < 20 and sum(asked) == frontier.groupBy().sum("next").first()[0]
+    assert generators.seeded(cells.limit(0), make, 4)[0].count() == 0
