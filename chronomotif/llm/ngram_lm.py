@@ -16,7 +16,7 @@ the model is never loaded whole, and its size may follow the corpus; ``MAPS`` fi
 workers can open (spark.checkpoint.dir as a path or file: URI); for other stores ``train`` says so.
 
 With ``order`` three, tasks count token triples, dealt by the middle token, so one shard has all triples of a pair and of
-a history (the two tokens before). Triples around a hot token, one that would fill a shard alone, are dealt by history over all
+a history (the two tokens before). Triples around a hot token, one that would fill a quarter of a shard alone, are dealt by history over all
 shards instead, and another exchange adds up the pairs of hot tokens. A shard writes triple hash and count, the totals of
 histories seen more than once, and, in the pair and context tables, continuation counts (after how many tokens a pair occurs). A history without an entry was seen once
 if its pair is known, never otherwise. A text begins with two begin tokens. Tasks ship tokens as numbers into a list of each
@@ -55,6 +55,8 @@ SHARD_BYTES = 8 << 20
 TASKS = 1 << 13
 #: Texts of the sample that finds hot tokens, and hot tokens at most.
 SAMPLED, MOST_HOT = 20_000, 1 << 16
+#: A token is hot if its triples would fill a shard's part of so many.
+HOT_PART = 4
 #: Table files that a worker has open at most.
 MAPS = 96
 _CACHE: dict = {}
@@ -607,7 +609,7 @@ def _hot_totals(rows: DataFrame, hot: np.ndarray) -> np.ndarray:
 
 
 def hot_tokens(docs: DataFrame, text: str, tokens: Callable, bits: int) -> np.ndarray:
-    """Tokens that alone would fill a shard of order three, ``MOST_HOT`` at most, sorted. From a sample of about ``SAMPLED`` texts: it decides only where triples lie."""
+    """Tokens that alone would fill a quarter (``HOT_PART``) of a shard, ``MOST_HOT`` at most, sorted. From a sample of about ``SAMPLED`` texts: it decides only where triples lie."""
     some = docs.select(text)
     n = some.count()
     if n > SAMPLED:
@@ -617,13 +619,13 @@ def hot_tokens(docs: DataFrame, text: str, tokens: Callable, bits: int) -> np.nd
         for batch in batches:
             if batch.num_rows:
                 token, n = np.unique(np.concatenate([tokens(t) for t in batch.column(0).to_pylist()]), return_counts=True)
-                often = n * (1 << bits + 3) > n.sum()
+                often = n * (8 * HOT_PART << bits) > n.sum()
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(token[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], n.sum()))], names=["token", "n"])
 
     counts = some.mapInArrow(tidy(count, forget), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n")).limit(MOST_HOT + 1).collect()
     total = next((r["n"] for r in top if r["token"] == 0), 0)  # all tokens
-    return np.sort(np.array([r["token"] for r in top if r["token"] and r["n"] * (1 << bits) > total and r["token"] != END.view(np.int64)], np.int64).view(np.uint64))
+    return np.sort(np.array([r["token"] for r in top if r["token"] and r["n"] * (HOT_PART << bits) > total and r["token"] != END.view(np.int64)], np.int64).view(np.uint64))
 
 
 def train(docs: DataFrame, text: str = "text", tokens: Callable = word_tokens, bits: int | None = None, order: int = 2, rounds: int = 2) -> LanguageModel:

