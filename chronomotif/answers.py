@@ -6,6 +6,7 @@ sides see the same text. The SQL parses that text with its own list functions an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,15 @@ SAID = {
 }
 
 
+#: Texts whose parse is known without a pattern: the SQL of their queries names it.
+PAIR_FORMS = [
+    r"\boxed{<x>}, \boxed{<y>}", "First connection: <x>\nFirst disconnection: <y>", "Nodes first connect at time <x> and disconnect at time <y>", "connect time: <x>\ndisconnect time: <y>", "first connected at t=<x> (0, 7), first disconnected at t=<y>",
+    "<x>, <y>. From (0, 7)", "- first connected at time <x> (0, 7)\n- first disconnected at time <y>", "nodes first connect at time `<x>` and disconnect at time `<y>`", "soon", "<x>, <y>",
+]
+QUAD_FORMS = ["[(9, 9, 9, a)] then [(<u>, <v>, <t>, '<o>')]", "[(<u> <v> <t> <o>)]", "[<u>, <v>, <t>, <o>; <v>, <u>, <t>, <o>]", "(<u>, <v>, <t>, <o>)", "[(<u>, <v>, <t>, <o>), (<u>,<v>,<t>,<o>)]", "none"]
+UNMARKED = {"<x>, <y>"}
+
+
 def _lit(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -281,6 +291,17 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
         """The query's chain with another last SELECT: what was parsed in place of the metric."""
         return query[: query.rindex("\nSELECT")] + f"\nSELECT graph_id, {select}"
 
+    def form(texts: list[str], marked: str = "") -> F.Column:
+        """Each event's text, of the form that its place chooses; x, y, u, v, t and o are the event's numbers and letter."""
+        choice = F.lit(None).cast("string")
+        for k, text_ in reversed(list(enumerate(texts))):
+            pieces = [F.lit(x) if i % 2 == 0 else F.col({"x": "t", "y": "_y", "o": "op"}.get(x, x)).cast("string") for i, x in enumerate(re.split(r"<(\w)>", text_))]
+            choice = F.when(F.col("seq") % len(texts) == k, F.concat(F.lit(marked if text_ not in UNMARKED else ""), *pieces)).otherwise(choice)
+        return choice
+
+    def known(texts: list[str], parser: Callable, show: Callable, marked: str = "") -> Callable:
+        return on_log(lambda te: te.withColumn("_y", F.col("t") + F.col("seq")).select("graph_id", "seq", show(parser(form(texts, marked))).alias("parsed")))
+
     both = f"WITH {EDGES_SQL}, {DIRECTED_SQL}"
     talk = lambda s, d: s.read.parquet(f"{d}/conversations.parquet")
     loose = lambda te: te.select("graph_id", "seq", F.concat(F.lit("Thought. Answer: ("), F.concat_ws(", ", "u", "v", "t", "op"), F.lit(") or ["), F.concat_ws(",", "v", "u", "t"), F.lit(",'d']")).alias("r"))
@@ -297,6 +318,9 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
         ("parse_name_counts", read(lambda te: _said("count", _pairs(motifs.multi_count(te), "n_instances", 1)), parsing.name_counts, lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: F.concat_ws("=", p["name"], p["n"].cast("string"))))), " ")),
          instead(_count_sql(sql["multi_motif_counts"]), "array_to_string(list_sort(said), ' ') AS parsed FROM l")),
         ("parse_name_times", read(lambda te: _said("time", _pairs(motifs.multi_first_time(te), "first_time", 1)), parsing.name_times, pairs), instead(_time_sql(sql["multi_motif_first_time"]), "CASE WHEN x <> '' THEN array_to_string(said, ' ') END AS parsed FROM l")),
+        ("parse_two_ints_forms", known(PAIR_FORMS, parsing.two_ints, lambda c: F.array_join(c.cast("array<string>"), ","), "(3, 4) Answer: "), te + " SELECT graph_id, seq, CASE WHEN seq % 10 < 8 THEN t || ',' || (t + seq) END AS parsed FROM te"),
+        ("parse_quads_forms", known(QUAD_FORMS, parsing.quads_sorted, flat),
+         te + " SELECT graph_id, seq, CASE seq % 6 WHEN 2 THEN u || ',' || v || ',' || t || ',' || op || ' ' || v || ',' || u || ',' || t || ',' || op WHEN 3 THEN '' WHEN 4 THEN u || ',' || v || ',' || t || ',' || op || ' ' || u || ',' || v || ',' || t || ',' || op WHEN 5 THEN '' ELSE u || ',' || v || ',' || t || ',' || op END AS parsed FROM te"),
         ("score_sort", on_log(lambda te: RUNS["sort_edge"][1](te)[1]), _sort_sql(te)),
         ("score_what_edges", on_log(lambda te: RUNS["what_edges"][1](te)[1]), _what_sql(te, sql["edges_at_time"])),
         ("score_link", on_log(lambda te: RUNS["when_link_and_dislink"][1](te)[1]), _link_sql(sql["first_link_unlink_after"])),

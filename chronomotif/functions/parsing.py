@@ -17,7 +17,7 @@ NESTED = r"""\[\s*(?:\[\s*\d+\s*,\s*\d+\s*,\s*\d+\s*,\s*['"]?[ad]['"]?\s*\]\s*,?
 # What stands before an answer, in the order in which it is looked for.
 MARKERS = {"answer": ("Answer:",), "set": ("Answer:", "The answer is:", "Final answer:"), "names": ("Answer:", "**Answer:**"), "times": ("Answer:", "**Answer:**", "### Final Answer")}
 LONGEST_NAME_LIST = 200
-#: Two numbers, by the first pattern that fits; the order matters. First the fixed forms of answers, then looser ones.
+# Two numbers, by the first pattern that fits; the order matters. First the fixed forms of answers, then looser ones.
 TWO_INTS = [
     r"(?is)nodes are first connected at time \\+boxed\{(\d+)\}.*?disconnected at time \\+boxed\{(\d+)\}",
     r"(?is)first connected at time \\+boxed\{(\d+)\}.*?first disconnected at time \\+boxed\{(\d+)\}",
@@ -53,7 +53,7 @@ TWO_INTS = [
     r"(?i)\*\*answer:\*\*\s*(\d+),\s*(\d+)[.\s]*$",
     r"(?i)answer:\s*(\d+),\s*(\d+)",
 ]
-#: Tried last: the whole answer of a tool-using model, and two numbers at the end of any other.
+# Fixed values, tried last: the whole answer of a tool-using model, and two numbers at the end of any other.
 AGENT_TWO_INTS, LAST_TWO_INTS = r"^[\[\]\s]*([+-]?\d+)\s*,\s*([+-]?\d+)[\[\]\s]*$", r"(\d+)[,\s]+(\d+)\s*$"
 #: A literal list of pairs: a quoted name and a number.
 _ITEM = r"""[\[(]\s*(?:"[^"]*"|'[^']*')\s*,\s*["']?-?\d+(?:\.\d*)?["']?\s*,?\s*[\])]"""
