@@ -86,7 +86,7 @@ def piece_tokens(text: str | None) -> np.ndarray:
     for word in text.split() if text else []:
         known = _CACHE.get(word)
         if known is None:
-            if len(_CACHE) > 300_000:
+            if len(_CACHE) > 100_000:
                 _CACHE.clear()
             marked = "^" + word
             known = _CACHE[word] = b"".join(xxhash.xxh3_64_digest(marked[i : i + 3].encode("utf-8", "surrogatepass"))[::-1] for i in range(0, len(marked), 3))
