@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronomotif import answers, tasks, tools
 from chronomotif.functions import text
-from chronomotif.operators import features, generators, logs, motifs, routing, scoring
+from chronomotif.operators import features, generators, increments, logs, motifs, routing, scoring
 from chronomotif.plans import catalog
 from chronomotif.plans.motif import DIRECTED_SQL, completions_sql, instances_sql, one_shuffle
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
@@ -49,6 +49,14 @@ def _motifs() -> None:
         add(f"motif_instances_{key}", lambda te, m=m: motifs.found(te, m), inst, True)
         same = instances_sql(edges, w, "lt", identity=True)
         add(f"is_motif_identity_{key}", lambda te, m=m: motifs.judge(te, m, window_op="lt", identity=True), yes.format(g=graphs, i=same), True)
+    def grown(motif: str, mode: str) -> Callable[[DataFrame], DataFrame]:
+        """The count of the first thirty events of every log, and what the others change."""
+        old = lambda te: te.where("seq < 30")
+        return lambda te: increments.counts_after(motifs.count(old(te), motif, mode=mode), increments.count_change(old(te), te.where("seq >= 30"), motif, mode=mode))
+
+    for m, mode in (("triangle", "induced"), ("4-path", "monomorphism"), ("bitriangle", "monomorphism")):
+        all_ = instances_sql(catalog.EDGES[m], catalog.WINDOWS["default"][m], mode=mode)
+        add(f"motif_count_grown_{m.replace('-', '_')}", grown(m, mode), f"SELECT graph_id, count(*) AS n_instances FROM ({all_}) GROUP BY graph_id", True)
     strict = " UNION ALL ".join(f"SELECT DISTINCT graph_id, '{m}' AS motif_name FROM ({instances_sql(catalog.EDGES[m], catalog.WINDOWS['default'][m], 'lt')})" for m in catalog.NAMES)
     add("multi_motif_judge", motifs.multi_judge, f"SELECT g.graph_id, coalesce(string_agg(motif_name, ',' ORDER BY motif_name), '') AS motifs FROM {graphs} g LEFT JOIN ({strict}) s ON g.graph_id = s.graph_id GROUP BY g.graph_id", True)
     counts = " UNION ALL ".join(f"SELECT graph_id, '{m}' AS motif_name, count(*) AS n_instances FROM ({instances_sql(catalog.EDGES[m], catalog.WINDOWS['default'][m])}) GROUP BY graph_id" for m in catalog.NAMES)

@@ -235,3 +235,23 @@ def test_sessions_keep_their_settings(spark):
     before = plain.conf.get(key)
     queries.QUERIES["motif_count_triangle"](plain, "/root/testdata/sf0.001").count()
     assert plain.conf.get(key) == before == "true" and one_shuffle(plain).conf.get(key) == "false"
+
+
+@pytest.mark.parametrize(("motif", "mode"), [("triangle", "induced"), ("4-path", "monomorphism")])
+def test_counts_of_a_growing_log(spark, graphs, motif, mode):
+    """Old count plus change equals a full count after each of five appends, events out of order and repeated ones among them."""
+    from chronomotif.operators import increments
+    from chronomotif.sources.tables import cut
+
+    rng = random.Random(7)
+    rows = [(g, i, *e) for g, events in graphs.items() for i, e in enumerate(events)]
+    rng.shuffle(rows)
+    parts = [rows[:150], *[rows[150 + 30 * k : 150 + 30 * (k + 1)] for k in range(4)], rows[270:] + rows[:20]]
+    log = spark.createDataFrame(parts[0], EVENTS)
+    counts = cut(motifs.count(log, motif, mode=mode))
+    for part in parts[1:]:
+        batch = spark.createDataFrame(part, EVENTS)
+        counts = cut(increments.counts_after(counts, increments.count_change(log, batch, motif, mode=mode)))
+        log = cut(log.unionByName(batch))
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, motifs.count(log, motif, mode=mode).collect()))
+    assert counts.count()
