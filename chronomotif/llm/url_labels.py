@@ -2,7 +2,7 @@
 
 Fixed values: (url, 1 for block). Blocked: gambling, adult content, drug sales, piracy, loans and fake prizes, advertising and tracking
 services, phishing look-alikes and link farms. Allowed: newspapers, schools, public services, museums, recipes, software, shops, health,
-sport and names that mean nothing. Endings and schemes are the same mix on both sides, so a model has to go by the words.
+sport, and invented names that mean nothing, as most hosts' names don't. Endings and schemes are the same mix on both sides, so a model has to go by the words.
 """
 
 from __future__ import annotations
@@ -92,6 +92,66 @@ https://pillstore-discount.com/de/kaufen
 http://camgirls-xxx.net/es/chat
 https://adtrack-metrics-pixel.org/fr/collect
 https://sexshop-adult-toys.info/en/sale
+http://grand-prize-giveaway.com/claim/iphone
+https://free-gift-cards-now.net/survey/start
+http://you-have-won.org/congratulations/collect
+https://instant-payday-loan.com/apply/no-credit-check
+http://quick-cash-advance.net/approval/today
+https://debt-relief-miracle.org/consolidate/now
+http://crypto-doubler.net/invest/guaranteed-profit
+https://bitcoin-trader-secret.com/millionaire/robot
+http://forex-signals-vip.org/join/telegram
+https://binary-options-profit.net/strategy/win-every-time
+http://work-from-home-riches.com/earn/5000-a-week
+https://pyramid-income-system.net/referral/bonus
+http://secure-paypa1-login.com/verify/account
+https://appleid-unlock-support.net/signin/confirm
+http://bank-account-update.org/security/alert
+https://amaz0n-refund-center.com/claim/order
+http://netflix-billing-renew.net/payment/update
+https://microsoft-virus-warning.org/call/helpline
+http://login-facebook-verify.com/session/expired
+https://parcel-redelivery-fee.net/pay/tracking
+http://download-cracked-software.com/keygen/serial
+https://warez-full-version.net/activator/patch
+http://free-movie-streams.org/watch/hd/online
+https://torrent-megapack.com/download/bluray
+http://mp3-download-free.net/album/zip
+https://nulled-scripts.org/wordpress/theme
+http://game-hacks-cheats.com/aimbot/undetected
+https://unlimited-coins-generator.net/hack/android
+http://replica-watches-outlet.com/rolex/cheap
+https://fake-designer-bags.net/gucci/sale
+http://cheap-sneakers-wholesale.org/replica/buy
+https://diet-pills-miracle.com/lose-weight/fast
+http://testosterone-booster-trial.net/free/bottle
+https://buy-steroids-online.org/anabolic/shop
+http://no-prescription-meds.com/tramadol/overnight
+https://male-enhancement-pills.net/order/discount
+http://hair-growth-secret.com/buy/one-get-one
+https://seo-backlinks-cheap.com/buy/1000-links
+http://link-exchange-farm.net/directory/submit
+https://article-spinner.org/autoblog/traffic
+http://buy-followers-fast.com/instagram/likes
+https://traffic-exchange-bot.net/clicks/boost
+http://ad-tracker-pixel.com/track/click?id=77
+https://popunder-network.net/ads/serve?zone=12
+http://banner-exchange-media.com/adserver/rotate
+https://redirect-offers.net/go?aff=3321
+http://clickbank-affiliate-offers.org/track?sub=9
+https://push-notification-ads.com/subscribe/allow
+http://live-cam-girls.org/chat/private
+https://nude-celebrity-pics.net/gallery/leaked
+http://milf-dating-local.com/meet/tonight
+https://erotic-stories-xxx.org/read/hot
+http://online-roulette-bonus.net/deposit/match
+https://blackjack-real-money.com/play/instant
+http://slot-reels-daily.org/spin/win
+https://sports-betting-tips.net/odds/guaranteed
+http://poker-freeroll-codes.com/bonus/no-deposit
+https://horse-racing-bets.org/wager/live
+http://lottery-numbers-predictor.net/win/jackpot
+https://scratch-cards-casino.com/instant/prize
 """
 
 ALLOWED = """
@@ -171,8 +231,76 @@ http://kindergarten-ideas.org/crafts/paper
 https://parents-forum.com/sleep/toddlers
 https://knitting-patterns.net/scarves/wool
 http://woodland-walks.org/autumn/leaves
-https://www.athletics-club.info/track-and-field/results
-https://sussex-county.com/planning/applications
+https://www.national-gallery.com/collection/painters/turner
+http://www.city-library.com/catalogue/search/history
+https://linux-kernel-docs.com/admin-guide/filesystems
+https://python-tutorials.com/lessons/dictionaries
+http://river-levels.com/stations/thames
+https://railway-timetable.org/routes/north
+https://parliament-record.com/debates/2016/march
+http://county-court.com/forms/appeal
+https://tax-office.net/guidance/self-employed
+http://driving-licence.org/renewal/documents
+https://passport-service.net/appointments
+https://public-health.org/vaccines/schedule
+http://university-press.com/journals/physics/volume-12
+https://dept-of-chemistry.com/courses/organic
+https://medieval-studies.com/manuscripts/charter
+http://astronomy-club.com/observing/jupiter
+https://birdwatchers.com/species/wren
+https://geology-museum.net/minerals/quartz
+http://ancient-history.net/rome/senate
+https://poetry-archive.net/poets/keats
+https://chess-federation.com/tournaments/results
+http://rowing-club.net/fixtures/regatta
+https://marathon-training.org/plans/beginner
+http://village-football.com/league/table
+https://hill-walking.info/peaks/ridge
+https://cycling-routes.com/coast/map
+http://camping-guide.com/sites/lake
+https://sailing-school.net/courses/weekend
+https://opera-house.org/season/tickets
+http://string-quartet.org/concerts/autumn
+https://film-institute.net/archive/silent
+https://theatre-company.net/auditions
+http://photography-society.net/exhibitions/landscape
+https://pottery-studio.org/classes/glazing
+https://bread-baking.org/sourdough/starter
+http://vegetarian-kitchen.org/recipes/lentils
+https://tea-merchants.org/black/assam
+https://cheese-makers.net/varieties/cheddar
+http://bookbinding-supplies.net/leather/thread
+https://garden-tools.net/spades/steel
+http://bicycle-parts.org/brakes/cables
+https://hardware-store.com/paint/brushes
+https://second-hand-books.org/fiction/classics
+http://toy-museum.net/trains/history
+https://primary-school.com/term/dates
+http://nursery-rhymes.org/lullabies
+https://maths-olympiad.net/problems/geometry
+https://debating-society.net/motions/archive
+http://weather-records.com/rainfall/1987
+https://earthquake-survey.net/events/recent
+https://ocean-institute.net/currents/atlantic
+http://forestry-commission.net/trees/oak
+https://beekeepers.net/hives/winter
+http://veterinary-college.org/research/horses
+https://hospital-trust.org/departments/cardiology
+http://dental-association.com/advice/children
+https://fire-brigade.net/safety/alarms
+https://volunteer-lifeboats.com/stations
+http://newspaper-archive.com/editorials/1969
+https://radio-drama.net/episodes/list
+https://encyclopedia-articles.com/wiki/lighthouse
+http://translators-forum.net/glossary/legal
+https://statistics-bureau.net/census/households
+http://fair-trade-shop.org/coffee/beans
+https://www.allotment-society.org/plots/waiting-list
+http://rail-museum.com/locomotives/steam
+https://court-records.net/judgments/civil
+http://choir-festival.com/programme/evening
+https://carpenters-guild.com/apprentices
+http://archaeology-field.com/digs/bronze-age
 http://velmora.net/en/home
 https://norvik.org/about
 https://tirano.com/es/inicio
