@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomotif.plans import catalog
-from chronomotif.sources.tables import cut, uncut
+from chronomotif.sources.tables import cut
 
 
 #: Events of a graph, or of a bin, that one task matches.
@@ -100,10 +100,10 @@ def routed(te: DataFrame, window: int | None = None, unit_events: int | None = N
             return [prepare(te)]
         unit_events = UNIT_EVENTS
     adds = adds_of(te)
-    large = cut(adds.groupBy("graph_id").agg(F.count("*").alias("_n")).where(F.col("_n") > unit_events).select("graph_id"), "large-graphs")
-    if large.isEmpty():
-        uncut(large)
+    sizes = adds.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= unit_events:
         return [prepare(te)]
+    large = cut(sizes.where(F.col("_n") > unit_events).select("graph_id"), "large-graphs")
     parts = [prepare(te.join(large, "graph_id", "left_anti"))]
     wide = large
     if window and window > 0:
