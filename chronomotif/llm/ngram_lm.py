@@ -584,9 +584,9 @@ class LanguageModel:
 
 
 def shard_bits(docs: DataFrame) -> int:
-    """So many bits that a shard has about ``SHARD_BYTES`` of the table that ``docs`` reads; 4 to 20. By partitions where Spark knows no size."""
+    """So many bits that a shard has about ``SHARD_BYTES`` of the table that ``docs`` reads; 4 to 20. By partitions where Spark knows no size (then it takes a huge one, of which a projection is a share)."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = -(-size // SHARD_BYTES) if size < 1 << 60 else docs.rdd.getNumPartitions()
+    shards = -(-size // SHARD_BYTES) if size < 1 << 50 else docs.rdd.getNumPartitions()
     return min(20, max(4, (shards - 1).bit_length()))
 
 
