@@ -74,9 +74,9 @@ def _logs() -> None:
     pair = "least(u, v) AS lo, greatest(u, v) AS hi"
     add("sort_edges", logs.sort_edges, "SELECT *, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY t, seq) AS INT) AS pos FROM te")
     add("edges_at_time", lambda te: logs.edges_at(te, 9), f"SELECT graph_id, u, v, t, op FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, least(u, v), greatest(u, v) ORDER BY t DESC, seq DESC) AS r FROM te WHERE t <= 9) WHERE r = 1 AND op = 'a'")
-    every = "(SELECT *, row_number() OVER (PARTITION BY graph_id, at, least(u, v), greatest(u, v) ORDER BY t DESC, seq DESC) AS r FROM te JOIN (SELECT DISTINCT graph_id, CAST(unnest([t, t * 3 + 1]) AS INT) AS at FROM te) USING (graph_id) WHERE t <= at)"
+    every = '(SELECT *, row_number() OVER (PARTITION BY graph_id, "at", least(u, v), greatest(u, v) ORDER BY t DESC, seq DESC) AS r FROM te JOIN (SELECT DISTINCT graph_id, CAST(unnest([t, t * 3 + 1]) AS INT) AS "at" FROM te) USING (graph_id) WHERE t <= "at")'
     times = lambda te: te.select("graph_id", F.explode(F.array("t", F.col("t") * 3 + 1)).alias("at")).distinct()
-    add("edges_at_many_times", lambda te: logs.alive_at(logs.alive_index(te, 8), times(te), 8), f"SELECT graph_id, at, u, v, t, op FROM {every} WHERE r = 1 AND op = 'a'")
+    add("edges_at_many_times", lambda te: logs.alive_at(logs.alive_index(te, 8), times(te), 8), f"SELECT graph_id, \"at\", u, v, t, op FROM {every} WHERE r = 1 AND op = 'a'")
     add("first_link_unlink", logs.first_link_unlink, "SELECT graph_id, u, v, min(t) FILTER (op = 'a') AS first_add, min(t) FILTER (op = 'd') AS first_delete FROM te GROUP BY graph_id, u, v")
     add("first_link_unlink_after", logs.first_link_unlink_after, f"+ p AS (SELECT graph_id, {pair}, t, op FROM te), f AS (SELECT graph_id, lo, hi, min(t) AS first_add FROM p WHERE op = 'a' GROUP BY ALL) SELECT f.graph_id, f.lo, f.hi, first_add, min(p.t) AS first_delete FROM f JOIN p ON f.graph_id = p.graph_id AND f.lo = p.lo AND f.hi = p.hi AND p.op = 'd' AND p.t >= first_add GROUP BY ALL")
     add("eligible_edges", logs.eligible_edges, f"SELECT graph_id, {pair} FROM te GROUP BY graph_id, lo, hi HAVING bool_or(op = 'a') AND bool_or(op = 'd')")
