@@ -131,18 +131,17 @@ def registered() -> list[tuple[str, Callable, str | None]]:
     shots = [("one?", "[]", "because"), ("two?", "[1]", "so")]
     full = [ROLE, GRAPH_FORMATS[2], MOTIF_MEANING, *catalog_text().split("\n"), IMPROVEMENTS[26], TASKS["judge_contain_motif"][1], "Here are 2 examples: Question: one?", "because", "Answer: []", "Question: two?", "so", "Answer: [1]", "Here is what you need to answer:"]
     rich = f"SELECT graph_id, {' || chr(10) || '.join(quoted(x) for x in full)} || chr(10) || 'Question: Given an undirected dynamic graph with the edges ' || {ctx} || '. Does the graph contain the temporal motif triangle?' || chr(10) || {quoted(STEPS)} || chr(10) || 'Answer:' || chr(10) AS prompt FROM te GROUP BY graph_id"
-    asked: dict[str, tuple[list[Column | str], list[str]]] = dict.fromkeys(TASKS, ([], []))  # what fills each question's places, as columns and as SQL
-    asked |= {"what_edges": ([F.col("graph_id") % 20], ["graph_id % 20"]), "when_link_and_dislink": ([F.col("graph_id") % 12, (F.col("graph_id") * 5 + 1) % 12], ["graph_id % 12", "(graph_id * 5 + 1) % 12"])}
-    asked |= {t: (["4-cycle"], ["'4-cycle'"]) for t in ("judge_is_motif", "judge_contain_motif", "modify_motif")}
+    asked: dict[str, list[str]] = {"what_edges": ["graph_id % 20"], "when_link_and_dislink": ["graph_id % 12", "(graph_id * 5 + 1) % 12"]}  # what fills each question's places, as SQL
+    asked |= {t: ["'4-cycle'"] for t in ("judge_is_motif", "judge_contain_motif", "modify_motif")}
 
     def task_prompts(task: str) -> Callable:
-        return lambda s, d: contexts(temporal_edges(s, d)).select("graph_id", prompt_text(task, F.col("context"), asked[task][0], with_motifs=task.startswith(("multi", "when_multi"))).alias("prompt"))
+        return lambda s, d: contexts(temporal_edges(s, d)).select("graph_id", prompt_text(task, F.col("context"), list(map(F.expr, asked.get(task, []))), with_motifs=task.startswith(("multi", "when_multi"))).alias("prompt"))
 
     def task_sql(task: str) -> str:
         ask, form = TASKS[task]
         lines = [GRAPH_FORMATS[1], *([MOTIF_MEANING] if "motif" in task else []), *(catalog_text().split("\n") if task.startswith(("multi", "when_multi")) else []), form, "Here is what you need to answer:"]
         filled = quoted(ask)
-        for i, value in enumerate(asked[task][1]):
+        for i, value in enumerate(asked.get(task, [])):
             filled = filled.replace(f"{{{i}}}", f"' || {value} || '")
         return f"WITH {EDGES_SQL} SELECT graph_id, {' || chr(10) || '.join(map(quoted, lines))} || chr(10) || 'Question: Given an undirected dynamic graph with the edges ' || {ctx} || '. ' || {filled} || chr(10) || 'Answer:' || chr(10) AS prompt FROM te GROUP BY graph_id"
 
