@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from chronomotif.functions.rng import rnd, rnd_sql, whole
 from chronomotif.operators import motifs
 from chronomotif.plans import catalog
-from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, prepare
+from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, one_shuffle, prepare, tasks_for
 from chronomotif.sources.tables import cut, uncut
 
 
+#: Node pairs that a task draws from.
+TASK_PAIRS = 500_000
+
+
 def param_grid(spark: SparkSession, times: list[int], nodes: list[int], ps: list[float], n_seeds: int) -> DataFrame:
     """(graph_id, T, N, p, seed, folder): the product of all parameters with seeds 0 and up."""
     one = lambda name, kind, values: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
@@ -120,21 +124,25 @@ def _random_logs(tries: DataFrame) -> DataFrame:
 def contain_negative(params: DataFrame, motif: str, n_events: int | None = None, which: str = "contain", at_once: int = 4, rounds: int = 50) -> DataFrame:
     """Random logs of M events without the motif: each row's first attempt that lacks it, ``at_once`` drawn in a round until all rows have one.
 
-    Each round reads the rows that are left from a table of its own and writes the logs it accepts, so no plan holds earlier
-    rounds. Raises an error if rows are left after ``rounds``; rows of fewer than two nodes or without events give no log.
+    Each round reads the rows that are left from a table of its own and writes the logs it tries and those it accepts, so no
+    plan holds earlier rounds. Node pairs and events are dealt out by their numbers and never broadcast. Raises an error if rows are left after ``rounds``; rows of fewer than two nodes or without events give no log.
     """
-    left = cut(_with_events(params, n_events).where("N >= 2 AND M >= 1").select("graph_id", "T", "N", "M"), "left")
+    own = one_shuffle(params.sparkSession, broadcasts=False)
+    left = cut(_with_events(params, n_events).where("N >= 2 AND M >= 1").select("graph_id", "T", "N", "M"), "left", own)
     parts: list[DataFrame] = []
     for k in range(rounds):
-        tries = left.select("*", F.explode(F.sequence(F.lit(k * at_once), F.lit((k + 1) * at_once - 1))).alias("attempt"))
-        logs = _random_logs(tries)
+        pairs = left.agg(F.sum(F.expr("bigint(N) * (N - 1) div 2"))).first()[0] or 0
+        dealt = left.repartition(max(1, at_once * pairs // TASK_PAIRS), "graph_id")
+        tries = dealt.select("*", F.explode(F.sequence(F.lit(k * at_once), F.lit((k + 1) * at_once - 1))).alias("attempt"))
+        logs = cut(_random_logs(tries), "logs")
         both = F.concat_ws(":", F.col("graph_id").cast("string"), F.col("attempt").cast("string"))
-        bad = motifs.found(logs.withColumn("graph_id", both), motif, which=which, p=prepare(logs.withColumn("graph_id", both))).select(F.col("graph_id").alias("_b")).distinct()
+        named = logs.withColumn("graph_id", both)
+        bad = motifs.found(named, motif, which=which, p=prepare(named, tasks=tasks_for(logs.count()))).select(F.col("graph_id").alias("_b")).distinct()
         good = tries.withColumn("_b", both).join(bad, "_b", "left_anti").groupBy("graph_id").agg(F.min("attempt").alias("attempt"))
         good = cut(good, "good")
         parts.append(cut(logs.join(good, ["graph_id", "attempt"], "left_semi").drop("attempt"), "accepted"))
         before, left = left, cut(left.join(good, "graph_id", "left_anti"), "left")
-        uncut(before, good)
+        uncut(before, good, logs)
         if left.isEmpty():
             return _ordered(reduce(DataFrame.unionByName, parts), "t", "op", "u", "v")
     raise ValueError(f"{motif}: some graphs had the motif in {rounds * at_once} attempts; they have too many events for their nodes")

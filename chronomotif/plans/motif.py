@@ -26,6 +26,8 @@ from chronomotif.sources.tables import cut
 
 #: Events of a graph, or of a bin, that one task matches.
 UNIT_EVENTS = 100_000
+#: Events that a task matches where graphs are small, so that tasks follow the log: it sorts up to 25 kB of partial matches for each.
+TASK_EVENTS = 10_000
 #: A log of so few bytes has no graph beyond a task; it isn't measured.
 SMALL_BYTES = 16 << 20
 
@@ -42,11 +44,17 @@ class Prepared:
     binned: bool = False
 
 
-def one_shuffle(spark: SparkSession) -> SparkSession:
-    """A session with the settings of ``spark`` in which joins on (graph, node) may use a partitioning by graph alone; ``spark`` is left as it is."""
+def one_shuffle(spark: SparkSession, broadcasts: bool = True) -> SparkSession:
+    """A session with the settings of ``spark`` in which joins on (graph, node) may use a partitioning by graph alone; ``spark`` is left as it is.
+
+    ``broadcasts``: False for logs that rows explode to; Spark takes them for as small as those rows, and would send them through the driver.
+    """
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     own.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
+    if not broadcasts:
+        own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     return own
 
 
@@ -56,11 +64,18 @@ def adds_of(te: DataFrame) -> DataFrame:
     return adds.select(_sure(te, "graph_id", F.col("graph_id")), _sure(te, "u", F.least("u", "v"), "lo"), _sure(te, "u", F.greatest("u", "v"), "hi"), _sure(te, "t", F.col("t")))
 
 
-def prepare(te: DataFrame, large_graphs: bool = False) -> Prepared:
-    """Add events only, undirected, distinct; deletions never undo a connection, self-loops are no edges. Rows with nulls go."""
+def tasks_for(events: int | None) -> int:
+    return max(1, -(-(events or 0) // TASK_EVENTS))
+
+
+def prepare(te: DataFrame, large_graphs: bool = False, tasks: int | None = None) -> Prepared:
+    """Add events only, undirected, distinct; deletions never undo a connection, self-loops are no edges. Rows with nulls go.
+
+    Graphs are dealt to ``tasks``; None: to as many as the session's settings give.
+    """
     adds = adds_of(te)
     if not large_graphs:
-        adds = adds.repartition("graph_id")
+        adds = adds.repartition(tasks, "graph_id") if tasks else adds.repartition("graph_id")
     ways = F.explode(F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("d")), F.struct(F.col("hi").alias("s"), F.col("lo").alias("d"))))
     return Prepared(adds.distinct().select("graph_id", "t", ways.alias("w")).select("graph_id", "w.s", "w.d", "t"), adds.select("graph_id", "lo", "hi").distinct())
 

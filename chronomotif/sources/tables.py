@@ -16,12 +16,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or "/tmp/checkpoints").rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as written now; later readers don't compute it again, and a lost executor costs nothing of it."""
+def cut(df: DataFrame, name: str = "table", reader: SparkSession | None = None) -> DataFrame:
+    """``df`` as written now; later readers don't compute it again, and a lost executor costs nothing of it. ``reader``: the session it is read in."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    back = (reader or spark).read.schema(df.schema).parquet(path)
     back._cut_at = path
     return back
 
