@@ -188,24 +188,29 @@ def _modify_once(params: DataFrame, motif: str, n_events: int, window: int, p_de
     last = F.col("i") == len(edges) - 1
     answers = planted.where(last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
     kept = planted.where(~last).select("graph_id", "u", "v", "t", F.lit("a").alias("op"))
-    te = kept.unionByName(_mixed_background(params, kept, n_events - len(edges) + 1, p_delete))
-    has = lambda df: motifs.found(df, motif, window=window, p=prepare(df)).select("graph_id").distinct()
-    return te, answers.join(has(te.unionByName(answers)), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti")
+    te = cut(kept.unionByName(_mixed_background(params, kept, n_events - len(edges) + 1, p_delete)), "tried")
+    tasks = tasks_for(te.count())
+    has = lambda df: motifs.found(df, motif, window=window, p=prepare(df, tasks=tasks)).select("graph_id").distinct()
+    return te, cut(answers.join(has(te.unionByName(answers)), "graph_id", "left_semi").join(has(te), "graph_id", "left_anti"), "answers")
 
 
 def modify_task(params: DataFrame, motif: str, n_events: int, p_delete: float = 0.5, window: int | None = None, p_remap: float = 0.5, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
     """(log, answers): an instance without its last edge among other events. A log lacks the motif and has it with the answer.
 
     The first of ``attempts`` that is so counts; rows for which none is give no log. Nodes are moved with ``p_remap``, else 0 and up.
+    All tries are written as a table once, and so are their answers; events are dealt out by their number and never broadcast.
     """
     w = catalog.WINDOWS["default"][motif] if window is None else window
     tries = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     tries = tries.withColumnRenamed("graph_id", "_g").withColumn("graph_id", F.concat_ws(":", F.col("_g").cast("string"), F.col("attempt").cast("string")))
+    own = one_shuffle(params.sparkSession, broadcasts=False)
+    tries = cut(tries, "tries", own)
+    tries = tries.repartition(tasks_for(tries.count() * max(n_events, 1)), "graph_id")
     te, good = _modify_once(tries, motif, n_events, w, p_delete, p_remap)
     of = tries.select("graph_id", "_g", "attempt").join(good.select("graph_id"), "graph_id", "left_semi")
     first = of.groupBy("_g").agg(F.min("attempt").alias("attempt")).join(of, ["_g", "attempt"]).select("graph_id", "_g")
-    own = lambda df: df.join(first, "graph_id").drop("graph_id").withColumnRenamed("_g", "graph_id").select("graph_id", "u", "v", "t", "op")
-    return _ordered(own(te), "t", "u", "v", "op"), own(good)
+    of_first = lambda df: df.join(first, "graph_id").drop("graph_id").withColumnRenamed("_g", "graph_id").select("graph_id", "u", "v", "t", "op")
+    return _ordered(of_first(te), "t", "u", "v", "op"), of_first(good)
 
 
 def is_motif_task(params: DataFrame, motif: str, topology: float = 0.75, permute: float = 0.5, p_delete: float = 0.5, cases: bool = False) -> DataFrame:

@@ -147,6 +147,21 @@ def test_generator_dispatch(spark):
     assert {(r.T, r["count"]) for r in kept.groupBy("T").count().collect()} == {(5, 4), (6, 4)} and max(r.seed for r in kept.collect()) > 3
 
 
+@pytest.mark.parametrize("name", ["contain_negative", "modify_task"])
+def test_generated_logs_are_never_broadcast(spark, monkeypatch, name):
+    """Spark takes a log for as small as the parameters that it explodes from; neither the plans of the tables nor that of the result may send one through the driver."""
+    from chronomotif.sources.tables import cut
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(generators, "cut", lambda df, *a: (plans.append(plan(df)), cut(df, *a))[1])
+    params = generators.param_grid(spark, [15], [12], [0.3], 10).select("graph_id", "T", "N", "p")
+    made = generators.contain_negative(params, "4-path", 12) if name == "contain_negative" else generators.modify_task(params, "4-cycle", 10)[0]
+    plans.append(plan(made))
+    assert len(plans) >= 4 and made.select("graph_id").distinct().count() == 10
+    assert not any("Broadcast" in p for p in plans[1:]), [p for p in plans[1:] if "Broadcast" in p][0]
+
+
 def log_of(spark, frame):
     return spark.createDataFrame(frame[["graph_id", "seq", "u", "v", "t", "op"]])
 
