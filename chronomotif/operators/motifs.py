@@ -150,8 +150,8 @@ def completions(te: DataFrame, motif, window: int | None = None, mode: str = "in
             times = F.when(after - before > 1, F.sequence(before + 1, after - 1))
             first, end = F.col("t0"), F.col(f"t{last}")
         df = df.withColumn("t_add", F.explode(times)).where(within(first, end, w, "le"))
-        parts.append(df.select("graph_id", F.lit(gap).alias("missing"), F.least(f"n{a}", f"n{b}").alias("lo"), F.greatest(f"n{a}", f"n{b}").alias("hi"), "t_add"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+        parts.append(df.select("graph_id", F.lit(gap).alias("missing"), F.least(f"n{a}", f"n{b}").alias("lo"), F.greatest(f"n{a}", f"n{b}").alias("hi"), "t_add").distinct())
+    return reduce(DataFrame.unionByName, parts)  # no two parts have both a graph and a gap in common
 
 
 def modify(te: DataFrame, motif, **options) -> DataFrame:

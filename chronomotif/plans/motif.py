@@ -27,9 +27,9 @@ from chronomotif.sources.tables import cut
 #: Events of a graph, or of a bin, that one task matches.
 UNIT_EVENTS = 100_000
 #: Events that a task matches where graphs are small, so that tasks follow the log: it sorts up to 25 kB of partial matches for each.
-TASK_EVENTS = 10_000
+TASK_EVENTS = 20_000
 #: A log of so few bytes has no graph beyond a task; it isn't measured.
-SMALL_BYTES = 16 << 20
+SMALL_BYTES = 4 << 20
 
 
 @dataclass
@@ -52,6 +52,7 @@ def one_shuffle(spark: SparkSession, broadcasts: bool = True) -> SparkSession:
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     own.conf.set("spark.sql.requireAllClusterKeysForDistribution", "false")
+    own.conf.set("spark.sql.unionOutputPartitioning", "false")  # else a task has the same graphs of all branches, one chain after another
     if not broadcasts:
         own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         own.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -80,13 +81,14 @@ def prepare(te: DataFrame, large_graphs: bool = False, tasks: int | None = None)
     return Prepared(adds.distinct().select("graph_id", "t", ways.alias("w")).select("graph_id", "w.s", "w.d", "t"), adds.select("graph_id", "lo", "hi").distinct())
 
 
-def in_bins(te: DataFrame, width: int) -> Prepared:
-    """The log in time bins, for windows up to ``width``. Times below 0 begin no instance and are left out."""
+def in_bins(te: DataFrame, width: int, tasks: int | None = None) -> Prepared:
+    """The log in time bins, for windows up to ``width``. Times below 0 begin no instance and are left out. ``tasks`` as in ``prepare``."""
+    dealt_out = lambda df: df.repartition(tasks, "graph_id", "bin") if tasks else df.repartition("graph_id", "bin")
     place = lambda b, own: F.struct(b.alias("bin"), F.lit(own).alias("own"))
     at = F.floor(F.col("t") / width).cast("bigint")
     adds = adds_of(te).where("t >= 0").distinct()
     dealt = adds.select("graph_id", "lo", "hi", "t", F.explode(F.array(place(at, True), place(at - 1, False))).alias("b")).where("b.bin >= 0")
-    dealt = dealt.select("graph_id", F.coalesce("b.bin", F.lit(0)).alias("bin"), "lo", "hi", "t", F.coalesce("b.own", F.lit(False)).alias("own")).repartition("graph_id", "bin")
+    dealt = dealt_out(dealt.select("graph_id", F.coalesce("b.bin", F.lit(0)).alias("bin"), "lo", "hi", "t", F.coalesce("b.own", F.lit(False)).alias("own")))
     ways = F.explode(F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("d")), F.struct(F.col("hi").alias("s"), F.col("lo").alias("d"))))
     directed = dealt.select("graph_id", "bin", "own", "t", ways.alias("w")).select("graph_id", "bin", "own", "w.s", "w.d", "t")
     nodes = directed.select("graph_id", "bin", F.col("s").alias("node")).distinct()
@@ -97,7 +99,7 @@ def in_bins(te: DataFrame, width: int) -> Prepared:
     rarer = pairs.select("graph_id", "lo", "hi", F.when(F.col("lo_bins") <= F.col("hi_bins"), F.col("lo")).otherwise(F.col("hi")).alias("node"))
     met = rarer.join(nodes, ["graph_id", "node"]).withColumn("other", F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
     static = met.join(nodes.withColumnRenamed("node", "other"), ["graph_id", "bin", "other"], "left_semi")
-    return Prepared(directed, static.select("graph_id", "bin", "lo", "hi").repartition("graph_id", "bin"), True)
+    return Prepared(directed, dealt_out(static.select("graph_id", "bin", "lo", "hi")), True)
 
 
 def is_small(df: DataFrame) -> bool:
@@ -116,15 +118,17 @@ def routed(te: DataFrame, window: int | None = None, unit_events: int | None = N
         unit_events = UNIT_EVENTS
     adds = adds_of(te)
     sizes = adds.groupBy("graph_id").agg(F.count("*").alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= unit_events:
-        return [prepare(te)]
+    over = F.when(F.col("_n") > unit_events, F.col("_n"))
+    most, events, of_large = sizes.agg(F.max("_n"), F.sum("_n"), F.sum(over)).first()
+    if (most or 0) <= unit_events:
+        return [prepare(te, tasks=tasks_for(events))]
     large = cut(sizes.where(F.col("_n") > unit_events).select("graph_id"), "large-graphs")
-    parts = [prepare(te.join(large, "graph_id", "left_anti"))]
+    parts = [prepare(te.join(large, "graph_id", "left_anti"), tasks=tasks_for(events - of_large))]
     wide = large
     if window and window > 0:
         bins = adds.join(large, "graph_id", "left_semi").groupBy("graph_id", F.floor(F.col("t") / window).alias("_b")).agg(F.count("*").alias("_n"))
         wide = cut(bins.groupBy("graph_id").agg(F.max("_n").alias("_n")).where(F.col("_n") > unit_events).select("graph_id"), "wide-graphs")
-        parts.append(in_bins(te.join(large, "graph_id", "left_semi").join(wide, "graph_id", "left_anti"), window))
+        parts.append(in_bins(te.join(large, "graph_id", "left_semi").join(wide, "graph_id", "left_anti"), window, tasks_for(2 * of_large)))
     if wide is large or not wide.isEmpty():
         parts.append(prepare(te.join(wide, "graph_id", "left_semi"), large_graphs=True))
     return parts
