@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from chronomotif.functions import parsing, text
 from chronomotif.operators import logs, motifs, scoring
 from chronomotif.plans import catalog
-from chronomotif.plans.motif import DIRECTED_SQL, instances_sql
+from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, one_shuffle
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
+from chronomotif.sources.tables import cut
 
 NL = "chr(10)"
 Q = "chr(39)"
@@ -263,22 +264,22 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
     near = lambda df: df.withColumn("metric", F.round("metric", 9))
 
     def on_log(run: Callable[[DataFrame], DataFrame]) -> Callable:
-        return lambda s, d: run(temporal_edges(s, d))
+        return lambda s, d: run(temporal_edges(one_shuffle(s), d))
 
     def contain(te: DataFrame) -> DataFrame:
         truth = motifs.judge(te, "triangle")
         return scoring.score_yes_no(truth, _said("contain", truth.withColumnRenamed("answer", "a")))
 
     def judge(te: DataFrame) -> DataFrame:
-        truth = motifs.multi_judge(te)
+        truth = cut(motifs.multi_judge(te), "truth")  # read by the answers and by the scorer
         return scoring.score_multi_judge(truth, _said("judge", truth.withColumnRenamed("motifs", "a")))
 
     def count(te: DataFrame) -> DataFrame:
-        truth = motifs.multi_count(te)
+        truth = cut(motifs.multi_count(te), "truth")
         return near(scoring.score_multi_count(truth, _said("count", _pairs(truth, "n_instances", 1))))
 
     def first(te: DataFrame) -> DataFrame:
-        truth = motifs.multi_first_time(te)
+        truth = cut(motifs.multi_first_time(te), "truth")
         return near(scoring.score_first_time(truth, _said("time", _pairs(truth, "first_time", 1))))
 
     flat = lambda c: F.array_join(F.transform(c, lambda q: F.concat_ws(",", q["u"].cast("string"), q["v"].cast("string"), q["t"].cast("string"), q["op"])), " ")

@@ -17,7 +17,7 @@ from chronomotif import answers
 from chronomotif.functions import text
 from chronomotif.operators import logs, motifs, scoring
 from chronomotif.plans import catalog
-from chronomotif.plans.motif import DIRECTED_SQL, instances_sql
+from chronomotif.plans.motif import DIRECTED_SQL, instances_sql, one_shuffle
 from chronomotif.sources import providers
 from chronomotif.sources.events import EDGES_SQL, temporal_edges
 
@@ -208,7 +208,7 @@ def registered(sql: dict[str, str]) -> list[tuple[str, Callable, str | None]]:
         return f"{with_}, {cx}, qa AS ({qa}) SELECT graph_id, '{name}' AS task, context, query, answer FROM cx JOIN qa USING (graph_id)"
 
     def asked(name: str, **options) -> Callable:
-        return lambda s, d: TASKS[name].rows(temporal_edges(s, d), **options)
+        return lambda s, d: TASKS[name].rows(temporal_edges(one_shuffle(s), d), **options)
 
     no = "SELECT DISTINCT graph_id, CAST(NULL AS VARCHAR) AS query, {} AS answer FROM te"
     at = "picked AS (SELECT graph_id, t AS q FROM (SELECT graph_id, t, row_number() OVER (PARTITION BY graph_id ORDER BY md5('0:' || graph_id || ':' || t)) AS k FROM (SELECT DISTINCT graph_id, t FROM te)) WHERE k = 1)"

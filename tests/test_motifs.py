@@ -226,6 +226,39 @@ def test_one_large_graph_among_small_ones(spark):
     assert {r.graph_id for r in features.components(te, fold_edges=100).where("graph_id >= 10000").collect()} == {10_000, 10_001, 10_002}
 
 
+def test_tasks_follow_the_log(spark, graphs, monkeypatch):
+    """A log of many small graphs is dealt to as many tasks as its events need, whatever the session's number of partitions; branches of a union are tasks of their own."""
+    from chronomotif.plans import motif as plans
+
+    te = frame(spark, {g + 100 * k: e for k in range(10) for g, e in graphs.items()})
+    want = sorted(map(tuple, motifs.completions(te, "4-cycle").collect()))
+    monkeypatch.setattr(plans, "TASK_EVENTS", 200)
+    n = te.where("op = 'a' and u <> v").count()
+    (p,) = plans.routed(te, 6, 1000)
+    assert p.directed.rdd.getNumPartitions() == p.static.rdd.getNumPartitions() == -(-n // 200) > 10
+    got = motifs.completions(te, "4-cycle", unit_events=1000)
+    assert got.rdd.getNumPartitions() == 4 * -(-n // 200)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("name", ["score_multi_count", "score_first_time", "score_multi_judge", "parse_names", "parse_name_counts", "parse_name_times", "qa_multi_motif_judge", "qa_multi_motif_count", "qa_when_multi_motif_exist"])
+def test_chains_of_questions_and_answers_shuffle_the_log_once(spark, monkeypatch, name):
+    """No join of the chain deals its partial matches anew, and the scorers' truth is worked out once."""
+    import re
+
+    from chronomotif import answers, queries
+    from chronomotif.sources.tables import cut
+
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen = []
+    monkeypatch.setattr(answers, "cut", lambda df, *a: (seen.append(df), cut(df, *a))[1], raising=False)
+    seen.append(queries.QUERIES[name](plain, "/root/testdata/sf0.001"))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert not [k for p in plans for k in re.findall(r"Exchange hashpartitioning\(([^)]*)", p) if re.search(r"\b(s|lo|f|n0|k)#", k)]
+    assert len(plans) == 1 + name.startswith("score") and ("score" not in name or "Generate inline" not in plans[-1])
+
+
 def test_sessions_keep_their_settings(spark):
     from chronomotif import queries
     from chronomotif.plans.motif import one_shuffle
