@@ -1,8 +1,9 @@
 """Quality classifier: a Kneser-Ney model of trusted text; sharded count joins give per-document perplexity.
 
-The model (``ngram_lm``) is over three-character pieces of words, trained on documents labelled good: at most
-``max_trusted`` of them, chosen by a hash of the id, so the sample has a bound. Training counts are sharded by the hash of
-the context. Scoring is two sharded joins and no shuffle of texts:
+The model (``ngram_lm``) is over three-character pieces of words, trained on all documents labelled good but a fold of a
+quarter of them, by the id's hash; ids are joined, none pass the driver. (``max_trusted``, for callers that want a smaller
+model, takes only so many of the labelled ids, those of least hash; the query doesn't.) Training counts are sharded by the
+hash of the context, in shards whose number follows the input. Scoring is two sharded joins and no shuffle of texts:
 
 1. each task over the corpus sends the distinct piece pairs of its documents to their shards, whose number follows the input.
    There they become distinct as they come in and meet the training counts: a merge join of sorted arrays that leaves, for
@@ -12,8 +13,7 @@ the context. Scoring is two sharded joins and no shuffle of texts:
 
 Pairs never become rows, so the exchange holds each task's distinct pairs only, and all documents are scored whole.
 
-Thresholds: from all trusted documents that training left out (those beyond ``max_trusted`` and a fold of the others, by
-the id's hash), the 5th, 50th and 95th percentile of log10 perplexity for each language, of values rounded to five decimals
+Thresholds: from all trusted documents that training left out (the fold, and those beyond ``max_trusted``), the 5th, 50th and 95th percentile of log10 perplexity for each language, of values rounded to five decimals
 so that their counts, not the documents, meet in a task; a document is kept between q05 - ``spread`` * (q50 - q05) and
 q95 + ``spread`` * (q95 - q50), both widened by ``slack`` over the number of pieces, since means of short texts scatter
 more. Languages with fewer than ``least`` such documents use the percentiles of all.
@@ -133,20 +133,23 @@ def score_joined(docs: DataFrame, model: LanguageModel, bits: int, id_col: str,
     return docs.select(F.col(id_col), F.col(lang).alias("_lang"), F.col(text)).mapInArrow(tidy(run, ngram_lm.forget), f"id {id_type}, lang {lang_type}, n_pieces bigint, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_trusted: int = 20_000, spread: float = 3.0, slack: float = 15.0, least: int = 30, bits: int = 4, join_bits: int | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_trusted: int | None = None, spread: float = 3.0, slack: float = 15.0, least: int = 30, bits: int | None = None, join_bits: int | None = None) -> DataFrame:
     """(id, lang, n_pieces, score, perplexity, low, high, kept) of every document."""
     ship(docs.sparkSession)
-    ids = trusted_ids(labels, max_trusted, id_col)
-    trusted = written(chosen(docs.select(id_col, text, lang), ids, id_col), "trusted")
     training = ~ngram_lm.held_out(id_col, 4, 0)
-    model = ngram_lm.train(trusted.where(training), text, piece_tokens, bits)
+    good = agreed(labels, "quality", id_col).where("quality = 1").select(id_col)
+    learned = good.where(training)
+    if max_trusted is not None:
+        ids = trusted_ids(labels, max_trusted, id_col)
+        learned = docs.sparkSession.createDataFrame([(i,) for i in ids], labels.select(id_col).schema).where(training)
+    # A merge join at any size: the ids have no bound to be broadcast under. Training reads its rows once.
+    trusted = docs.where(training).select(id_col, text).join(learned.hint("merge"), id_col, "left_semi").select(text)
+    model = ngram_lm.train(trusted, text, piece_tokens, bits)
     join_bits = shard_bits(docs) if join_bits is None else join_bits
     model.shards["asked"] = frozenset(r["shard"] for r in join_counts(docs, model, join_bits, text).collect())  # a row a shard
-    dropped(trusted)
     scored = written(score_joined(docs, model, join_bits, id_col, text, lang).withColumn("x", -F.col("score") / F.col("n_pieces")), "scored")
     ngram_lm.drop_model(docs.sparkSession, model)
-    learned = docs.sparkSession.createDataFrame([(i,) for i in ids], labels.select(id_col).schema).where(training)
-    outside = agreed(labels, "quality", id_col).where("quality = 1").select(id_col).join(F.broadcast(learned), id_col, "left_anti")  # at most max_trusted ids
+    outside = good.where(~training) if max_trusted is None else good.join(F.broadcast(learned), id_col, "left_anti")  # at most max_trusted ids
     own = scored.join(outside.select(F.col(id_col).alias("_good")), F.col("id") == F.col("_good"), "left_semi").groupBy("lang", F.round("x", 5).alias("x")).agg(F.count("*").alias("n"))
     own = written(own, "trusted-scores")
     q = F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.col("n")).alias("q")

@@ -225,3 +225,16 @@ def test_pipeline(spark):
             assert all(rows[r.doc_id] == r for r in out)
             stage = spark.createDataFrame(out, docs.schema)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids
+
+
+def test_quality_model_learns_from_every_trusted_text(spark, monkeypatch):
+    """More than 20 000 trusted documents: all outside the fold are learned from, by a join, and no ids are collected."""
+    monkeypatch.setattr(quality_model, "trusted_ids", None)
+    learned = []
+    train = quality_model.ngram_lm.train
+    monkeypatch.setattr(quality_model.ngram_lm, "train", lambda docs, *a: (learned.append(docs.count()), train(docs, *a))[1])
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word number "), F.col("id") % 50).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 20 != 0).cast("int").alias("quality"))
+    got = quality_model.quality_scores(docs, labels)
+    assert got.count() == 24_000 and got.select("low").distinct().count() == 1
+    assert learned == [sum(i % 20 != 0 and zlib.crc32(str(i).encode()) % 4 != 0 for i in range(24_000))]
