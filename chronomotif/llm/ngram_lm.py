@@ -59,12 +59,8 @@ SAMPLED, MOST_HOT = 20_000, 1 << 16
 HOT_PART = 4
 #: Table files that a worker has open at most.
 MAPS = 96
-_CACHE: dict = {}
-
-
-def forget() -> None:
-    """Empties the cache of pieces."""
-    _CACHE.clear()
+#: Which characters ``str.split`` takes for spaces; none comes after these.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
 
 
 def word_tokens(text: str | None) -> np.ndarray:
@@ -79,19 +75,41 @@ def word_tokens(text: str | None) -> np.ndarray:
 
 
 def piece_tokens(text: str | None) -> np.ndarray:
-    """Hashes of three-character pieces of each word, its first piece marked, and of the end."""
-    import xxhash
+    """Numbers of three-character pieces of each word, its first piece marked, and of the end."""
+    return piece_lists([text])[0]
 
-    parts = []
-    for word in text.split() if text else []:
-        known = _CACHE.get(word)
-        if known is None:
-            if len(_CACHE) > 100_000:
-                _CACHE.clear()
-            marked = "^" + word
-            known = _CACHE[word] = b"".join(xxhash.xxh3_64_digest(marked[i : i + 3].encode("utf-8", "surrogatepass"))[::-1] for i in range(0, len(marked), 3))
-        parts.append(known)
-    return np.append(np.frombuffer(b"".join(parts), np.uint64), END)
+
+def piece_lists(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces and ends of all texts, start of each text): what ``piece_tokens`` gives of each, one after another.
+
+    A piece's number is a bijection of its characters, so different pieces have different numbers.
+    """
+    whole = "\n".join(["", *(t or "" for t in texts), "\n"])  # two spaces after the last word
+    c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(c, len(_SPACE) - 1)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, length = edges[::2], edges[1::2] - edges[::2]
+    n = length // 3 + 1  # with the mark
+    after = np.cumsum(n)
+    at = np.repeat(begin - 1 - 3 * (after - n), n)
+    at += 3 * np.arange(len(at))
+    x, y, z = (c[at + k].astype(np.uint64) + np.uint64(1) for k in range(3))
+    x[after - n] = ord("^") + 1
+    rest = length % 3  # characters of a word's last piece, but one
+    y[after[rest == 0] - 1] = 0
+    z[after[rest < 2] - 1] = 0
+    x |= y << np.uint64(21)
+    x |= z << np.uint64(42)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    ends = np.cumsum([len(t or "") + 1 for t in texts])  # of each text, after the space before the first
+    ends = np.append(0, after)[np.searchsorted(begin, ends)] + np.arange(len(texts))
+    out, inside = np.full(len(x) + len(texts), END), np.ones(len(x) + len(texts), bool)
+    inside[ends] = False
+    out[inside] = x
+    return out, np.append(0, ends[:-1] + 1)
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
@@ -197,7 +215,7 @@ def _count_pairs(docs: DataFrame, text: str, tokens: Callable, bits: int, part:
         if held:
             yield from flush()
 
-    return docs.select(text).mapInArrow(tidy(run, forget), "shard int, v binary, m binary, w binary, c binary")
+    return docs.select(text).mapInArrow(tidy(run), "shard int, v binary, m binary, w binary, c binary")
 
 
 def _save(folder: str, name: str, shard: int, bits: int, keys: np.ndarray, values: np.ndarray) -> None:
@@ -350,7 +368,7 @@ def _count_triples(docs: DataFrame, text: str, tokens: Callable, bits: int, part
         if held:
             yield from flush()
 
-    return docs.select(text).mapInArrow(tidy(run, forget), "shard int, d binary, v binary, m binary, u binary, w binary, c binary")
+    return docs.select(text).mapInArrow(tidy(run), "shard int, d binary, v binary, m binary, u binary, w binary, c binary")
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -398,7 +416,7 @@ def _merge_triples(counted: DataFrame, folder: str, bits: int, hot: np.ndarray =
             plain = np.add.reduceat(c[order], starts) if len(starts) else c
             yield from _pair_arrays(folder, shard, bits, pair[starts], v[at], w[at], np.diff(np.append(starts, len(pair))), plain, triples)
 
-    return _dealt(counted, bits).mapInArrow(tidy(run, forget), MERGED)
+    return _dealt(counted, bits).mapInArrow(tidy(run), MERGED)
 
 
 def _partial_pairs(v: np.ndarray, w: np.ndarray, c: np.ndarray, bits: int, hot: np.ndarray) -> Iterator[tuple]:
@@ -428,7 +446,7 @@ def _merge_hot_pairs(partial: DataFrame, folder: str, bits: int, hot: np.ndarray
             yield _rows(shard, context.tobytes(), None, np.stack([total, n1, n2, n3], 1).tobytes(), None)
             yield from _token_rows(shard, bits, w, n, c)
 
-    return _dealt(partial, bits).mapInArrow(tidy(run, forget), MERGED)
+    return _dealt(partial, bits).mapInArrow(tidy(run), MERGED)
 
 
 def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -455,7 +473,7 @@ def _merge_pairs(counted: DataFrame, folder: str, bits: int) -> DataFrame:
         if parts:
             yield from finish()
 
-    return _dealt(counted, bits).mapInArrow(tidy(run, forget), MERGED)
+    return _dealt(counted, bits).mapInArrow(tidy(run), MERGED)
 
 
 def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
@@ -470,7 +488,7 @@ def _merge_tokens(merged: DataFrame, folder: str, bits: int) -> DataFrame:
             of = np.array([(contexts == k).sum() for k in (1, 2, 3, 4)] + [contexts.sum(), len(token), (contexts > 2).sum()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([of.tobytes()], pa.binary())], names=["shard", "n"])
 
-    return _dealt(merged, bits).mapInArrow(tidy(run, forget), "shard int, n binary")
+    return _dealt(merged, bits).mapInArrow(tidy(run), "shard int, n binary")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -602,7 +620,7 @@ def _hot_totals(rows: DataFrame, hot: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(4))], names=["at", "n0", "n1", "n2", "n3"])
 
     out = np.zeros((len(hot), 4), np.int64)
-    sums = rows.select("v", "n").mapInArrow(tidy(run, forget), "at bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    sums = rows.select("v", "n").mapInArrow(tidy(run), "at bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
     for r in sums.collect():  # a row a hot token
         out[r["at"]] = [r[f"n{k}"] for k in range(4)]
     return out
@@ -622,7 +640,7 @@ def hot_tokens(docs: DataFrame, text: str, tokens: Callable, bits: int) -> np.nd
                 often = n * (8 * HOT_PART << bits) > n.sum()
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(token[often], np.uint64(0)).view(np.int64)), pa.array(np.append(n[often], n.sum()))], names=["token", "n"])
 
-    counts = some.mapInArrow(tidy(count, forget), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(tidy(count), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n")).limit(MOST_HOT + 1).collect()
     total = next((r["n"] for r in top if r["token"] == 0), 0)  # all tokens
     return np.sort(np.array([r["token"] for r in top if r["token"] and r["n"] * (HOT_PART << bits) > total and r["token"] != END.view(np.int64)], np.int64).view(np.uint64))
@@ -687,7 +705,7 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text: s
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields if f.name in names)
     id_type = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(tidy(run, forget), f"id {id_type}, {kinds}n_tokens bigint, n_known bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidy(run), f"id {id_type}, {kinds}n_tokens bigint, n_known bigint, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

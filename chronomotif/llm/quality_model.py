@@ -8,8 +8,11 @@ hash of the context, in shards whose number follows the input. Scoring is two sh
 1. each task over the corpus sends the distinct piece pairs of its documents to their shards, whose number follows the input.
    There they become distinct as they come in and meet the training counts: a merge join of sorted arrays that leaves, for
    every pair that the corpus has, its log10 probability;
-2. the joined arrays, sorted, are read back as memory maps while the texts are scanned once more, a batch's distinct pairs
-   at a time, and summed per document.
+2. the joined arrays, sorted, are read back as memory maps while the texts are scanned once more, and summed per document.
+
+In both scans a task keeps a table of pairs that it met (``Places``, of bounded size, compared by their whole hash), so only pairs
+that aren't there are sorted and sent, or looked up; look-ups wait until there are many, since each round of them may open every
+shard.
 
 Pairs never become rows, so the exchange holds each task's distinct pairs only, and all documents are scored whole.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from chronomotif.llm import ngram_lm
 from chronomotif.llm.common import dropped, ship, tidy, written
-from chronomotif.llm.ngram_lm import LanguageModel, pair_hash, pairs_of, piece_tokens, shard_bits
+from chronomotif.llm.ngram_lm import BEGIN, LanguageModel, pair_hash, piece_lists, piece_tokens, shard_bits
 
 
 def agreed(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
@@ -55,6 +58,67 @@ def chosen(docs: DataFrame, ids: list, id_col: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(wanted), id_col, "left_semi").select(*docs.columns)
 
 
+#: Characters of the texts that a task takes at a time, and places of its table of pairs (a power of two).
+CHARACTERS, PLACES = 1 << 20, 1 << 20
+#: Pairs of texts that wait at most before those that the table hasn't are looked up, and so many of the latter.
+WAITING, ASKED = 8_000_000, 1_000_000
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, end, texts) of runs of rows with about ``CHARACTERS``."""
+    begin, texts, size = 0, [], 0
+    for at in range(0, len(column), 100):
+        for text in column.slice(at, 100).to_pylist():
+            texts.append(text)
+            size += len(text or "") + 1
+            if size > CHARACTERS or begin + len(texts) == len(column):
+                yield begin, begin + len(texts), texts
+                begin, texts, size = begin + len(texts), [], 0
+
+
+def pairs_in(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, piece, start of each text) over all texts; each begins anew."""
+    w, starts = piece_lists(texts)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[starts] = BEGIN
+    return v, w, starts
+
+
+class Places:
+    """Pairs that a task has met lately, one at each place of a table by the low bits of its hash, with values if wanted.
+
+    Most pairs of a text are common ones, so few are left to be sorted, sent or looked up in files.
+    """
+
+    def __init__(self, valued: bool = False):
+        self.key = ~np.arange(PLACES, dtype=np.uint64)  # no hash with these low bits is the key of its place
+        self.value = np.zeros(PLACES if valued else 0)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return (key & np.uint64(PLACES - 1)).astype(np.int64)
+
+    def put(self, key: np.ndarray, value: np.ndarray | None = None) -> None:
+        """Distinct hashes take their places; of those that share one, one does."""
+        place = self.of(key)
+        self.key[place] = key
+        if value is not None:
+            there = self.key[place] == key
+            self.value[place[there]] = value[there]
+
+    def new(self, key: np.ndarray) -> np.ndarray:
+        """Where hashes that aren't here occur first; they are put here."""
+        away = np.flatnonzero(self.key[self.of(key)] != key)
+        distinct, first = np.unique(key[away], return_index=True)
+        self.put(distinct)
+        return away[first]
+
+    def values(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the hashes, where they aren't here)."""
+        place = self.of(key)
+        return self.value[place], np.flatnonzero(self.key[place] != key)
+
+
 def join_counts(docs: DataFrame, model: LanguageModel, bits: int, text: str = "text", flush: int = 1_500_000) -> DataFrame:
     """Writes, beside the model, the log10 probability of every pair of the corpus, in 2 ** bits shards; gives (shard, pairs)."""
 
@@ -73,10 +137,11 @@ def join_counts(docs: DataFrame, model: LanguageModel, bits: int, text: str = "t
             for s, a, b in ngram_lm._shards(pairs[:, 0], bits):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pairs[a:b].tobytes()], pa.binary())], names=["shard", "pairs"])
 
+        sent = Places()  # of this task alone: another one's rows may be lost and made again
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                v, w = pairs_of([piece_tokens(t) for t in batch.column(0).slice(at, 200).to_pylist()])
-                _, first = np.unique(pair_hash(v, w, bits), return_index=True)
+            for _, _, texts in slices(batch.column(0)):
+                v, w, _ = pairs_in(texts)
+                first = sent.new(pair_hash(v, w, bits))
                 known.append(np.stack([v[first], w[first]], 1))
                 size += len(first)
                 if size > flush:
@@ -111,26 +176,41 @@ def join_counts(docs: DataFrame, model: LanguageModel, bits: int, text: str = "t
         if parts:
             yield from finish()
 
-    rows = docs.select(text).mapInArrow(tidy(asked, ngram_lm.forget), "shard int, pairs binary")
+    rows = docs.select(text).mapInArrow(tidy(asked), "shard int, pairs binary")
     return ngram_lm._dealt(rows, bits).mapInArrow(tidy(joined), "shard int, pairs bigint")
 
 
-def score_joined(docs: DataFrame, model: LanguageModel, bits: int, id_col: str, text: str, lang: str, step: int = 400) -> DataFrame:
+def score_joined(docs: DataFrame, model: LanguageModel, bits: int, id_col: str, text: str, lang: str) -> DataFrame:
     """(id, lang, n_pieces, score) from the joined arrays."""
     id_type, lang_type = (docs.schema[c].dataType.simpleString() for c in (id_col, lang))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Places(valued=True)
+        waiting: list[tuple] = []  # (rows, values, start of each text, where values are missing, hashes of those)
+        pairs = asked = 0
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            key, at = np.unique(np.concatenate([x[-1] for x in waiting]), return_inverse=True)
+            found = model._find("asked", key, 1, np.float64, bits)[:, 0]
+            met.put(key, found)
+            for rows, p, starts, away, _ in waiting:
+                p[away], at = found[at[: len(away)]], at[len(away) :]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(np.diff(np.append(starts, len(p)))), pa.array(np.add.reduceat(p, starts))], names=["id", "lang", "n_pieces", "score"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                piece = batch.slice(at, step)
-                lists = [piece_tokens(t) for t in piece.column(2).to_pylist()]
-                v, w = pairs_of(lists)
-                key, of = np.unique(pair_hash(v, w, bits), return_inverse=True)
-                p = model._find("asked", key, 1, np.float64, bits)[:, 0]
-                starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(x) for x in lists], pa.int64()), pa.array(np.add.reduceat(p[of], starts))], names=["id", "lang", "n_pieces", "score"])
-
-    return docs.select(F.col(id_col), F.col(lang).alias("_lang"), F.col(text)).mapInArrow(tidy(run, ngram_lm.forget), f"id {id_type}, lang {lang_type}, n_pieces bigint, score double")
+            for begin, end, texts in slices(batch.column(2)):
+                v, w, starts = pairs_in(texts)
+                key = pair_hash(v, w, bits)
+                p, away = met.values(key)
+                waiting.append(([batch.column(k).slice(begin, end - begin) for k in (0, 1)], p, starts, away, key[away]))
+                pairs, asked = pairs + len(p), asked + len(away)
+                if pairs > WAITING or asked > ASKED:
+                    yield from finish()
+                    waiting, pairs, asked = [], 0, 0
+        if waiting:
+            yield from finish()
+
+    return docs.select(F.col(id_col), F.col(lang).alias("_lang"), F.col(text)).mapInArrow(tidy(run), f"id {id_type}, lang {lang_type}, n_pieces bigint, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_trusted: int | None = None, spread: float = 3.0, slack: float = 15.0, least: int = 30, bits: int | None = None, join_bits: int | None = None) -> DataFrame:

@@ -96,6 +96,67 @@ def test_quality_join_shards(spark):
     ngram_lm.drop_model(spark, model)
 
 
+class Captured:
+    """Stands for a table; keeps what would run in tasks."""
+
+    def __init__(self, schema):
+        self.schema, self.runs = schema, []
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.runs.append(run)
+        return self
+
+
+def test_quality_looks_common_pairs_up_once(spark, monkeypatch):
+    """The pairs of texts that came before are neither sent, sorted nor looked up again, and scores don't hang on what a task keeps."""
+    docs = queries.read(spark, SF, "documents")
+    model = ngram_lm.train(docs.where("doc_id % 3 > 0"), tokens=ngram_lm.piece_tokens, bits=2)
+    shards = quality_model.join_counts(docs, model, 4).collect()
+    model.shards["asked"] = frozenset(r.shard for r in shards)
+    distinct = sum(r.pairs for r in shards)
+    table = docs.select("doc_id", "lang", "text").toArrow()
+    batches = [b for _ in range(20) for b in table.to_batches()]
+    monkeypatch.setattr(ngram_lm, "_dealt", lambda rows, bits: rows)
+    looked, find = [], ngram_lm.LanguageModel._find
+    monkeypatch.setattr(ngram_lm.LanguageModel, "_find", lambda self, name, asked, *a: (looked.append(len(asked)), find(self, name, asked, *a))[1])
+
+    def scored():
+        stub = Captured(docs.schema)
+        quality_model.score_joined(stub, model, 4, "doc_id", "text", "lang")
+        return [r for b in stub.runs[0](iter(batches)) for r in b.to_pylist()]
+
+    def sent():
+        stub = Captured(docs.schema)
+        quality_model.join_counts(stub, model, 4)
+        return [np.frombuffer(r["pairs"], np.uint64).reshape(-1, 2).tolist() for b in stub.runs[0](iter([b.select(["text"]) for b in batches])) for r in b.to_pylist()]
+
+    want, pairs = scored(), [tuple(p) for part in sent() for p in part]
+    assert len(want) == 20 * table.num_rows and [r["id"] for r in want[: table.num_rows]] == table["doc_id"].to_pylist()
+    assert distinct <= sum(looked) < 2 * distinct and len(pairs) == len(set(pairs)) == distinct
+    for name, small in (("CHARACTERS", 90), ("PLACES", 64), ("WAITING", 5_000), ("ASKED", 700)):
+        monkeypatch.setattr(quality_model, name, small)
+    batches = table.to_batches()
+    assert scored() == want[: table.num_rows] and {tuple(p) for part in sent() for p in part} == set(pairs)
+    ngram_lm.drop_model(spark, model)
+
+
+def test_pieces_against_plain_python():
+    """Words and pieces as ``str.split`` and slices give them: every kind of space, marks, nulls, characters of any width."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aab^ \n\x1c\u3000\x85\xe9\x00\U0001f600") for _ in range(rng.randrange(40))) for _ in range(2_000)]
+    texts += [None, "", " ", "a", "ab", "abc", "abcd", "abcde ", "\ud800x"]
+    plain = [[x for w in (t or "").split() for m in ["^" + w] for x in (m[i : i + 3] for i in range(0, len(m), 3))] + [None] for t in texts]
+    out, starts = ngram_lm.piece_lists(texts)
+    assert starts.tolist() == np.cumsum([0, *map(len, plain[:-1])]).tolist() and len(out) == sum(map(len, plain))
+    both = set(zip([x for p in plain for x in p], out.tolist(), strict=True))
+    assert len(both) == len({x for x, _ in both}) == len({h for _, h in both}) and (None, int(ngram_lm.END)) in both
+    assert all((ngram_lm.piece_tokens(t) == out[a : a + len(p)]).all() for t, p, a in zip(texts, plain, starts, strict=True))
+    assert not any(chr(i).isspace() for i in range(len(ngram_lm._SPACE), 0x110000))
+
+
 def test_benchmark_in_parts_one_at_a_time(spark, monkeypatch):
     docs, benchmark = queries.read(spark, SF, "documents"), queries.read(spark, SF, "benchmark")
     rows = lambda **options: sorted((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), tuple(map(tuple, r.spans))) for r in decontaminate.contamination(docs, benchmark, **options).collect())
