@@ -172,6 +172,23 @@ def test_generated_logs_are_never_broadcast(spark, monkeypatch, name):
     assert not any("Broadcast" in p for p in plans[1:]), [p for p in plans[1:] if "Broadcast" in p][0]
 
 
+def test_component_labels_are_never_broadcast(spark, monkeypatch):
+    """A pass's table has files of a hundredth of its rows' size; no pass may send one through the driver, and long ways and several graphs come out right."""
+    from chronomotif.sources.tables import cut
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(features, "cut", lambda df, *a: (plans.append(plan(df)), cut(df, *a))[1])
+    way = [(1, i, 2 * i, 2 * i + 2, i, "a") for i in range(20)]  # even nodes in a line
+    ring = [(1, 20 + i, 2 * i + 1, (2 * i + 3) % 20, i, "a") for i in range(10)]  # odd nodes
+    te = spark.createDataFrame(way + ring + [(1, 30, 100, 101, 0, "a"), (1, 31, 101, 40, 0, "d"), (2, 0, 7, 3, 0, "a"), (2, 1, 5, 5, 0, "a")], EVENTS)
+    labels = features.component_labels(te)
+    plans.append(plan(labels))
+    want = {(1, n): 0 for n in range(0, 41, 2)} | {(1, n): 1 for n in range(1, 20, 2)} | {(1, 100): 100, (1, 101): 100, (2, 3): 3, (2, 7): 3}
+    assert sorted(map(tuple, labels.collect())) == sorted((g, n, root) for (g, n), root in want.items())
+    assert len(plans) >= 6 and not any("Broadcast" in p for p in plans), [p for p in plans if "Broadcast" in p][0]
+
+
 def log_of(spark, frame):
     return spark.createDataFrame(frame[["graph_id", "seq", "u", "v", "t", "op"]])
 
