@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronomotif.plans.motif import is_small
-from chronomotif.sources.tables import cut, uncut
+from chronomotif.sources.tables import cut, shuffles_dropped, uncut
 
 
 def static_edges(te: DataFrame) -> DataFrame:
@@ -65,19 +65,20 @@ def _labels(pairs: DataFrame) -> DataFrame:
     The tables' files are a hundredth of their rows' size, so Spark takes them for small: merge joins keep them out of the driver.
     """
     ways = F.explode(F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi"))))
-    edges = cut(pairs.select("graph_id", ways.alias("e")).select("graph_id", F.col("e.lo").alias("node"), F.col("e.hi").alias("other")), "edges")
-    table = cut(edges.groupBy("graph_id", "node").agg(F.least("node", F.min("other")).alias("root")).withColumn("old", F.lit(None).cast(edges.schema["node"].dataType)), "labels")
-    while True:
-        labels = table.select("graph_id", "node", "root")
-        heard = edges.join(labels.withColumnRenamed("node", "other").hint("merge"), ["graph_id", "other"]).groupBy("graph_id", "node").agg(F.min("root").alias("heard"))
-        lower = labels.join(heard.hint("merge"), ["graph_id", "node"]).select("graph_id", "node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        jump = labels.select("graph_id", F.col("node").alias("root"), F.col("root").alias("further"))
-        new = cut(lower.join(jump.hint("merge"), ["graph_id", "root"]).select("graph_id", "node", "old", F.least("root", "further").alias("root")), "labels")
-        uncut(table)
-        table = new
-        if new.where("root <> old").isEmpty():
-            uncut(edges)
-            return new.select("graph_id", "node", "root")
+    with shuffles_dropped(pairs.sparkSession):
+        edges = cut(pairs.select("graph_id", ways.alias("e")).select("graph_id", F.col("e.lo").alias("node"), F.col("e.hi").alias("other")), "edges")
+        table = cut(edges.groupBy("graph_id", "node").agg(F.least("node", F.min("other")).alias("root")).withColumn("old", F.lit(None).cast(edges.schema["node"].dataType)), "labels")
+        while True:
+            labels = table.select("graph_id", "node", "root")
+            heard = edges.join(labels.withColumnRenamed("node", "other").hint("merge"), ["graph_id", "other"]).groupBy("graph_id", "node").agg(F.min("root").alias("heard"))
+            lower = labels.join(heard.hint("merge"), ["graph_id", "node"]).select("graph_id", "node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
+            jump = labels.select("graph_id", F.col("node").alias("root"), F.col("root").alias("further"))
+            new = cut(lower.join(jump.hint("merge"), ["graph_id", "root"]).select("graph_id", "node", "old", F.least("root", "further").alias("root")), "labels")
+            uncut(table)
+            table = new
+            if new.where("root <> old").isEmpty():
+                uncut(edges)
+                return new.select("graph_id", "node", "root")
 
 
 def core_nodes(te: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,21 @@ def cut(df: DataFrame, name: str = "table", reader: SparkSession | None = None)
     return back
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each ends, not when the driver happens to collect garbage; for results that ``cut`` keeps."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def uncut(*tables: DataFrame) -> None:
     """Deletes tables of ``cut`` that nothing reads any more."""
     for df in tables:

@@ -189,6 +189,27 @@ def test_component_labels_are_never_broadcast(spark, monkeypatch):
     assert len(plans) >= 6 and not any("Broadcast" in p for p in plans), [p for p in plans if "Broadcast" in p][0]
 
 
+def test_label_passes_leave_no_shuffle_files(spark):
+    """A pass's shuffle files go with the pass, without a collection of the driver's garbage; the session keeps its settings."""
+    import re
+    import time
+
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"shuffle_\d+", files))
+
+    te = spark.createDataFrame([(1, i, i, i + 1, i, "a") for i in range(40)], EVENTS)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), kept()
+    labels = features.component_labels(te)
+    for _ in range(50):  # executors delete them in their own time
+        if kept() <= before:
+            break
+        time.sleep(0.2)
+    assert kept() <= before
+    assert spark.conf.get(key) == setting and {r.root for r in labels.collect()} == {0}
+
+
 def log_of(spark, frame):
     return spark.createDataFrame(frame[["graph_id", "seq", "u", "v", "t", "op"]])
 
