@@ -62,7 +62,7 @@ def component_labels(te: DataFrame) -> DataFrame:
 def _labels(pairs: DataFrame) -> DataFrame:
     """Labels of ``static_edges``. Each pass is a table of its own and the one before it deleted, so neither lineage nor disk nor any row grows with the passes.
 
-    The tables' files are a hundredth of their rows' size, so Spark takes them for small: merge joins keep them out of the driver.
+    A label table's files can be a hundredth of what a broadcast of it takes, so Spark takes it for small: merge joins keep it out of the driver.
     """
     ways = F.explode(F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi"))))
     with shuffles_dropped(pairs.sparkSession):

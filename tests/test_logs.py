@@ -173,7 +173,7 @@ def test_generated_logs_are_never_broadcast(spark, monkeypatch, name):
 
 
 def test_component_labels_are_never_broadcast(spark, monkeypatch):
-    """A pass's table has files of a hundredth of its rows' size; no pass may send one through the driver, and long ways and several graphs come out right."""
+    """A pass's table has far smaller files than a broadcast of it; no pass may send one through the driver, and long ways and several graphs come out right."""
     from chronomotif.sources.tables import cut
 
     plans = []
